@@ -1,10 +1,11 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Tokens are runs of non-space characters; a token's word is its lower-case form without punctuation at the ends.
-Documents carry the labels, so token labels are made first: in a toxic document, words that documents labelled
-toxic hold far more often than others are toxic tokens; all other tokens are not. On windows of those tokens a
-two-state chain (clean, toxic) is fitted by its exact gradient, from forward and backward sums. It has a weight for
-each word of the lexicon so found, one for all other words, transitions and starts. A document's score is a
+Documents carry the labels, so token labels are made first: in a toxic document, words with a feature (the word
+itself or its beginning) that documents labelled toxic hold far more often than others are toxic tokens; all other
+tokens are not. On windows of those tokens a two-state chain (clean, toxic) is fitted by its exact gradient, from
+forward and backward sums. It has a weight for each feature of the lexicon so found, one for all other words,
+transitions and starts. A document's score is a
 logistic function of the log odds of its largest toxic marginal; spans are runs of tokens with a marginal of one
 half or more.
 
@@ -32,14 +33,16 @@ from pyspark.sql import types as T
 from .labelled import sample
 
 #: Documents of each class that the fit looks at, at most.
-SAMPLE = 1500
+SAMPLE = 1000
 #: A lexicon word is in toxic documents at least so many times as often as in others, and in so many of them.
-LIFT, SUPPORT = 8.0, 3
+LIFT, SUPPORT = 8.0, 5
 LEXICON = 5000
 #: Tokens on either side of a token in a training window.
 REACH = 12
 #: Beyond so many tokens a chain of equal emissions has reached its fixed points in double precision.
 STEADY = 400
+#: Lengths of the beginnings of words that are features beside the words themselves.
+PREFIXES = (4, 5)
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 CACHE = 400_000
 TOKEN = re.compile(r"\S+")
@@ -49,6 +52,11 @@ def word(token: str) -> str:
     return token.lower().strip(EDGES)
 
 
+def features(w: str) -> list[str]:
+    """A word's features, the widest last; a star ends a beginning."""
+    return [w, *(f"{w[:k]}*" for k in PREFIXES[::-1] if len(w) > k)]
+
+
 @dataclass
 class Chain:
     """Log weights: of lexicon words and all others for the toxic state, of transitions [from][to], of starts."""
@@ -60,6 +68,10 @@ class Chain:
     slope: float = 1.0
     offset: float = 0.0
 
+    def weight(self, w: str) -> float | None:
+        """The weight of a word by its narrowest feature in the lexicon; None if it has none."""
+        return next((self.words[f] for f in features(w) if f in self.words), None)
+
     def marginals(self, weights: list[float]) -> list[float]:
         """The toxic state's probability at each token, from the forward and backward recursions."""
         (s00, s01), (s10, s11) = ((math.exp(x) for x in row) for row in self.steps)
@@ -80,9 +92,12 @@ class Chain:
             b = (s11 * r + s10) / (s01 * r + s00)
         return out
 
+    @staticmethod
+    def log_odds(p: float | None) -> float:
+        return -12.0 if p is None else max(-12.0, min(12.0, math.log(max(p, 1e-12)) - math.log(max(1 - p, 1e-12))))
+
     def score(self, largest: float | None) -> float:
-        x = -12.0 if largest is None else max(-12.0, min(12.0, math.log(max(largest, 1e-12)) - math.log(max(1 - largest, 1e-12))))
-        return 1 / (1 + math.exp(-(self.slope * x + self.offset)))
+        return 1 / (1 + math.exp(-(self.slope * self.log_odds(largest) + self.offset)))
 
 
 class Tagger:
@@ -101,23 +116,24 @@ class Tagger:
     def tagged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and start, end (code points) and largest marginal of its toxic spans."""
         tokens = text.split() if text else []
-        words, seen = self.chain.words, self.seen
+        largest, marginals = self.chances(tokens)
+        if marginals is None and largest is not None and largest >= 0.5:
+            marginals = self.chain.marginals([self.chain.other] * len(tokens))
+        return self.chain.score(largest), self._spans(text, marginals) if marginals else []
+
+    def chances(self, tokens: list[str]) -> tuple[float | None, list[float] | None]:
+        """The largest toxic marginal, and all of them if a token is in the lexicon."""
+        seen, other = self.seen, self.chain.other
         if len(seen) > CACHE:
             seen.clear()
-        found = False
         for t in tokens:
-            hit = seen.get(t)
-            if hit is None:
-                hit = seen[t] = word(t) in words
-            if hit:
-                found = True
-                break
-        if not found:
-            largest = self._largest_plain(len(tokens))
-            spans = [] if largest is None or largest < 0.5 else self._spans(text, self.chain.marginals([self.chain.other] * len(tokens)))
-            return self.chain.score(largest), spans
-        marginals = self.chain.marginals([words.get(word(t), self.chain.other) for t in tokens])
-        return self.chain.score(max(marginals)), self._spans(text, marginals)
+            if t not in seen:
+                seen[t] = self.chain.weight(word(t))
+        weights = [seen[t] for t in tokens]
+        if weights.count(None) == len(weights):
+            return self._largest_plain(len(tokens)), None
+        marginals = self.chain.marginals([other if w is None else w for w in weights])
+        return max(marginals), marginals
 
     @staticmethod
     def _spans(text: str, marginals: list[float]) -> list[tuple[int, int, float]]:
@@ -134,35 +150,63 @@ class Tagger:
         return spans
 
 
-def lexicon(docs: list[tuple[str, int]]) -> dict[str, float]:
-    """Words that toxic documents hold LIFT times as often as others, with the log of that lift."""
+def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
+    """Features that toxic documents hold LIFT times as often as others, with the log of that lift.
+
+    Copies of one toxic document would make toxic words of all its words. So features are first chosen by how many
+    toxic documents they newly cover; a further one needs half the weight of the weakest that was chosen so.
+    """
     counts, n = (Counter(), Counter()), [0, 0]
-    for text, label in docs:
+    sets = []
+    for words, label in docs:
         n[label] += 1
-        counts[label].update({word(t) for t in text.split()})
+        own = {f for w in set(words) if w for f in features(w)}
+        counts[label].update(own)
+        if label:
+            sets.append(own)
     if not all(n):
         return {}
     lift = {
         w: math.log((a + 0.5) / (n[1] + 1)) - math.log((counts[0][w] + 0.5) / (n[0] + 1))
         for w, a in counts[1].items()
-        if w and a >= min(SUPPORT, n[1])
+        if a >= min(SUPPORT, n[1])
     }
-    chosen = sorted((w for w in lift if lift[w] >= math.log(LIFT)), key=lambda w: (-counts[1][w] * lift[w], w))[:LEXICON]
-    # A word must also be too frequent in toxic documents for chance, or rare words of few documents would do.
-    return {w: lift[w] for w in chosen if counts[1][w] * lift[w] > 2 * math.log(len(lift) + 1)}
-
-
-def _windows(docs: list[tuple[str, int]], ids: dict[str, int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers (0: not in the lexicon, -1: beyond the text) and token labels of windows: around each toxic
-    token, and around as many places of every text at random."""
+    lift = {w: x for w, x in lift.items() if x >= math.log(LIFT)}
+    weight = {w: counts[1][w] * x for w, x in lift.items()}
+    cover: list[str] = []
+    left = [s for s in ({w for w in own if w in lift} for own in sets) if s]
+    while left and len(cover) < LEXICON:
+        gain = Counter(w for own in left for w in own)
+        best = max(gain, key=lambda w: (gain[w] * lift[w], not w.endswith("*"), w))
+        if gain[best] < max(SUPPORT, 0.03 * n[1]) and cover:
+            break
+        cover.append(best)
+        left = [own for own in left if best not in own]
+    least = 0.5 * min((weight[w] for w in cover), default=0.0)
+    chosen = sorted((w for w in weight if weight[w] >= least), key=lambda w: (-weight[w], w))[:LEXICON]
+    # A beginning that is little but one of the chosen words says nothing of its own.
+    told = {f for w in chosen if not w.endswith("*") for f in features(w)[1:] if counts[1][w] >= 0.8 * counts[1][f]}
+    return {w: lift[w] for w in chosen if w not in told}
+
+
+def _windows(docs: list[tuple[list[str], int]], ids: dict[str, int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers (0: not in the lexicon, -1: beyond the text) and token labels of windows: around lexicon words,
+    and around a place of every text at random."""
     width = 2 * REACH + 1
     rows, labels = [], []
-    for text, label in docs:
-        numbers = np.array([ids.get(word(t), 0) for t in text.split()], dtype=np.int64)
+    met: dict[str, int] = {}
+
+    def number(w: str) -> int:
+        if w not in met:
+            met[w] = next((ids[f] for f in features(w) if f in ids), 0)
+        return met[w]
+
+    for words, label in docs:
+        numbers = np.array([number(w) for w in words], dtype=np.int64)
         if not len(numbers):
             continue
         toxic = (numbers > 0) & (label == 1)
-        centres = np.concatenate([np.flatnonzero(numbers > 0)[:20], rng.integers(len(numbers), size=2)])
+        centres = np.concatenate([np.flatnonzero(numbers > 0)[:4], rng.integers(len(numbers), size=1)])
         wide = np.concatenate([np.full(REACH, -1), numbers, np.full(REACH, -1)])
         marks = np.concatenate([np.zeros(REACH, bool), toxic, np.zeros(REACH, bool)])
         for c in centres:
@@ -207,8 +251,16 @@ def _gradient(x: np.ndarray, y: np.ndarray, e: np.ndarray, steps: np.ndarray, st
     return ge / n, gt / n, gs / n
 
 
-def fitted(docs: list[tuple[str, int]], rounds: int = 120, ridge: float = 1e-4, seed: int = 5) -> Chain:
+def fitted(texts: list[tuple[str, int]], rounds: int = 60, ridge: float = 1e-4, seed: int = 5) -> Chain:
     """A chain from (text, 0 or 1)."""
+    known: dict[str, str] = {}
+    docs = []
+    for text, label in texts:
+        tokens = text.split()
+        for t in tokens:
+            if t not in known:
+                known[t] = word(t)
+        docs.append(([known[t] for t in tokens], label))
     lex = lexicon(docs)
     if not lex:
         return Chain()
@@ -225,25 +277,35 @@ def fitted(docs: list[tuple[str, int]], rounds: int = 120, ridge: float = 1e-4,
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
     e, t = theta[: len(e)], theta[len(e) : -1]
-    chain = Chain({w: float(e[i]) for w, i in ids.items()}, float(e[0]), ((t[0], t[1]), (t[2], t[3])), (0.0, float(theta[-1])))
+    chain = Chain({w: float(e[i]) for w, i in ids.items()}, float(e[0]), ((float(t[0]), float(t[1])), (float(t[2]), float(t[3]))), (0.0, float(theta[-1])))
     chain.slope, chain.offset = _calibrated(chain, docs)
     return chain
 
 
-def _calibrated(chain: Chain, docs: list[tuple[str, int]], ridge: float = 0.01) -> tuple[float, float]:
+def _calibrated(chain: Chain, docs: list[tuple[list[str], int]], ridge: float = 0.1) -> tuple[float, float]:
     """Slope and offset of the score over the largest marginal's log odds, by Newton's method."""
-    tagger = Tagger(chain)
-    x = np.array([math.log(s / (1 - s)) for s in (min(max(tagger.tagged(t)[0], 1e-9), 1 - 1e-9) for t, _ in docs)])
+    tagger, x = Tagger(chain), []
+    for words, _ in docs:
+        x.append(chain.log_odds(tagger.chances(words)[0]))
+    x = np.array(x)
     y = np.array([label for _, label in docs], float)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    a, b = 1.0, 0.0
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    weight = len(y) * np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    at = np.array([1.0, 0.0])
+
+    def loss(c: np.ndarray) -> float:
+        z = c[0] * x + c[1]
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge * ((c[0] - 1) ** 2 + c[1] ** 2) / 2)
+
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
         d, h = weight * (p - y), weight * p * (1 - p)
-        g = np.array([(d * x).sum() + ridge * (a - 1), d.sum() + ridge * b])
+        g = np.array([(d * x).sum() + ridge * (at[0] - 1), d.sum() + ridge * at[1]])
         hess = np.array([[(h * x * x).sum() + ridge, (h * x).sum()], [(h * x).sum(), h.sum() + ridge]])
-        a, b = (a, b) - np.linalg.solve(hess, g)
-    return float(max(a, 1e-3)), float(b)
+        step, size = np.linalg.solve(hess, g), 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+    return float(max(at[0], 1e-3)), float(at[1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Chain:
