@@ -6,13 +6,13 @@ itself or its beginning) that documents labelled toxic hold far more often than
 tokens are not. On windows of those tokens a two-state chain (clean, toxic) is fitted by its exact gradient, from
 forward and backward sums. It has a weight for each feature of the lexicon so found, one for all other words,
 transitions and starts. A document's score is a
-logistic function of the log odds of its largest toxic marginal; spans are runs of tokens with a marginal of one
-half or more.
+logistic function of its largest toxic marginal's log odds and of the expected number and share of toxic tokens;
+spans are runs of tokens with a marginal of one half or more.
 
 All words outside the lexicon share one weight, so in a text without any lexicon word the marginals depend on the
 number of tokens alone, and beyond STEADY tokens not even on that.
 
-Nulls: a null or empty text has no tokens, and the score of the smallest log odds. Without labels of both kinds
+Nulls: a null or empty text has no tokens, and the score of a text of clean tokens. Without labels of both kinds
 the model has no lexicon and no text is toxic. Repeated rows get equal scores; extra columns are kept by score().
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,14 +36,14 @@ from .labelled import sample
 #: Documents of each class that the fit looks at, at most.
 SAMPLE = 1000
 #: A lexicon word is in toxic documents at least so many times as often as in others, and in so many of them.
-LIFT, SUPPORT = 8.0, 5
+LIFT, SUPPORT = 8.0, 4
 LEXICON = 5000
 #: Tokens on either side of a token in a training window.
 REACH = 12
 #: Beyond so many tokens a chain of equal emissions has reached its fixed points in double precision.
 STEADY = 400
 #: Lengths of the beginnings of words that are features beside the words themselves.
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6, 7)
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 CACHE = 400_000
 TOKEN = re.compile(r"\S+")
@@ -65,8 +66,7 @@ class Chain:
     other: float = 0.0
     steps: tuple[tuple[float, float], tuple[float, float]] = ((0.0, -4.0), (0.0, 0.0))
     starts: tuple[float, float] = (0.0, -4.0)
-    slope: float = 1.0
-    offset: float = 0.0
+    mix: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)
 
     def weight(self, w: str) -> float | None:
         """The weight of a word by its narrowest feature in the lexicon; None if it has none."""
@@ -93,11 +93,19 @@ class Chain:
         return out
 
     @staticmethod
-    def log_odds(p: float | None) -> float:
-        return -12.0 if p is None else max(-12.0, min(12.0, math.log(max(p, 1e-12)) - math.log(max(1 - p, 1e-12))))
+    def summary(marginals: list[float], more: int = 0) -> tuple[float, float, float]:
+        """Log odds of the largest marginal, log expected toxic tokens, log expected share of them. more: so many
+        further tokens have the marginal in the middle."""
+        if not marginals:
+            return -12.0, math.log(1e-3), math.log(1e-4)
+        p, n = max(marginals), len(marginals) + more
+        total = sum(marginals) + more * marginals[len(marginals) // 2]
+        odds = math.log(max(p, 1e-12)) - math.log(max(1 - p, 1e-12))
+        return max(-12.0, min(12.0, odds)), math.log(total + 1e-3), math.log(total / n + 1e-4)
 
-    def score(self, largest: float | None) -> float:
-        return 1 / (1 + math.exp(-(self.slope * self.log_odds(largest) + self.offset)))
+    def score(self, summary: tuple[float, float, float]) -> float:
+        z = self.mix[-1] + sum(a * x for a, x in zip(self.mix, summary))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
 class Tagger:
@@ -105,24 +113,27 @@ class Tagger:
 
     def __init__(self, chain: Chain):
         self.chain, self.seen = chain, {}
-        self.plain: dict[int, float | None] = {0: None}
+        self.plain: dict[int, tuple[float, float, float]] = {}
 
-    def _largest_plain(self, n: int) -> float | None:
-        n = min(n, STEADY)
+    def _plain(self, n: int) -> tuple[float, float, float]:
+        """The summary of n tokens outside the lexicon."""
         if n not in self.plain:
-            self.plain[n] = max(self.chain.marginals([self.chain.other] * n))
+            if len(self.plain) > CACHE:
+                self.plain.clear()
+            m = min(n, STEADY)
+            self.plain[n] = self.chain.summary(self.chain.marginals([self.chain.other] * m), n - m)
         return self.plain[n]
 
     def tagged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and start, end (code points) and largest marginal of its toxic spans."""
         tokens = text.split() if text else []
-        largest, marginals = self.chances(tokens)
-        if marginals is None and largest is not None and largest >= 0.5:
+        summary, marginals = self.chances(tokens)
+        if marginals is None and summary[0] >= 0:
             marginals = self.chain.marginals([self.chain.other] * len(tokens))
-        return self.chain.score(largest), self._spans(text, marginals) if marginals else []
+        return self.chain.score(summary), self._spans(text, marginals) if marginals else []
 
-    def chances(self, tokens: list[str]) -> tuple[float | None, list[float] | None]:
-        """The largest toxic marginal, and all of them if a token is in the lexicon."""
+    def chances(self, tokens: list[str]) -> tuple[tuple[float, float, float], list[float] | None]:
+        """The summary of the marginals, and the marginals if a token is in the lexicon."""
         seen, other = self.seen, self.chain.other
         if len(seen) > CACHE:
             seen.clear()
@@ -131,9 +142,9 @@ class Tagger:
                 seen[t] = self.chain.weight(word(t))
         weights = [seen[t] for t in tokens]
         if weights.count(None) == len(weights):
-            return self._largest_plain(len(tokens)), None
+            return self._plain(len(tokens)), None
         marginals = self.chain.marginals([other if w is None else w for w in weights])
-        return max(marginals), marginals
+        return self.chain.summary(marginals), marginals
 
     @staticmethod
     def _spans(text: str, marginals: list[float]) -> list[tuple[int, int, float]]:
@@ -150,6 +161,20 @@ class Tagger:
         return spans
 
 
+def distinct(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+    """docs without those that share one of three smallest hashes of their word triples with an earlier one of
+    their label: near copies, whose words would pass for words that many documents have."""
+    kept, met = [], set()
+    for words, label in docs:
+        triples = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
+        hashes = np.array([zlib.crc32(t) for t in triples], dtype=np.uint64)
+        marks = {(label, k, int(((hashes * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 2654435761, 2246822519))}
+        if not marks & met:
+            kept.append((words, label))
+        met |= marks
+    return kept
+
+
 def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
     """Features that toxic documents hold LIFT times as often as others, with the log of that lift.
 
@@ -178,7 +203,7 @@ def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
     while left and len(cover) < LEXICON:
         gain = Counter(w for own in left for w in own)
         best = max(gain, key=lambda w: (gain[w] * lift[w], not w.endswith("*"), w))
-        if gain[best] < max(SUPPORT, 0.03 * n[1]) and cover:
+        if gain[best] < max(SUPPORT, 0.015 * n[1]) and cover:
             break
         cover.append(best)
         left = [own for own in left if best not in own]
@@ -261,6 +286,7 @@ def fitted(texts: list[tuple[str, int]], rounds: int = 60, ridge: float = 1e-4,
             if t not in known:
                 known[t] = word(t)
         docs.append(([known[t] for t in tokens], label))
+    docs = distinct(docs)
     lex = lexicon(docs)
     if not lex:
         return Chain()
@@ -278,34 +304,31 @@ def fitted(texts: list[tuple[str, int]], rounds: int = 60, ridge: float = 1e-4,
         theta = theta - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
     e, t = theta[: len(e)], theta[len(e) : -1]
     chain = Chain({w: float(e[i]) for w, i in ids.items()}, float(e[0]), ((float(t[0]), float(t[1])), (float(t[2]), float(t[3]))), (0.0, float(theta[-1])))
-    chain.slope, chain.offset = _calibrated(chain, docs)
+    chain.mix = _calibrated(chain, docs)
     return chain
 
 
-def _calibrated(chain: Chain, docs: list[tuple[list[str], int]], ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and offset of the score over the largest marginal's log odds, by Newton's method."""
-    tagger, x = Tagger(chain), []
-    for words, _ in docs:
-        x.append(chain.log_odds(tagger.chances(words)[0]))
-    x = np.array(x)
+def _calibrated(chain: Chain, docs: list[tuple[list[str], int]], ridge: float = 0.1) -> tuple[float, ...]:
+    """Weights of the summary and an offset, by Newton's method with halved steps; classes weigh the same."""
+    tagger = Tagger(chain)
+    x = np.array([(*tagger.chances(words)[0], 1.0) for words, _ in docs])
     y = np.array([label for _, label in docs], float)
     weight = len(y) * np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    at = np.array([1.0, 0.0])
+    at = np.array([1.0, 0.0, 0.0, 0.0])
 
     def loss(c: np.ndarray) -> float:
-        z = c[0] * x + c[1]
-        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge * ((c[0] - 1) ** 2 + c[1] ** 2) / 2)
+        z = x @ c
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge * (c @ c) / 2)
 
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
-        d, h = weight * (p - y), weight * p * (1 - p)
-        g = np.array([(d * x).sum() + ridge * (at[0] - 1), d.sum() + ridge * at[1]])
-        hess = np.array([[(h * x * x).sum() + ridge, (h * x).sum()], [(h * x).sum(), h.sum() + ridge]])
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        g = x.T @ (weight * (p - y)) + ridge * at
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(at))
         step, size = np.linalg.solve(hess, g), 1.0
         while size > 1e-6 and loss(at - size * step) > loss(at):
             size /= 2
         at = at - size * step
-    return float(max(at[0], 1e-3)), float(at[1])
+    return tuple(float(c) for c in at)
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Chain:
