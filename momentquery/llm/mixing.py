@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCKS = 1024
 #: Steps of the bisection; the exponent is then exact to 2^-STEPS.
 STEPS = 60
@@ -102,37 +104,45 @@ def realised(documents: DataFrame, mix: list[Share], source: str = "source", tok
     """
     spark = documents.sparkSession
     names = documents.columns
+    whole = {s.source: math.floor(s.epochs + 1e-9) for s in mix}
     plan = spark.createDataFrame(
-        [(s.source, math.floor(s.epochs + 1e-9), float(s.budget - math.floor(s.epochs + 1e-9) * s.tokens) if s.tokens else 0.0) for s in mix],
+        [(s.source, whole[s.source], max(0.0, s.budget - whole[s.source] * s.tokens) if s.tokens else 0.0) for s in mix],
         "_source string, _whole long, _rest double",
     )
-    known = documents.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("_source")))  # one row a source
-    part = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col(key), F.lit("block"))
-    order = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col(key), F.lit("place"))
-    block_order = F.xxhash64(F.lit(seed), F.col("_source"), F.col("_epoch"), F.col("_part"), F.lit("order"))
-    placed = (
-        known.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole"))))
-        .filter((F.col("_epoch") < F.col("_whole")) | ((F.col("_rest") > 0) & (F.col(tokens) > 0)))
-        .withColumn("_part", F.pmod(part, F.lit(blocks)).cast("int"))
-    )
-    # The last epoch: sizes of blocks, in their order, tell which block the budget ends in.
-    last = F.col("_epoch") == F.col("_whole")
-    sizes = placed.filter(last).groupBy("_source", "_epoch", "_part", "_rest").agg(F.sum(tokens).alias("_size"))
-    running = W.partitionBy("_source", "_epoch").orderBy(block_order, "_part")
-    ends = sizes.select(F.col("_source").alias("_s"), F.col("_epoch").alias("_e"), F.col("_part").alias("_p"), (F.sum("_size").over(running) - F.col("_size")).alias("_before"), "_size")
-    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_epoch") == F.col("_e")) & (F.col("_part") == F.col("_p"))
-    joined = placed.join(F.broadcast(ends), same, "left")  # sources x blocks rows
-    whole = F.col("_before").isNull() | (F.col("_before") + F.col("_size") <= F.col("_rest"))
-    cut = ~whole & (F.col("_before") < F.col("_rest"))
-    within = W.partitionBy("_source", "_epoch", "_part").orderBy("_order", key).rowsBetween(W.unboundedPreceding, -1)
-    ordered = joined.withColumn("_order", order)
-    kept = ordered.filter(whole)
-    partial = (
-        ordered.filter(cut)
-        .withColumn("_sofar", F.col("_before") + F.coalesce(F.sum(tokens).over(within), F.lit(0)))
-        .filter(F.col("_sofar") + F.col(tokens) <= F.col("_rest"))
-        .drop("_sofar")
+    epoch, n = F.col("_epoch"), F.col(tokens)
+    part = F.pmod(F.xxhash64(F.lit(seed), epoch, F.col(key), F.lit("block")), F.lit(blocks)).cast("int")
+    place = F.xxhash64(F.lit(seed), epoch, F.col(key), F.lit("place"))
+    block = F.xxhash64(F.lit(seed), F.col("_source"), epoch, F.col("_part"), F.lit("order"))
+
+    def by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+        """Joins one row a source."""
+        return rows.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("_source")))
+
+    # Where the last epoch ends: the block by the sizes of all blocks, then the document by the sizes in that block.
+    narrow = by_source(documents.select(key, source, tokens), plan.filter("_rest > 0")).withColumn("_epoch", F.col("_whole"))
+    narrow = written(narrow.filter(n > 0).withColumn("_part", part).withColumn("_block", block).withColumn("_place", place), "mixing")
+    blocks_of = narrow.groupBy("_source", "_rest", "_block", "_part").agg(F.sum(n).alias("_size"))
+    running = W.partitionBy("_source").orderBy("_block", "_part")
+    ends = (
+        blocks_of.withColumn("_upto", F.sum("_size").over(running))
+        .filter((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_size") <= F.col("_rest")))
+        .select(F.col("_source").alias("_of"), F.col("_block").alias("_cut"), F.col("_part").alias("_cut_part"), (F.col("_upto") - F.col("_size")).alias("_before"))
     )
-    return kept.unionByName(partial).select(
-        *[F.col(f"`{c}`") for c in names], F.col("_epoch").alias("epoch"), block_order.alias("block"), F.col("_order").alias("place")
+    inside = narrow.join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_cut_part")))
+    fits = F.col("_before") + F.sum(n).over(W.partitionBy("_of").orderBy("_place", key)) <= F.col("_rest")
+    last = inside.withColumn("_fits", fits).filter("_fits").groupBy("_of").agg(F.max(F.struct(F.col("_place"), F.col(key).alias("_key"))).alias("_last"))
+    stops = ends.join(last.withColumnRenamed("_of", "_of2"), F.col("_of").eqNullSafe(F.col("_of2")), "left").drop("_of2")
+    full = plan.join(F.broadcast(stops), F.col("_source").eqNullSafe(F.col("_of")), "left")
+
+    taken = (
+        by_source(documents, full)
+        .withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole"))))
+        .withColumn("_part", part)
+        .withColumn("_block", block)
+        .withColumn("_place", place)
     )
+    at, stop = F.struct("_block", "_part"), F.struct(F.col("_cut").alias("_block"), F.col("_cut_part").alias("_part"))
+    doc = F.struct(F.col("_place"), F.col(key).alias("_key"))
+    before_stop = F.when(F.col("_cut").isNull(), F.lit(True)).otherwise((at < stop) | ((at == stop) & F.coalesce(doc <= F.col("_last"), F.lit(False))))
+    taken = taken.filter((epoch < F.col("_whole")) | ((F.col("_rest") > 0) & (n > 0) & before_stop))
+    return taken.select(*[F.col(f"`{c}`") for c in names], epoch.alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))
