@@ -12,8 +12,21 @@ from ..session import ship
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Texts go to Python in batches of so many bytes; Spark's own bound is sixteen times as large, and both sides hold
+#: several batches at once.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes in a session that has not set a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("64mb", "67108864b", "67108864"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,8 @@ of bounded length, gathered from what single tasks see often; any order gives th
 passages that many documents share out of the prefixes. Two sets can only link if they share a shingle in their
 first |A| - ceil(t |A|) + 1 ones. Classes with the same prefix and size are one group, and groups meet on shared
 prefix shingles; pairs of groups are filtered by size and by the places of the shingle, then expanded to their
-members, whose whole sets are compared.
+members. Members' marks, MARKS bits with the parity of a set's hashes, bound their difference from below and leave
+out what cannot link; of the rest, whole sets are compared.
 
 Families of near copies never become all their pairs: pairs are first taken between a group's or a shingle's first
 class and the others (as many as there are rows), and what remains are pairs whose classes are not yet in one
@@ -39,6 +40,7 @@ FREQUENT = 200_000
 #: A task reports a shingle that so many of its documents have.
 SEEN_IN_TASK = 4
 CACHE = 1_000_000
+MARKS = 1024
 #: Buckets of ids that tell which documents' sets are needed; those that share one by chance are sorted out later.
 BUCKETS = 1 << 20
 #: Rounds of pairs with a first class, before the remaining pairs are listed.
@@ -63,14 +65,15 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > CACHE:
         _words.clear()
-    get = _words.get
-    ids = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        ids.append(h)
-    a = np.array(ids, np.uint64)
+    try:
+        a = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    except KeyError:
+        for w in words:
+            if w not in _words:
+                h = xxhash.xxh3_64_intdigest(w)
+                _words[w] = h - (1 << 64) if h >> 63 else h
+        a = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    a = a.view(np.uint64)
     k = min(width, len(a))
     h = np.full(len(a) - k + 1, k, np.uint64)
     for j in range(k):
@@ -123,33 +126,44 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def marks(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's hashes in MARKS bits, as signed 64-bit numbers."""
+    odd = (np.bincount((s & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
 def shingled(documents: DataFrame, last: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, digest of the prefix, prefix (in the global order)."""
+    """doc_id, n, digest of the set, digest of the prefix, marks, prefix (in the global order)."""
     shared = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(shared.value, kind="stable")
         known = shared.value[order]
         for batch in batches:
-            n, digest, prefix_digest, prefixes = [], [], [], []
+            n, digest, prefix_digest, bits, prefixes = [], [], [], [], []
             for s in _sets(batch, width):
-                place = np.zeros(len(s), np.int64)
+                p = s[: prefix_length(len(s), percent)] if len(s) else s
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    place = np.where(known[at] == s, order[at] + 1, 0)
-                p = s[np.lexsort((s, place))[: prefix_length(len(s), percent)]] if len(s) else s
+                    often = known[at] == s
+                    if often.any():
+                        p = s[np.argsort(np.where(often, order[at] + 1, 0), kind="stable")[: len(p)]]
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 prefix_digest.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
-                prefixes.append(p.view(np.int64))
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+                bits.append(marks(s))
+                prefixes.append(p)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n", "digest", "prefix_digest", "prefix"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.int64()), _lists(bits), _lists(prefixes)],
+                ["doc_id", "n", "digest", "prefix_digest", "marks", "prefix"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix_digest long, prefix array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix_digest long, marks array<long>, prefix array<long>")
 
 
 def _may_link(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -163,25 +177,26 @@ def _may_overlap(n_a: Column, i: Column, n_b: Column, j: Column, percent: int) -
 
 
 def _needed_sets(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles for the nodes. Texts stay where they are read; a bitmap of BUCKETS bits says which are needed."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    found = nodes.select(bucket("node").alias("b")).distinct().toArrow()["b"].to_numpy()
-    bits = np.zeros(BUCKETS, bool)
-    bits[found] = True
-    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    """node, shingles for the nodes. Other texts stay where they are read: a broadcast list of at most BUCKETS
+    buckets says which may be needed, and the join with the nodes is exact."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    wanted = nodes.select(bucket("node").alias("bucket")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column("bucket").to_numpy()]))
-            sets = _sets(batch, width)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(_sets(batch, width))], ["node", "shingles"])
 
     rows = documents.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text", bucket("doc_id").alias("bucket"))
-    sets = rows.mapInArrow(run, "node long, shingles array<long>")
-    return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    rows = rows.join(F.broadcast(wanted), "bucket", "left_semi").select("node", "text")
+    return rows.mapInArrow(run, "node long, shingles array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _within_marks(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose marks differ in no more places than sets that link can."""
+    one = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,65 +209,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
+def _star_pairs(at: DataFrame, skip: int) -> DataFrame:
+    """Each key's first class, of its first component after `skip` ones, with the key's classes of later components."""
+    if skip:
+        at = at.withColumn("_k", F.dense_rank().over(W.partitionBy("key").orderBy("component"))).filter(F.col("_k") > skip)
+    whole = W.partitionBy("key").orderBy("component", "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    hub = F.first(F.struct("node", "n", "place", "component")).over(whole)
+    return at.withColumn("hub", hub).select(
+        F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.place").alias("i"), F.col("hub.component").alias("ca"),
+        F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("component").alias("cb"),
+    )
+
+
+def _all_pairs(at: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that meet at a key and may link."""
+    left = at.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"), F.col("component").alias("ca"))
+    right = at.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("component").alias("cb"))
+    na, nb = F.col("na"), F.col("nb")
+    fit = (F.col("ca") < F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent)
+    return left.join(right, (left["key"] == right["key"]) & fit)
+
+
 def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents by class, components of classes).
 
-    The first: doc_id, n, digest, node (smallest id of the class; null for empty sets and null ids). The second:
-    node, component; a class that links with no other is not in it.
+    The first: doc_id, n, node (smallest id of the class; null for empty sets and null ids). The second: node,
+    component; a class that links with no other is not in it.
     """
     documents = documents.select("doc_id", "text")
     rows = written(shingled(documents, frequent(documents, width), width, percent), "shingled")
     some = rows.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("prefix").alias("prefix"))
-    classes = written(classes, "classes")
+    classes = written(
+        some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("marks").alias("marks")),
+        "classes",
+    )
     by_group = W.partitionBy("n", "prefix_digest")
-    members = classes.select("node", "n", F.min("node").over(by_group).alias("group"), F.count("*").over(by_group).alias("_size"))
-    members = written(members.filter("_size > 1").drop("_size"), "members")  # of groups with several; others are their own
+    grouped = classes.select("node", "digest", "n", F.min("node").over(by_group).alias("group"), F.count("*").over(by_group).alias("size"))
+    grouped = written(grouped, "groups")
+    members = grouped.filter("size > 1").select("node", "n", "group")
 
-    groups = classes.groupBy("n", "prefix_digest").agg(F.min("node").alias("group"), F.first("prefix").alias("prefix"))
-    postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "token"))
+    leads = grouped.filter("node = group").select(F.col("node").alias("group"), F.col("digest").alias("_digest"))
+    prefixes = some.select("doc_id", "digest", "n", "prefix").join(leads, (F.col("doc_id") == F.col("group")) & (F.col("digest") == F.col("_digest")))
+    postings = prefixes.dropDuplicates(["group"]).select("group", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
     postings = written(postings.withColumn("_df", F.count("*").over(W.partitionBy("token"))).filter("_df > 1").drop("_df"), "postings")
 
     # Places where classes meet: a shared token at some place, or a shared group, in which all places are shared.
-    expanded = (
+    meets = written(
         postings.join(members.select("group", F.col("node").alias("_member")), "group", "left")
         .select(F.coalesce("_member", "group").alias("node"), "n", "place", F.concat_ws(":", F.lit("t"), "token").alias("key"))
-        .unionByName(members.select("node", "n", F.lit(0).alias("place"), F.concat_ws(":", F.lit("g"), "group").alias("key")))
+        .unionByName(members.select("node", F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), F.concat_ws(":", F.lit("g"), "group").alias("key"))),
+        "meets",
     )
-    meets = written(expanded, "meets")
-    sets = written(_needed_sets(documents, meets.select("node").distinct(), width), "sets")
-
-    found = None
-    component = meets.select("node").distinct().withColumn("component", F.col("node"))
+    found: DataFrame | None = None
+    component: DataFrame | None = None
     for step in range(STARS + 1):
-        at = meets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if step < STARS:
-            # Each key's first class of its step-th component meets the classes of other components.
-            first = W.partitionBy("key").orderBy("component", "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            if step:
-                ranked = at.withColumn("_k", F.dense_rank().over(W.partitionBy("key").orderBy("component"))).filter(f"_k > {step}")
-            else:
-                ranked = at
-            hub = F.first(F.struct("node", "n", "place", "component")).over(first)
-            pairs = ranked.withColumn("hub", hub).select(
-                F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.place").alias("i"), F.col("hub.component").alias("ca"),
-                F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("component").alias("cb"),
-            )
-            pairs = pairs.filter("ca <> cb")
-        else:
-            left = at.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"), F.col("component").alias("ca"))
-            right = at.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("component").alias("cb"))
-            pairs = left.join(
-                right,
-                (left["key"] == right["key"]) & (F.col("ca") < F.col("cb")) & _may_link(F.col("na"), F.col("nb"), percent)
-                & _may_overlap(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), percent),
-            )
-        pairs = pairs.filter(_may_link(F.col("na"), F.col("nb"), percent) & _may_overlap(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), percent))
+        at = meets.withColumn("component", F.col("node"))
+        if component is not None:
+            at = meets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = _star_pairs(at, step) if step < STARS else _all_pairs(at, percent)
+        na, nb = F.col("na"), F.col("nb")
+        pairs = pairs.filter((F.col("ca") != F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(_verified(pairs, sets, percent), "links")
+        pairs = written(_within_marks(pairs, classes, percent), "pairs")
+        if found is not None and pairs.isEmpty():
+            continue
+        sets = _needed_sets(documents, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), width)
+        new = written(_verified(pairs, written(sets, "sets"), percent), "links")
         found = new if found is None else found.unionByName(new)
         component = connected(found)
-    by_class = rows.select("doc_id", "n", "digest").join(classes.select("digest", "node"), "digest", "left")
+    by_class = rows.select("doc_id", "n", "digest").join(classes.select("digest", "node"), "digest", "left").drop("digest")
     return by_class, component
 
 
