@@ -1,11 +1,78 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: documents through five operators, each over all that the one before kept.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes and reads again as the next
+one's docs. All but the last return the columns of docs. Models are fitted on labelled rows of sf_dir's own tables,
+so that a stage's decisions don't depend on what came before. Stages keep rows with null or empty texts unless
+their own rule rejects them; repeated rows are kept or dropped alike; columns that an operator adds never clash with
+those of docs, as each operator's own result is projected to them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from momentquery.llm import jaccard, mixing, quality, sentencepieces, toxicity
+from momentquery.llm.common import table, written
+from momentquery.llm.queries_quality import GRADE, N_GRADES
+from momentquery.llm.queries_sentencepieces import model_path
+
+#: Near-duplicate stage: words in a shingle, and the least similarity in hundredths.
+WIDTH, PERCENT = 5, 80
+#: Mixing stage: the most epochs of a source, where the least repeated one is seen once. No document is left out.
+REPEATS = 1.25
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxic score is below one half."""
+    chain = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).filter("toxic_score < 0.5").select(_columns(docs))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are sound (grade 1 or better) more likely than not."""
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), GRADE, N_GRADES)
+    return quality.graded(docs, model, N_GRADES).filter(F.element_at("tails", 1) >= 0.5).select(_columns(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates, and all rows without an id."""
+    others = written(jaccard.components(docs, WIDTH, PERCENT).filter("doc_id <> component_id").select("doc_id").distinct(), "others")
+    return docs.join(others, "doc_id", "left_anti").select(_columns(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them: all once, and those of small sources again up to the limit."""
+    counted = docs.withColumn("_n_tokens", mixing.n_tokens(F.col("text")))
+    tokens = mixing.source_tokens(counted, tokens="_n_tokens")
+    return mixing.realised(counted, mixing.shares(tokens, limit=REPEATS), tokens="_n_tokens").select(_columns(docs))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, piece ids and their number; every text decodes to itself."""
+    out = sentencepieces.encoded(docs, sentencepieces.load(model_path()))
+    return out.select("doc_id", "source", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces", "exact")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near duplicates", one_of_each),
+    ("mixing", mixed),
+    ("sentencepieces", encoded),
+]
+#: Fitted models and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name.replace(' ', '-')}")
     return docs
