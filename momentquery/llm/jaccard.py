@@ -9,7 +9,7 @@ of bounded length, gathered from what single tasks see often; any order gives th
 passages that many documents share out of the prefixes. Two sets can only link if they share a shingle in their
 first |A| - ceil(t |A|) + 1 ones. Classes with the same prefix and size are one group, and groups meet on shared
 prefix shingles; pairs of groups are filtered by size and by the places of the shingle, then expanded to their
-members. Members' marks, MARKS bits with the parity of a set's hashes, bound their difference from below and leave
+members. Members' marks, bits with the parity of a set's hashes, bound their difference from below and leave
 out what cannot link; of the rest, whole sets are compared.
 
 Families of near copies never become all their pairs: pairs are first taken between a group's or a shingle's first
@@ -24,6 +24,7 @@ are one document. An empty table gives no rows. Extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import words
 from .common import written
 from .components import connected
 
@@ -39,50 +42,50 @@ from .components import connected
 FREQUENT = 200_000
 #: A task reports a shingle that so many of its documents have.
 SEEN_IN_TASK = 4
-CACHE = 1_000_000
-MARKS = 1024
+#: Bytes of text that are hashed at once.
+SPAN = 1 << 19
+#: Bits of the coarse marks, and most bits of the fine ones, which a set has as many of as shingles or more.
+MARKS, FINE = 1024, 1 << 17
 #: Buckets of ids that tell which documents' sets are needed; those that share one by chance are sorted out later.
 BUCKETS = 1 << 20
+#: Classes that may meet at a key with nothing but the filters by size and place.
+HOT = 16
 #: Rounds of pairs with a first class, before the remaining pairs are listed.
 STARS = 2
 
-_M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes; the number of words is part of a hash, so shorter sequences differ from all others."""
-    import xxhash
-
-    words = text.lower().split() if text else []  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > CACHE:
-        _words.clear()
-    try:
-        a = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in _words:
-                h = xxhash.xxh3_64_intdigest(w)
-                _words[w] = h - (1 << 64) if h >> 63 else h
-        a = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    a = a.view(np.uint64)
-    k = min(width, len(a))
-    h = np.full(len(a) - k + 1, k, np.uint64)
-    for j in range(k):
-        h = _mixed(h * _ODD + a[j : j + len(h)])
-    return np.unique(h)
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _span_sets(x: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Shingle sets of the texts x[at[i]:at[i + 1]]."""
+    _, _, a, first = words.found(x, at)
+    whole = np.full(max(0, len(a) - width + 1), width, np.uint64)
+    for j in range(width):
+        whole = words.mixed(whole * words.ODD + a[j : j + len(whole)])
+    sets = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        if hi - lo >= width:
+            sets.append(_distinct(whole[lo : hi - width + 1]))
+        elif hi > lo:
+            h = np.full(1, hi - lo, np.uint64)
+            for j in range(lo, hi):
+                h = words.mixed(h * words.ODD + a[j])
+            sets.append(h)
+        else:
+            sets.append(np.zeros(0, np.uint64))
+    return sets
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; the number of words is part of a hash, so shorter sequences
+    differ from all others."""
+    return [s for _, x, at in words.spans(texts, SPAN) for s in _span_sets(x, at, width)]
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
-    return [shingles(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    return shingle_sets(batch.column("text"), width)
 
 
 def frequent(documents: DataFrame, width: int) -> np.ndarray:
@@ -126,10 +129,26 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def marks(s: np.ndarray) -> np.ndarray:
-    """The parity of a set's hashes in MARKS bits, as signed 64-bit numbers."""
-    odd = (np.bincount((s & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+def marks(s: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of a set's hashes in so many bits, packed. Halves folded by exclusive or are those of half the bits."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 8)[:, ::-1]).reshape(-1)
+
+
+def fine_bits(n: int) -> int:
+    return min(FINE, max(MARKS, 1 << max(0, n - 1).bit_length()))
+
+
+@F.arrow_udf(T.LongType())
+def _fine_difference(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many bits of two sets' fine marks differ, at the width of the narrower ones."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+        n = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
+        out.append(int(np.bitwise_count(x ^ y).sum()))
+    return pa.array(out, pa.int64())
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -138,14 +157,15 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingled(documents: DataFrame, last: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, digest of the prefix, marks, prefix (in the global order)."""
+    """doc_id, n, digest of the set, digest of the prefix, coarse marks, fine marks (null where the coarse ones are as
+    wide), prefix (in the global order)."""
     shared = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(shared.value, kind="stable")
         known = shared.value[order]
         for batch in batches:
-            n, digest, prefix_digest, bits, prefixes = [], [], [], [], []
+            n, digest, prefix_digest, coarse, fine, prefixes = [], [], [], [], [], []
             for s in _sets(batch, width):
                 p = s[: prefix_length(len(s), percent)] if len(s) else s
                 if len(known) and len(s):
@@ -156,14 +176,15 @@ def shingled(documents: DataFrame, last: np.ndarray, width: int, percent: int) -
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 prefix_digest.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
-                bits.append(marks(s))
+                coarse.append(marks(s, MARKS).view(np.int64))
+                fine.append(marks(s, fine_bits(len(s))).tobytes() if len(s) > MARKS else None)
                 prefixes.append(p)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.int64()), _lists(bits), _lists(prefixes)],
-                ["doc_id", "n", "digest", "prefix_digest", "marks", "prefix"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.int64()), _lists(coarse), pa.array(fine, pa.binary()), _lists(prefixes)],
+                ["doc_id", "n", "digest", "prefix_digest", "marks", "fine", "prefix"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix_digest long, marks array<long>, prefix array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix_digest long, marks array<long>, fine binary, prefix array<long>")
 
 
 def _may_link(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -192,11 +213,20 @@ def _needed_sets(documents: DataFrame, nodes: DataFrame, width: int) -> DataFram
 
 
 def _within_marks(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose marks differ in no more places than sets that link can."""
-    one = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
+    """Those of pairs(a, b) whose marks differ in no more places than sets that link can: coarse ones first."""
+    one = lambda x, c: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col(c).alias(f"m{x}"))
+    few = lambda d: (100 + percent) * d <= (100 - percent) * (F.col("na") + F.col("nb"))
     differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    coarse = pairs.join(one("a", "marks"), "a").join(one("b", "marks"), "b").filter(few(differ)).select("a", "b", "na", "nb")
+    wide = (F.col("na") > MARKS) & (F.col("nb") > MARKS)
+    fine = classes.filter(F.col("fine").isNotNull()).select("node", "fine")
+    both = (
+        coarse.filter(wide)
+        .join(fine.select(F.col("node").alias("a"), F.col("fine").alias("fa")), "a")
+        .join(fine.select(F.col("node").alias("b"), F.col("fine").alias("fb")), "b")
+        .filter(few(_fine_difference("fa", "fb")))
+    )
+    return coarse.filter(~wide).select("a", "b").unionByName(both.select("a", "b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,13 +251,33 @@ def _star_pairs(at: DataFrame, skip: int) -> DataFrame:
     )
 
 
-def _all_pairs(at: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet at a key and may link."""
-    left = at.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"), F.col("component").alias("ca"))
-    right = at.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("component").alias("cb"))
+def _all_pairs(at: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that meet at a key and may link.
+
+    A key with more than HOT classes would make the square of them: there the coarse marks are part of the join's
+    condition, and classes only meet those of their own size band or the next ones."""
     na, nb = F.col("na"), F.col("nb")
     fit = (F.col("ca") < F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent)
-    return left.join(right, (left["key"] == right["key"]) & fit)
+
+    def side(rows: DataFrame, x: str, place: str, *more) -> DataFrame:
+        return rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(place), F.col("component").alias(f"c{x}"), *more)
+
+    counted = at.withColumn("_df", F.count("*").over(W.partitionBy("key")))
+    few = counted.filter(F.col("_df") <= HOT)
+    cold = side(few, "a", "i").join(side(few, "b", "j").withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fit)
+
+    words = MARKS // 64
+    marked = classes.select(F.col("node").alias("_node"), *[F.element_at("marks", k + 1).alias(f"m{k}") for k in range(words)])
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent)))
+    hot = counted.filter(F.col("_df") > HOT).join(marked, F.col("node") == F.col("_node")).withColumn("band", band)
+    names = [f"m{k}" for k in range(words)]
+    left = side(hot, "a", "i", *names, F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = side(hot, "b", "j", *[F.col(m).alias(f"_{m}") for m in names], F.col("band").alias("_band")).withColumnRenamed("key", "_key")
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in names), F.lit(0))
+    close = (100 + percent) * differ <= (100 - percent) * (na + nb)
+    warm = left.join(right, (F.col("key") == F.col("_key")) & (F.col("band") == F.col("_band")) & fit & close)
+    columns = ["a", "na", "i", "ca", "b", "nb", "j", "cb"]
+    return cold.select(columns).unionByName(warm.select(columns))
 
 
 def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +290,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
     rows = written(shingled(documents, frequent(documents, width), width, percent), "shingled")
     some = rows.filter("n > 0 and doc_id is not null")
     classes = written(
-        some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("marks").alias("marks")),
+        some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("marks").alias("marks"), F.first("fine").alias("fine")),
         "classes",
     )
     by_group = W.partitionBy("n", "prefix_digest")
@@ -266,7 +316,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
         at = meets.withColumn("component", F.col("node"))
         if component is not None:
             at = meets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _star_pairs(at, step) if step < STARS else _all_pairs(at, percent)
+        pairs = _star_pairs(at, step) if step < STARS else _all_pairs(at, classes, percent)
         na, nb = F.col("na"), F.col("nb")
         pairs = pairs.filter((F.col("ca") != F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
