@@ -85,7 +85,7 @@ from (select c_custkey - c_custkey % 100 + (c_custkey * 37) % 100 as c_custkey,
 """
 
 
-def _statement(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def statement(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     names = ("conversations", "events", "orders", "customer", "part", "lineitem", "embeddings", "supplier", "nation")
     return spark.sql(sql.format(**{n: f"parquet.`{sf_dir}/{n}.parquet`" for n in names}))
@@ -107,20 +107,20 @@ DUCK_SPLIT = (
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statement(SEGMENTS, spark, sf_dir)
+    return statement(SEGMENTS, spark, sf_dir)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statement(WORDS.replace("{split_segments}", SPARK_SPLIT.replace("{segments}", SEGMENTS)), spark, sf_dir)
+    return statement(WORDS.replace("{split_segments}", SPARK_SPLIT.replace("{segments}", SEGMENTS)), spark, sf_dir)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statement(FRAMES, spark, sf_dir)
+    return statement(FRAMES, spark, sf_dir)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, job_id, clip_id, duration_seconds, score, posted, and arrays spike_categories and ratios."""
-    rows = _statement(HISTORY, spark, sf_dir)
+    rows = statement(HISTORY, spark, sf_dir)
     return rows.selectExpr(
         "ord", "job_id", "clip_id", "duration_seconds", "score", "posted",
         "filter(split(spikes, '[|]'), x -> x <> '') as spike_categories",
@@ -129,4 +129,4 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statement(CLIPS, spark, sf_dir)
+    return statement(CLIPS, spark, sf_dir)

@@ -1 +1 @@
-
+"""The engine's stateful behaviours as Structured Streaming."""
