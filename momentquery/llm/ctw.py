@@ -10,12 +10,13 @@ P_w = (P_e + product of the deeper nodes' P_w) / 2, P_w = P_e at full depth. A n
 nothing, so the mixture ends at the deepest visited one (one half if even the shallowest is new). The two
 probabilities of a decision sum to one, so those of all bytes and of all texts do.
 
-Layout: texts are dealt into chunks by hash of the id, and each chunk gathers its distinct words and its distinct
-(DEPTH + 1)-byte strings with their counts in training texts. These rows, never the texts' positions, meet the
-corpus: a shuffle by word sums word counts, one by string sums string counts, and every string gets the code length
-of its last byte. A second pass over the chunks looks the answers up. The tree is built and evaluated per bucket of
-contexts that agree in their last TOP bytes, by levels; what is above TOP is a table of its own, joined by level.
-Nothing is broadcast and no model has to fit anywhere; what is gathered grows with the number of distinct strings.
+Layout: texts are dealt into chunks, and each chunk gathers its distinct words and its distinct (DEPTH + 1)-byte
+strings with their counts in training texts. These lists, never the texts' positions, meet the corpus: by word they
+give the corpus' word counts, by string the corpus' string counts, and every string gets the code length of its
+last byte. Lists travel packed, a row for each chunk and bucket. Strings are bucketed by the last TOP bytes of
+their context, so a bucket holds whole subtrees, which are built and evaluated by levels as arrays; what is above
+TOP is a table, joined by level. In a second pass each chunk looks the answers up. Nothing is broadcast, no model
+has to fit anywhere, and what is gathered grows with the number of distinct strings and words.
 
 Nulls: a null text is empty, a null id is never held out. Repeated rows get equal results. An empty table gives no
 rows. Extra columns are not looked at.
@@ -29,41 +30,75 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .common import written
 
-DEPTH, TOP = 5, 3
-#: Bytes of text that a chunk has on average, and that are indexed at once.
-CHUNK, SPAN = 32 << 20, 4 << 20
-#: Strings that a bucket of contexts has on average.
-BUCKET = 250_000
-END = b"\n"
-
-
-def tokens(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
-def strings(texts: list[bytes], depth: int) -> np.ndarray:
-    """For each byte of each text, the number made of the depth bytes before it (newlines at first) and itself."""
-    pad = END * depth
-    x = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.int64)
-    lengths = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum(lengths + depth)[:-1]]) + depth
-    inside = np.zeros(len(x), np.int8)
-    inside[starts] = 1
-    ends = starts + lengths
-    inside[ends[ends < len(x)]] -= 1
-    inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+DEPTH, TOP = 6, 3
+#: Bytes of text that a bucket of strings or words stands for on average, and that are indexed at once.
+BUCKET_BYTES, SPAN = 12 << 20, 1 << 19
+NEWLINE, BLANK = 10, 32
+#: The number that stands for the end of a text among the numbers of words.
+END = -1
+
+
+def text_bytes(x: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts as the model sees them, depth newlines before each, and where each begins."""
+    long = stop - start
+    upto = np.concatenate([[0], np.cumsum(long + 1)])
+    length = np.maximum(upto[first[1:]] - upto[first[:-1]], 1)
+    begin = np.concatenate([[0], np.cumsum(length + depth)]) + depth
+    out = np.full(begin[-1] - depth, NEWLINE, np.uint8)
+    n_words = np.diff(first)
+    to = np.repeat(begin[:-1] - upto[first[:-1]], n_words) + upto[:-1]
+    from_ = np.repeat(start - to, long)
+    at = np.arange(len(from_)) + np.repeat(to - (upto[:-1] - np.arange(len(long))), long)
+    out[at] = words.LOWER[x[at + from_]]
+    ends = to + long
+    out[ends] = BLANK
+    out[ends[first[1:][n_words > 0] - 1]] = NEWLINE
+    return out, begin
+
+
+def strings(out: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
+    """For each byte of each text, the number made of the depth bytes before it and itself."""
+    inside = np.ones(len(out), bool)
+    inside[(begin[:-1, None] - 1 - np.arange(depth)[None, :]).ravel()] = False
+    x = out.astype(np.int64)
     key = np.zeros(len(x) - depth, np.int64)
     for j in range(depth + 1):
         key |= x[depth - j : len(x) - j] << (8 * j)
     return key[inside[depth:]]
 
 
+def indexed(texts: pa.Array, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By spans of texts: numbers of the words, how many each text has, strings, how many each text has."""
+    for _, x, at in words.spans(texts, SPAN):
+        start, stop, hashes, first = words.found(x, at)
+        out, begin = text_bytes(x, start, stop, first, depth)
+        yield (hashes >> np.uint64(1)).astype(np.int64), np.diff(first), strings(out, begin, depth), np.diff(begin) - depth
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length as compressed bytes, the first (sorted) as differences."""
+    planes = [np.diff(columns[0], prepend=0), *columns[1:]]
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in planes)
+    return len(columns[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    blob = memoryview(blob)
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=8 * n * len(kinds) + 1), np.uint8)
+    out = [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view(kind).reshape(n) for i, kind in enumerate(kinds)]
+    out[0] = np.cumsum(out[0])
+    return out
+
+
 # Krichevsky-Trofimov
 
 _SMALL = 4096
@@ -196,155 +231,236 @@ def _joined(level: DataFrame, state: DataFrame, depth: int) -> DataFrame:
     return level.withColumn("_up", up).join(state.withColumnRenamed("node", "_node"), F.col("_up") == F.col("_node")).drop("_up", "_node")
 
 
-def code_lengths(counts: DataFrame, depth: int = DEPTH, top: int = TOP) -> DataFrame:
-    """counts(string, n) with distinct strings -> string, log10p: the log probability of each string's last byte
-    after its others. Strings with n = 0 are only asked for."""
-    n_buckets = max(4, math.ceil(counts.count() / BUCKET))
-    context = F.shiftright("string", 8).bitwiseAND((1 << (8 * top)) - 1)
-    bucket = F.pmod(F.xxhash64(context), F.lit(n_buckets)).cast("int")
-    rows = counts.select("string", "n", bucket.alias("bucket"))
+def _top(keys: np.ndarray, top: int) -> np.ndarray:
+    return (keys >> 8) & ((1 << (8 * top)) - 1)
+
+
+def _bucket(context: np.ndarray, n: int) -> np.ndarray:
+    return ((context * 2654435761) & 0xFFFFFFFF) % n
+
+
+def _bucket_column(context: Column, n: int) -> Column:
+    return F.pmod((context * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.lit(n)).cast("int")
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")  # quick, as the parts are sorted
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first) if len(n) else n
+
+
+class _Counts:
+    """Distinct numbers and how often they were learned from."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.folded = 0
+
+    def add(self, keys: np.ndarray, learn: bool) -> None:
+        some, n = np.unique(keys, return_counts=True)
+        self.parts.append((some, n if learn else np.zeros(len(n), np.int64)))
+        self.size += len(some)
+        if self.size > 500_000 + self.folded // 2:
+            self.parts = [_merged(self.parts)]
+            self.size, self.folded = 0, len(self.parts[0][0])
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.parts)
+
+
+ASKED = "kind int, bucket int, chunk long, blob binary"
+STRING, WORD = 0, 1
+
+
+def _split(keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for some in np.split(order, cuts):
+        if len(some):
+            yield int(bucket[some[0]]), some
+
+
+def _ask(depth: int, top: int, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[_Counts, _Counts]] = {}
+        for batch in batches:
+            chunks, held = batch.column("chunk").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
+            for chunk in np.unique(chunks).tolist():
+                of_strings, of_words = seen.setdefault(chunk, (_Counts(), _Counts()))
+                for learn in (True, False):
+                    mask = (chunks == chunk) & (held != learn)
+                    if not mask.any():
+                        continue
+                    of_words.add(np.full(int(mask.sum()), END, np.int64), learn)
+                    for hashes, _, keys, _ in indexed(batch.column("text").filter(pa.array(mask)), depth):
+                        of_words.add(hashes, learn)
+                        of_strings.add(keys, learn)
+        for chunk, counts in seen.items():
+            for kind, some in ((STRING, counts[0]), (WORD, counts[1])):
+                keys, n = some.all()
+                bucket = _bucket(_top(keys, top), n_buckets) if kind == STRING else keys % n_buckets
+                rows = [(kind, b, chunk, packed(keys[i], n[i])) for b, i in _split(keys, bucket)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "chunk", "blob"]
+                )
+
+    return run
+
+
+def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct numbers of a bucket, their counts, and where each row's numbers are among them."""
+    lists = [unpacked(b.as_py(), np.int64, np.int64) for b in t["blob"]]
+    keys, at = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([n for _, n in lists])).astype(np.int64)
+    return keys, n, np.split(at, np.cumsum([len(k) for k, _ in lists])[:-1])
 
-    def levels(t: pa.Table) -> Levels:
-        return Levels(t["string"].to_numpy(), t["n"].to_numpy(), depth, top)
+
+ANSWERS = "kind int, chunk long, blob binary, n long, v long"
+
+
+def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, places: list[np.ndarray], n: int = 0, v: int = 0) -> pa.Table:
+    """The values of each row's numbers; the sums n and v stand in the first row."""
+    rows = t.num_rows
+    return pa.table(
+        {
+            "kind": np.full(rows, kind, np.int32),
+            "chunk": t["chunk"],
+            "blob": pa.array([packed(keys[p], values[p]) for p in places], pa.binary()),
+            "n": np.array([n] + [0] * (rows - 1)),
+            "v": np.array([v] + [0] * (rows - 1)),
+        }
+    )
+
+
+def _word_answers(t: pa.Table) -> pa.Table:
+    keys, n, places = _totals(t)
+    return _answers(t, WORD, keys, n.astype(np.float64), places, int(n.sum()), int((n > 0).sum()))
+
+
+def string_answers(asked: DataFrame, depth: int, top: int, n_buckets: int) -> DataFrame:
+    """asked(bucket, chunk, blob) with strings and their counts -> ANSWERS, the log probabilities of their last bytes."""
 
     def nodes(t: pa.Table) -> pa.Table:
-        built = levels(t)
+        keys, n, _ = _totals(t)
+        built = Levels(keys, n, depth, top)
         number, n0, n1, _, _ = built.levels[-1]
         return pa.table({"node": number, "n0": n0, "n1": n1, "weighted": built.weighted})
 
     def evaluated(t: pa.Table, states: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({"string": pa.array([], pa.int64()), "log10p": pa.array([], pa.float64())})
-        built = levels(t)
+        keys, n, places = _totals(t)
         order = np.argsort(states["node"].to_numpy())
         state = tuple(states[c].to_numpy()[order] for c in ("so_far", "left", "last"))
-        return pa.table({"string": t["string"], "log10p": built.log10(state)})
+        return _answers(t, STRING, keys, Levels(keys, n, depth, top).log10(state), places)
 
-    at_top = written(rows.groupBy("bucket").applyInArrow(nodes, NODE), "ctw-nodes")
-    state = _upper(at_top, top).withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("node", 8)), F.lit(n_buckets)).cast("int"))
-    return rows.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(evaluated, "string long, log10p double")
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-
-def _spans(texts: list[bytes]) -> Iterator[list[int]]:
-    """Numbers of successive texts of about SPAN bytes."""
-    some: list[int] = []
-    size = 0
-    for i, t in enumerate(texts):
-        some.append(i)
-        size += len(t)
-        if size > SPAN:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def _gathered(depth: int):
-    def run(t: pa.Table) -> pa.Table:
-        chunk = t["chunk"][0].as_py()
-        held = t["held_out"].to_pylist()
-        words: dict[bytes, int] = {}
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        texts = []
-        for text, out in zip(t["text"].cast(pa.binary()).to_pylist(), held):
-            found = [*tokens(text), END]
-            if out:
-                for w in found:
-                    words.setdefault(w, 0)
-            else:
-                for w in found:
-                    words[w] = words.get(w, 0) + 1
-            texts.append(b" ".join(found[:-1]) + END)
-        for learn in (False, True):
-            for some in _spans([x for x, out in zip(texts, held) if out != learn]):
-                own = [x for x, out in zip(texts, held) if out != learn]
-                keys, n = np.unique(strings([own[i] for i in some], depth), return_counts=True)
-                parts.append((keys, n if learn else np.zeros(len(keys), np.int64)))
-        keys, n = _merged(parts)
-        total = len(words) + len(keys)
-        return pa.table(
-            {
-                "chunk": np.full(total, chunk, np.int32),
-                "word": pa.concat_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(keys), pa.binary())]),
-                "string": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(keys)]),
-                "n": np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n]),
-            }
-        )
-
-    return run
+    at_top = written(asked.groupBy("bucket").applyInArrow(nodes, NODE), "ctw-nodes")
+    state = _upper(at_top, top).withColumn("bucket", _bucket_column(F.shiftright("node", 8), n_buckets))
+    return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(evaluated, ANSWERS)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
-def _scored(depth: int, n: int, v: int):
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, and a compressed batch of its rows."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        found = np.unique(chunks)
+        blobs = []
+        for chunk in found:
+            some = batch.select(["doc_id", "held_out", "text"]).filter(pa.array(chunks == chunk))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some.schema, options=options) as out:
+                out.write_batch(some)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+
+
+def _lookup(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that were asked for, sorted, and their values."""
+    blobs = answers["blob"].filter(pc.equal(answers["kind"], kind))
+    sizes = [int.from_bytes(b.as_buffer()[:8].to_pybytes(), "little") for b in blobs]
+    keys, values = np.empty(sum(sizes), np.int64), np.empty(sum(sizes))
+    at = 0
+    for n, blob in zip(sizes, blobs):
+        keys[at : at + n], values[at : at + n] = unpacked(blob.as_buffer(), np.int64, np.float64)
+        at += n
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _values(asked: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Values of numbers that are all in the table: distinct ones in order, which walk through it once."""
+    some, at = np.unique(asked, return_inverse=True)
+    return table[1][np.searchsorted(table[0], some)][at]
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of successive runs of so many values, each run by itself."""
+    out = np.zeros(len(counts))
+    there = counts > 0
+    if there.any():
+        out[there] = np.add.reduceat(values, (np.cumsum(counts) - counts)[there])
+    return out
+
+
+def _score(depth: int, n: int, v: int):
+    norm = math.log10(n + (v + 1))
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        is_word = pc.is_valid(answers["word"])
-        known = answers.filter(is_word)
-        counts = dict(zip(known["word"].to_pylist(), known["n"].to_pylist()))
-        asked = answers.filter(pc.invert(is_word))
-        order = np.argsort(asked["string"].to_numpy())
-        keys, logs = asked["string"].to_numpy()[order], asked["log10p"].to_numpy()[order]
-        texts, n_tokens, n_known, base = [], [], [], []
-        norm = math.log10(n + (v + 1))
-        for text in docs["text"].cast(pa.binary()).to_pylist():
-            found = tokens(text)
-            texts.append(b" ".join(found) + END)
-            found.append(END)
-            c = np.fromiter(map(counts.__getitem__, found), np.int64, len(found))
-            n_tokens.append(len(c))
-            n_known.append(int(np.count_nonzero(c)))
-            base.append(float(np.log10(c + 1.0).sum()) - len(c) * norm)
-        score = np.zeros(len(texts))
-        for some in _spans(texts):
-            own = [texts[i] for i in some]
-            lengths = np.array([len(x) for x in own])
-            values = logs[np.searchsorted(keys, strings(own, depth))]
-            score[some] = np.add.reduceat(values, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        lengths = np.array([len(x) for x in texts])
-        return pa.table(
-            {
-                "doc_id": docs["doc_id"],
-                "held_out": docs["held_out"],
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": np.full(len(texts), n, np.int64),
-                "base_score": base,
-                "score": score,
-                "n_bytes": lengths,
-                "bits_per_byte": -score / math.log10(2) / lengths,
-            }
-        )
+        of_words, of_strings = _lookup(answers, WORD), _lookup(answers, STRING)
+        end = float(_values(np.array([END]), of_words)[0])
+        tables = []
+        for blob in docs["blob"]:
+            batch = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+            if not batch.num_rows:
+                continue
+            rows: list[tuple[np.ndarray, ...]] = []
+            for hashes, n_words, keys, n_bytes in indexed(batch["text"].combine_chunks(), depth):
+                counts = _values(hashes, of_words)
+                known = _sums((counts > 0).astype(np.float64), n_words) + (end > 0)
+                base = _sums(np.log10(counts + 1), n_words) + math.log10(end + 1) - (n_words + 1) * norm
+                rows.append((n_words + 1, known.astype(np.int64), base, _sums(_values(keys, of_strings), n_bytes), n_bytes))
+            n_tokens, known, base, score, n_bytes = (np.concatenate(c) for c in zip(*rows))
+            tables.append(
+                pa.table(
+                    {
+                        "doc_id": batch["doc_id"],
+                        "held_out": batch["held_out"],
+                        "n_tokens": n_tokens.astype(np.int64),
+                        "n_known": known,
+                        "train_tokens": np.full(len(known), n, np.int64),
+                        "base_score": base,
+                        "score": score,
+                        "n_bytes": n_bytes.astype(np.int64),
+                        "bits_per_byte": -score / math.log10(2) / n_bytes,
+                    }
+                )
+            )
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(tables)
 
     return run
 
 
-def scored(documents: DataFrame, held_out: Column, depth: int = DEPTH, chunk_bytes: int = CHUNK) -> DataFrame:
+def scored(documents: DataFrame, held_out: Column, chunk: Column | None = None, depth: int = DEPTH, top: int = TOP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """documents(doc_id, text) scored by a model of those that aren't held out; see RESULT. base_score is that of
-    add-one word frequencies."""
-    docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, math.ceil(size / chunk_bytes))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
-    asked = written(docs.groupBy("chunk").applyInArrow(_gathered(depth), "chunk int, word binary, string long, n long"), "asked")
-
-    words = asked.filter("word is not null").select("chunk", "word", "n")
-    by_word = words.groupBy("word").agg(F.sum("n").alias("n"))
-    by_word = written(by_word, "words")
-    n, v = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-
-    asked_strings = asked.filter("string is not null").select("chunk", "string", "n")
-    counts = written(asked_strings.groupBy("string").agg(F.sum("n").alias("n")), "strings")
-    lengths = code_lengths(counts, depth)
-
-    answers = (
-        words.drop("n").join(by_word, "word").select("chunk", "word", F.lit(None).cast("long").alias("string"), "n", F.lit(None).cast("double").alias("log10p"))
-    ).unionByName(
-        asked_strings.drop("n").join(lengths, "string").select("chunk", F.lit(None).cast("binary").alias("word"), "string", F.lit(None).cast("long").alias("n"), "log10p")
-    )
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(depth, n, v), RESULT)
+    add-one word frequencies.
+
+    chunk: a number, the same whenever a row is read, of which one has a moderate amount of text; best one that
+    rows that are read together share. Without it, rows are dealt by the hash of their id."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(4, math.ceil(size / bucket_bytes))
+    if chunk is None:
+        chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets))
+    docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), chunk.cast("long").alias("chunk"))
+    asked = written(docs.select("text", "held_out", "chunk").mapInArrow(_ask(depth, top, n_buckets), ASKED), "asked")
+    of_words = written(asked.filter(F.col("kind") == WORD).groupBy("bucket").applyInArrow(_word_answers, ANSWERS), "words")
+    n, v = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    of_strings = string_answers(asked.filter(F.col("kind") == STRING), depth, top, n_buckets)
+    answers = of_words.unionByName(of_strings).select("kind", "chunk", "blob")
+    texts = docs.mapInArrow(_packed_texts, "chunk long, blob binary")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, n, v), RESULT)

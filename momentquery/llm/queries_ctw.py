@@ -9,9 +9,15 @@ from . import ctw
 from .common import table
 from .labelled import held_out
 
+#: Rows of a file that are indexed and scored together.
+CHUNK_ROWS = 16384
+
 
 def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.scored(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+    documents = table(spark, sf_dir, "documents")
+    # Rows that lie together in a file are a chunk, so each task gathers the lists of few chunks.
+    chunk = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK_ROWS))
+    return ctw.scored(documents, held_out(F.col("doc_id"), 7, 2), chunk)
 
 
 QUERIES = {"op1_context_tree_weighting": op1_context_tree_weighting}
