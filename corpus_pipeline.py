@@ -47,9 +47,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: all once, and those of small sources again up to the limit."""
-    counted = docs.withColumn("_n_tokens", mixing.n_tokens(F.col("text")))
-    tokens = mixing.source_tokens(counted, tokens="_n_tokens")
-    return mixing.realised(counted, mixing.shares(tokens, limit=REPEATS), tokens="_n_tokens").select(_columns(docs))
+    name = "n_tokens"
+    while name in docs.columns:
+        name = f"_{name}"
+    counted = docs.withColumn(name, mixing.n_tokens(F.col("text")))
+    tokens = mixing.source_tokens(counted, tokens=name)
+    return mixing.realised(counted, mixing.shares(tokens, limit=REPEATS), tokens=name).select(_columns(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

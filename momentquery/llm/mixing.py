@@ -103,23 +103,27 @@ def realised(documents: DataFrame, mix: list[Share], source: str = "source", tok
     permutation of blocks, place orders documents in the block.
     """
     spark = documents.sparkSession
-    names = documents.columns
+    # The rows travel as one struct, so no name of theirs can clash with one of ours.
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("epoch", "block", "place")]).alias("row"),
+        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{tokens}`").alias("n"),
+    )
     whole = {s.source: math.floor(s.epochs + 1e-9) for s in mix}
     plan = spark.createDataFrame(
         [(s.source, whole[s.source], max(0.0, s.budget - whole[s.source] * s.tokens) if s.tokens else 0.0) for s in mix],
         "_source string, _whole long, _rest double",
     )
-    epoch, n = F.col("_epoch"), F.col(tokens)
-    part = F.pmod(F.xxhash64(F.lit(seed), epoch, F.col(key), F.lit("block")), F.lit(blocks)).cast("int")
-    place = F.xxhash64(F.lit(seed), epoch, F.col(key), F.lit("place"))
+    epoch, n = F.col("_epoch"), F.col("n")
+    part = F.pmod(F.xxhash64(F.lit(seed), epoch, F.col("key"), F.lit("block")), F.lit(blocks)).cast("int")
+    place = F.xxhash64(F.lit(seed), epoch, F.col("key"), F.lit("place"))
     block = F.xxhash64(F.lit(seed), F.col("_source"), epoch, F.col("_part"), F.lit("order"))
 
     def by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
         """Joins one row a source."""
-        return rows.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("_source")))
+        return rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_source")))
 
     # Where the last epoch ends: the block by the sizes of all blocks, then the document by the sizes in that block.
-    narrow = by_source(documents.select(key, source, tokens), plan.filter("_rest > 0")).withColumn("_epoch", F.col("_whole"))
+    narrow = by_source(rows.select("key", "source", "n"), plan.filter("_rest > 0")).withColumn("_epoch", F.col("_whole"))
     narrow = written(narrow.filter(n > 0).withColumn("_part", part).withColumn("_block", block).withColumn("_place", place), "mixing")
     blocks_of = narrow.groupBy("_source", "_rest", "_block", "_part").agg(F.sum(n).alias("_size"))
     running = W.partitionBy("_source").orderBy("_block", "_part")
@@ -129,20 +133,20 @@ def realised(documents: DataFrame, mix: list[Share], source: str = "source", tok
         .select(F.col("_source").alias("_of"), F.col("_block").alias("_cut"), F.col("_part").alias("_cut_part"), (F.col("_upto") - F.col("_size")).alias("_before"))
     )
     inside = narrow.join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_cut_part")))
-    fits = F.col("_before") + F.sum(n).over(W.partitionBy("_of").orderBy("_place", key)) <= F.col("_rest")
-    last = inside.withColumn("_fits", fits).filter("_fits").groupBy("_of").agg(F.max(F.struct(F.col("_place"), F.col(key).alias("_key"))).alias("_last"))
+    fits = F.col("_before") + F.sum(n).over(W.partitionBy("_of").orderBy("_place", "key")) <= F.col("_rest")
+    last = inside.withColumn("_fits", fits).filter("_fits").groupBy("_of").agg(F.max(F.struct(F.col("_place"), F.col("key").alias("_key"))).alias("_last"))
     stops = ends.join(last.withColumnRenamed("_of", "_of2"), F.col("_of").eqNullSafe(F.col("_of2")), "left").drop("_of2")
     full = plan.join(F.broadcast(stops), F.col("_source").eqNullSafe(F.col("_of")), "left")
 
     taken = (
-        by_source(documents, full)
+        by_source(rows, full)
         .withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole"))))
         .withColumn("_part", part)
         .withColumn("_block", block)
         .withColumn("_place", place)
     )
     at, stop = F.struct("_block", "_part"), F.struct(F.col("_cut").alias("_block"), F.col("_cut_part").alias("_part"))
-    doc = F.struct(F.col("_place"), F.col(key).alias("_key"))
+    doc = F.struct(F.col("_place"), F.col("key").alias("_key"))
     before_stop = F.when(F.col("_cut").isNull(), F.lit(True)).otherwise((at < stop) | ((at == stop) & F.coalesce(doc <= F.col("_last"), F.lit(False))))
     taken = taken.filter((epoch < F.col("_whole")) | ((F.col("_rest") > 0) & (n > 0) & before_stop))
-    return taken.select(*[F.col(f"`{c}`") for c in names], epoch.alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))
+    return taken.select("row.*", epoch.alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))

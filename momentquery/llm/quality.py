@@ -158,8 +158,7 @@ def graded(documents: DataFrame, model: Grades, n_grades: int, text: str = "text
         for texts in batches:
             yield pa.array([grader.tails(t) if known else [1.0] * (n_grades - 1) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
+    # The rows travel as one struct, so no name of theirs can clash with one of ours.
     names = [c for c in documents.columns if c not in ("expected_grade", "tails")]
-    return (
-        documents.withColumn("_tails", tails(F.col(text)))
-        .select(*[F.col(f"`{c}`") for c in names], F.aggregate("_tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), F.col("_tails").alias("tails"))
-    )
+    rated = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), tails(F.col(f"`{text}`")).alias("tails"))
+    return rated.select("row.*", F.aggregate("tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), F.col("tails").alias("tails"))

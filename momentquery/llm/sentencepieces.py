@@ -170,10 +170,10 @@ def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text") -> Dat
             )
             yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(exact, pa.bool_())], ["pieces", "score", "exact"])
 
+    # The rows travel as one struct, so no name of theirs can clash with one of ours.
     names = [c for c in documents.columns if c not in ("pieces", "piece_score", "exact")]
-    return documents.withColumn("_encoded", encode(F.col(text))).select(
-        *[F.col(f"`{c}`") for c in names], F.col("_encoded.pieces").alias("pieces"), F.col("_encoded.score").alias("piece_score"), F.col("_encoded.exact").alias("exact")
-    )
+    coded = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), encode(F.col(f"`{text}`")).alias("coded"))
+    return coded.select("row.*", F.col("coded.pieces").alias("pieces"), F.col("coded.score").alias("piece_score"), F.col("coded.exact").alias("exact"))
 
 
 def decoded(rows: DataFrame, vocabulary: Pieces, pieces: str = "pieces") -> DataFrame:

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -353,9 +353,7 @@ def score(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
                 rows.append({"score": s, "spans": [{"start": a, "end": b, "marginal": p} for a, b, p in spans]})
             yield pa.array(rows, kind)
 
-    tagged: Column = tag(F.col(text))
-    return documents.withColumn("_tagged", tagged).select(
-        *[F.col(f"`{c}`") for c in documents.columns if c not in ("toxic_score", "toxic_spans")],
-        F.col("_tagged.score").alias("toxic_score"),
-        F.col("_tagged.spans").alias("toxic_spans"),
-    )
+    # The rows travel as one struct, so no name of theirs can clash with one of ours.
+    names = [c for c in documents.columns if c not in ("toxic_score", "toxic_spans")]
+    tagged = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), tag(F.col(f"`{text}`")).alias("tagged"))
+    return tagged.select("row.*", F.col("tagged.score").alias("toxic_score"), F.col("tagged.spans").alias("toxic_spans"))
