@@ -253,43 +253,53 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 class _Counts:
-    """Distinct numbers and how often they were learned from."""
+    """Distinct numbers by bucket, and how often they were learned from."""
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, bucket):
+        self.bucket = bucket
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.size = self.folded = 0
 
     def add(self, keys: np.ndarray, learn: bool) -> None:
         some, n = np.unique(keys, return_counts=True)
-        self.parts.append((some, n if learn else np.zeros(len(n), np.int64)))
+        if not learn:
+            n = np.zeros(len(n), np.int64)
+        for b, i in _split(self.bucket(some)):
+            self.parts.setdefault(b, []).append((some[i], n[i]))
         self.size += len(some)
-        if self.size > 500_000 + self.folded // 2:
-            self.parts = [_merged(self.parts)]
-            self.size, self.folded = 0, len(self.parts[0][0])
+        if self.size > 1_000_000 + self.folded:
+            self.parts = {b: [_merged(parts)] for b, parts in self.parts.items()}
+            self.size, self.folded = 0, sum(len(p[0][0]) for p in self.parts.values())
 
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        return _merged(self.parts)
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        for b, parts in self.parts.items():
+            yield b, packed(*_merged(parts))
 
 
 ASKED = "kind int, bucket int, chunk long, blob binary"
 STRING, WORD = 0, 1
 
 
-def _split(keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for some in np.split(order, cuts):
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its numbers, in order."""
+    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(some):
             yield int(bucket[some[0]]), some
 
 
+def _buckets(kind: int, top: int, n: int):
+    """The function from numbers to their buckets."""
+    return (lambda keys: _bucket(_top(keys, top), n)) if kind == STRING else (lambda keys: keys % n)
+
+
 def _ask(depth: int, top: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[_Counts, _Counts]] = {}
         for batch in batches:
             chunks, held = batch.column("chunk").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
             for chunk in np.unique(chunks).tolist():
-                of_strings, of_words = seen.setdefault(chunk, (_Counts(), _Counts()))
+                of_strings, of_words = seen.setdefault(chunk, tuple(_Counts(_buckets(k, top, n_buckets)) for k in (STRING, WORD)))
                 for learn in (True, False):
                     mask = (chunks == chunk) & (held != learn)
                     if not mask.any():
@@ -300,9 +310,7 @@ def _ask(depth: int, top: int, n_buckets: int):
                         of_strings.add(keys, learn)
         for chunk, counts in seen.items():
             for kind, some in ((STRING, counts[0]), (WORD, counts[1])):
-                keys, n = some.all()
-                bucket = _bucket(_top(keys, top), n_buckets) if kind == STRING else keys % n_buckets
-                rows = [(kind, b, chunk, packed(keys[i], n[i])) for b, i in _split(keys, bucket)]
+                rows = [(kind, b, chunk, blob) for b, blob in some.packed()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "chunk", "blob"]
                 )
@@ -318,7 +326,7 @@ def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return keys, n, np.split(at, np.cumsum([len(k) for k, _ in lists])[:-1])
 
 
-ANSWERS = "kind int, chunk long, blob binary, n long, v long"
+ANSWERS = "kind int, bucket int, chunk long, blob binary, n long, v long"
 
 
 def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, places: list[np.ndarray], n: int = 0, v: int = 0) -> pa.Table:
@@ -327,6 +335,7 @@ def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, place
     return pa.table(
         {
             "kind": np.full(rows, kind, np.int32),
+            "bucket": t["bucket"],
             "chunk": t["chunk"],
             "blob": pa.array([packed(keys[p], values[p]) for p in places], pa.binary()),
             "n": np.array([n] + [0] * (rows - 1)),
@@ -379,23 +388,28 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
 
 
-def _lookup(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers that were asked for, sorted, and their values."""
-    blobs = answers["blob"].filter(pc.equal(answers["kind"], kind))
-    sizes = [int.from_bytes(b.as_buffer()[:8].to_pybytes(), "little") for b in blobs]
-    keys, values = np.empty(sum(sizes), np.int64), np.empty(sum(sizes))
-    at = 0
-    for n, blob in zip(sizes, blobs):
-        keys[at : at + n], values[at : at + n] = unpacked(blob.as_buffer(), np.int64, np.float64)
-        at += n
-    order = np.argsort(keys)
-    return keys[order], values[order]
+def _lookup(answers: pa.Table, kind: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By bucket, the numbers that were asked for, sorted, and their values."""
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    some = answers.filter(pc.equal(answers["kind"], kind))
+    for b, blob in zip(some["bucket"].to_pylist(), some["blob"]):
+        keys, values = unpacked(blob.as_buffer(), np.int64, np.float64)
+        if b in found:  # a chunk that was read in parts has asked more than once
+            keys, values = np.concatenate([found[b][0], keys]), np.concatenate([found[b][1], values])
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values[order]
+        found[b] = keys, values
+    return found
 
 
-def _values(asked: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Values of numbers that are all in the table: distinct ones in order, which walk through it once."""
+def _values(asked: np.ndarray, table: dict[int, tuple[np.ndarray, np.ndarray]], bucket) -> np.ndarray:
+    """Values of numbers that are all in the table."""
     some, at = np.unique(asked, return_inverse=True)
-    return table[1][np.searchsorted(table[0], some)][at]
+    out = np.empty(len(some))
+    for b, i in _split(bucket(some)):
+        keys, values = table[b]
+        out[i] = values[np.searchsorted(keys, some[i])]
+    return out[at]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -407,12 +421,13 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(depth: int, n: int, v: int):
+def _score(depth: int, top: int, n_buckets: int, n: int, v: int):
+    by_string, by_word = (_buckets(kind, top, n_buckets) for kind in (STRING, WORD))
     norm = math.log10(n + (v + 1))
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         of_words, of_strings = _lookup(answers, WORD), _lookup(answers, STRING)
-        end = float(_values(np.array([END]), of_words)[0])
+        end = float(_values(np.array([END]), of_words, by_word)[0])
         tables = []
         for blob in docs["blob"]:
             batch = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
@@ -420,10 +435,10 @@ def _score(depth: int, n: int, v: int):
                 continue
             rows: list[tuple[np.ndarray, ...]] = []
             for hashes, n_words, keys, n_bytes in indexed(batch["text"].combine_chunks(), depth):
-                counts = _values(hashes, of_words)
+                counts = _values(hashes, of_words, by_word)
                 known = _sums((counts > 0).astype(np.float64), n_words) + (end > 0)
                 base = _sums(np.log10(counts + 1), n_words) + math.log10(end + 1) - (n_words + 1) * norm
-                rows.append((n_words + 1, known.astype(np.int64), base, _sums(_values(keys, of_strings), n_bytes), n_bytes))
+                rows.append((n_words + 1, known.astype(np.int64), base, _sums(_values(keys, of_strings, by_string), n_bytes), n_bytes))
             n_tokens, known, base, score, n_bytes = (np.concatenate(c) for c in zip(*rows))
             tables.append(
                 pa.table(
@@ -461,6 +476,6 @@ def scored(documents: DataFrame, held_out: Column, chunk: Column | None = None,
     of_words = written(asked.filter(F.col("kind") == WORD).groupBy("bucket").applyInArrow(_word_answers, ANSWERS), "words")
     n, v = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     of_strings = string_answers(asked.filter(F.col("kind") == STRING), depth, top, n_buckets)
-    answers = of_words.unionByName(of_strings).select("kind", "chunk", "blob")
+    answers = of_words.unionByName(of_strings).select("kind", "bucket", "chunk", "blob")
     texts = docs.mapInArrow(_packed_texts, "chunk long, blob binary")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, n, v), RESULT)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, top, n_buckets, n, v), RESULT)
