@@ -102,12 +102,12 @@ def origins(anchor_rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def piecewise(keyframes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys and expression: nested conditions on t that run straight from one (t, value) to the next, in anchor order;
-    a plain number where all values are equal."""
+    a plain number where all values are equal. Commas are escaped, as the expression stands inside an argument."""
     packed = keyframes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("anchor_idx", F.col("t").cast("double").alias("t"), F.col(value).alias("v")))).alias("_frames"))
     text = lambda c: f"coalesce(nullif(regexp_replace(format_string('%.6f', {c}), '[.]?0+$', ''), ''), '0')"
     piece = f"if(_frames[i + 1].t - _frames[i].t <= 0 or _frames[i].v = _frames[i + 1].v, cast(_frames[i].v as string), concat('(', _frames[i].v, '+(', _frames[i + 1].v - _frames[i].v, ')*(t-', {text('_frames[i].t')}, ')/', {text('_frames[i + 1].t - _frames[i].t')}, ')'))"
     fold = f"""aggregate(if(size(_frames) > 1, reverse(sequence(0, size(_frames) - 2)), cast(array() as array<int>)), cast(element_at(_frames, -1).v as string),
-        (tail, i) -> concat('if(lt(t,', {text('_frames[i + 1].t')}, '),', {piece}, ',', tail, ')'))"""
+        (tail, i) -> concat('if(lt(t\\\\,', {text('_frames[i + 1].t')}, ')\\\\,', {piece}, '\\\\,', tail, ')'))"""
     same = "forall(_frames, x -> x.v = _frames[0].v)"
     return packed.select(*keys, F.expr(f"if({same}, cast(_frames[0].v as string), {fold})").alias("expression"))
 

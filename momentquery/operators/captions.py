@@ -63,7 +63,7 @@ def lines(clip_word_rows: DataFrame, config: Captions = Captions()) -> DataFrame
 
 
 # Fixed values of the subtitle format.
-EMPHASIS_COLOUR, PLAIN_COLOUR = "00FFFF", "FFFFFF"
+EMPHASIS_COLOUR, PLAIN_COLOUR = "0000F0FF", "00FFFFFF"
 
 
 def ass_time(seconds: Column) -> Column:

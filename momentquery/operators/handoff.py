@@ -74,7 +74,7 @@ def approved(candidates: DataFrame, k: int, threshold: float) -> DataFrame:
 def package_briefs(candidates: DataFrame, briefs: DataFrame) -> DataFrame:
     """Approved candidates with their briefs; an approved one without a brief has the error set."""
     b = briefs.select("job_id", "clip_id", "clip_hash", "transcript", F.col("score").alias("mining_score"))
-    out = candidates.filter("approved").join(b, ["job_id", "clip_id"], "left")
+    out = candidates.filter("approved").drop("clip_hash", "transcript", "mining_score").join(b, ["job_id", "clip_id"], "left")
     return out.withColumns({"score": F.coalesce("score", "mining_score"), "error": F.when(F.col("clip_hash").isNull(), "no brief for an approved clip")})
 
 

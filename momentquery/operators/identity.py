@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
+
+# What stands where a transcript was cut.
+TRUNCATED = "\n\n[transcript truncated for brief — kept first {head} chars, {samples} representative middle sample(s), and last {tail} chars]\n\n"
+MIDDLE = "[representative middle excerpts]\n"
+ENDING = "\n\n[ending excerpt]\n\n"
+
 
 def clip_hash(start: Column, end: Column, transcript: Column, version: str = "v1", context: Column | None = None) -> Column:
     """Sixteen hex digits of SHA-1 over version, times to a millisecond, and the trimmed transcript."""
-    parts = [F.lit(version), F.format_string("%.3f", start), F.format_string("%.3f", end), F.trim(transcript)]
+    parts = [F.lit(version), F.format_string("%.3f", start), F.format_string("%.3f", end), strip(transcript)]
     text = F.concat_ws("|", *parts)
     if context is not None:
         text = F.when(context.isNotNull(), F.concat(text, F.lit("|"), context)).otherwise(text)
@@ -28,7 +36,7 @@ def briefs(selected: DataFrame, windows: DataFrame) -> DataFrame:
     """Chosen windows with speakers in order of appearance, transcript and clip_hash."""
     members = windows.select("job_id", "start_idx", "end_idx", "members")
     out = selected.join(members, ["job_id", "start_idx", "end_idx"])
-    transcript = F.trim(F.array_join(F.transform("members", lambda m: m["text"]), " "))
+    transcript = strip(F.array_join(F.transform("members", lambda m: m["text"]), " "))
     return out.withColumns(
         {
             "transcript": transcript,
@@ -41,7 +49,7 @@ def briefs(selected: DataFrame, windows: DataFrame) -> DataFrame:
 def excerpts(segments: DataFrame, most: int = 30000, head: int = 18000, tail: int = 10000, samples: int = 5) -> DataFrame:
     """job_id, excerpt, truncated: a transcript as lines; a long one keeps its beginning and end, and as many lines
     from evenly spaced places between."""
-    line = F.concat(F.lit("["), F.when(F.col("speaker") == "", "SPEAKER").otherwise(F.coalesce("speaker", F.lit("SPEAKER"))), F.lit(" "), F.format_string("%.1f", "start_seconds"), F.lit("s] "), F.trim("text"))
+    line = F.concat(F.lit("["), F.when(F.col("speaker") == "", "SPEAKER").otherwise(F.coalesce("speaker", F.lit("SPEAKER"))), F.lit(" "), F.format_string("%.1f", "start_seconds"), F.lit("s] "), strip(F.col("text")))
     packed = segments.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("l")))), lambda x: x["l"]).alias("p"))
     full = packed.withColumn("full", F.array_join("p", "\n")).withColumn("last", F.size("p") - 1)
     places = F.array_distinct(
@@ -55,7 +63,10 @@ def excerpts(segments: DataFrame, most: int = 30000, head: int = 18000, tail: in
     )
     middle = F.when((F.size("places") > 0) & F.lit(budget > 0), F.rtrim(F.substring(F.array_join(chosen, "\n"), F.lit(1), F.lit(budget)))).otherwise(F.lit(""))
     short = F.length("full") <= most
-    cut = F.concat(F.rtrim(F.substring("full", 1, head)), F.lit("\n\n[...]\n\n"), F.col("middle"), F.lit("\n\n[...]\n\n"), F.ltrim(F.expr(f"right(full, {tail})")))
+    lead = F.when(F.col("middle") != "", F.concat(F.lit(MIDDLE), F.col("middle"), F.lit("\n"))).otherwise(F.lit(""))
+    end = F.ltrim(F.expr(f"right(full, {tail})")) if tail > 0 else F.lit("")
+    ending = F.when(end != "", F.concat(F.lit(ENDING), end)).otherwise(F.lit(""))
+    cut = F.concat(F.rtrim(F.substring("full", 1, head)), F.lit(TRUNCATED.format(head=head, samples=samples, tail=tail)), lead, ending)
     return (
         full.withColumn("places", places)
         .withColumn("middle", middle)

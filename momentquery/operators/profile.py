@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 LENGTHS = (("under_20s", 0.0, 20.0), ("20_to_30s", 20.0, 30.0), ("30_to_45s", 30.0, 45.0), ("45_to_60s", 45.0, 60.0), ("over_60s", 60.0, None))
 LENGTH_LABELS = {"under_20s": "under 20s", "20_to_30s": "between 20 and 30s", "30_to_45s": "between 30 and 45s", "45_to_60s": "between 45 and 60s", "over_60s": "over 60s"}
 TIERS = (("high", 2, 15, 0.30), ("medium", 1, 8, 0.25), ("low", 0, 5, 0.20))
+# How a cohort is put into words, by kind.
+RULES = {
+    "length": "User {does} clips {label} ({rate}% keep rate vs. {all}% overall).",
+    "spike": "User {does} '{key}' clips ({rate}% keep rate vs. {all}% overall).",
+    "score": "User skips many high-scoring clips ({rate}% keep rate at score >= 0.85 vs. {all}% overall).",
+    "ratio": "User {does} {key} renders ({rate}% keep rate vs. {all}% overall).",
+}
+MEMORIES = {
+    "length": "Clip creator {does} clips {label}; bias candidate scoring accordingly.",
+    "spike": "Clip creator {does} '{key}' spike clips; weight that signal accordingly when scoring.",
+    "score": "Rubric score alone is not a reliable signal for this creator; weight spike categories, pacing, and concrete payoff over raw score.",
+    "ratio": "Clip creator mostly {does} the {key} ratio; consider adjusting default ratios accordingly.",
+}
 LEAST_ROWS = 5
 HIGH_SCORE = 0.85
 
@@ -55,7 +68,7 @@ def _tier(n: Column, deviation: Column, value: int) -> Column:
 def patterns(entries: DataFrame) -> DataFrame:
     """Cohorts that are kept much more or less often than all clips.
 
-    kind, key, direction, confidence, sample_size, keep_rate, overall_keep_rate, rule and position: more confident
+    kind, key, direction, confidence, sample_size, keep_rate, overall_keep_rate, rule, suggested_memory and position: more confident
     first, smaller samples first within a confidence, then by kind (length, spike, score, ratio) and key.
     """
     length = F.lit(None)
@@ -86,14 +99,25 @@ def patterns(entries: DataFrame) -> DataFrame:
     shaky = scored & ((n < TIERS[1][2]) | (deviation < TIERS[1][3]))
     more = F.when(gap > 0, "keeps").otherwise("skips")
     percent = lambda c: F.floor(F.col(c) * 100).cast("int").cast("string")
-    vs = F.concat(F.lit("% against "), percent("overall_keep_rate"), F.lit("% of all"))
-    what = F.when(F.col("kind") == "length", F.element_at(F.create_map(*[F.lit(x) for kv in LENGTH_LABELS.items() for x in kv]), F.col("key"))).otherwise(F.col("key"))
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in LENGTH_LABELS.items() for x in kv]), F.col("key"))
+    kind = F.col("kind")
+
+    def worded(formats: dict[str, str]) -> Column:
+        out = F.lit(None)
+        for name, text in formats.items():
+            filled = F.lit(text)
+            for mark, value in (("{does}", more), ("{label}", label), ("{key}", F.col("key")), ("{rate}", percent("keep_rate")), ("{all}", percent("overall_keep_rate"))):
+                if mark in text:
+                    filled = F.replace(filled, F.lit(mark), value)
+            out = F.when(kind == name, filled).otherwise(out)
+        return out
+
     return (
         joined.withColumns({"confidence": _tier(n, deviation, 0), "rank": _tier(n, deviation, 1)})
         .filter(F.col("confidence").isNotNull() & ~shaky)
-        .withColumns({"direction": more, "rule": F.concat(more, F.lit(" "), F.col("kind"), F.lit(" "), what, F.lit(": "), percent("keep_rate"), vs)})
+        .withColumns({"direction": more, "rule": worded(RULES), "suggested_memory": worded(MEMORIES)})
         .withColumn("position", F.expr("row_number() over (order by rank desc, sample_size, kind_ord, key_ord)"))
-        .select("position", "kind", "key", "direction", "confidence", "sample_size", "keep_rate", "overall_keep_rate", "rule")
+        .select("position", "kind", "key", "direction", "confidence", "sample_size", "keep_rate", "overall_keep_rate", "rule", "suggested_memory")
     )
 
 

@@ -11,6 +11,9 @@ from ..lexicon import Lexicon
 
 #: Frames meet windows by slices of this many seconds.
 SLICE = 15.0
+# The sentences that describe what was seen.
+DESCRIPTION = "faces in %d%% of sampled frames; avg motion %.2f, peak motion %.2f; %d shot change(s)"
+NO_FRAMES = "No sampled vision frames landed inside this clip window."
 
 
 def _joined_text(members: Column) -> Column:
@@ -25,7 +28,7 @@ def lexical(windows: DataFrame, lexicon: Lexicon = Lexicon(), config: Mining = M
         {
             "_text": _joined_text(F.col("members")),
             "_first": F.element_at("members", 1)["text"],
-            "_last": F.trim(F.element_at("members", -1)["text"]),
+            "_last": fx.strip(F.element_at("members", -1)["text"]),
             "_rest": _joined_text(F.slice("members", F.lit(1), F.greatest(n - 1, F.lit(0)))),
             "_head": _joined_text(F.slice("members", F.lit(1), half)),
             "_tail": _joined_text(F.slice("members", half + 1, F.greatest(n - half, F.lit(0)))),
@@ -125,9 +128,7 @@ def visual_summary(seen: DataFrame) -> DataFrame:
     seconds = F.greatest(F.col("end_seconds") - F.col("start_seconds"), F.lit(1e-6))
     n = F.col("frame_count")
     ratio = F.when(n > 0, F.col("face_count") / n).otherwise(F.lit(0.0))
-    described = F.format_string(
-        "%d frames, faces in %d%%, %d shot changes", n, F.round(ratio * 100).cast("int"), F.col("shot_change_count")
-    )
+    described = F.format_string(DESCRIPTION, F.round(ratio * 100).cast("int"), F.round("avg_motion", 2), F.round("peak_motion", 2), F.col("shot_change_count"))
     return seen.withColumns(
         {
             "face_presence_ratio": F.round(ratio, 4),
@@ -136,7 +137,7 @@ def visual_summary(seen: DataFrame) -> DataFrame:
             "shot_change_rate_per_minute": F.when(n > 0, F.round(F.col("shot_change_count") / (seconds / 60), 4)).otherwise(F.lit(0.0)),
             "avg_face_center_x": F.round("avg_face_center_x", 4),
             "avg_face_center_y": F.round("avg_face_center_y", 4),
-            "description": F.when(n > 0, described).otherwise(F.lit("no frames")),
+            "description": F.when(n > 0, described).otherwise(F.lit(NO_FRAMES)),
         }
     )
 

@@ -226,9 +226,14 @@ ORACLE = {
         t as (select *, case when n >= 15 and dev >= 0.30 then 2 when n >= 8 and dev >= 0.25 then 1 when n >= 5 and dev >= 0.20 and kind <> 'score' then 0 end as rank from g)
         select cast(row_number() over (order by rank desc, n, ko, key_ord) as int) as position, kind, key, case when r > all_r then 'keeps' else 'skips' end as direction,
             case rank when 2 then 'high' when 1 then 'medium' else 'low' end as confidence, n as sample_size, r as keep_rate, all_r as overall_keep_rate,
-            concat(case when r > all_r then 'keeps' else 'skips' end, ' ', kind, ' ', case key when 'under_20s' then 'under 20s' when '20_to_30s' then 'between 20 and 30s' when '30_to_45s' then 'between 30 and 45s' when '45_to_60s' then 'between 45 and 60s' when 'over_60s' then 'over 60s' else key end,
-                ': ', floor(r * 100)::int, '% against ', floor(all_r * 100)::int, '% of all') as rule
-        from t where rank is not null""",
+            case kind when 'length' then concat('User ', does, ' clips ', label, tail) when 'spike' then concat('User ', does, ' ''', key, ''' clips', tail)
+                when 'score' then concat('User skips many high-scoring clips (', floor(r * 100)::int, '% keep rate at score >= 0.85 vs. ', floor(all_r * 100)::int, '% overall).') else concat('User ', does, ' ', key, ' renders', tail) end as rule,
+            case kind when 'length' then concat('Clip creator ', does, ' clips ', label, '; bias candidate scoring accordingly.')
+                when 'spike' then concat('Clip creator ', does, ' ''', key, ''' spike clips; weight that signal accordingly when scoring.')
+                when 'score' then 'Rubric score alone is not a reliable signal for this creator; weight spike categories, pacing, and concrete payoff over raw score.'
+                else concat('Clip creator mostly ', does, ' the ', key, ' ratio; consider adjusting default ratios accordingly.') end as suggested_memory
+        from (select *, case when r > all_r then 'keeps' else 'skips' end as does, concat(' (', floor(r * 100)::int, '% keep rate vs. ', floor(all_r * 100)::int, '% overall).') as tail,
+            case key when 'under_20s' then 'under 20s' when '20_to_30s' then 'between 20 and 30s' when '30_to_45s' then 'between 30 and 45s' when '45_to_60s' then 'between 45 and 60s' when 'over_60s' then 'over 60s' else key end as label from t) t where rank is not null""",
     "feedback_recent": f"select ord, job_id, clip_id, round(score, 6) as score from {o.HISTORY} x order by ord desc limit 20",
     "review_manifest": f"""with m as (select * from {_DUCK_SCORES} z where clip_id is not null qualify row_number() over (partition by job_id, clip_id order by ord desc) = 1),
         j as (select c.job_id, c.clip_id, coalesce(m.final_score, c.score) as s, coalesce(m.title, c.title) as title, coalesce(m.hook, c.hook) as hook from {o.CLIPS} c left join m on m.job_id = c.job_id and m.clip_id = c.clip_id)

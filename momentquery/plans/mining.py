@@ -193,7 +193,7 @@ def _alpha(cut: str, dt: str) -> str:
 _DT, _SPEED = "(a.t - p.t)", "((a.v - p.y) / (a.t - p.t))"
 _SMOOTH_SPEED = f"(case when p.d is null then {_SPEED} else {_alpha('1.0', _DT)} * {_SPEED} + (1 - {_alpha('1.0', _DT)}) * p.d end)"
 _CUT = f"1.0 + 0.3::double * abs({_SMOOTH_SPEED})"
-_LINE = "concat('[', case when speaker = '' then 'SPEAKER' else coalesce(speaker, 'SPEAKER') end, ' ', printf('%.1f', round(start_seconds, 1)), 's] ', trim(text))"
+_LINE = f"concat('[', case when speaker = '' then 'SPEAKER' else coalesce(speaker, 'SPEAKER') end, ' ', printf('%.1f', round(start_seconds, 1)), 's] ', trim(text, {o.BLANKS}))"
 
 ORACLE = {
     "windows_enumerated": f"with {o.WINDOWS} select job_id, start_idx, end_idx, round(start_seconds, 6) as start_seconds, round(end_seconds, 6) as end_seconds, end_idx - start_idx + 1 as n_segments from win",
@@ -207,7 +207,8 @@ ORACLE = {
         case when frame_count > 0 then round(face_count / frame_count, 4) else 0.0 end as face_presence_ratio,
         case when frame_count > 0 then round(shot_change_count / (greatest(end_seconds - start_seconds, 1e-6) / 60), 4) else 0.0 end as shot_change_rate_per_minute,
         round(fx, 4) as avg_face_center_x, round(fy, 4) as avg_face_center_y,
-        case when frame_count > 0 then concat(frame_count, ' frames, faces in ', round(face_count / frame_count * 100)::int, '%, ', shot_change_count, ' shot changes') else 'no frames' end as description from seen""",
+        case when frame_count > 0 then concat('faces in ', round(face_count / frame_count * 100)::int, '% of sampled frames; avg motion ', printf('%.2f', round(avg_motion, 2)), ', peak motion ', printf('%.2f', round(peak_motion, 2)), '; ', shot_change_count, ' shot change(s)')
+            else 'No sampled vision frames landed inside this clip window.' end as description from seen""",
     "scored_windows": _SCORED
     + """ select job_id, start_idx, end_idx, round(score, 6) as score, round(motion, 6) as motion, round(shot_change, 6) as shot_change, round(face_presence, 6) as face_presence, rambling_middle,
         concat_ws('|', case when keyword >= 0.16 then case when speaker_interaction >= 0.1 then 'emotional_confrontation' else 'controversy' end end,
@@ -253,7 +254,7 @@ from each e join good g on g.job_id = e.job_id and g.n = e.k.n
 """,
     "clip_briefs": f"""with {o.WINDOWS},
 texts as (
-    select w.job_id, w.start_idx, w.end_idx, w.start_seconds, w.end_seconds, trim(string_agg(m.text, ' ' order by m.seg_idx)) as t, list(m.speaker order by m.seg_idx) as sp
+    select w.job_id, w.start_idx, w.end_idx, w.start_seconds, w.end_seconds, trim(string_agg(m.text, ' ' order by m.seg_idx), {o.BLANKS}) as t, list(m.speaker order by m.seg_idx) as sp
     from win w join seg m on m.job_id = w.job_id and m.seg_idx between w.start_idx and w.end_idx group by all
 )
 select job_id, start_idx, end_idx, substr(sha1(concat_ws('|', 'v1', printf('%.3f', start_seconds), printf('%.3f', end_seconds), t)), 1, 16) as clip_hash,
@@ -271,7 +272,7 @@ fold as (
 ),
 lines as (
     select f.job_id, f.clip_id, f.line_idx, min(w.start_seconds) as start_seconds, arg_max(w.end_seconds, w.word_ord) as end_seconds, string_agg(w.text, ' ' order by w.word_ord) as text,
-        count(*)::int as n_words, string_agg(case when w.emphasis then concat('{{\\c&H00FFFF&}}', e.t, '{{\\c&HFFFFFF&}}') else e.t end, ' ' order by w.word_ord) as body
+        count(*)::int as n_words, string_agg(case when w.emphasis then concat('{{\\c&H0000F0FF&}}', e.t, '{{\\c&H00FFFFFF&}}') else e.t end, ' ' order by w.word_ord) as body
     from fold f join cw w using (job_id, clip_id, word_ord), lateral (select replace(replace(replace(w.text, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}') as t) e group by all
 ),
 timed as (select *, round(start_seconds * 100)::bigint as a, round(end_seconds * 100)::bigint as b from lines)
@@ -306,7 +307,8 @@ q as (select *, list_filter(list_transform([1, 2, 3, 4, 5], lambda i: round(last
 d as (select *, list_filter(raw, lambda x, i: list_position(raw, x) = i) as places from q),
 m as (select *, greatest(400 // greatest(len(places), 1), 1) as per from d),
 x as (select *, case when len(places) > 0 then rtrim(substr(array_to_string(list_transform(places, lambda i: case when len(p[i + 1]) > per then concat(rtrim(substr(p[i + 1], 1, greatest(per - 1, 1))), '…') else p[i + 1] end), chr(10)), 1, 400)) else '' end as middle from m),
-e as (select job_id, len(whole) > 1200 as truncated, case when len(whole) <= 1200 then whole else concat(rtrim(substr(whole, 1, 500)), chr(10), chr(10), '[...]', chr(10), chr(10), middle, chr(10), chr(10), '[...]', chr(10), chr(10), ltrim(right(whole, 300))) end as t from x)
+e as (select job_id, len(whole) > 1200 as truncated, case when len(whole) <= 1200 then whole else concat(rtrim(substr(whole, 1, 500)), chr(10), chr(10), '[transcript truncated for brief — kept first 500 chars, 5 representative middle sample(s), and last 300 chars]', chr(10), chr(10),
+    case when middle <> '' then concat('[representative middle excerpts]', chr(10), middle, chr(10)) else '' end, chr(10), chr(10), '[ending excerpt]', chr(10), chr(10), ltrim(right(whole, 300))) end as t from x)
 select job_id, truncated, len(t)::int as n_chars, md5(t) as digest from e
 """,
 }

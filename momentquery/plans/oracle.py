@@ -7,6 +7,8 @@ from ..sources import testdata as td
 
 SEGMENTS, FRAMES, WORDS, HISTORY, CLIPS = (td.duck(x) for x in (td.SEGMENTS, td.FRAMES, td.WORDS, td.HISTORY, td.CLIPS))
 LEX = Lexicon()
+#: The white space that stripping takes off.
+BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 
 def quoted(values) -> str:
@@ -83,7 +85,7 @@ def _text(where: str) -> str:
 SAID = f"""
 said as (
     select w.job_id, w.start_idx, w.end_idx, w.start_seconds, w.end_seconds, any_value({_N}) as n,
-        {_text('true')} as t, {_text(f'{_POS} = 0')} as first, trim({_text('m.seg_idx = w.end_idx')}) as last,
+        {_text('true')} as t, {_text(f'{_POS} = 0')} as first, trim({_text('m.seg_idx = w.end_idx')}, {BLANKS}) as last,
         {_text('m.seg_idx < w.end_idx')} as rest, {_text(f'{_POS} < {_HALF}')} as head, {_text(f'{_POS} >= {_HALF}')} as tail,
         {_text(f'{_POS} > 0 and m.seg_idx < w.end_idx')} as middle,
         count(*) filter (where {_POS} > 0 and m.speaker <> m.before) as turns

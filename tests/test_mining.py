@@ -159,7 +159,7 @@ def test_piecewise_expressions(spark):
     rows = [("a", 0, 0.0, 5), ("a", 1, 1.0, 5), ("b", 0, 0.0, 5), ("b", 1, 2.0, 9), ("b", 2, 3.0, 9)]
     df = spark.createDataFrame(rows, "k string, anchor_idx int, t double, v int")
     got = {r.k: r.expression for r in camera.piecewise(df, ["k"], "v").collect()}
-    assert got == {"a": "5", "b": "if(lt(t,2),(5+(4)*(t-0)/2),if(lt(t,3),9,9))"}
+    assert got == {"a": "5", "b": r"if(lt(t\,2)\,(5+(4)*(t-0)/2)\,if(lt(t\,3)\,9\,9))"}
 
 
 def test_settings_and_numbers(spark):
