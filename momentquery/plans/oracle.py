@@ -98,7 +98,7 @@ spoken as (select *, {tokens('t')} as tw, {tokens('first')} as fw, {tokens('rest
 lexical as (
     select job_id, start_idx, end_idx, start_seconds, end_seconds, n, speaker_interaction, {hook('first', 'fw')} as hook, {keyword('tw')} as keyword,
         {numeric('t', 'tw')} as numeric, {interjection('tw')} as interjection, {payoff('t', 'tw')} as payoff,
-        case when n < 2 or not contains(head, '?') then 0.0 when {distinct('lw', LEX.answer_words)} > 0 or {payoff('tail', 'lw')} > 0 then 1.0 else 0.35 end as question_to_answer,
+        cast(case when n < 2 or not contains(head, '?') then 0.0 when {distinct('lw', LEX.answer_words)} > 0 or {payoff('tail', 'lw')} > 0 then 1.0 else 0.35 end as double) as question_to_answer,
         case when speaker_interaction >= 0.1 then {interview('t', 'tw')} else 0.0 end as interview_keyword,
         {phrases('first', LEX.buried_leads)} > 0 as buried_lead, suffix(last, '?') and {payoff('rest', 'rw')} = 0 as dangling_question,
         case when n > 2 then {keyword('mw')} end as middle_keyword

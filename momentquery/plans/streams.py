@@ -17,7 +17,8 @@ def _place(spark: SparkSession) -> str:
 
 
 def merged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user's events at most half an hour apart, read as a stream and written as a table."""
+    """Sessions of a user's events at most half an hour apart, read as a stream and written as a table: those that the
+    watermark has closed when the input ends."""
     ship(spark)
     place, path = _place(spark), f"{sf_dir}/events.parquet"
     rows = spark.read.parquet(path).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -30,5 +31,18 @@ def merged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-QUERIES = {"merged_sessions": merged_sessions}
-ORACLE: dict[str, str] = {}
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions from the table, the last ones included."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = streams.merged_events(rows, "user_id", "ts", "30 minutes")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+QUERIES = {"merged_sessions": merged_sessions, "event_sessions": event_sessions}
+ORACLE = {
+    "event_sessions": """
+with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+select user_id, min(ts) as start, max(ts) as "end", count(*) as n from s group by user_id, k
+"""
+}
