@@ -91,9 +91,9 @@ def delivery(windows: DataFrame, words: DataFrame) -> DataFrame:
     return windows.join(scored, key, "left").fillna(0.0, ["delivery_variance"])
 
 
-def visual(windows: DataFrame, frames: DataFrame) -> DataFrame:
-    """windows (any rows with job_id, start_seconds, end_seconds and a row_id) with the sums of their frames, those
-    from the start up to, not including, the end. Windows without frames have frame_count 0.
+def frame_sums(windows: DataFrame, frames: DataFrame) -> DataFrame:
+    """For rows with row_id, job_id, start_seconds and end_seconds, the sums of their frames, those from the start up
+    to, not including, the end; rows without frames are left out.
 
     Windows are cut into slices of SLICE seconds and frames meet them by slice, each frame in one; the sums of a
     window's slices are then added."""
@@ -102,7 +102,7 @@ def visual(windows: DataFrame, frames: DataFrame) -> DataFrame:
     seen = frames.select(F.col("job_id").alias("_job"), F.floor(F.col("timestamp_seconds") / SLICE).alias("_slice"), "timestamp_seconds", "motion_score", "shot_change", "face_x", "face_y")
     t = F.col("timestamp_seconds")
     inside = (F.col("job_id") == F.col("_job")) & (F.col("slice") == F.col("_slice")) & (t >= F.col("start_seconds")) & (t < F.col("end_seconds"))
-    sums = cut.join(seen, inside).groupBy("row_id").agg(
+    return cut.join(seen, inside).groupBy("row_id").agg(
         F.count("*").alias("frame_count"),
         F.count("face_x").alias("face_count"),
         F.count_if("shot_change").alias("shot_change_count"),
@@ -111,7 +111,14 @@ def visual(windows: DataFrame, frames: DataFrame) -> DataFrame:
         F.avg("face_x").alias("avg_face_center_x"),
         F.avg("face_y").alias("avg_face_center_y"),
     )
-    return windows.join(sums, "row_id", "left").fillna(0, ["frame_count", "face_count", "shot_change_count", "avg_motion", "peak_motion"])
+
+
+COUNTS = ("frame_count", "face_count", "shot_change_count", "avg_motion", "peak_motion")
+
+
+def visual(windows: DataFrame, frames: DataFrame) -> DataFrame:
+    """windows with their frame_sums(); those without frames count none."""
+    return windows.join(frame_sums(windows, frames), "row_id", "left").fillna(0, list(COUNTS))
 
 
 def visual_signals(seen: DataFrame) -> DataFrame:
@@ -184,19 +191,21 @@ def reasons() -> Column:
 
 def scored(windows: DataFrame, frames: DataFrame, words: DataFrame, lexicon: Lexicon = Lexicon(), config: Mining = Mining()) -> DataFrame:
     """windows with all signals, penalties, score, spike_categories and reasons."""
-    marked = delivery(lexical(windows, lexicon, config), words).withColumn("row_id", F.struct("job_id", "start_idx", "end_idx"))
-    # The part between the first and last segment is a window of its own for the frames.
-    middle = marked.filter(F.size("members") > 2).select(
-        F.struct("job_id", F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), F.lit("middle").alias("m")).alias("row_id"),
-        "job_id", F.element_at("members", 2)["start_seconds"].alias("start_seconds"), F.element_at("members", -2)["end_seconds"].alias("end_seconds"),
-    )
-    whole = marked.select(F.struct("job_id", F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), F.lit("whole").alias("m")).alias("row_id"), "job_id", "start_seconds", "end_seconds")
-    seen = visual_signals(visual(whole.unionByName(middle), frames)).select("row_id.*", "motion", "shot_change", "face_presence")
-    by_window = seen.groupBy("job_id", F.col("s").alias("start_idx"), F.col("e").alias("end_idx")).agg(
-        *[F.max(F.when(F.col("m") == "whole", F.col(c))).alias(c) for c in ("motion", "shot_change", "face_presence")],
-        F.max(F.when(F.col("m") == "middle", F.col("motion"))).alias("middle_motion"),
+    marked = delivery(lexical(windows, lexicon, config), words)
+    # Frames are summed for the window and for the part between its first and last segment. Only bounds take part,
+    # so neither texts nor what was computed from them is shuffled for it.
+    key = ["job_id", "start_idx", "end_idx"]
+    part = lambda name, start, end: F.struct(F.lit(name).alias("part"), start.alias("start_seconds"), end.alias("end_seconds"))
+    whole = part("whole", F.col("start_seconds"), F.col("end_seconds"))
+    middle = part("middle", F.try_element_at("members", F.lit(2))["start_seconds"], F.try_element_at("members", F.lit(-2))["end_seconds"])
+    parts = windows.select(*key, F.explode(F.when(F.size("members") > 2, F.array(whole, middle)).otherwise(F.array(whole))).alias("p"))
+    bounds = parts.select(F.struct(*key, F.col("p.part").alias("part")).alias("row_id"), "job_id", "p.start_seconds", "p.end_seconds")
+    sums = frame_sums(bounds, frames).select("row_id.*", *COUNTS)
+    of_window = F.col("part") == "whole"
+    by_window = sums.groupBy(*key).agg(
+        *[F.max(F.when(of_window, F.col(c))).alias(c) for c in COUNTS], F.max(F.when(~of_window, F.col("avg_motion"))).alias("middle_motion")
     )
-    joined = marked.drop("row_id").join(by_window, ["job_id", "start_idx", "end_idx"])
-    rambling = (F.col("middle_motion") <= config.still_motion) & (F.col("middle_keyword") <= config.still_keyword)
-    out = joined.withColumn("rambling_middle", F.coalesce(rambling, F.lit(False)))
+    seen = visual_signals(marked.join(by_window, key, "left").fillna(0, [*COUNTS, "middle_motion"])).drop(*COUNTS)
+    rambling = (F.size("members") > 2) & (F.col("middle_motion") <= config.still_motion) & (F.col("middle_keyword") <= config.still_keyword)
+    out = seen.withColumn("rambling_middle", F.coalesce(rambling, F.lit(False)))
     return out.withColumn("score", total(config)).withColumns({"spike_categories": spike_categories(), "reasons": reasons()})
