@@ -18,6 +18,11 @@ def literal_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.trim(text, F.lit(" \t\n\r\f\v"))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
