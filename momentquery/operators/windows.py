@@ -21,8 +21,10 @@ def enumerated(segments: DataFrame, durations: Durations = Durations()) -> DataF
     if segments' ends go back. What a window can reach lies, by the latest start so far, within the longest length,
     so each segment gathers a range frame of bounded length and no job is joined with itself.
     """
-    # The frame is in SQL because its bound is a double.
-    ahead = f"""collect_list(struct(seg_idx, speaker, start_seconds, end_seconds, text)) over (
+    # Members hold what segments have of these; leave out texts where only bounds are wanted. The frame is in SQL
+    # because its bound is a double.
+    fields = ", ".join(c for c in ("seg_idx", "speaker", "start_seconds", "end_seconds", "text") if c in segments.columns)
+    ahead = f"""collect_list(struct({fields})) over (
         partition by job_id order by _latest range between current row and {durations.most}D following)"""
     grown = segments.withColumn("_latest", F.max("start_seconds").over(by_job())).withColumn("_ahead", F.expr(ahead))
     ordered = F.filter(F.array_sort("_ahead"), lambda m: m["seg_idx"] >= F.col("seg_idx"))

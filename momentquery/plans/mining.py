@@ -20,7 +20,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def windows_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windows.enumerated(td.segments(spark, sf_dir)).select("job_id", "start_idx", "end_idx", "start_seconds", "end_seconds", F.size("members").alias("n_segments")))
+    return rounded(windows.enumerated(td.segments(spark, sf_dir).drop("text", "speaker")).select("job_id", "start_idx", "end_idx", "start_seconds", "end_seconds", F.size("members").alias("n_segments")))
 
 
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def window_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.enumerated(td.segments(spark, sf_dir)).drop("members").withColumn("row_id", F.struct("job_id", "start_idx", "end_idx"))
+    w = windows.enumerated(td.segments(spark, sf_dir).drop("text", "speaker")).drop("members").withColumn("row_id", F.struct("job_id", "start_idx", "end_idx"))
     return rounded(signals.visual_summary(signals.visual(w, td.frames(spark, sf_dir))).drop("row_id", "face_count", "start_seconds", "end_seconds"))
 
 
