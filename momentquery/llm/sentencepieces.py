@@ -30,7 +30,7 @@ MARK = "▁"
 #: Stands for U+2581 in a text; no valid text has it.
 LITERAL = "\udc81"
 #: Texts between marks are kept in memory up to this length and number.
-KEEP_CHARS, KEEP = 40, 300_000
+KEEP_CHARS, KEEP = 40, 200_000
 #: What a byte piece costs more than the worst piece.
 PENALTY = 10.0
 
@@ -79,57 +79,75 @@ class Coder:
         self.bytes = [b"" if i in v.special else p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces)]
         for b, i in enumerate(v.byte_ids):
             self.bytes[i] = bytes([b])
-        self.kept: dict[str, tuple[array, float]] = {}
+        # A fallback character costs once, so only the bytes that begin one have its score.
+        self.costs = np.array(v.scores)
+        self.costs[v.byte_ids] = [0.0 if 0x80 <= b < 0xC0 else self.unknown for b in range(256)]
+        self.kept: dict[str, bytes] = {}
 
     def _fallback(self, c: str) -> list[int]:
         return [self.vocabulary.byte_ids[b] for b in (MARK if c == LITERAL else c).encode("utf-8", "surrogatepass")]
 
-    def best(self, text: str) -> tuple[array, float]:
-        """Piece ids and score of the best segmentation of a text in which marks stand for spaces."""
+    def best(self, text: str) -> bytes:
+        """Piece ids (32-bit) of the best segmentation of a text in which marks stand for spaces."""
         n = len(text)
-        score, came, piece = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
-        covered = self.singles.issuperset(text)
-        at = 0  # positions up to here are final
-        for end, (width, value, i) in self.automaton.iter(text):
-            if not covered:
+        score, last = [0.0] + [float("-inf")] * n, [None] * (n + 1)
+        found: list[int] = []
+        if self.singles.issuperset(text):
+            for end, piece in self.automaton.iter(text):
+                end += 1
+                total = score[end - piece[0]] + piece[1]
+                if total > score[end]:
+                    score[end], last[end] = total, piece
+            k = n
+            while k:
+                width, _, i = last[k]
+                found.append(i)
+                k -= width
+        else:
+            at = 0  # positions up to here are final
+            for end, piece in self.automaton.iter(text):
                 while at < end:  # a character without a piece of its own may become bytes
-                    self._relax_bytes(text, at, score, came, piece)
+                    self._relax_bytes(text, at, score, last)
                     at += 1
-            total = score[end + 1 - width] + value
-            if total > score[end + 1]:
-                score[end + 1], came[end + 1], piece[end + 1] = total, end + 1 - width, i
-        if not covered:
+                total = score[end + 1 - piece[0]] + piece[1]
+                if total > score[end + 1]:
+                    score[end + 1], last[end + 1] = total, piece
             for k in range(at, n):
-                self._relax_bytes(text, k, score, came, piece)
-        found: list[int] = []
-        k = n
-        while k:
-            found += self._fallback(text[came[k]])[::-1] if piece[k] < 0 else (piece[k],)
-            k = came[k]
-        return array("i", found[::-1]), score[n]
-
-    def _relax_bytes(self, text: str, k: int, score: list, came: list, piece: list) -> None:
+                self._relax_bytes(text, k, score, last)
+            k = n
+            while k:
+                width, _, i = last[k]
+                found += (i,) if i >= 0 else self._fallback(text[k - 1])[::-1]
+                k -= width
+        return array("i", found[::-1]).tobytes()
+
+    def _relax_bytes(self, text: str, k: int, score: list, last: list) -> None:
         if text[k] not in self.singles and score[k] + self.unknown > score[k + 1]:
-            score[k + 1], came[k + 1], piece[k + 1] = score[k] + self.unknown, k, -1
+            score[k + 1], last[k + 1] = score[k] + self.unknown, (1, self.unknown, -1)
 
-    def encode(self, text: str) -> tuple[array, float]:
-        ids, total = array("i"), 0.0
+    def encode(self, text: str) -> np.ndarray:
+        """Piece ids of a text."""
         if not text:
-            return ids, total
+            return np.zeros(0, np.int32)
         kept = self.kept
         if len(kept) > KEEP:
             kept.clear()
         if MARK in text:
             text = text.replace(MARK, LITERAL)
-        for part in self.split(MARK + text.replace(" ", MARK)):
-            found = kept.get(part)
-            if found is None:
-                found = self.best(part)
-                if len(part) <= KEEP_CHARS:
-                    kept[part] = found
-            ids.extend(found[0])
-            total += found[1]
-        return ids, total
+        parts = self.split(MARK + text.replace(" ", MARK))
+        try:
+            blob = b"".join(map(kept.__getitem__, parts))
+        except KeyError:
+            new = {part: self.best(part) for part in set(parts) if part not in kept}
+            kept.update(new)
+            blob = b"".join(map(kept.__getitem__, parts))
+            for part in new:
+                if len(part) > KEEP_CHARS:
+                    del kept[part]
+        return np.frombuffer(blob, np.int32)
+
+    def score(self, ids: np.ndarray) -> float:
+        return float(self.costs[ids].sum())
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -156,18 +174,13 @@ def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text") -> Dat
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(shared.value)
         for texts in batches:
-            flat, offsets, scores, exact, nulls = array("i"), [0], [], [], []
-            for t in texts:
-                t = t.as_py()
-                ids, score = coder.encode(t or "")
-                flat.extend(ids)
-                offsets.append(len(flat))
-                nulls.append(t is None)
-                scores.append(None if t is None else score)
-                exact.append(None if t is None else coder.decode(ids) == t)
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else [], pa.int32()), mask=pa.array(nulls, pa.bool_())
-            )
+            found = [None if t is None else coder.encode(t) for t in texts.to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([0 if ids is None else len(ids) for ids in found])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids in found if ids is not None)])
+            scores = [None if ids is None else coder.score(ids) for ids in found]
+            exact = [None if ids is None else coder.decode(ids.tolist()) == t.as_py() for ids, t in zip(found, texts)]
+            nulls = pa.array([ids is None for ids in found], pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=nulls)
             yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(exact, pa.bool_())], ["pieces", "score", "exact"])
 
     # The rows travel as one struct, so no name of theirs can clash with one of ours.
