@@ -266,16 +266,21 @@ def _all_pairs(at: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     few = counted.filter(F.col("_df") <= HOT)
     cold = side(few, "a", "i").join(side(few, "b", "j").withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fit)
 
-    words = MARKS // 64
-    marked = classes.select(F.col("node").alias("_node"), *[F.element_at("marks", k + 1).alias(f"m{k}") for k in range(words)])
-    band = F.floor(F.log("n") / F.lit(math.log(100 / percent)))
+    # Of the coarse marks, halves folded onto each other: rows of hot keys stay narrow.
+    half = MARKS // 128
+    folded = [F.element_at("marks", k + 1).bitwiseXOR(F.element_at("marks", k + 1 + half)).alias(f"m{k}") for k in range(half)]
+    marked = classes.select(F.col("node").alias("_node"), *folded)
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent)) + 1e-9)
     hot = counted.filter(F.col("_df") > HOT).join(marked, F.col("node") == F.col("_node")).withColumn("band", band)
-    names = [f"m{k}" for k in range(words)]
-    left = side(hot, "a", "i", *names, F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    names = [f"m{k}" for k in range(half)]
+    # The smaller one of a pair looks in its own band and the next; of equal ones the smaller node.
+    left = side(hot, "a", "i", *names, F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     right = side(hot, "b", "j", *[F.col(m).alias(f"_{m}") for m in names], F.col("band").alias("_band")).withColumnRenamed("key", "_key")
     differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in names), F.lit(0))
     close = (100 + percent) * differ <= (100 - percent) * (na + nb)
-    warm = left.join(right, (F.col("key") == F.col("_key")) & (F.col("band") == F.col("_band")) & fit & close)
+    smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    apart = (F.col("ca") != F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent)
+    warm = left.join(right, (F.col("key") == F.col("_key")) & (F.col("band") == F.col("_band")) & smaller & apart & close)
     columns = ["a", "na", "i", "ca", "b", "nb", "j", "cb"]
     return cold.select(columns).unionByName(warm.select(columns))
 
