@@ -28,7 +28,7 @@ from .labelled import sample
 #: Rated documents of each grade that the fit looks at, at most.
 SAMPLE = 800
 N_WEIGHTS = 1 << 18
-CACHE = 400_000
+CACHE = 150_000
 RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "9"))
 
 

@@ -45,7 +45,7 @@ STEADY = 400
 #: Lengths of the beginnings of words that are features beside the words themselves.
 PREFIXES = (3, 4, 5, 6, 7)
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-CACHE = 400_000
+CACHE = 150_000
 TOKEN = re.compile(r"\S+")
 
 
@@ -118,7 +118,7 @@ class Tagger:
     def _plain(self, n: int) -> tuple[float, float, float]:
         """The summary of n tokens outside the lexicon."""
         if n not in self.plain:
-            if len(self.plain) > CACHE:
+            if len(self.plain) > 20_000:
                 self.plain.clear()
             m = min(n, STEADY)
             self.plain[n] = self.chain.summary(self.chain.marginals([self.chain.other] * m), n - m)
@@ -181,36 +181,29 @@ def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
     Copies of one toxic document would make toxic words of all its words. So features are first chosen by how many
     toxic documents they newly cover; a further one needs half the weight of the weakest that was chosen so.
     """
-    counts, n = (Counter(), Counter()), [0, 0]
-    sets = []
-    for words, label in docs:
-        n[label] += 1
-        own = {f for w in set(words) if w for f in features(w)}
-        counts[label].update(own)
-        if label:
-            sets.append(own)
-    if not all(n):
+    toxic, clean = ([set(words) for words, label in docs if label == k] for k in (1, 0))
+    if not toxic or not clean:
         return {}
-    lift = {
-        w: math.log((a + 0.5) / (n[1] + 1)) - math.log((counts[0][w] + 0.5) / (n[0] + 1))
-        for w, a in counts[1].items()
-        if a >= min(SUPPORT, n[1])
-    }
-    lift = {w: x for w, x in lift.items() if x >= math.log(LIFT)}
-    weight = {w: counts[1][w] * x for w, x in lift.items()}
+    held = Counter(f for words in toxic for f in {f for w in words if w for f in features(w)})
+    held = {f: n for f, n in held.items() if n >= min(SUPPORT, len(toxic))}
+    # Of other documents only the features that may be chosen are counted.
+    others = Counter(f for words in clean for f in {f for w in words for f in features(w) if f in held})
+    lift = {f: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((others[f] + 0.5) / (len(clean) + 1)) for f, n in held.items()}
+    lift = {f: x for f, x in lift.items() if x >= math.log(LIFT)}
+    weight = {w: held[w] * x for w, x in lift.items()}
     cover: list[str] = []
-    left = [s for s in ({w for w in own if w in lift} for own in sets) if s]
+    left = [s for s in ({f for w in words for f in features(w) if f in lift} for words in toxic) if s]
     while left and len(cover) < LEXICON:
         gain = Counter(w for own in left for w in own)
         best = max(gain, key=lambda w: (gain[w] * lift[w], not w.endswith("*"), w))
-        if gain[best] < max(SUPPORT, 0.015 * n[1]) and cover:
+        if gain[best] < max(SUPPORT, 0.015 * len(toxic)) and cover:
             break
         cover.append(best)
         left = [own for own in left if best not in own]
     least = 0.5 * min((weight[w] for w in cover), default=0.0)
     chosen = sorted((w for w in weight if weight[w] >= least), key=lambda w: (-weight[w], w))[:LEXICON]
     # A beginning that is little but one of the chosen words says nothing of its own.
-    told = {f for w in chosen if not w.endswith("*") for f in features(w)[1:] if counts[1][w] >= 0.8 * counts[1][f]}
+    told = {f for w in chosen if not w.endswith("*") for f in features(w)[1:] if held[w] >= 0.8 * held[f]}
     return {w: lift[w] for w in chosen if w not in told}
 
 
