@@ -76,12 +76,14 @@ select k as ord, concat('job-', o_custkey % 50) as job_id, concat('clip-', k % 4
         + case when k % 3 = 1 then 20 else 0 end - case when (k * 7) % 100 >= 85 then 60 else 0 end as posted
 from (select o_orderkey as k, o_custkey from {orders}) o
 """
-#: Clips of jobs: some time ranges, and the scores an outside model gave some of them.
+#: Clips of jobs: some time ranges, and the scores an outside model gave some of them. Every customer is a clip; each
+#: 1,500 of them are 15 clips of each of 100 jobs, about as many jobs as there are conversations.
 CLIPS = """
-select concat('job-', c_custkey % 100) as job_id, concat('clip-', lpad(cast((c_custkey - c_custkey % 100) / 100 as bigint) || '', 3, '0')) as clip_id,
+select concat('job-', c_custkey % 100 + cast((c_custkey - c_custkey % 1500) / 15 as bigint)) as job_id,
+    concat('clip-', lpad(cast((c_custkey % 1500 - c_custkey % 100) / 100 as bigint) || '', 3, '0')) as clip_id,
     cast((c_custkey * 7) % 23 as double) as start_seconds, cast((c_custkey * 7) % 23 + 12 + (c_custkey * 3) % 19 as double) as end_seconds,
     cast((c_custkey * 53) % 97 / 100.0 as double) as score, c_name as title, c_mktsegment as hook
-from (select c_custkey - c_custkey % 100 + (c_custkey * 37) % 100 as c_custkey, c_name, c_mktsegment from {customer} where c_custkey < 1000) c
+from (select c_custkey - c_custkey % 100 + (c_custkey * 37) % 100 as c_custkey, c_name, c_mktsegment from {customer}) c
 """
 
 
