@@ -17,12 +17,13 @@ def _place(spark: SparkSession) -> str:
 
 
 def merged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user's events at most half an hour apart, read as a stream and written as a table: those that the
-    watermark has closed when the input ends."""
+    """Sessions of a user's events at most half an hour apart, read as a stream and written as a table. An event of
+    no user, an hour after the last one, moves the watermark past all sessions; its own is never closed."""
     ship(spark)
     place, path = _place(spark), f"{sf_dir}/events.parquet"
     rows = spark.read.parquet(path).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    rows.write.parquet(f"{place}/in")
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), F.expr("ts + interval 1 hour").alias("ts"))
+    rows.unionByName(end).write.parquet(f"{place}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
     found = streams.merged_events(stream, "user_id", "ts", "30 minutes")
     sink = found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
@@ -32,7 +33,7 @@ def merged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sessions from the table, the last ones included."""
+    """The same sessions from the table."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     found = streams.merged_events(rows, "user_id", "ts", "30 minutes")
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
@@ -46,3 +47,4 @@ s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded
 select user_id, min(ts) as start, max(ts) as "end", count(*) as n from s group by user_id, k
 """
 }
+ORACLE["merged_sessions"] = ORACLE["event_sessions"]

@@ -1,6 +1,7 @@
 """Queries whose input once lost rows on the way."""
 
 from collections import Counter
+from datetime import datetime, timedelta
 
 from momentquery import registry
 from momentquery.sources import testdata as td
@@ -19,3 +20,11 @@ def test_every_customer_is_a_clip(spark, tmp_path):
     got = registry.QUERIES["approvals"](spark, place).collect()
     assert len(got) == n
     assert {(r.job_id, r.clip_id) for r in got if r.approved} == {(job, clip) for job, top in best.items() for _, clip in top}
+
+
+def test_sessions_at_the_end_of_the_stream_are_closed(spark, tmp_path):
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    rows = [(1, at(0)), (1, at(20)), (2, at(25)), (1, at(100)), (2, at(110)), (2, at(125)), (None, at(125))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.start, r.end, r.n) for r in registry.QUERIES["merged_sessions"](spark, str(tmp_path)).collect()}
+    assert got == {(1, at(0), at(20), 2), (2, at(25), at(25), 1), (1, at(100), at(100), 1), (2, at(110), at(125), 2), (None, at(125), at(125), 1)}
