@@ -40,6 +40,8 @@ LIFT, SUPPORT = 8.0, 4
 LEXICON = 5000
 #: Tokens on either side of a token in a training window.
 REACH = 12
+#: Windows whose sums are held at once; the gradient is of all windows.
+BLOCK = 8192
 #: Beyond so many tokens a chain of equal emissions has reached its fixed points in double precision.
 STEADY = 400
 #: Lengths of the beginnings of words that are features beside the words themselves.
@@ -208,10 +210,10 @@ def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
 
 
 def _windows(docs: list[tuple[list[str], int]], ids: dict[str, int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers (0: not in the lexicon, -1: beyond the text) and token labels of windows: around lexicon words,
+    """Word numbers (0: not in the lexicon, -1: beyond the text) and token labels of windows: around all lexicon words,
     and around a place of every text at random."""
     width = 2 * REACH + 1
-    rows, labels = [], []
+    rows, labels = [np.empty((0, width), np.int32)], [np.empty((0, width), bool)]
     met: dict[str, int] = {}
 
     def number(w: str) -> int:
@@ -220,17 +222,14 @@ def _windows(docs: list[tuple[list[str], int]], ids: dict[str, int], rng: np.ran
         return met[w]
 
     for words, label in docs:
-        numbers = np.array([number(w) for w in words], dtype=np.int64)
+        numbers = np.array([number(w) for w in words], dtype=np.int32)
         if not len(numbers):
             continue
         toxic = (numbers > 0) & (label == 1)
-        centres = np.concatenate([np.flatnonzero(numbers > 0)[:4], rng.integers(len(numbers), size=1)])
-        wide = np.concatenate([np.full(REACH, -1), numbers, np.full(REACH, -1)])
-        marks = np.concatenate([np.zeros(REACH, bool), toxic, np.zeros(REACH, bool)])
-        for c in centres:
-            rows.append(wide[c : c + width])
-            labels.append(marks[c : c + width])
-    return np.array(rows).reshape(-1, width), np.array(labels).reshape(-1, width)
+        centres = np.concatenate([np.flatnonzero(numbers > 0), rng.integers(len(numbers), size=1)])
+        rows.append(np.lib.stride_tricks.sliding_window_view(np.pad(numbers, REACH, constant_values=-1), width)[centres])
+        labels.append(np.lib.stride_tricks.sliding_window_view(np.pad(toxic, REACH), width)[centres])
+    return np.concatenate(rows), np.concatenate(labels)
 
 
 def _gradient(x: np.ndarray, y: np.ndarray, e: np.ndarray, steps: np.ndarray, start: float):
@@ -269,6 +268,12 @@ def _gradient(x: np.ndarray, y: np.ndarray, e: np.ndarray, steps: np.ndarray, st
     return ge / n, gt / n, gs / n
 
 
+def _whole_gradient(x: np.ndarray, y: np.ndarray, e: np.ndarray, steps: np.ndarray, start: float):
+    """_gradient of all windows, from those of blocks."""
+    parts = [(len(x[i : i + BLOCK]), _gradient(x[i : i + BLOCK], y[i : i + BLOCK], e, steps, start)) for i in range(0, len(x), BLOCK)]
+    return tuple(sum(n * g[k] for n, g in parts) / len(x) for k in range(3))
+
+
 def fitted(texts: list[tuple[str, int]], rounds: int = 60, ridge: float = 1e-4, seed: int = 5) -> Chain:
     """A chain from (text, 0 or 1)."""
     known: dict[str, str] = {}
@@ -291,7 +296,7 @@ def fitted(texts: list[tuple[str, int]], rounds: int = 60, ridge: float = 1e-4,
     theta = np.concatenate([e, steps.ravel(), [start]])
     m = v = np.zeros_like(theta)
     for k in range(1, rounds + 1):
-        ge, gt, gs = _gradient(x, y, theta[: len(e)], theta[len(e) : -1].reshape(2, 2), theta[-1])
+        ge, gt, gs = _whole_gradient(x, y, theta[: len(e)], theta[len(e) : -1].reshape(2, 2), theta[-1])
         g = np.concatenate([ge, gt.ravel(), [gs]]) + ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
