@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,16 +117,25 @@ def smoothed_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(camera.one_euro(series, OneEuro(beta=0.3)))
 
 
-def transcript_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = identity.excerpts(td.segments(spark, sf_dir), most=1200, head=500, tail=300)
+def _digests(e: DataFrame) -> DataFrame:
     return e.select("job_id", "truncated", F.length("excerpt").alias("n_chars"), F.md5("excerpt").alias("digest"))
 
 
+def transcript_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With limits so small that transcripts of the tables are truncated."""
+    return _digests(identity.excerpts(td.segments(spark, sf_dir), most=1200, head=500, tail=300))
+
+
+def brief_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the operator's own limits."""
+    return _digests(identity.excerpts(td.segments(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         windows_enumerated, text_signals, window_signals, visual_summary, scored_windows, interview_blocks, deduplicated_windows, selected_clips, clip_briefs,
-        caption_words, caption_lines, clip_modes, crop_targets, camera_anchors, crop_origins, crop_expressions, smoothed_faces, transcript_excerpts,
+        caption_words, caption_lines, clip_modes, crop_targets, camera_anchors, crop_origins, crop_expressions, smoothed_faces, transcript_excerpts, brief_excerpts,
     )
 }
 
@@ -312,3 +323,6 @@ e as (select job_id, len(whole) > 1200 as truncated, case when len(whole) <= 120
 select job_id, truncated, len(t)::int as n_chars, md5(t) as digest from e
 """,
 }
+#: The small limits, and the operator's own: all, head, tail, and what is left for the middle.
+_LIMITS = {"1200": "30000", "500": "18000", "300": "10000", "400": "2000"}
+ORACLE["brief_excerpts"] = o.SEGMENTS.join(re.sub(rf"\b({'|'.join(_LIMITS)})\b", lambda m: _LIMITS[m[0]], part) for part in ORACLE["transcript_excerpts"].split(o.SEGMENTS))

@@ -1,5 +1,6 @@
 """Queries whose input once lost rows on the way."""
 
+import hashlib
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -50,3 +51,29 @@ def test_blocks_add_up_to_the_gradient(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 3, raising=False)
     for one, all_at_once in zip(toxicity._whole_gradient(x, y, *at), toxicity._gradient(x, y, *at)):
         assert one == pytest.approx(all_at_once)
+
+
+def excerpt(lines, most=30000, head=18000, tail=10000):
+    whole = "\n".join(lines)
+    if len(whole) <= most:
+        return whole
+    last, budget = len(lines) - 1, most - head - tail
+    places = [i for i in dict.fromkeys(int(last * k / 6 + 0.5) for k in range(1, 6)) if 0 < i < last]  # half up
+    per = max(budget // len(places), 1)
+    middle = "\n".join(x if len(x) <= per else x[: max(per - 1, 1)].rstrip() + "…" for x in (lines[i] for i in places))[:budget].rstrip()
+    note = f"\n\n[transcript truncated for brief — kept first {head} chars, 5 representative middle sample(s), and last {tail} chars]\n\n"
+    return whole[:head].rstrip() + note + f"[representative middle excerpts]\n{middle}\n" + "\n\n[ending excerpt]\n\n" + whole[-tail:].lstrip()
+
+
+def test_transcripts_are_cut_beyond_the_operators_limit_only(spark, tmp_path):
+    turns = [(conv, turn, "user", f"word{turn % 10} " * n) for conv, many, n in ((0, 3, 10), (1, 8, 80), (2, 62, 40), (3, 98, 120)) for turn in range(many)]
+    spark.createDataFrame([(c, t, r, x[: len(x) // 4 * 4]) for c, t, r, x in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    lines = {}
+    for r in td.segments(spark, str(tmp_path)).orderBy("job_id", "seg_idx").collect():
+        lines.setdefault(r.job_id, []).append(f"[{r.speaker or 'SPEAKER'} {r.start_seconds:.1f}s] {r.text.strip()}")
+    sizes = {job: len("\n".join(x)) for job, x in lines.items()}
+    assert sizes["job-0"] < 1200 < sizes["job-1"] < 30000 and 1200 < sizes["job-2"] < 30000 < sizes["job-3"]
+    want = {(job, sizes[job] > 30000, len(e := excerpt(x)), hashlib.md5(e.encode()).hexdigest()) for job, x in lines.items()}
+    assert {tuple(r) for r in registry.QUERIES["brief_excerpts"](spark, str(tmp_path)).collect()} == want
+    small = {(job, sizes[job] > 1200, len(e := excerpt(x, 1200, 500, 300)), hashlib.md5(e.encode()).hexdigest()) for job, x in lines.items()}
+    assert {tuple(r) for r in registry.QUERIES["transcript_excerpts"](spark, str(tmp_path)).collect()} == small
