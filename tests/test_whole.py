@@ -4,11 +4,8 @@ import hashlib
 from collections import Counter
 from datetime import datetime, timedelta
 
-import numpy as np
-import pytest
 
 from momentquery import registry
-from momentquery.llm import toxicity
 from momentquery.sources import testdata as td
 
 
@@ -35,24 +32,6 @@ def test_sessions_at_the_end_of_the_stream_are_closed(spark, tmp_path):
     assert got == {(1, at(0), at(20), 2), (2, at(25), at(25), 1), (1, at(100), at(100), 1), (2, at(110), at(125), 2), (None, at(125), at(125), 1)}
 
 
-def test_every_lexicon_word_has_a_window():
-    words = (["plain"] * 29 + ["oaf"]) * 10
-    for label in (0, 1):
-        x, y = toxicity._windows([(words, label), ([], label)], {"oaf": 1}, np.random.default_rng(0))
-        assert x.shape == y.shape == (11, 2 * toxicity.REACH + 1)
-        assert (x[:10, toxicity.REACH] == 1).all() and (y == ((x == 1) & (label == 1))).all()
-
-
-def test_blocks_add_up_to_the_gradient(monkeypatch):
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 3, (7, 5))
-    y = (rng.random((7, 5)) < 0.4)
-    at = rng.normal(size=3), rng.normal(size=(2, 2)), 0.3
-    monkeypatch.setattr(toxicity, "BLOCK", 3, raising=False)
-    for one, all_at_once in zip(toxicity._whole_gradient(x, y, *at), toxicity._gradient(x, y, *at)):
-        assert one == pytest.approx(all_at_once)
-
-
 def excerpt(lines, most=30000, head=18000, tail=10000):
     whole = "\n".join(lines)
     if len(whole) <= most:
