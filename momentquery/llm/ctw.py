@@ -14,8 +14,9 @@ Layout: texts are dealt into chunks, and each chunk gathers its distinct words a
 strings with their counts in training texts. These lists, never the texts' positions, meet the corpus: by word they
 give the corpus' word counts, by string the corpus' string counts, and every string gets the code length of its
 last byte. Lists travel packed, a row for each chunk and bucket. Strings are bucketed by the last TOP bytes of
-their context, so a bucket holds whole subtrees, which are built and evaluated by levels as arrays; what is above
-TOP is a table, joined by level. In a second pass each chunk looks the answers up. Nothing is broadcast, no model
+their context, so a bucket holds whole subtrees, which are built and evaluated bit by bit and level by level as
+arrays, at most PIECE strings at once: a frequent context is split by its next byte, and again. What is above TOP is
+a table, joined by level. Lists are unpacked one at a time and merged as they come. In a second pass each chunk looks the answers up. Nothing is broadcast, no model
 has to fit anywhere, and what is gathered grows with the number of distinct strings and words.
 
 Nulls: a null text is empty, a null id is never held out. Repeated rows get equal results. An empty table gives no
@@ -40,7 +41,9 @@ from .common import written
 
 DEPTH, TOP = 6, 3
 #: Bytes of text that a bucket of strings or words stands for on average, and that are indexed at once.
-BUCKET_BYTES, SPAN = 12 << 20, 1 << 19
+BUCKET_BYTES, SPAN = 8 << 20, 1 << 19
+#: Numbers that a task gathers before it hands its lists on, and strings whose nodes are held at once.
+HELD, PIECE = 4_000_000, 250_000
 NEWLINE, BLANK = 10, 32
 #: The number that stands for the end of a text among the numbers of words.
 END = -1
@@ -130,53 +133,89 @@ def _weighted(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple
     return both, np.exp(own - math.log(2) - both)
 
 
-class Levels:
-    """The nodes of depths DEPTH down to TOP over some (string, count) rows that hold whole TOP-byte contexts.
+def _leaves(keys: np.ndarray, counts: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The deepest nodes that decide bit j: their numbers, zeros, ones, and each string's node. Keys are sorted.
 
     A node's number is its context times 256 plus the bits of the byte so far, after a leading one."""
+    node = (keys >> 8 << 8) | (1 << j) | ((keys & 255) >> (8 - j))
+    new = np.concatenate([[True], node[1:] != node[:-1]])
+    first = np.flatnonzero(new)
+    n1 = np.add.reduceat(counts * _bit(keys, j), first)
+    return node[first], np.add.reduceat(counts, first) - n1, n1, np.cumsum(new) - 1
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
-        self.depth, self.top = depth, top
-        context, byte = keys >> 8, keys & 255
-        node, bit, n = [], [], []
-        for j in range(8):
-            node.append((context << 8) | (1 << j) | (byte >> (8 - j)))
-            bit.append((byte >> (7 - j)) & 1)
-        number, at = np.unique(np.concatenate(node), return_inverse=True)
-        bit, n = np.concatenate(bit), np.tile(counts, 8)
-        n1 = np.bincount(at, n * bit, minlength=len(number)).astype(np.int64)
-        n0 = np.bincount(at, n * (1 - bit), minlength=len(number)).astype(np.int64)
-        self.path = at.reshape(8, -1)  # each string's node at each bit
-        self.bit = bit.reshape(8, -1)
+
+def _bit(keys: np.ndarray, j: int) -> np.ndarray:
+    return (keys >> (7 - j)) & 1
+
+
+def _up(nodes: tuple[np.ndarray, ...], d: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """From nodes(number, zeros, ones, log weighted probability) of depth d those of depth d - 1, without their own
+    weighting yet, and each node's parent."""
+    number, n0, n1, weighted = nodes
+    above, parent = np.unique(((number >> 8) & ((1 << (8 * (d - 1))) - 1)) << 8 | (number & 255), return_inverse=True)
+    return (above, np.bincount(parent, n0).astype(np.int64), np.bincount(parent, n1).astype(np.int64), np.bincount(parent, weighted)), parent
+
+
+def _pieces(keys: np.ndarray, d: int, size: int) -> Iterator[np.ndarray]:
+    """Places of strings by whole contexts of d bytes, about `size` strings at once; a larger context is by itself."""
+    context = (keys >> 8) & ((1 << (8 * d)) - 1)
+    order = np.argsort(context, kind="stable")
+    edge = np.concatenate([np.flatnonzero(np.diff(context[order])) + 1, [len(keys)]])
+    lo = 0
+    while lo < len(keys):
+        hi = int(edge[max(np.searchsorted(edge, lo + size, side="right") - 1, np.searchsorted(edge, lo, side="right"))])
+        yield order[lo:hi]
+        lo = hi
+
+
+class Tree:
+    """The nodes that decide bit j, of depths `depth` down to `top`, over some sorted (string, count) rows that hold
+    whole contexts of top bytes. Up to `size` strings are worked on as one; more are split by a further byte of
+    context, so a frequent context needs no more memory than others, but for its strings and the nodes below its root."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int, j: int, size: int):
+        self.keys, self.counts, self.depth, self.top, self.j, self.size = keys, counts, depth, top, j, size
+        self.split = len(keys) > size and top < depth
         self.levels = []
-        below = None
-        for d in range(depth, top - 1, -1):
-            weighted, share = _weighted(n0, n1, below)
-            parent = None
-            if d > top:
-                up = (((number >> 8) & ((1 << (8 * (d - 1))) - 1)) << 8) | (number & 255)
-                number_up, parent = np.unique(up, return_inverse=True)
-            self.levels.append((number, n0, n1, share, parent))
-            self.weighted = weighted
-            if d > top:
-                n0 = np.bincount(parent, n0).astype(np.int64)
-                n1 = np.bincount(parent, n1).astype(np.int64)
-                below = np.bincount(parent, weighted)
-                number = number_up
-
-    def log10(self, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Log probability of each string's last byte, from the states above the nodes of depth TOP: probability of
-        a one so far, the weight that is left, and the last estimate. None where TOP is 0."""
-        for i in range(len(self.levels) - 1, -1, -1):
-            number, n0, n1, share, parent = self.levels[i]
-            if parent is not None:
-                state = tuple(s[parent] for s in state)
-            elif state is None:
-                state = np.zeros(len(number)), np.ones(len(number)), np.full(len(number), 0.5)
-            state = _step(*state, n0, n1, share)
-        one = state[0] + state[1] * state[2]
-        p = np.where(self.bit == 1, one[self.path], 1 - one[self.path])
-        return np.log10(p).sum(0)
+        if self.split:
+            parts = [self._part(i).nodes for i in _pieces(keys, top + 1, size)]
+            nodes, d = tuple(np.concatenate(c) for c in zip(*parts)), top + 1
+            share = np.zeros(0)
+            below = nodes[3]
+        else:
+            number, n0, n1, self.of = _leaves(keys, counts, j)
+            below, share = _weighted(n0, n1, None)
+            nodes, d = (number, n0, n1, below), depth
+        while d > top:
+            above, parent = _up(nodes, d)
+            self.levels.append((nodes, share, parent))
+            weighted, share = _weighted(above[1], above[2], above[3])
+            nodes, d = (*above[:3], weighted), d - 1
+        self.nodes, self.share = nodes, share
+
+    def _part(self, i: np.ndarray) -> Tree:
+        i = np.sort(i)
+        return Tree(self.keys[i], self.counts[i], self.depth, self.top + 1, self.j, self.size)
+
+    def log10(self, above: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log probability of bit j of each string, from the states above the nodes of depth top: probability of a
+        one so far, the weight that is left, and the last estimate."""
+        state = _step(*above, self.nodes[1], self.nodes[2], self.share)
+        for nodes, share, parent in reversed(self.levels):
+            state = tuple(s[parent] for s in state)
+            if not self.split:
+                state = _step(*state, nodes[1], nodes[2], share)
+        if self.split:
+            # states above the pieces' roots, which stand in the order of the pieces
+            out, at = np.empty(len(self.keys)), 0
+            for i in _pieces(self.keys, self.top + 1, self.size):
+                part = self._part(i)
+                n = len(part.nodes[0])
+                out[np.sort(i)] = part.log10(tuple(s[at : at + n] for s in state))
+                at += n
+            return out
+        one = (state[0] + state[1] * state[2])[self.of]
+        return np.log10(np.where(_bit(self.keys, self.j) == 1, one, 1 - one))
 
 
 def _step(so_far: np.ndarray, left: np.ndarray, last: np.ndarray, n0: np.ndarray, n1: np.ndarray, share: np.ndarray):
@@ -294,6 +333,17 @@ def _buckets(kind: int, top: int, n: int):
 
 
 def _ask(depth: int, top: int, n_buckets: int):
+    """The lists of the chunks that a task reads; they are handed on whenever HELD numbers have been gathered."""
+
+    def rows(seen: dict[int, tuple[_Counts, _Counts]]) -> Iterator[pa.RecordBatch]:
+        for chunk, counts in seen.items():
+            for kind, some in ((STRING, counts[0]), (WORD, counts[1])):
+                found = [(kind, b, chunk, blob) for b, blob in some.packed()]
+                columns = zip(zip(*found), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["kind", "bucket", "chunk", "blob"])
+        seen.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[_Counts, _Counts]] = {}
         for batch in batches:
@@ -308,36 +358,43 @@ def _ask(depth: int, top: int, n_buckets: int):
                     for hashes, _, keys, _ in indexed(batch.column("text").filter(pa.array(mask)), depth):
                         of_words.add(hashes, learn)
                         of_strings.add(keys, learn)
-        for chunk, counts in seen.items():
-            for kind, some in ((STRING, counts[0]), (WORD, counts[1])):
-                rows = [(kind, b, chunk, blob) for b, blob in some.packed()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "chunk", "blob"]
-                )
+            if sum(c.size + c.folded for pair in seen.values() for c in pair) > HELD:
+                yield from rows(seen)
+        yield from rows(seen)
 
     return run
 
 
-def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct numbers of a bucket, their counts, and where each row's numbers are among them."""
-    lists = [unpacked(b.as_py(), np.int64, np.int64) for b in t["blob"]]
-    keys, at = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([n for _, n in lists])).astype(np.int64)
-    return keys, n, np.split(at, np.cumsum([len(k) for k, _ in lists])[:-1])
+def _totals(blobs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of a bucket's lists and their counts. Lists are unpacked one by one, and merged once they
+    are as long together as what has been merged, or half of HELD."""
+    parts, size, merged = [], 0, 0
+    for blob in blobs:
+        parts.append(tuple(unpacked(blob.as_buffer(), np.int64, np.int64)))
+        size += len(parts[-1][0])
+        if size > HELD // 2 + 2 * merged:
+            parts = [_merged(parts)]
+            size = merged = len(parts[0][0])
+    return _merged(parts)
 
 
 ANSWERS = "kind int, bucket int, chunk long, blob binary, n long, v long"
 
 
-def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, places: list[np.ndarray], n: int = 0, v: int = 0) -> pa.Table:
+def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, n: int = 0, v: int = 0) -> pa.Table:
     """The values of each row's numbers; the sums n and v stand in the first row."""
     rows = t.num_rows
+
+    def answer(blob) -> bytes:
+        asked = unpacked(blob.as_buffer(), np.int64, np.int64)[0]
+        return packed(asked, values[np.searchsorted(keys, asked)])
+
     return pa.table(
         {
             "kind": np.full(rows, kind, np.int32),
             "bucket": t["bucket"],
             "chunk": t["chunk"],
-            "blob": pa.array([packed(keys[p], values[p]) for p in places], pa.binary()),
+            "blob": pa.array([answer(b) for b in t["blob"]], pa.binary()),
             "n": np.array([n] + [0] * (rows - 1)),
             "v": np.array([v] + [0] * (rows - 1)),
         }
@@ -345,27 +402,35 @@ def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, place
 
 
 def _word_answers(t: pa.Table) -> pa.Table:
-    keys, n, places = _totals(t)
-    return _answers(t, WORD, keys, n.astype(np.float64), places, int(n.sum()), int((n > 0).sum()))
+    keys, n = _totals(t["blob"])
+    return _answers(t, WORD, keys, n.astype(np.float64), int(n.sum()), int((n > 0).sum()))
 
 
-def string_answers(asked: DataFrame, depth: int, top: int, n_buckets: int) -> DataFrame:
+def string_answers(asked: DataFrame, depth: int, top: int, n_buckets: int, piece: int = PIECE) -> DataFrame:
     """asked(bucket, chunk, blob) with strings and their counts -> ANSWERS, the log probabilities of their last bytes."""
 
     def nodes(t: pa.Table) -> pa.Table:
-        keys, n, _ = _totals(t)
-        built = Levels(keys, n, depth, top)
-        number, n0, n1, _, _ = built.levels[-1]
-        return pa.table({"node": number, "n0": n0, "n1": n1, "weighted": built.weighted})
+        keys, n = _totals(t["blob"])
+        out = []
+        for j in range(8):
+            number, n0, n1, weighted = Tree(keys, n, depth, top, j, piece).nodes
+            out.append(pa.table({"node": number, "n0": n0, "n1": n1, "weighted": weighted}))
+        return pa.concat_tables(out)
 
     def evaluated(t: pa.Table, states: pa.Table) -> pa.Table:
-        keys, n, places = _totals(t)
+        keys, n = _totals(t["blob"])
         order = np.argsort(states["node"].to_numpy())
-        state = tuple(states[c].to_numpy()[order] for c in ("so_far", "left", "last"))
-        return _answers(t, STRING, keys, Levels(keys, n, depth, top).log10(state), places)
+        node, *state = (states[c].to_numpy()[order] for c in ("node", "so_far", "left", "last"))
+        total = np.zeros(len(keys))
+        for j in range(8):
+            tree = Tree(keys, n, depth, top, j, piece)
+            at = np.searchsorted(node, tree.nodes[0])
+            total += tree.log10(tuple(s[at] for s in state))
+        return _answers(t, STRING, keys, total)
 
-    at_top = written(asked.groupBy("bucket").applyInArrow(nodes, NODE), "ctw-nodes")
+    at_top = written(asked.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(nodes, NODE), "ctw-nodes")
     state = _upper(at_top, top).withColumn("bucket", _bucket_column(F.shiftright("node", 8), n_buckets))
+    asked, state = (df.repartition(n_buckets, "bucket") for df in (asked, state))
     return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(evaluated, ANSWERS)
 
 
@@ -461,7 +526,7 @@ def _score(depth: int, top: int, n_buckets: int, n: int, v: int):
     return run
 
 
-def scored(documents: DataFrame, held_out: Column, chunk: Column | None = None, depth: int = DEPTH, top: int = TOP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def scored(documents: DataFrame, held_out: Column, chunk: Column | None = None, depth: int = DEPTH, top: int = TOP, bucket_bytes: int = BUCKET_BYTES, piece: int = PIECE) -> DataFrame:
     """documents(doc_id, text) scored by a model of those that aren't held out; see RESULT. base_score is that of
     add-one word frequencies.
 
@@ -473,9 +538,12 @@ def scored(documents: DataFrame, held_out: Column, chunk: Column | None = None,
         chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets))
     docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), chunk.cast("long").alias("chunk"))
     asked = written(docs.select("text", "held_out", "chunk").mapInArrow(_ask(depth, top, n_buckets), ASKED), "asked")
-    of_words = written(asked.filter(F.col("kind") == WORD).groupBy("bucket").applyInArrow(_word_answers, ANSWERS), "words")
+    of_words = asked.filter(F.col("kind") == WORD).repartition(n_buckets, "bucket")
+    of_words = written(of_words.groupBy("bucket").applyInArrow(_word_answers, ANSWERS), "words")
     n, v = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    of_strings = string_answers(asked.filter(F.col("kind") == STRING), depth, top, n_buckets)
+    of_strings = string_answers(asked.filter(F.col("kind") == STRING), depth, top, n_buckets, piece)
     answers = of_words.unionByName(of_strings).select("kind", "bucket", "chunk", "blob")
     texts = docs.mapInArrow(_packed_texts, "chunk long, blob binary")
+    # As many partitions as the size asks for, so that no task's share grows with the input.
+    texts, answers = (df.repartition(n_buckets, "chunk") for df in (texts, answers))
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, top, n_buckets, n, v), RESULT)
