@@ -4,21 +4,27 @@ A document's set holds its distinct shingles of `width` successive words, as 64-
 than ASCII white space, A-Z in lower case); with fewer words, the whole sequence is the one shingle. Two documents
 link when 100 * |A and B| >= percent * |A or B|.
 
-Exact copies of a set are one class. Shingles have one global order: frequent ones last, where "frequent" is a list
-of bounded length, gathered from what single tasks see often; any order gives the same links, this one keeps
-passages that many documents share out of the prefixes. Two sets can only link if they share a shingle in their
-first |A| - ceil(t |A|) + 1 ones. Classes with the same prefix and size are one group, and groups meet on shared
-prefix shingles; pairs of groups are filtered by size and by the places of the shingle, then expanded to their
-members. Members' marks, bits with the parity of a set's hashes, bound their difference from below and leave
-out what cannot link; of the rest, whole sets are compared.
-
-Families of near copies never become all their pairs: pairs are first taken between a group's or a shingle's first
-class and the others (as many as there are rows), and what remains are pairs whose classes are not yet in one
-component. So every link between different texts is either found or spanned by other links.
+Documents of one set are one class, a node, named by a 64-bit digest of the set. Shingles have one global order:
+frequent ones last, where "frequent" is a list of bounded length, gathered from what single tasks see often; any
+order gives the same links, this one keeps passages that many documents share out of the prefixes. Two sets can only
+link if they share a shingle in their first |A| - ceil(t |A|) + 1 ones.
+
+Classes with the same prefix and size are one group. Only groups have postings, and only groups meet, on shared
+prefix shingles. A pair of groups is left out by their sizes, by the places of the shingle, and by marks: bits with
+the parity of a set's hashes, whose differing places bound the sets' difference from below. A group has the marks of
+its first member and the radius that holds those of all others, so two groups whose marks differ by more than a link
+allows and both radii have no link between their members. Only the pairs of groups that are left are expanded to
+members, which meet the same filters and then have their whole sets compared. Members of one group meet there.
+
+Families of near copies never become all their pairs: groups first meet each shingle's first group only, and members
+their group's first (as many pairs as there are rows), and what remains are pairs whose members are not yet in one
+component. So every link between different texts is either found or spanned by other links. A key where many still
+meet is dealt out by size bands and salted.
 
 Nulls: null or empty texts and texts without words have empty sets, link with nothing, and are their own component;
-rows without an id have a null component and link with nothing. Ids are taken to be unique; rows that repeat one
-are one document. An empty table gives no rows. Extra columns are not looked at.
+rows without an id have a null component and link with nothing. Rows that repeat an id are documents of their own:
+with the same text they have the same component, with another text that text's. An empty table gives no rows. Extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,11 +54,13 @@ SPAN = 1 << 19
 MARKS, FINE = 1024, 1 << 17
 #: Buckets of ids that tell which documents' sets are needed; those that share one by chance are sorted out later.
 BUCKETS = 1 << 20
-#: Classes that may meet at a key with nothing but the filters by size and place.
-HOT = 16
+#: Rows that may meet at a key with nothing but the filters by size and place, and that meet in one task at a key
+#: with more.
+HOT, SALT = 16, 1024
 #: Rounds of pairs with a first class, before the remaining pairs are listed.
 STARS = 2
 
+
 def _distinct(h: np.ndarray) -> np.ndarray:
     h = np.sort(h)
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
@@ -125,6 +133,16 @@ def frequent(documents: DataFrame, width: int) -> np.ndarray:
     return rows["token"].to_numpy().view(np.uint64)[::-1].copy()
 
 
+def node(s: np.ndarray) -> int | None:
+    """A set's number; None for the empty one."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
+def text_key(text: Column) -> Column:
+    """What tells apart rows that share an id."""
+    return F.xxhash64(text)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -157,15 +175,15 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingled(documents: DataFrame, last: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, digest of the prefix, coarse marks, fine marks (null where the coarse ones are as
-    wide), prefix (in the global order)."""
+    """doc_id, text_key, n, node (null for empty sets), group (of size and prefix), coarse marks, fine marks (null where
+    the coarse ones are as wide), prefix (in the global order)."""
     shared = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(shared.value, kind="stable")
         known = shared.value[order]
         for batch in batches:
-            n, digest, prefix_digest, coarse, fine, prefixes = [], [], [], [], [], []
+            n, nodes, groups, coarse, fine, prefixes = [], [], [], [], [], []
             for s in _sets(batch, width):
                 p = s[: prefix_length(len(s), percent)] if len(s) else s
                 if len(known) and len(s):
@@ -174,17 +192,18 @@ def shingled(documents: DataFrame, last: np.ndarray, width: int, percent: int) -
                     if often.any():
                         p = s[np.argsort(np.where(often, order[at] + 1, 0), kind="stable")[: len(p)]]
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                prefix_digest.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
+                nodes.append(node(s))
+                groups.append(node(np.append(p, np.uint64(len(s)))))
                 coarse.append(marks(s, MARKS).view(np.int64))
                 fine.append(marks(s, fine_bits(len(s))).tobytes() if len(s) > MARKS else None)
                 prefixes.append(p)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.int64()), _lists(coarse), pa.array(fine, pa.binary()), _lists(prefixes)],
-                ["doc_id", "n", "digest", "prefix_digest", "marks", "fine", "prefix"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(groups, pa.int64()), _lists(coarse), pa.array(fine, pa.binary()), _lists(prefixes)],
+                ["doc_id", "text_key", "n", "node", "group", "marks", "fine", "prefix"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix_digest long, marks array<long>, fine binary, prefix array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, group long, marks array<long>, fine binary, prefix array<long>")
 
 
 def _may_link(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -197,36 +216,34 @@ def _may_overlap(n_a: Column, i: Column, n_b: Column, j: Column, percent: int) -
     return (100 + percent) * most >= percent * (n_a + n_b)
 
 
-def _needed_sets(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles for the nodes. Other texts stay where they are read: a broadcast list of at most BUCKETS
-    buckets says which may be needed, and the join with the nodes is exact."""
+def _needed_sets(documents: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """node, shingles for needed(node, lead), where lead is the id of a document of the class. Other texts stay where
+    they are read: a broadcast list of at most BUCKETS buckets says which may be needed, the join with the nodes is
+    exact."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    wanted = nodes.select(bucket("node").alias("bucket")).distinct()
+    wanted = needed.select(bucket("lead").alias("bucket")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(_sets(batch, width))], ["node", "shingles"])
+            sets = _sets(batch, width)
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), pa.array([node(s) for s in sets], pa.int64()), _lists(sets)], ["lead", "node", "shingles"])
 
-    rows = documents.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text", bucket("doc_id").alias("bucket"))
-    rows = rows.join(F.broadcast(wanted), "bucket", "left_semi").select("node", "text")
-    return rows.mapInArrow(run, "node long, shingles array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    rows = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("lead"), "text")
+    rows = rows.withColumn("bucket", bucket("lead")).join(F.broadcast(wanted), "bucket", "left_semi").select("lead", "text")
+    return rows.mapInArrow(run, "lead long, node long, shingles array<long>").join(needed, ["lead", "node"], "left_semi").dropDuplicates(["node"]).drop("lead")
 
 
-def _within_marks(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose marks differ in no more places than sets that link can: coarse ones first."""
-    one = lambda x, c: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col(c).alias(f"m{x}"))
-    few = lambda d: (100 + percent) * d <= (100 - percent) * (F.col("na") + F.col("nb"))
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    coarse = pairs.join(one("a", "marks"), "a").join(one("b", "marks"), "b").filter(few(differ)).select("a", "b", "na", "nb")
+def _within_fine_marks(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b, na, nb) whose fine marks, where both have them, differ in no more places than a link's."""
     wide = (F.col("na") > MARKS) & (F.col("nb") > MARKS)
     fine = classes.filter(F.col("fine").isNotNull()).select("node", "fine")
     both = (
-        coarse.filter(wide)
+        pairs.filter(wide)
         .join(fine.select(F.col("node").alias("a"), F.col("fine").alias("fa")), "a")
         .join(fine.select(F.col("node").alias("b"), F.col("fine").alias("fb")), "b")
-        .filter(few(_fine_difference("fa", "fb")))
+        .filter(_few(_fine_difference("fa", "fb"), percent))
     )
-    return coarse.filter(~wide).select("a", "b").unionByName(both.select("a", "b"))
+    return pairs.filter(~wide).select("a", "b").unionByName(both.select("a", "b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,108 +256,168 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
-def _star_pairs(at: DataFrame, skip: int) -> DataFrame:
-    """Each key's first class, of its first component after `skip` ones, with the key's classes of later components."""
-    if skip:
-        at = at.withColumn("_k", F.dense_rank().over(W.partitionBy("key").orderBy("component"))).filter(F.col("_k") > skip)
-    whole = W.partitionBy("key").orderBy("component", "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    hub = F.first(F.struct("node", "n", "place", "component")).over(whole)
-    return at.withColumn("hub", hub).select(
-        F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.place").alias("i"), F.col("hub.component").alias("ca"),
-        F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("component").alias("cb"),
-    )
+#: Columns of the coarse marks.
+_MARKS = [f"m{k}" for k in range(MARKS // 64)]
+
+
+def _spread(marks: str = "marks") -> list[Column]:
+    return [F.element_at(marks, k + 1).alias(m) for k, m in enumerate(_MARKS)]
 
 
-def _all_pairs(at: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet at a key and may link.
+def _differ(names: list[str]) -> Column:
+    """In how many places marks of a and b differ."""
+    return sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in names), F.lit(0))
 
-    A key with more than HOT classes would make the square of them: there the coarse marks are part of the join's
-    condition, and classes only meet those of their own size band or the next ones."""
+
+def _few(differ: Column, percent: int) -> Column:
+    """Whether sets that differ in so many shingles at least may link."""
+    return (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
+def _may_meet(percent: int) -> Column:
+    """Whether a and b, groups or members that meet at a key, may have a link between different components, which lie
+    between low and high."""
     na, nb = F.col("na"), F.col("nb")
-    fit = (F.col("ca") < F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent)
+    same = (F.col("lowa") == F.col("higha")) & (F.col("lowb") == F.col("highb")) & (F.col("lowa") == F.col("lowb"))
+    return ~same & _may_link(na, nb, percent) & _may_overlap(na, F.col("placea"), nb, F.col("placeb"), percent)
+
+
+_AT = ("id", "n", "place", "low", "high")
+
+
+def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
+    """rows with a side's letter at the names of _AT."""
+    return rows.select(F.col("key").alias(f"key{x}"), *[F.col(c).alias(f"{c}{x}") for c in _AT], *more)
+
 
-    def side(rows: DataFrame, x: str, place: str, *more) -> DataFrame:
-        return rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(place), F.col("component").alias(f"c{x}"), *more)
+def _star_pairs(at: DataFrame, step: int, percent: int) -> DataFrame:
+    """at(key, id, n, place, low, high) -> ida, idb: each key's first id (in the next step, its last one, most often of
+    another component) with the key's others. It is found by partial sums, so no key is ever in one task."""
+    pick = F.max if step % 2 else F.min
+    hub = at.groupBy(F.col("key").alias("keya")).agg(pick(F.struct("low", "id", "n", "place", "high")).alias("hub"))
+    hub = hub.select("keya", *[F.col(f"hub.{c}").alias(f"{c}a") for c in _AT])
+    both = _side(at, "b").join(hub, (F.col("keya") == F.col("keyb")) & (F.col("ida") != F.col("idb")) & _may_meet(percent))
+    return both.select("ida", "idb").distinct()
 
-    counted = at.withColumn("_df", F.count("*").over(W.partitionBy("key")))
-    few = counted.filter(F.col("_df") <= HOT)
-    cold = side(few, "a", "i").join(side(few, "b", "j").withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fit)
 
-    # Of the coarse marks, halves folded onto each other: rows of hot keys stay narrow.
-    half = MARKS // 128
-    folded = [F.element_at("marks", k + 1).bitwiseXOR(F.element_at("marks", k + 1 + half)).alias(f"m{k}") for k in range(half)]
-    marked = classes.select(F.col("node").alias("_node"), *folded)
+def _all_pairs(at: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """at(key, id, n, place, low, high, df), marked(id, radius, marks) -> ida, idb that meet at a key and may link. df:
+    rows at the key, or more.
+
+    A key with more than HOT rows would make the square of them: there the marks, halves folded onto each other, are
+    part of the join's condition, rows only meet those of their own size band or the next one, and a key's rows are
+    salted, SALT to a task."""
+    fit = _may_meet(percent)
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ida") < F.col("idb")))
+    few = at.filter(F.col("df") <= HOT)
+    cold = _side(few, "a").join(_side(few, "b"), (F.col("keya") == F.col("keyb")) & smaller & fit)
+
+    half = len(_MARKS) // 2
+    names = _MARKS[:half]
+    folded = marked.select(F.col("id").alias("_id"), "radius", *[F.col(m).bitwiseXOR(F.col(f"m{k + half}")).alias(m) for k, m in enumerate(names)])
     band = F.floor(F.log("n") / F.lit(math.log(100 / percent)) + 1e-9)
-    hot = counted.filter(F.col("_df") > HOT).join(marked, F.col("node") == F.col("_node")).withColumn("band", band)
-    names = [f"m{k}" for k in range(half)]
-    # The smaller one of a pair looks in its own band and the next; of equal ones the smaller node.
-    left = side(hot, "a", "i", *names, F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    right = side(hot, "b", "j", *[F.col(m).alias(f"_{m}") for m in names], F.col("band").alias("_band")).withColumnRenamed("key", "_key")
-    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in names), F.lit(0))
-    close = (100 + percent) * differ <= (100 - percent) * (na + nb)
-    smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
-    apart = (F.col("ca") != F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent)
-    warm = left.join(right, (F.col("key") == F.col("_key")) & (F.col("band") == F.col("_band")) & smaller & apart & close)
-    columns = ["a", "na", "i", "ca", "b", "nb", "j", "cb"]
-    return cold.select(columns).unionByName(warm.select(columns))
-
-
-def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents by class, components of classes).
-
-    The first: doc_id, n, node (smallest id of the class; null for empty sets and null ids). The second: node,
-    component; a class that links with no other is not in it.
+    hot = at.filter(F.col("df") > HOT).join(folded, F.col("id") == F.col("_id"))
+    hot = hot.withColumn("band", band).withColumn("salts", F.ceil(F.col("df") / SALT).cast("int"))
+    marks = lambda x: [F.col(m).alias(f"{m}{x}") for m in [*names, "radius"]]
+    # The smaller one of a pair looks in its own band and the next, under every salt; the other has one.
+    spread = hot.withColumn("look", F.explode(F.array("band", F.col("band") + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = _side(spread, "a", F.col("look").alias("banda"), F.col("salt").alias("salta"), *marks("a"))
+    right = _side(hot, "b", F.col("band").alias("bandb"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("saltb"), *marks("b"))
+    meet = (F.col("keya") == F.col("keyb")) & (F.col("banda") == F.col("bandb")) & (F.col("salta") == F.col("saltb"))
+    near = _few(_differ(names) - F.col("radiusa") - F.col("radiusb"), percent)
+    warm = left.join(right, meet & smaller & fit & near)
+    return cold.select("ida", "idb").unionByName(warm.select("ida", "idb")).distinct()
+
+
+def _grouped(classes: DataFrame) -> DataFrame:
+    """group, n, size, its first and last node, marks of the first, and the radius about them that holds all members'."""
+    groups = classes.groupBy("group").agg(
+        F.min(F.struct("node", "marks")).alias("lead"), F.max("node").alias("last"), F.first("n").alias("n"), F.count("*").alias("size")
+    )
+    groups = groups.select("group", "n", "size", F.col("lead.node").alias("first"), "last", F.col("lead.marks").alias("marks"))
+    many = groups.filter("size > 1").select("group", F.col("marks").alias("_marks"))
+    differ = F.aggregate(F.zip_with("marks", "_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    radius = classes.select("group", "marks").join(many, "group").groupBy("group").agg(F.max(differ).alias("radius"))
+    return groups.join(radius, "group", "left").na.fill(0, ["radius"])
+
+
+def _expanded(pairs: DataFrame, first: DataFrame, second: DataFrame, percent: int) -> DataFrame:
+    """pairs(ida, idb) of groups as pairs of their members first(group, node, n, component, marks) and second: a, b, na,
+    nb. Members of one component, and those whose marks tell them apart, never leave the join."""
+
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select(F.col("group").alias(f"group{x}"), F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "component", *_MARKS)])
+
+    fit = (F.col("componenta") != F.col("componentb")) & _few(_differ(_MARKS), percent)
+    both = pairs.join(side(first, "a"), F.col("ida") == F.col("groupa")).join(side(second, "b"), (F.col("idb") == F.col("groupb")) & fit)
+    turned = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    return both.select(pick("a", "b"), pick("b", "a"), pick("na", "nb"), pick("nb", "na")).distinct()
+
+
+def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents by class, classes, components of classes).
+
+    The first: doc_id, text_key, n, node (null for empty sets and null ids). The second: node, lead (smallest id of
+    the class), and what else is known of its set. The third: node, component; a class that links with no other is
+    not in it.
     """
     documents = documents.select("doc_id", "text")
     rows = written(shingled(documents, frequent(documents, width), width, percent), "shingled")
     some = rows.filter("n > 0 and doc_id is not null")
-    classes = written(
-        some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("marks").alias("marks"), F.first("fine").alias("fine")),
-        "classes",
-    )
-    by_group = W.partitionBy("n", "prefix_digest")
-    grouped = classes.select("node", "digest", "n", F.min("node").over(by_group).alias("group"), F.count("*").over(by_group).alias("size"))
-    grouped = written(grouped, "groups")
-    members = grouped.filter("size > 1").select("node", "n", "group")
-
-    leads = grouped.filter("node = group").select(F.col("node").alias("group"), F.col("digest").alias("_digest"))
-    prefixes = some.select("doc_id", "digest", "n", "prefix").join(leads, (F.col("doc_id") == F.col("group")) & (F.col("digest") == F.col("_digest")))
-    postings = prefixes.dropDuplicates(["group"]).select("group", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    postings = written(postings.withColumn("_df", F.count("*").over(W.partitionBy("token"))).filter("_df > 1").drop("_df"), "postings")
-
-    # Places where classes meet: a shared token at some place, or a shared group, in which all places are shared.
-    meets = written(
-        postings.join(members.select("group", F.col("node").alias("_member")), "group", "left")
-        .select(F.coalesce("_member", "group").alias("node"), "n", "place", F.concat_ws(":", F.lit("t"), "token").alias("key"))
-        .unionByName(members.select("node", F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), F.concat_ws(":", F.lit("g"), "group").alias("key"))),
-        "meets",
-    )
+    per_class = [F.first(c).alias(c) for c in ("n", "group", "marks", "fine")]
+    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("lead"), *per_class), "classes")
+    groups = written(_grouped(classes), "groups")
+
+    # Only groups have postings; one document of the group's first class gives them.
+    leads = groups.select(F.col("first").alias("node")).join(classes.select("node", F.col("lead").alias("doc_id")), "node")
+    prefixes = some.select("doc_id", "node", "n", "prefix", "group").join(leads, ["doc_id", "node"]).dropDuplicates(["group"])
+    postings = prefixes.select(F.col("group").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "key"))
+    postings = written(postings.withColumn("df", F.count("*").over(W.partitionBy("key"))).filter("df > 1"), "postings")
+    members = classes.select("node", "group", F.col("n").cast("int").alias("n"), *_spread())
+    marked = groups.select(F.col("group").alias("id"), "radius", *_spread())
+
     found: DataFrame | None = None
     component: DataFrame | None = None
     for step in range(STARS + 1):
-        at = meets.withColumn("component", F.col("node"))
-        if component is not None:
-            at = meets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _star_pairs(at, step) if step < STARS else _all_pairs(at, classes, percent)
-        na, nb = F.col("na"), F.col("nb")
-        pairs = pairs.filter((F.col("ca") != F.col("cb")) & _may_link(na, nb, percent) & _may_overlap(na, F.col("i"), nb, F.col("j"), percent))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(_within_marks(pairs, classes, percent), "pairs")
+        of = members if component is None else members.join(component, "node", "left")
+        of = written(of.withColumn("component", F.col("node") if component is None else F.coalesce("component", "node")), "members")
+        span = of.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        at = written(postings.join(span, F.col("id") == F.col("group")).select("key", *_AT, "df"), "meeting")
+        many = groups.filter("size > 1").select("group", "size").join(span.filter("low <> high"), "group")
+        if step < STARS:
+            # The first group's first member stands for it; its other members meet that one in their own group.
+            one = groups.select(F.col("last" if step % 2 else "first").alias("node")).join(of, "node")
+            met = _star_pairs(at, step, percent).unionByName(many.select(F.col("group").alias("ida"), F.col("group").alias("idb")))
+            pairs = _expanded(met, one, of, percent)
+        else:
+            pairs = _expanded(_all_pairs(at, marked, percent), of, of, percent)
+            # Members of one group meet at the group, where all places are shared.
+            inside = of.join(many.select("group", "size"), "group").select(
+                F.col("group").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"),
+                F.col("component").alias("low"), F.col("component").alias("high"), F.col("size").alias("df"),
+            )
+            inner = _all_pairs(inside, of.select(F.col("node").alias("id"), F.lit(0).alias("radius"), *_MARKS), percent)
+            size = classes.select("node", F.col("n").cast("int").alias("n"))
+            inner = inner.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+            inner = inner.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            pairs = pairs.unionByName(inner).distinct()
+        pairs = written(_within_fine_marks(written(pairs, "met"), classes, percent), "pairs")
         if found is not None and pairs.isEmpty():
             continue
-        sets = _needed_sets(documents, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), width)
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = _needed_sets(documents, written(nodes.join(classes.select("node", "lead"), "node"), "needed"), width)
         new = written(_verified(pairs, written(sets, "sets"), percent), "links")
         found = new if found is None else found.unionByName(new)
         component = connected(found)
-    by_class = rows.select("doc_id", "n", "digest").join(classes.select("digest", "node"), "digest", "left").drop("digest")
-    return by_class, component
+    return rows.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), classes, component
 
 
 def components(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    by_class, component = links(documents, width, percent)
-    return by_class.join(component, "node", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),
-    )
+    """doc_id, n_shingles, component_id of every row, and text_key, which tells apart rows that share an id."""
+    rows, classes, component = links(documents, width, percent)
+    linked = classes.select("node", "lead").join(component, "node")
+    least = linked.groupBy("component").agg(F.min("lead").alias("least"))
+    labels = classes.select("node", "lead").join(linked.select("node", "component").join(least, "component").select("node", "least"), "node", "left")
+    labels = written(labels.select("node", F.coalesce("least", "lead").alias("label")), "labels")
+    return rows.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), "text_key")

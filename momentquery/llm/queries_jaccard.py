@@ -9,7 +9,8 @@ from .common import table
 
 
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    found = jaccard.components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 #: The set of a text t: 4-word shingles, or the whole sequence.
