@@ -17,10 +17,10 @@ def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("toxic_score").alias("score"),
-        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
-        F.size("toxic_spans").alias("n_spans"),
-        F.transform("toxic_spans", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("offsets"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.spans").alias("n_spans"),
+        F.transform("toxicity.spans", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("offsets"),
     )
 
 

@@ -1,19 +1,22 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Tokens are runs of non-space characters; a token's word is its lower-case form without punctuation at the ends.
-Documents carry the labels, so token labels are made first: in a toxic document, words with a feature (the word
-itself or its beginning) that documents labelled toxic hold far more often than others are toxic tokens; all other
-tokens are not. On windows of those tokens a two-state chain (clean, toxic) is fitted by its exact gradient, from
-forward and backward sums. It has a weight for each feature of the lexicon so found, one for all other words,
-transitions and starts. A document's score is a
-logistic function of its largest toxic marginal's log odds and of the expected number and share of toxic tokens;
-spans are runs of tokens with a marginal of one half or more.
-
-All words outside the lexicon share one weight, so in a text without any lexicon word the marginals depend on the
-number of tokens alone, and beyond STEADY tokens not even on that.
-
-Nulls: a null or empty text has no tokens, and the score of a text of clean tokens. Without labels of both kinds
-the model has no lexicon and no text is toxic. Repeated rows get equal scores; extra columns are kept by score().
+Tokens are runs of other than ASCII white space; a token's word is its lower-case form without punctuation at the
+ends. A two-state chain (clean, toxic) has weights for features of a token: its word, the word's beginnings and end,
+its shape (runs of letters, digits and each other character), the words before and after, and an offset, besides
+transitions and starts. It is fitted by its exact gradient on whole texts.
+
+Documents carry the labels, so token labels are made, twice. First, in a toxic document, tokens are toxic whose word,
+or its beginning, documents labelled toxic hold so much more often than others that chance among all candidates would
+not give it. A chain fitted to these labels then tags the toxic documents itself, by all of its features, and what it
+tags is toxic too: the second fit has tokens that the list of words doesn't have, and keeps those of the list. Tokens of
+other documents are never toxic. A document's score is a logistic function of its largest toxic marginal's log odds and
+of the expected number and share of toxic tokens; spans are runs of tokens with a marginal of one half or more.
+
+Forward and backward sums run over all tokens of many texts as one chain, whose matrix at the beginning of a text
+forgets what was before: blocks of the chain are multiplied side by side, and joined.
+
+Nulls: a null or empty text has no tokens, and the score of a text of clean tokens. Without labels of both kinds no
+text is toxic. Repeated rows get equal scores; score() keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -31,171 +34,244 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
+from .common import fresh, named
 from .labelled import sample
 
 #: Documents of each class that the fit looks at, at most.
 SAMPLE = 1000
-#: A lexicon word is in toxic documents at least so many times as often as in others, and in so many of them.
+#: A word of the first labels is in toxic documents at least so many times as often as in others, and in so many.
 LIFT, SUPPORT = 8.0, 4
-LEXICON = 5000
-#: Tokens on either side of a token in a training window.
-REACH = 12
-#: Windows whose sums are held at once; the gradient is of all windows.
-BLOCK = 8192
-#: Beyond so many tokens a chain of equal emissions has reached its fixed points in double precision.
-STEADY = 400
-#: Lengths of the beginnings of words that are features beside the words themselves.
-PREFIXES = (3, 4, 5, 6, 7)
+#: Documents that hold a feature of the chain, at least.
+HELD = 3
+#: Standard deviation of the normal prior of features' weights and of the offset's, transitions' and start's, and steps
+#: of the two fits.
+SPREAD, FREE, ROUNDS = 0.6, 4.0, (30, 20)
+#: Clean tokens that are added to a text when its share of toxic ones is taken.
+FEW = 20
+#: Weights less than this are left out.
+LEAST = 0.01
+#: Lengths of the beginnings of words that are features beside the words themselves, and of their ends.
+PREFIXES, SUFFIX = (3, 4, 5, 6, 7), 3
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-CACHE = 150_000
-TOKEN = re.compile(r"\S+")
+CACHE = 300_000
+#: Bytes of text that are tagged together, and the bounds of a token's log weight.
+SPAN, MOST = 1 << 19, 30.0
+RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"))
 
 
 def word(token: str) -> str:
     return token.lower().strip(EDGES)
 
 
-def features(w: str) -> list[str]:
-    """A word's features, the widest last; a star ends a beginning."""
+def beginnings(w: str) -> list[str]:
+    """A word and its beginnings, the widest last; a star ends a beginning."""
     return [w, *(f"{w[:k]}*" for k in PREFIXES[::-1] if len(w) > k)]
 
 
+def features(token: str) -> list[str]:
+    """What a token's own weights are of."""
+    w, shape = word(token), token
+    for run, mark in RUNS:
+        shape = run.sub(mark, shape)
+    return [*beginnings(w), *([f"*{w[-SUFFIX:]}"] if len(w) > SUFFIX else []), f"#{shape}"]
+
+
+Steps = tuple[tuple[float, float], tuple[float, float]]
+
+
+def _grid(x: np.ndarray, rest: float, wide: int) -> np.ndarray:
+    """x in columns of `wide`, what is missing filled up."""
+    out = np.full(-(-len(x) // wide) * wide, rest)
+    out[: len(x)] = x
+    return np.ascontiguousarray(out.reshape(-1, wide).T)
+
+
+def chances(emit: np.ndarray, begins: np.ndarray, steps, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token of successive texts: the toxic state's probability, and the four of the step that leads to it
+    (from clean to clean, clean to toxic, toxic to clean, toxic to toxic; nothing where a text begins).
+
+    emit: log weight of the toxic state; begins: whether a text begins; steps: log weights [from][to]; start: log weight
+    of beginning toxic."""
+    n = len(emit)
+    if not n:
+        return np.zeros(0), np.zeros((4, 0))
+    odds = np.exp(np.clip(emit, -MOST, MOST))
+    (s00, s01), (s10, s11) = np.exp(np.clip(steps, -MOST, MOST))
+    first = math.exp(min(MOST, max(-MOST, start)))
+    m00, m01 = np.where(begins, 1.0, s00), np.where(begins, first, s01) * odds
+    m10, m11 = np.where(begins, 1.0, s10), np.where(begins, first, s11) * odds
+    wide = max(1, math.isqrt(n))
+    g00, g01, g10, g11 = _grid(m00, 1.0, wide), _grid(m01, 0.0, wide), _grid(m10, 0.0, wide), _grid(m11, 1.0, wide)
+    blocks = g00.shape[1]
+    # Each block's product.
+    p00, p01, p10, p11 = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
+    for i in range(wide):
+        p00, p01, p10, p11 = p00 * g00[i] + p01 * g10[i], p00 * g01[i] + p01 * g11[i], p10 * g00[i] + p11 * g10[i], p10 * g01[i] + p11 * g11[i]
+        norm = 1 / (p00 + p01 + p10 + p11)
+        p00, p01, p10, p11 = p00 * norm, p01 * norm, p10 * norm, p11 * norm
+    # What reaches each block from before, and from behind.
+    into, back = np.empty(blocks), np.empty(blocks)
+    f = b = 0.5
+    for k, (a, c, d, e) in enumerate(zip(p00.tolist(), p01.tolist(), p10.tolist(), p11.tolist())):
+        into[k] = f
+        zero, one = (1 - f) * a + f * d, (1 - f) * c + f * e
+        f = one / (zero + one)
+    for k, (a, c, d, e) in zip(range(blocks - 1, -1, -1), zip(p00[::-1].tolist(), p01[::-1].tolist(), p10[::-1].tolist(), p11[::-1].tolist())):
+        back[k] = b
+        zero, one = a * (1 - b) + c * b, d * (1 - b) + e * b
+        b = one / (zero + one)
+    forward, behind = np.empty_like(g00), np.empty_like(g00)
+    f, b = into, back
+    for i in range(wide):
+        one, zero = (1 - f) * g01[i] + f * g11[i], (1 - f) * g00[i] + f * g10[i]
+        f = forward[i] = one / (zero + one)
+    for i in range(wide - 1, -1, -1):
+        behind[i] = b
+        zero, one = g00[i] * (1 - b) + g01[i] * b, g10[i] * (1 - b) + g11[i] * b
+        b = one / (zero + one)
+    f, b = forward.T.reshape(-1)[:n], behind.T.reshape(-1)[:n]
+    p = f * b / (f * b + (1 - f) * (1 - b))
+    before = np.concatenate([[0.5], f[:-1]])
+    pair = np.stack([(1 - before) * m00 * (1 - b), (1 - before) * m01 * b, before * m10 * (1 - b), before * m11 * b])
+    pair *= np.where(begins, 0.0, 1 / pair.sum(0))
+    return p, pair
+
+
 @dataclass
 class Chain:
-    """Log weights: of lexicon words and all others for the toxic state, of transitions [from][to], of starts."""
+    """Log weights for the toxic state: of features, of the word before and after, of every token; of transitions
+    [from][to], and of starts."""
 
     words: dict[str, float] = field(default_factory=dict)
     other: float = 0.0
-    steps: tuple[tuple[float, float], tuple[float, float]] = ((0.0, -4.0), (0.0, 0.0))
+    steps: Steps = ((0.0, -4.0), (0.0, 0.0))
     starts: tuple[float, float] = (0.0, -4.0)
     mix: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)
+    before: dict[str, float] = field(default_factory=dict)
+    after: dict[str, float] = field(default_factory=dict)
+
+    def weights(self, token: str) -> tuple[float, float, float]:
+        """What a token adds to its own log weight, to the next token's and to the one's before."""
+        own, w = self.words, word(token)
+        return self.other + sum(own.get(f, 0.0) for f in features(token)), self.before.get(w, 0.0), self.after.get(w, 0.0)
+
+    def marginals(self, emit: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        return chances(emit, begins, self.steps, self.starts[1] - self.starts[0])[0]
+
+    def scores(self, summary: np.ndarray) -> np.ndarray:
+        z = summary @ np.array(self.mix[:-1]) + self.mix[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
+def emissions(own: np.ndarray, before: np.ndarray, after: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Log weights of tokens from what each adds to its own, the next one's and the one's before."""
+    emit = own.copy()
+    if len(emit) > 1:
+        inner = ~begins[1:]
+        emit[1:] += before[:-1] * inner
+        emit[:-1] += after[1:] * inner
+    return emit
 
-    def weight(self, w: str) -> float | None:
-        """The weight of a word by its narrowest feature in the lexicon; None if it has none."""
-        return next((self.words[f] for f in features(w) if f in self.words), None)
-
-    def marginals(self, weights: list[float]) -> list[float]:
-        """The toxic state's probability at each token, from the forward and backward recursions."""
-        (s00, s01), (s10, s11) = ((math.exp(x) for x in row) for row in self.steps)
-        odds = [math.exp(w) for w in weights]
-        forward, f = [], None
-        for r in odds:
-            if f is None:
-                one, zero = math.exp(self.starts[1]) * r, math.exp(self.starts[0])
-            else:
-                one, zero = (f * s11 + (1 - f) * s01) * r, f * s10 + (1 - f) * s00
-            f = one / (one + zero)
-            forward.append(f)
-        b, out = 1.0, [0.0] * len(odds)
-        for i in range(len(odds) - 1, -1, -1):
-            f = forward[i]
-            out[i] = f * b / (f * b + 1 - f)
-            r = odds[i] * b
-            b = (s11 * r + s10) / (s01 * r + s00)
-        return out
-
-    @staticmethod
-    def summary(marginals: list[float], more: int = 0) -> tuple[float, float, float]:
-        """Log odds of the largest marginal, log expected toxic tokens, log expected share of them. more: so many
-        further tokens have the marginal in the middle."""
-        if not marginals:
-            return -12.0, math.log(1e-3), math.log(1e-4)
-        p, n = max(marginals), len(marginals) + more
-        total = sum(marginals) + more * marginals[len(marginals) // 2]
-        odds = math.log(max(p, 1e-12)) - math.log(max(1 - p, 1e-12))
-        return max(-12.0, min(12.0, odds)), math.log(total + 1e-3), math.log(total / n + 1e-4)
-
-    def score(self, summary: tuple[float, float, float]) -> float:
-        z = self.mix[-1] + sum(a * x for a, x in zip(self.mix, summary))
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+def summaries(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of texts whose tokens are p[first[i]:first[i + 1]]: log odds of the largest marginal, log expected number of toxic
+    tokens, log expected share of them, as if FEW clean ones more were there."""
+    n = np.diff(first)
+    out = np.tile([-12.0, math.log(1e-3), math.log(1e-4)], (len(n), 1))
+    there = n > 0
+    if there.any():
+        most, total = np.maximum.reduceat(p, first[:-1][there]), np.add.reduceat(p, first[:-1][there])
+        odds = np.log(np.maximum(most, 1e-12)) - np.log(np.maximum(1 - most, 1e-12))
+        out[there] = np.stack([np.clip(odds, -12, 12), np.log(total + 1e-3), np.log(total / (n[there] + FEW) + 1e-4)], 1)
+    return out
 
 
 class Tagger:
-    """Scores texts with a chain; keeps the words of tokens that it has met, up to a bound."""
+    """Scores texts with a chain; keeps the weights of tokens that it has met, up to a bound."""
 
     def __init__(self, chain: Chain):
-        self.chain, self.seen = chain, {}
-        self.plain: dict[int, tuple[float, float, float]] = {}
-
-    def _plain(self, n: int) -> tuple[float, float, float]:
-        """The summary of n tokens outside the lexicon."""
-        if n not in self.plain:
-            if len(self.plain) > 20_000:
-                self.plain.clear()
-            m = min(n, STEADY)
-            self.plain[n] = self.chain.summary(self.chain.marginals([self.chain.other] * m), n - m)
-        return self.plain[n]
-
-    def tagged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score, and start, end (code points) and largest marginal of its toxic spans."""
-        tokens = text.split() if text else []
-        summary, marginals = self.chances(tokens)
-        if marginals is None and summary[0] >= 0:
-            marginals = self.chain.marginals([self.chain.other] * len(tokens))
-        return self.chain.score(summary), self._spans(text, marginals) if marginals else []
-
-    def chances(self, tokens: list[str]) -> tuple[tuple[float, float, float], list[float] | None]:
-        """The summary of the marginals, and the marginals if a token is in the lexicon."""
-        seen, other = self.seen, self.chain.other
+        self.chain = chain
+        self.seen: dict[int, tuple[float, float, float]] = {}
+
+    def _emissions(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        some, at, of = np.unique(hashes, return_index=True, return_inverse=True)
+        seen = self.seen
         if len(seen) > CACHE:
             seen.clear()
-        for t in tokens:
-            if t not in seen:
-                seen[t] = self.chain.weight(word(t))
-        weights = [seen[t] for t in tokens]
-        if weights.count(None) == len(weights):
-            return self._plain(len(tokens)), None
-        marginals = self.chain.marginals([other if w is None else w for w in weights])
-        return self.chain.summary(marginals), marginals
-
-    @staticmethod
-    def _spans(text: str, marginals: list[float]) -> list[tuple[int, int, float]]:
-        spans: list[tuple[int, int, float]] = []
-        last = -2
-        for i, (m, p) in enumerate(zip(TOKEN.finditer(text), marginals)):
-            if p >= 0.5:
-                if i == last + 1:
-                    start, _, most = spans[-1]
-                    spans[-1] = (start, m.end(), max(most, p))
-                else:
-                    spans.append((*m.span(), p))
-                last = i
-        return spans
-
-
-def distinct(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
-    """docs without those that share one of three smallest hashes of their word triples with an earlier one of
+        known = [seen.get(h) for h in some.tolist()]
+        for i, k in enumerate(known):
+            if k is None:
+                j = at[i]
+                known[i] = seen[int(some[i])] = self.chain.weights(x[start[j] : stop[j]].tobytes().decode("utf-8", "replace"))
+        table = np.array(known).reshape(-1, 3)[of]
+        return emissions(table[:, 0], table[:, 1], table[:, 2], begins)
+
+    def tagged(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[list[tuple[int, int, float]]]]]:
+        """By spans of texts: scores, and start, end (code points) and largest marginal of each text's toxic spans."""
+        for _, x, at in words.spans(texts, SPAN):
+            start, stop, hashes, first = words.found(x, at)
+            begins = np.zeros(len(start), bool)
+            begins[first[:-1][np.diff(first) > 0]] = True
+            p = self.chain.marginals(self._emissions(x, start, stop, hashes, begins), begins)
+            spans: list[list[tuple[int, int, float]]] = [[] for _ in range(len(at) - 1)]
+            toxic = np.flatnonzero(p >= 0.5)
+            if len(toxic):
+                of = np.searchsorted(first, toxic, side="right") - 1
+                for i in np.unique(of).tolist():
+                    spans[i] = _spans(x[at[i] : at[i + 1]], start - at[i], stop - at[i], p, toxic[of == i])
+            yield self.chain.scores(summaries(p, first)), spans
+
+
+def _spans(x: np.ndarray, start: np.ndarray, stop: np.ndarray, p: np.ndarray, toxic: np.ndarray) -> list[tuple[int, int, float]]:
+    """Runs of the toxic tokens of a text x of bytes."""
+    points = np.cumsum((x & 0xC0) != 0x80)  # code points that begin up to each byte
+    out = []
+    for run in np.split(toxic, np.flatnonzero(np.diff(toxic) > 1) + 1):
+        out.append((int(points[start[run[0]]]) - 1, int(points[stop[run[-1]] - 1]), float(p[run].max())))
+    return out
+
+
+def distinct(docs: list[tuple[list[str], int]]) -> list[int]:
+    """Places of docs, without those that share one of three smallest hashes of their word triples with an earlier one of
     their label: near copies, whose words would pass for words that many documents have."""
     kept, met = [], set()
-    for words, label in docs:
-        triples = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
+    for i, (ws, label) in enumerate(docs):
+        triples = [" ".join(ws[j : j + 3]).encode() for j in range(max(1, len(ws) - 2))]
         hashes = np.array([zlib.crc32(t) for t in triples], dtype=np.uint64)
         marks = {(label, k, int(((hashes * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 2654435761, 2246822519))}
         if not marks & met:
-            kept.append((words, label))
+            kept.append(i)
         met |= marks
     return kept
 
 
-def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
-    """Features that toxic documents hold LIFT times as often as others, with the log of that lift.
+def lexicon(docs: list[tuple[list[str], int]]) -> set[str]:
+    """Words and beginnings of words that toxic documents hold LIFT times as often as others, and so often that none of
+    all candidates would by chance (the likelihood ratio's probability times their number is below one).
 
-    Copies of one toxic document would make toxic words of all its words. So features are first chosen by how many
-    toxic documents they newly cover; a further one needs half the weight of the weakest that was chosen so.
+    Copies of one toxic document would make toxic words of all its words. So they are first chosen by how many toxic
+    documents they newly cover; a further one needs half the weight of the weakest that was chosen so.
     """
-    toxic, clean = ([set(words) for words, label in docs if label == k] for k in (1, 0))
+    toxic, clean = ([set(ws) for ws, label in docs if label == k] for k in (1, 0))
     if not toxic or not clean:
-        return {}
-    held = Counter(f for words in toxic for f in {f for w in words if w for f in features(w)})
+        return set()
+    held = Counter(f for ws in toxic for f in {f for w in ws if w for f in beginnings(w)})
     held = {f: n for f, n in held.items() if n >= min(SUPPORT, len(toxic))}
-    # Of other documents only the features that may be chosen are counted.
-    others = Counter(f for words in clean for f in {f for w in words for f in features(w) if f in held})
+    # Of other documents only those that may be chosen are counted.
+    others = Counter(f for ws in clean for f in {f for w in ws for f in beginnings(w) if f in held})
     lift = {f: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((others[f] + 0.5) / (len(clean) + 1)) for f, n in held.items()}
-    lift = {f: x for f, x in lift.items() if x >= math.log(LIFT)}
+
+    def ratio(f: str) -> float:
+        n, m = held[f], others[f]
+        share = len(toxic) / (len(toxic) + len(clean))
+        return 2 * (n * math.log(n / ((n + m) * share)) + (m * math.log(m / ((n + m) * (1 - share))) if m else 0.0))
+
+    lift = {f: x for f, x in lift.items() if x >= math.log(LIFT) and ratio(f) >= 2 * math.log(len(held))}
     weight = {w: held[w] * x for w, x in lift.items()}
     cover: list[str] = []
-    left = [s for s in ({f for w in words for f in features(w) if f in lift} for words in toxic) if s]
-    while left and len(cover) < LEXICON:
+    left = [s for s in ({f for w in ws for f in beginnings(w) if f in lift} for ws in toxic) if s]
+    while left:
         gain = Counter(w for own in left for w in own)
         best = max(gain, key=lambda w: (gain[w] * lift[w], not w.endswith("*"), w))
         if gain[best] < max(SUPPORT, 0.015 * len(toxic)) and cover:
@@ -203,114 +279,160 @@ def lexicon(docs: list[tuple[list[str], int]]) -> dict[str, float]:
         cover.append(best)
         left = [own for own in left if best not in own]
     least = 0.5 * min((weight[w] for w in cover), default=0.0)
-    chosen = sorted((w for w in weight if weight[w] >= least), key=lambda w: (-weight[w], w))[:LEXICON]
+    chosen = {w for w in weight if weight[w] >= least}
     # A beginning that is little but one of the chosen words says nothing of its own.
-    told = {f for w in chosen if not w.endswith("*") for f in features(w)[1:] if held[w] >= 0.8 * held[f]}
-    return {w: lift[w] for w in chosen if w not in told}
-
-
-def _windows(docs: list[tuple[list[str], int]], ids: dict[str, int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers (0: not in the lexicon, -1: beyond the text) and token labels of windows: around all lexicon words,
-    and around a place of every text at random."""
-    width = 2 * REACH + 1
-    rows, labels = [np.empty((0, width), np.int32)], [np.empty((0, width), bool)]
-    met: dict[str, int] = {}
-
-    def number(w: str) -> int:
-        if w not in met:
-            met[w] = next((ids[f] for f in features(w) if f in ids), 0)
-        return met[w]
-
-    for words, label in docs:
-        numbers = np.array([number(w) for w in words], dtype=np.int32)
-        if not len(numbers):
-            continue
-        toxic = (numbers > 0) & (label == 1)
-        centres = np.concatenate([np.flatnonzero(numbers > 0), rng.integers(len(numbers), size=1)])
-        rows.append(np.lib.stride_tricks.sliding_window_view(np.pad(numbers, REACH, constant_values=-1), width)[centres])
-        labels.append(np.lib.stride_tricks.sliding_window_view(np.pad(toxic, REACH), width)[centres])
-    return np.concatenate(rows), np.concatenate(labels)
-
-
-def _gradient(x: np.ndarray, y: np.ndarray, e: np.ndarray, steps: np.ndarray, start: float):
-    """Negative log likelihood of windows and its gradient by emissions, transitions and the toxic start."""
-    n, width = x.shape
-    there = x >= 0
-    emit = np.where(there, e[np.maximum(x, 0)], 0.0)
-    inf = -1e30
-    alpha = np.empty((n, width, 2))
-    begins = there & ~np.concatenate([np.zeros((n, 1), bool), there[:, :-1]], axis=1)
-    for t in range(width):
-        first = np.stack([np.zeros(n), start + emit[:, t]], axis=1)
-        if t:
-            prev = alpha[:, t - 1, :, None] + steps[None]
-            go = np.logaddexp(prev[:, 0], prev[:, 1])
-            go[:, 1] += emit[:, t]
-            alpha[:, t] = np.where(begins[:, t, None], first, np.where(there[:, t, None], go, alpha[:, t - 1]))
-        else:
-            alpha[:, t] = np.where(there[:, t, None], first, np.array([0.0, inf]))
-    beta = np.zeros((n, width, 2))
-    for t in range(width - 2, -1, -1):
-        nxt = steps[None] + (beta[:, t + 1] + np.stack([np.zeros(n), emit[:, t + 1]], axis=1))[:, None, :]
-        beta[:, t] = np.where((there[:, t] & there[:, t + 1])[:, None], np.logaddexp(nxt[:, :, 0], nxt[:, :, 1]), 0.0)
-    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-    post = np.exp(np.minimum(alpha + beta - z[:, None, None], 0))[:, :, 1]
-    diff = np.where(there, post - y, 0.0)
-    ge = np.bincount(np.maximum(x, 0).ravel(), diff.ravel(), minlength=len(e))
-    gs = float((diff * begins).sum())
-    gt = np.zeros((2, 2))
-    pair = there[:, 1:] & there[:, :-1]
-    for a in (0, 1):
-        for b in (0, 1):
-            log = alpha[:, :-1, a] + steps[a, b] + beta[:, 1:, b] + (emit[:, 1:] if b else 0) - z[:, None]
-            seen = (y[:, :-1] == a) & (y[:, 1:] == b)
-            gt[a, b] = ((np.exp(np.minimum(log, 0)) - seen) * pair).sum()
-    return ge / n, gt / n, gs / n
-
-
-def _whole_gradient(x: np.ndarray, y: np.ndarray, e: np.ndarray, steps: np.ndarray, start: float):
-    """_gradient of all windows, from those of blocks."""
-    parts = [(len(x[i : i + BLOCK]), _gradient(x[i : i + BLOCK], y[i : i + BLOCK], e, steps, start)) for i in range(0, len(x), BLOCK)]
-    return tuple(sum(n * g[k] for n, g in parts) / len(x) for k in range(3))
-
-
-def fitted(texts: list[tuple[str, int]], rounds: int = 60, ridge: float = 1e-4, seed: int = 5) -> Chain:
+    told = {f for w in chosen if not w.endswith("*") for f in beginnings(w)[1:] if held[w] >= 0.8 * held.get(f, 0)}
+    return chosen - told
+
+
+@dataclass
+class Corpus:
+    """Tokens of texts by number, with what they are made of: features (rows of a token's number and a feature's), and
+    the words that count as neighbours."""
+
+    tokens: np.ndarray
+    first: np.ndarray
+    begins: np.ndarray
+    of: np.ndarray
+    feature: np.ndarray
+    features: list[str]
+    neighbour: np.ndarray
+    neighbours: list[str]
+
+
+def corpus(docs: list[list[str]]) -> Corpus:
+    """Of features and neighbours, those that HELD documents have."""
+    number: dict[str, int] = {}
+    numbers = [np.array([number.setdefault(t, len(number)) for t in tokens], np.int64) for tokens in docs]
+    of, names = [], []
+    for t, i in number.items():
+        mine = features(t)
+        of += [i] * len(mine)
+        names += mine
+    ids = {f: i for i, f in enumerate(dict.fromkeys(names))}
+    of, feature = np.array(of, np.int64), np.array([ids[f] for f in names], np.int64)
+    # How many documents have each feature, by their distinct tokens.
+    span = np.searchsorted(of, np.arange(len(number) + 1))
+    seen = np.zeros(len(ids), np.int64)
+    words_of = [word(t) for t in number]
+    known = {w: i for i, w in enumerate(dict.fromkeys(words_of))}
+    word_of = np.array([known[w] for w in words_of], np.int64)
+    seen_word = np.zeros(len(known), np.int64)
+    for own in numbers:
+        own = np.unique(own)
+        width = span[own + 1] - span[own]
+        rows = np.repeat(span[own] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        seen[np.unique(feature[rows])] += 1
+        seen_word[np.unique(word_of[own])] += 1
+    keep = seen >= HELD
+    place = np.cumsum(keep) - 1
+    rows = keep[feature]
+    keep_word = seen_word >= HELD
+    place_word = np.where(keep_word, np.cumsum(keep_word) - 1, -1)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)
+    begins = np.zeros(first[-1], bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    return Corpus(
+        np.concatenate([np.zeros(0, np.int64), *numbers]), first, begins, of[rows], place[feature[rows]],
+        [f for f, k in zip(ids, keep) if k], place_word[word_of], [w for w, k in zip(known, keep_word) if k],
+    )
+
+
+def _split(theta: np.ndarray, c: Corpus) -> tuple[np.ndarray, ...]:
+    """Weights of features, of the word before, of the word after, of every token, of steps, of the start."""
+    f, w = len(c.features), len(c.neighbours)
+    return theta[:f], theta[f : f + w], theta[f + w : f + 2 * w], theta[f + 2 * w], theta[f + 2 * w + 1 : f + 2 * w + 5].reshape(2, 2), theta[-1]
+
+
+def corpus_emissions(theta: np.ndarray, c: Corpus) -> np.ndarray:
+    own, before, after, other, _, _ = _split(theta, c)
+    n = len(c.neighbour)
+    per = np.bincount(c.of, own[c.feature], minlength=n) + other
+    there = c.neighbour >= 0
+    b, a = (np.where(there, np.concatenate([x, [0.0]])[c.neighbour], 0.0) for x in (before, after))
+    return emissions(per[c.tokens], b[c.tokens], a[c.tokens], c.begins)
+
+
+def gradient(theta: np.ndarray, c: Corpus, y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Of the labels' negative log likelihood. seen: how often each of the four steps is in the labels."""
+    _, _, _, _, steps, start = _split(theta, c)
+    p, pair = chances(corpus_emissions(theta, c), c.begins, steps, start)
+    diff = p - y
+    n = len(c.neighbour)
+    per = np.bincount(c.tokens, diff, minlength=n)
+    inner = ~c.begins[1:]
+    # A token's word is the word before of the next token, and the word after of the one before.
+    to_next, to_last = np.zeros(len(diff)), np.zeros(len(diff))
+    to_next[:-1] = diff[1:] * inner
+    to_last[1:] = diff[:-1] * inner
+    there = c.neighbour >= 0
+    beside = [np.bincount(c.neighbour[there], np.bincount(c.tokens, d, minlength=n)[there], minlength=len(c.neighbours)) for d in (to_next, to_last)]
+    return np.concatenate([np.bincount(c.feature, per[c.of], minlength=len(c.features)), *beside, [diff.sum()], pair.sum(1) - seen, [diff[c.begins].sum()]])
+
+
+def _steps_of(y: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    step = (2 * y[:-1].astype(int) + y[1:])[~begins[1:]]
+    return np.bincount(step, minlength=4).astype(float)
+
+
+def _descended(theta: np.ndarray, c: Corpus, y: np.ndarray, rounds: int, n_docs: int) -> np.ndarray:
+    """Adam's steps on the likelihood and the prior, a document's share of either."""
+    seen = _steps_of(y, c.begins)
+    m = v = np.zeros_like(theta)
+    prior = np.full(len(theta), SPREAD**-2)
+    prior[-6:] = FREE**-2
+    for k in range(1, rounds + 1):
+        g = (gradient(theta, c, y, seen) + prior * theta) / n_docs
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta = theta - 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    return theta
+
+
+def fitted(texts: list[tuple[str, int]]) -> Chain:
     """A chain from (text, 0 or 1)."""
     known: dict[str, str] = {}
-    docs = []
+    docs, all_tokens = [], []
     for text, label in texts:
-        tokens = text.split()
+        tokens = [t.decode() for t in text.encode("utf-8", "replace").split()]
         for t in tokens:
             if t not in known:
                 known[t] = word(t)
         docs.append(([known[t] for t in tokens], label))
-    docs = distinct(docs)
+        all_tokens.append([t.translate(_LOWER) for t in tokens])
+    kept = distinct(docs)
+    docs, all_tokens = [docs[i] for i in kept], [all_tokens[i] for i in kept]
     lex = lexicon(docs)
     if not lex:
         return Chain()
-    ids = {w: i + 1 for i, w in enumerate(lex)}
-    rng = np.random.default_rng(seed)
-    x, y = _windows(docs, ids, rng)
-    e = np.concatenate([[-2.0], np.array(list(lex.values()))])
-    steps, start = np.array([[0.0, -2.0], [0.0, 0.0]]), -2.0
-    theta = np.concatenate([e, steps.ravel(), [start]])
-    m = v = np.zeros_like(theta)
-    for k in range(1, rounds + 1):
-        ge, gt, gs = _whole_gradient(x, y, theta[: len(e)], theta[len(e) : -1].reshape(2, 2), theta[-1])
-        g = np.concatenate([ge, gt.ravel(), [gs]]) + ridge * theta
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
-    e, t = theta[: len(e)], theta[len(e) : -1]
-    chain = Chain({w: float(e[i]) for w, i in ids.items()}, float(e[0]), ((float(t[0]), float(t[1])), (float(t[2]), float(t[3]))), (0.0, float(theta[-1])))
-    chain.mix = _calibrated(chain, docs)
+    c = corpus(all_tokens)
+    label = np.repeat([label for _, label in docs], np.diff(c.first)).astype(bool)
+    listed = np.array([any(f in lex for f in beginnings(w)) for ws, _ in docs for w in ws], bool) & label
+    theta = np.zeros(len(c.features) + 2 * len(c.neighbours) + 6)
+    at = len(c.features) + 2 * len(c.neighbours)
+    theta[: len(c.features)] = [4.0 if f in lex else 0.0 for f in c.features]
+    theta[at : at + 6] = [-4.0, 0.0, -3.0, 0.0, 0.0, -3.0]
+    theta = _descended(theta, c, listed, ROUNDS[0], len(docs))
+    _, _, _, _, steps, start = _split(theta, c)
+    found = label & (chances(corpus_emissions(theta, c), c.begins, steps, start)[0] >= 0.5)
+    theta = _descended(theta, c, listed | found, ROUNDS[1], len(docs))
+    own, before, after, other, steps, start = _split(theta, c)
+    pick = lambda names, values: {f: float(x) for f, x in zip(names, values) if abs(x) >= LEAST}
+    chain = Chain(
+        pick(c.features, own), float(other), ((float(steps[0, 0]), float(steps[0, 1])), (float(steps[1, 0]), float(steps[1, 1]))),
+        (0.0, float(start)), before=pick(c.neighbours, before), after=pick(c.neighbours, after),
+    )
+    p = chances(corpus_emissions(theta, c), c.begins, steps, start)[0]
+    chain.mix = _calibrated(summaries(p, c.first), np.array([label for _, label in docs], float))
     return chain
 
 
-def _calibrated(chain: Chain, docs: list[tuple[list[str], int]], ridge: float = 0.1) -> tuple[float, ...]:
+#: A-Z to a-z, as tokens are told apart when texts are scored.
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _calibrated(summary: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
     """Weights of the summary and an offset, by Newton's method with halved steps; classes weigh the same."""
-    tagger = Tagger(chain)
-    x = np.array([(*tagger.chances(words)[0], 1.0) for words, _ in docs])
-    y = np.array([label for _, label in docs], float)
+    x = np.concatenate([summary, np.ones((len(y), 1))], 1)
     weight = len(y) * np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     at = np.array([1.0, 0.0, 0.0, 0.0])
 
@@ -336,22 +458,21 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Cha
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("marginal", T.DoubleType())]))
 
 
-def score(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """documents with toxic_score (0 to 1) and toxic_spans, arrays of start, end and largest marginal."""
+def score(documents: DataFrame, chain: Chain, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """documents with one more column, fresh(into): a struct of score (0 to 1) and spans, arrays of start, end and
+    largest marginal."""
     result = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])))])
 
+    shared = documents.sparkSession.sparkContext.broadcast(chain)  # features that HELD of the sample's documents have
+
     @F.arrow_udf(result)
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tagger = Tagger(chain)
+        tagger = Tagger(shared.value)
         for texts in batches:
             rows = []
-            for t in texts.to_pylist():
-                s, spans = tagger.tagged(t)
-                rows.append({"score": s, "spans": [{"start": a, "end": b, "marginal": p} for a, b, p in spans]})
+            for scores, spans in tagger.tagged(texts):
+                rows += [{"score": s, "spans": [{"start": a, "end": b, "marginal": p} for a, b, p in own]} for s, own in zip(scores.tolist(), spans)]
             yield pa.array(rows, kind)
 
-    # The rows travel as one struct, so no name of theirs can clash with one of ours.
-    names = [c for c in documents.columns if c not in ("toxic_score", "toxic_spans")]
-    tagged = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), tag(F.col(f"`{text}`")).alias("tagged"))
-    return tagged.select("row.*", F.col("tagged.score").alias("toxic_score"), F.col("tagged.spans").alias("toxic_spans"))
+    return documents.select("*", tag(named(text)).alias(fresh(into, documents.columns)))

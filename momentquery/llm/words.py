@@ -14,6 +14,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint64)[LOWER]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes that are looked at together.
+PIECE = 1 << 19
 #: Powers of the multiplier's inverse and of itself, as far as they were needed.
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -53,17 +55,43 @@ def found(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     """Of the words (runs of other than ASCII white space) of the texts x[at[i]:at[i + 1]]: where each begins and
     ends, its hash with A-Z in lower case, and the number of each text's first word (and the end).
 
-    A word's hash sums byte values times powers that make it independent of the word's place."""
+    A word's hash sums byte values times powers that make it independent of the word's place. Long texts are looked
+    at in pieces that end with white space."""
+    parts, lo = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
+    while lo < len(x):
+        hi = _cut(x, lo)
+        edges = at[np.searchsorted(at, lo) : np.searchsorted(at, hi, side="right")] - lo
+        start, stop, hashes = _found(x[lo:hi], edges)
+        parts.append((start + lo, stop + lo, hashes))
+        lo = hi
+    start, stop, hashes = (np.concatenate(c) for c in zip(*parts))
+    return start, stop, hashes, np.searchsorted(start, at)
+
+
+def _cut(x: np.ndarray, lo: int) -> int:
+    """Where a piece of about PIECE bytes from lo on ends, behind white space or with x."""
+    hi = lo + PIECE
+    if hi >= len(x):
+        return len(x)
+    spaces = np.flatnonzero(_SPACE[x[lo:hi]])
+    if len(spaces):
+        return lo + int(spaces[-1]) + 1
+    while hi < len(x):  # a very long word
+        spaces = np.flatnonzero(_SPACE[x[hi : hi + PIECE]])
+        if len(spaces):
+            return hi + int(spaces[0]) + 1
+        hi += PIECE
+    return len(x)
+
+
+def _found(x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """found() in a piece, where words end; edges: where texts begin or end in it."""
     n = len(x)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     inverse, power = (p[:n] for p in _up_to(n))
     word = ~_SPACE[x]
     edge = np.zeros(n + 1, bool)
-    edge[at] = True
+    edge[edges] = edge[0] = edge[n] = True
     start = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
     stop = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]]))) + 1
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[x] * inverse, dtype=np.uint64)])
-    hashes = mixed((total[stop] - total[start]) * power[start] + (stop - start).astype(np.uint64))
-    return start, stop, hashes, np.searchsorted(start, at)
+    return start, stop, mixed((total[stop] - total[start]) * power[start] + (stop - start).astype(np.uint64))
