@@ -24,10 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import written
+from pyspark.sql import types as T
 
 FEATURE, RUN, POINTS = 16, 64, 16
 #: Texts of fewer runs than this have shorter runs, so that they have as many features as that.
@@ -37,8 +36,10 @@ BITS, HASHES, PER_FILTER = 2048, 5, 160
 LEVELS, FLOOR = 64, 1.0
 N_LEVELS = int(LEVELS * np.log2(FEATURE)) + 2
 CUT = 0.3
-#: Bytes that are worked on together.
-CHUNK = 1 << 20
+#: Bytes of texts that are worked on together, and windows that are looked at together.
+CHUNK, PIECE = 1 << 20, 1 << 19
+#: Bytes of texts that a bucket of in_sequence() holds on average.
+BUCKET_BYTES = 16 << 20
 
 #: n log2 n in units of 2^-32, so that sliding sums are exact and equal windows get equal entropies.
 _PART = np.array([0] + [round(c * np.log2(c) * 2**32) for c in range(1, FEATURE + 1)], dtype=np.int64)
@@ -46,7 +47,7 @@ _STEP = np.concatenate([[0], np.diff(_PART)])
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 2**64))
+_POWER = np.array([pow(int(_ODD), -k, 2**64) for k in range(FEATURE)], np.uint64)
 
 
 def _levels(x: np.ndarray) -> np.ndarray:
@@ -71,10 +72,10 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), at
 
 
-def _inside(at: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Whether the `width` places from each place on lie in one text."""
-    ends = np.repeat(at[1:], np.diff(at))
-    return np.arange(n) + width <= ends
+def _inside(at: np.ndarray, lo: int, hi: int, width: int) -> np.ndarray:
+    """Whether the `width` places from each of the places lo to hi on lie in one text."""
+    place = np.arange(lo, hi)
+    return place + width <= at[np.searchsorted(at, place, side="right")]
 
 
 def histogram(texts: list[bytes]) -> np.ndarray:
@@ -82,9 +83,9 @@ def histogram(texts: list[bytes]) -> np.ndarray:
     counts = np.zeros(N_LEVELS, np.int64)
     for some in _chunks(texts):
         x, at = _joined(some)
-        if len(x) >= FEATURE:
-            levels = _levels(x)
-            counts += np.bincount(levels[_inside(at, len(x), FEATURE)[: len(levels)]], minlength=N_LEVELS)
+        for lo in range(0, len(x) - FEATURE + 1, PIECE):
+            levels = _levels(x[lo : lo + PIECE + FEATURE - 1])
+            counts += np.bincount(levels[_inside(at, lo, lo + len(levels), FEATURE)], minlength=N_LEVELS)
     return counts
 
 
@@ -125,58 +126,49 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return key
 
 
-def _selected(key: np.ndarray, run: int, first: int = 0) -> np.ndarray:
-    """Places of the windows with points enough, from keys that hold rank and place (less `first`)."""
-    best = (_sliding_min(key, run) & ((1 << 40) - 1)) - first
-    # The first best place of a sliding run never moves back, so its points are a run of equal places.
-    starts = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    points = np.diff(np.concatenate([starts, [len(best)]]))
-    enough = points >= max(1, run * POINTS // RUN)
-    return best[starts[enough]] if enough.any() else best[:1]
+def _selected(x: np.ndarray, rank: np.ndarray, run: int) -> np.ndarray:
+    """Places of a text's windows with points enough. Runs are looked at PIECE at once."""
+    n_runs = len(x) - FEATURE + 1 - run + 1
+    places, points = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, n_runs, PIECE):
+        hi = min(n_runs, lo + PIECE)
+        levels = _levels(x[lo : hi + run - 1 + FEATURE - 1])
+        key = (rank[levels] << 40) | np.arange(lo, lo + len(levels))
+        best = _sliding_min(key, run) & ((1 << 40) - 1)
+        # The first best place of a sliding run never moves back, so its points are a run of equal places.
+        starts = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+        won = np.diff(np.concatenate([starts, [len(best)]]))
+        if len(places[-1]) and places[-1][-1] == best[0]:
+            points[-1][-1] += won[0]
+            starts, won = starts[1:], won[1:]
+        if len(starts):
+            places.append(best[starts])
+            points.append(won)
+    place = np.concatenate(places)
+    enough = np.concatenate(points) >= max(1, run * POINTS // RUN)
+    return place[enough] if enough.any() else place[:1]
+
+
+def _hashed(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at some places."""
+    h = np.zeros(len(places), np.uint64)
+    for k in range(FEATURE):
+        h += _BYTE[x[places + k]] * _POWER[k]
+    return _mixed(h)
 
 
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """The hashed features of each text, in its order. Texts are worked on together but never share a window."""
-    out: list[np.ndarray] = []
-    for some in _chunks(texts):
-        x, at = _joined(some)
-        n, lengths = len(x), np.diff(at)
-        found: list = [None] * len(some)
-        places = np.zeros(0, np.int64)
-        if n >= FEATURE + RUN:
-            levels = _levels(x)
-            key = (rank[levels] << 40) | np.arange(len(levels))
-            long_enough = np.flatnonzero(lengths - FEATURE + 1 >= SHORT * RUN)
-            places = [at[i] + _selected(key[at[i] : at[i + 1] - FEATURE + 1], RUN, at[i]) for i in long_enough]
-            places = np.concatenate(places) if places else np.zeros(0, np.int64)
-        elif n >= FEATURE:
-            levels = _levels(x)
-        if n:
-            power = np.empty(n, np.uint64)
-            power[0] = 1
-            power[1:] = _INVERSE
-            power = np.multiply.accumulate(power)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[x] * power, dtype=np.uint64)])
-            back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _ODD)]))
-
-            def hashed(p: np.ndarray) -> np.ndarray:
-                return _mixed((total[p + FEATURE] - total[p]) * back[p])
-
-            owner = np.searchsorted(at, places, side="right") - 1
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1))
-            all_hashes = hashed(places) if len(places) else np.zeros(0, np.uint64)
-        for i, text in enumerate(some):
-            if not len(text):
-                found[i] = np.zeros(0, np.uint64)
-            elif len(text) < FEATURE:
-                found[i] = np.array([int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")], np.uint64)
-            elif (windows := lengths[i] - FEATURE + 1) < SHORT * RUN:
-                own = (rank[levels[at[i] : at[i] + windows]] << 40) | np.arange(windows)
-                found[i] = hashed(at[i] + _selected(own, max(1, windows // SHORT)))
-            else:
-                found[i] = all_hashes[cuts[i] : cuts[i + 1]]
-        out += found
-    return out
+    """The hashed features of each text, in its order. No window reaches beyond its text."""
+    return [_features(np.frombuffer(t, np.uint8), rank) for t in texts]
+
+
+def _features(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    windows = len(x) - FEATURE + 1
+    if not len(x):
+        return np.zeros(0, np.uint64)
+    if windows < 1:
+        return np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little")], np.uint64)
+    return _hashed(x, _selected(x, rank, RUN if windows >= SHORT * RUN else max(1, windows // SHORT)))
 
 
 def filters(hashes: np.ndarray) -> np.ndarray:
@@ -244,43 +236,52 @@ def entropy_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def in_sequence(documents: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """doc_id, text, bucket, halo: partitions hold whole buckets of ids, each sorted by descending id, and after a
-    bucket's rows comes a halo row, the first row of the next bucket that has any (after the last: of the first).
+def in_sequence(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, text, bucket, halo: partitions hold whole buckets, each sorted by descending id, and after a bucket's
+    rows comes a halo row, the first row of the next bucket that has any (after the last: of the first).
 
-    Buckets are equal ranges of ids. What is gathered is one id a bucket. Null ids come last; ties in id are
-    ordered by text.
+    Buckets are successive and of about the same number of rows, as many as the bytes of all texts ask for; their
+    bounds are those of a range partitioning of ids and text hashes, so neither an outlying id nor one that many rows
+    share makes a large bucket. What is gathered are two bounds a bucket. Null ids count as the smallest; ties in id
+    are ordered by the text's hash, then by the text.
     """
-    spark = documents.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", text.alias("text"))
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    n = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if low is None:
-        bucket = F.lit(0).cast("long")
-    else:
-        # Descending: bucket 0 holds the largest ids, bucket n the null ones.
-        width = max(1, -(-(int(high) - int(low) + 1) // n))
-        bucket = F.coalesce(F.floor((F.lit(int(high)) - F.col("doc_id")) / width).cast("long"), F.lit(n).cast("long"))
-    heads = (
-        rows.select("doc_id", bucket.alias("bucket"), F.sha1("text").alias("_sha"), "text")
-        .groupBy("bucket")
-        .agg(F.max_by(F.struct("doc_id", "_sha"), F.struct(F.coalesce("doc_id", F.lit(-(2**63))), F.lit(0))).alias("_any"), F.max("doc_id").alias("_top"))
-        .select("bucket", "_top")
-        .orderBy("bucket")
-        .collect()
-    )
-    order = [r.bucket for r in heads]
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the bucket that a bucket's head follows
-    table = spark.createDataFrame([(b, before[b], r._top) for b, r in zip(order, heads)], "bucket long, _before long, _top long")
-    marked = rows.withColumn("bucket", bucket).join(F.broadcast(table), "bucket")  # n + 1 rows at most
-    head = F.col("doc_id").eqNullSafe(F.col("_top"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // bucket_bytes))
+    # Ascending: the complement of the id turns the order round without overflow.
+    a, b = F.bitwise_not(F.coalesce("doc_id", F.lit(-(2**63)))).alias("a"), F.xxhash64("text").alias("b")
+
+    def gathered(keys: DataFrame, of: Column, pick) -> tuple[np.ndarray, ...]:
+        found = keys.groupBy(of.alias("_of")).agg(pick(F.struct("a", "b")).alias("_at")).select("_of", "_at.a", "_at.b").toArrow()
+        found = tuple(found[c].to_numpy() for c in ("a", "b", "_of"))
+        order = np.lexsort(found[1::-1])
+        return tuple(c[order] for c in found)
+
+    last_a, last_b, _ = gathered(rows.select(a, b).repartitionByRange(n, "a", "b"), F.spark_partition_id(), F.max)
+
+    @F.arrow_udf(T.LongType())
+    def bucket(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(_rank_of(last_a[:-1], last_b[:-1], a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)))
+
+    dealt = rows.select("doc_id", "text", a, b).withColumn("bucket", bucket("a", "b"))
+    head_a, head_b, order = gathered(dealt.select("a", "b", "bucket"), F.col("bucket"), F.min)
+    heads = pa.table({"_bucket": order, "_before": np.roll(order, 1), "_a": head_a, "_b": head_b})
+    heads = documents.sparkSession.createDataFrame(heads)  # a row a bucket
+    marked = dealt.join(F.broadcast(heads), F.col("bucket") == F.col("_bucket"))
+    head = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))
     ahead = F.struct(F.col("_before").alias("bucket"), F.lit(True).alias("halo"))
-    spread = marked.select("doc_id", "text", F.explode(F.when(head, F.array(own, ahead)).otherwise(F.array(own))).alias("_at")).select(
-        "doc_id", "text", "_at.bucket", "_at.halo"
-    )
-    return spread.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc_nulls_last("doc_id"), "text")
+    spread = marked.select("doc_id", "text", "a", "b", F.explode(F.when(head, F.array(own, ahead)).otherwise(F.array(own))).alias("_at"))
+    spread = spread.select("doc_id", "text", "a", "b", "_at.bucket", "_at.halo")
+    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", "a", "b", "text").drop("a", "b")
+
+
+def _rank_of(edge_a: np.ndarray, edge_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the sorted edges (edge_a, edge_b) come before each (a, b)."""
+    low, high = np.searchsorted(edge_a, a, side="left"), np.searchsorted(edge_a, a, side="right")
+    for i in np.flatnonzero(low < high):
+        low[i] += np.searchsorted(edge_b[low[i] : high[i]], b[i], side="left")
+    return low
 
 
 def edited(text: str, following: str) -> str:

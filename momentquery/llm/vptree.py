@@ -5,9 +5,10 @@ and q' = (q, 0) give |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, so nearest is largest in
 inequality prunes. A child is left out when factor * (distance to its shell) exceeds the distance of the current
 k-th best; factor 1 is exact, larger factors look at less and may miss some.
 
-The search is a join in blocks of a stated query set with all rows: candidates hash into shards and queries into
-blocks of bounded size, each pair of a shard and a block is one group, and each query keeps k rows per shard, of
-which the k best remain. No group grows with the input.
+The search is a join in blocks of a stated query set with all rows: candidates are dealt into shards of bounded size
+by the hash of id and vector, so a task that runs again deals them alike. Each shard's rows come first to the task
+that has it, which builds its one tree, then all queries, block by block; each query keeps k rows per shard, of which
+the k best remain. A task holds one shard and one block, whatever the size of the input.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or as
 candidates; vectors meet only vectors of their length. Repeated vectors and equal scores are all candidates, with
@@ -18,16 +19,20 @@ its own id; queries that share an id share one list. Null ids take no part. An e
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARD_ROWS = 16384
 BLOCK_ROWS = 4096
 LEAF = 256
+#: Kinds of rows of a shard, in the order in which they come.
+ROW, QUERY = 0, 1
 PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 #: Relative slack for rounding in distances, so that factor 1 never loses a tie.
 SLACK = 1e-9
@@ -67,6 +72,11 @@ class Best:
         self.vec[mine] = vec[keep].reshape(n, k)
 
 
+    def pairs(self) -> pa.Table:
+        found = np.isfinite(self.score)
+        return pa.table({"query_id": self.ids[np.nonzero(found)[0]], "vec_id": self.vec[found], "score": self.score[found]}, schema=PAIRS)
+
+
 class Tree:
     """A vantage-point tree over the rows of x (already with the extra coordinate apart, in `up`)."""
 
@@ -133,37 +143,71 @@ def searched(queries: pa.Table, rows: pa.Table, k: int, factor: float, leaf: int
         return PAIRS.empty_table()
     best = Best(_matrix(queries["embedding"]), queries["vec_id"].to_numpy(), k)
     Tree(_matrix(rows["embedding"]), rows["vec_id"].to_numpy(), leaf).search(best, factor)
-    found = np.isfinite(best.score)
-    at = np.nonzero(found)[0]
-    return pa.table({"query_id": best.ids[at], "vec_id": best.vec[found], "score": best.score[found]}, schema=PAIRS)
+    return best.pairs()
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a vector that has a direction."""
+    """Rows with an id and a vector that has a direction; single-precision vectors travel as such."""
+    kind = vectors.schema["embedding"].dataType
+    numbers = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(
+    return vectors.select("vec_id", F.col("embedding").cast(numbers).alias("embedding")).filter(
         F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     )
 
 
+def _walk(k: int, factor: float, block_rows: int, leaf: int = LEAF):
+    """Sorted rows (width, shard, kind, ...) of whole shards, candidates before queries -> PAIRS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, None
+        rows: list[pa.RecordBatch] = []
+        queries: list[pa.RecordBatch] = []
+
+        def searched() -> Iterator[pa.RecordBatch]:
+            if queries and tree is not None:
+                block = pa.Table.from_batches(queries)
+                best = Best(_matrix(block["embedding"]), block["vec_id"].to_numpy(), k)
+                tree.search(best, factor)
+                yield from best.pairs().to_batches()
+            queries.clear()
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("width", "shard", "kind")]
+            new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in keys])) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                shard, kind = (keys[0][lo], keys[1][lo]), keys[2][lo]
+                if shard != at:
+                    yield from searched()
+                    at, tree, rows = shard, None, []
+                some = batch.slice(lo, hi - lo)
+                if kind == ROW:
+                    rows.append(some)
+                    continue
+                if rows:
+                    table = pa.Table.from_batches(rows)
+                    tree, rows = Tree(_matrix(table["embedding"]), table["vec_id"].to_numpy(), leaf), []
+                queries.append(some)
+                if sum(q.num_rows for q in queries) >= block_rows:
+                    yield from searched()
+        yield from searched()
+
+    return run
+
+
 def nearest(
     queries: DataFrame, rows: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of each query with the largest inner product."""
     queries, rows = usable(queries).dropDuplicates(), usable(rows)
     n_shards = max(1, math.ceil(rows.count() / shard_rows))
-    n_blocks = max(1, math.ceil(queries.count() / block_rows))
     width = F.size("embedding").alias("width")
-    spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    left = queries.select("*", width, F.pmod(spread, F.lit(n_blocks)).alias("block")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint")))
-    )
-    right = rows.select("*", width, F.pmod(spread, F.lit(n_shards)).alias("shard")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    )
-    key = ["width", "shard", "block"]
-    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        lambda a, b: searched(a, b, k, factor), "query_id long, vec_id long, score double"
-    )
+    shards = F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint"))
+    candidates = rows.select(width, F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_shards)).alias("shard"), F.lit(ROW).alias("kind"), "vec_id", "embedding")
+    asking = queries.select(width, F.explode(shards).alias("shard"), F.lit(QUERY).alias("kind"), "vec_id", "embedding")
+    met = candidates.unionByName(asking).repartition(n_shards, "width", "shard").sortWithinPartitions("width", "shard", "kind")
+    pairs = met.mapInArrow(_walk(k, factor, block_rows), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

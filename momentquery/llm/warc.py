@@ -2,8 +2,9 @@
 
 Archives are written by Spark's own text writer, whose record separator is the one that ends a WARC record, so
 they go to any file system that Spark reaches and appear only when their task commits. Files hold at most
-`per_file` records, which bounds what a reader has to hold. Payloads are split off by Content-Length, so they may
-hold anything, record separators included.
+`per_file` records. A reader holds a file as it is compressed, and inflates it in pieces, of which it keeps one
+record and a batch of bounded bytes. Payloads are split off by Content-Length, so they may hold anything, record
+separators included.
 
 Revisit resolution shuffles headers only: per payload digest, the largest record id is the original, and the
 others become revisit records that refer to it. Payloads below `min_bytes` are never made revisits.
@@ -15,7 +16,7 @@ columns of the input are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 MIN_BYTES = 1000
 PER_FILE = 2000
+#: Bytes that a reader inflates at once, and of records that it hands on together.
+PIECE = 1 << 20
 CRLF = "\r\n"
 END = CRLF + CRLF
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,21 +110,60 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
     )
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode("utf-8").split(CRLF)
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive that comes in pieces; no more than one
+    record and one piece is held."""
+    pieces, held, at = iter(pieces), bytearray(), 0
+
+    def more(n: int) -> bool:
+        """Whether the archive has n bytes from the current record on; reads as far as that."""
+        nonlocal at
+        while len(held) - at < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            del held[:at]
+            held.extend(piece)
+            at = 0
+        return True
+
+    done = 0
+    while more(1):
+        size, found = 1, -1
+        while found < 0:
+            if not more(size):
+                raise ValueError(f"the record at byte {done} has no end of its header")
+            found = held.find(b"\r\n\r\n", at + max(0, size - 4))
+            size = len(held) - at + 1 if found < 0 else size
+        head = found - at
+        lines = held[at : at + head].decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {done}")
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        start = head + 4
-        end = start + int(fields["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield fields, data[start:end]
-        at = end + 4
+        end = head + 4 + int(fields["content-length"])
+        if not more(end + 4) or held[at + end : at + end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {done} does not end where its length says")
+        yield fields, bytes(held[at + head + 4 : at + end])
+        at += end + 4
+        done += end + 4
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The plain bytes of an archive of one gzip member or more, in pieces."""
+    import zlib
+
+    unzip, rest = zlib.decompressobj(31), data
+    while data:
+        piece = unzip.decompress(rest, PIECE)
+        if piece:
+            yield piece
+        rest = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+        if unzip.eof:
+            if not rest:
+                return
+            unzip = zlib.decompressobj(31)
+        elif not rest and not piece:
+            raise ValueError("the archive ends within a gzip member")
 
 
 def _number(urn: str | None) -> int | None:
@@ -131,33 +173,32 @@ def _number(urn: str | None) -> int | None:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
     schema = pa.schema(
         [("record_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
     )
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     for batch in batches:
         for content in batch.column("content"):
-            data = content.as_py()
-            plain, rest = [], data
-            while rest:  # an archive may be one gzip member or one per record
-                unzip = zlib.decompressobj(31)
-                plain.append(unzip.decompress(rest) + unzip.flush())
-                rest = unzip.unused_data
-            rows = []
-            for fields, block in parsed(b"".join(plain)):
+            rows, size = [], 0
+            for fields, block in parsed(inflated(content.as_py())):
                 kind = fields["warc-type"]
                 body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                 rows.append(
                     (_number(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), _number(fields.get("warc-refers-to")), body)
                 )
+                size += len(block)
+                if size > PIECE:
+                    yield batch_of(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield batch_of(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below path; payload is null for revisits. Files are read whole, records are not
-    kept beyond their file."""
+    """Records of the archives below path; payload is null for revisits."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_read, READ)
 
