@@ -5,13 +5,14 @@ entropy, to the a whose weights have it (entropy falls as a grows); for a repeti
 which no source is repeated more often than that (repetition falls as a grows). A source then gets its weight of
 the budget: whole epochs over all of its documents, and a last one that stops where the budget does.
 
-Each epoch of a source is a permutation by hash: documents fall into blocks, blocks stand in an order of their own,
-and documents in a block too. So the last epoch is decided by the sizes of whole blocks, and only in the one block
-where the budget ends are documents ordered and summed. No source is ever gathered in one task.
+Each epoch of a source is a permutation by hash: documents fall into blocks, as many as the square root of the
+source's tokens, blocks stand in an order of their own, and documents in a block too. So the last epoch is decided
+by the sizes of whole blocks, and only in the one block where the budget ends are documents ordered and summed: either
+is about a square root of the source, and no source is ever gathered in one task.
 
 Nulls: a null source is a source of its own; null and empty texts have no tokens, share nothing, and come with
 every whole epoch. Sources without tokens come once. Repeated rows have places of their own, in no defined order
-among themselves. An empty table gives no rows. Extra columns are kept.
+among themselves. An empty table gives no rows. All columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, named, written
 
-BLOCKS = 1024
 #: Steps of the bisection; the exponent is then exact to 2^-STEPS.
 STEPS = 60
 
@@ -96,8 +96,9 @@ def source_tokens(documents: DataFrame, source: str = "source", tokens: str = "n
     return {r[0]: int(r[1]) for r in documents.groupBy(source).agg(F.coalesce(F.sum(tokens), F.lit(0))).collect()}
 
 
-def realised(documents: DataFrame, mix: list[Share], source: str = "source", tokens: str = "n_tokens", key: str = "doc_id", seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
-    """documents once for each time that the mix takes them, with epoch, block and place.
+def realised(documents: DataFrame, mix: list[Share], source: str = "source", tokens: str = "n_tokens", key: str = "doc_id", seed: int = 0, blocks: int | None = None, into: str = "taken") -> DataFrame:
+    """documents once for each time that the mix takes them, with one more column, fresh(into): a struct of epoch, block
+    and place. blocks: of each source, if not as many as its tokens ask for.
 
     (source, epoch, block order, place) is the order of training: block is the block's place in its epoch's
     permutation of blocks, place orders documents in the block.
@@ -105,16 +106,15 @@ def realised(documents: DataFrame, mix: list[Share], source: str = "source", tok
     spark = documents.sparkSession
     # The rows travel as one struct, so no name of theirs can clash with one of ours.
     rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("epoch", "block", "place")]).alias("row"),
-        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{tokens}`").alias("n"),
+        F.struct(*[named(c) for c in documents.columns]).alias("row"), named(key).alias("key"), named(source).alias("source"), named(tokens).alias("n")
     )
     whole = {s.source: math.floor(s.epochs + 1e-9) for s in mix}
     plan = spark.createDataFrame(
-        [(s.source, whole[s.source], max(0.0, s.budget - whole[s.source] * s.tokens) if s.tokens else 0.0) for s in mix],
-        "_source string, _whole long, _rest double",
+        [(s.source, whole[s.source], max(0.0, s.budget - whole[s.source] * s.tokens) if s.tokens else 0.0, blocks or math.isqrt(s.tokens) + 1) for s in mix],
+        "_source string, _whole long, _rest double, _blocks long",
     )
     epoch, n = F.col("_epoch"), F.col("n")
-    part = F.pmod(F.xxhash64(F.lit(seed), epoch, F.col("key"), F.lit("block")), F.lit(blocks)).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(seed), epoch, F.col("key"), F.lit("block")), F.col("_blocks"))
     place = F.xxhash64(F.lit(seed), epoch, F.col("key"), F.lit("place"))
     block = F.xxhash64(F.lit(seed), F.col("_source"), epoch, F.col("_part"), F.lit("order"))
 
@@ -149,4 +149,5 @@ def realised(documents: DataFrame, mix: list[Share], source: str = "source", tok
     doc = F.struct(F.col("_place"), F.col("key").alias("_key"))
     before_stop = F.when(F.col("_cut").isNull(), F.lit(True)).otherwise((at < stop) | ((at == stop) & F.coalesce(doc <= F.col("_last"), F.lit(False))))
     taken = taken.filter((epoch < F.col("_whole")) | ((F.col("_rest") > 0) & (n > 0) & before_stop))
-    return taken.select("row.*", epoch.alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))
+    at = F.struct(epoch.alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))
+    return taken.select("row.*", at.alias(fresh(into, documents.columns)))

@@ -17,7 +17,7 @@ def op7_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = written(counted, "token-counts")
     tokens = mixing.source_tokens(documents)
     mix = mixing.shares(tokens, budget=float(sum(tokens.values())), limit=LIMIT)
-    return mixing.realised(documents, mix)
+    return mixing.realised(documents, mix).select(*documents.columns, "taken.*")
 
 
 QUERIES = {"op7_temperature_mixture": op7_temperature_mixture}
