@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes of text of a class that come to the driver, at most.
+BYTES = 32 << 20
+
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     """Whether a document belongs to the fold that is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame, target: Column, per_class: int, classes: list[int]) -> list[tuple[str, int]]:
-    """(text, class) of at most per_class documents of each class, from the folds that may be learned from.
+def sample(documents: DataFrame, labels: DataFrame, target: Column, per_class: int, classes: list[int], bytes_per_class: int = BYTES) -> list[tuple[str, int]]:
+    """(text, class) of at most per_class documents of each class, from the folds that may be learned from, as many
+    as have bytes_per_class together at most; a longer text than that is never learned from.
 
     Chosen by the smallest hash of doc_id, so the choice doesn't depend on partitions or order. A document with
-    several labels counts as the largest; null labels, ids and texts are left out.
+    several labels counts as the largest, an id with several texts as the smallest of them; null labels, ids and
+    texts are left out.
     """
     known = (
         labels.filter(~held_out(F.col("doc_id")))
@@ -28,11 +34,10 @@ def sample(documents: DataFrame, labels: DataFrame, target: Column, per_class: i
     for c in classes:
         some = known.filter(F.col("target") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    rows = (
-        documents.select(F.col("doc_id"), "text")
-        .filter("text is not null")
-        .join(F.broadcast(picked), "doc_id")  # at most per_class rows a class
-        .select("doc_id", "text", "target")
-        .dropDuplicates(["doc_id"])
-    )
+    size = F.octet_length("text")
+    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (size <= bytes_per_class))
+    # At most per_class rows a class are broadcast, and as many texts are grouped.
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "target").agg(F.min("text").alias("text"))
+    before = F.sum(size).over(W.partitionBy("target").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = found.withColumn("before", before).filter(F.col("before") <= bytes_per_class).select("doc_id", "text", "target")
     return [(r.text, r.target) for r in sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)]

@@ -6,7 +6,8 @@ hashed marks of the whole text (how much it repeats itself, how long its words a
 order because all but the first are sums of positive steps. Expected grade is the sum of the tail probabilities.
 
 Nulls: a null or empty text has no tokens and only the marks of an empty text. Without ratings of two grades all
-tails are one, so nothing is rejected. Repeated rows get equal results; extra columns are kept by graded().
+tails are one, so nothing is rejected. Repeated rows get equal results; graded() keeps all columns as they
+are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, named
 from .labelled import sample
 
 #: Rated documents of each grade that the fit looks at, at most.
@@ -146,8 +148,9 @@ def fit(documents: DataFrame, ratings: DataFrame, grade: str, n_grades: int, per
     return fitted(sample(documents, ratings, F.expr(grade), per_class, list(range(n_grades))), n_grades)
 
 
-def graded(documents: DataFrame, model: Grades, n_grades: int, text: str = "text") -> DataFrame:
-    """documents with expected_grade and tails, the array of P(grade >= k) for k from 1."""
+def graded(documents: DataFrame, model: Grades, n_grades: int, text: str = "text", into: str = "grade") -> DataFrame:
+    """documents with one more column, fresh(into): a struct of expected, the expected grade, and tails, the array of
+    P(grade >= k) for k from 1."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # N_WEIGHTS doubles
 
@@ -158,7 +161,7 @@ def graded(documents: DataFrame, model: Grades, n_grades: int, text: str = "text
         for texts in batches:
             yield pa.array([grader.tails(t) if known else [1.0] * (n_grades - 1) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    # The rows travel as one struct, so no name of theirs can clash with one of ours.
-    names = [c for c in documents.columns if c not in ("expected_grade", "tails")]
-    rated = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), tails(F.col(f"`{text}`")).alias("tails"))
-    return rated.select("row.*", F.aggregate("tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), F.col("tails").alias("tails"))
+    name = fresh(into, documents.columns)
+    rated = documents.select("*", tails(named(text)).alias(name))
+    expected = F.aggregate(F.col(name), F.lit(0.0), lambda a, x: a + x)
+    return rated.withColumn(name, F.struct(expected.alias("expected"), F.col(name).alias("tails")))

@@ -21,10 +21,10 @@ def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        "expected_grade",
-        F.element_at("tails", 1).alias("p_sound"),
-        F.element_at("tails", 2).alias("p_clean"),
-        (F.element_at("tails", 1) >= 0.5).alias("selected"),
+        F.col("grade.expected").alias("expected_grade"),
+        F.element_at("grade.tails", 1).alias("p_sound"),
+        F.element_at("grade.tails", 2).alias("p_clean"),
+        (F.element_at("grade.tails", 1) >= 0.5).alias("selected"),
     )
 
 

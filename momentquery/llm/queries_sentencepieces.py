@@ -18,7 +18,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sentencepieces.encoded(documents, sentencepieces.load(model_path()))
-    return out.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces", "piece_score", "exact")
+    return out.select("doc_id", F.coalesce(F.size("coded.pieces"), F.lit(0)).alias("n_pieces"), "coded.pieces", F.col("coded.score").alias("piece_score"), "coded.exact")
 
 
 QUERIES = {"op4_sentencepieces": op4_sentencepieces}

@@ -10,7 +10,7 @@ decoding restores every text exactly.
 Where no piece has a space mark after another character, no segmentation crosses such a place, and what lies
 between is encoded on its own and kept, up to a bound, for the next time; the result is that of the whole text.
 
-Nulls: a null text has null pieces, an empty one none. Repeated rows get equal results; extra columns are kept.
+Nulls: a null text has null pieces, an empty one none. Repeated rows get equal results; all columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, named
+
 MARK = "▁"
 #: Stands for U+2581 in a text; no valid text has it.
 LITERAL = "\udc81"
@@ -166,8 +168,9 @@ def _coder(vocabulary: Pieces) -> Coder:
 ENCODED = T.StructType([T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
 
 
-def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text") -> DataFrame:
-    """documents with pieces (ids), piece_score, and exact: whether decoding them gives the text again."""
+def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text", into: str = "coded") -> DataFrame:
+    """documents with one more column, fresh(into): a struct of pieces (ids), score, and exact: whether decoding them
+    gives the text again."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     @F.arrow_udf(ENCODED)
@@ -183,14 +186,11 @@ def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text") -> Dat
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=nulls)
             yield pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(exact, pa.bool_())], ["pieces", "score", "exact"])
 
-    # The rows travel as one struct, so no name of theirs can clash with one of ours.
-    names = [c for c in documents.columns if c not in ("pieces", "piece_score", "exact")]
-    coded = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), encode(F.col(f"`{text}`")).alias("coded"))
-    return coded.select("row.*", F.col("coded.pieces").alias("pieces"), F.col("coded.score").alias("piece_score"), F.col("coded.exact").alias("exact"))
+    return documents.select("*", encode(named(text)).alias(fresh(into, documents.columns)))
 
 
-def decoded(rows: DataFrame, vocabulary: Pieces, pieces: str = "pieces") -> DataFrame:
-    """rows with text, decoded from their piece ids; null where those are null."""
+def decoded(rows: DataFrame, vocabulary: Pieces, pieces: Column | str = "pieces", into: str = "text") -> DataFrame:
+    """rows with one more column, fresh(into): the text, decoded from their piece ids; null where those are null."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf(T.StringType())
@@ -199,4 +199,4 @@ def decoded(rows: DataFrame, vocabulary: Pieces, pieces: str = "pieces") -> Data
         for lists in batches:
             yield pa.array([None if ids is None else coder.decode(ids) for ids in lists.to_pylist()], pa.string())
 
-    return rows.withColumn("text", decode(F.col(pieces)))
+    return rows.select("*", decode(named(pieces) if isinstance(pieces, str) else pieces).alias(fresh(into, rows.columns)))
