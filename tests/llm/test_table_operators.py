@@ -4,9 +4,11 @@ import gzip
 import hashlib
 import random
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import WORDS, awkward, documents, text
 
@@ -70,6 +72,7 @@ def plain_components(ids, texts, width, percent):
 def test_jaccard_components(spark, monkeypatch, width, percent, hot):
     rng = random.Random(width)
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "SALT", 8)
     monkeypatch.setattr(jaccard, "SEEN_IN_TASK", 2)
     texts = []
     for _ in range(12):
@@ -86,6 +89,39 @@ def test_jaccard_components(spark, monkeypatch, width, percent, hot):
     assert got == plain_components(ids, texts, width, percent)
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows that share an id and differ in text are documents of their own; no link of either is lost."""
+    rows = [(1, "a b c d e f g h i j"), (5, "a b c d e f g h i j x1"), (5, "q w e r t y u i o p"), (9, "Q w e r t y u i o p"), (5, "a b c d e f g h i j x1")]
+    got = jaccard.components(documents(spark, [t for _, t in rows], [i for i, _ in rows]), 2, 50)
+    keys = documents(spark, [t for _, t in rows], [i for i, _ in rows]).select("text", jaccard.text_key(F.col("text")).alias("text_key"))
+    found = {(r.doc_id, r.text): r.component_id for r in got.join(keys.distinct(), "text_key").collect()}
+    assert got.count() == 5 and found == {(1, rows[0][1]): 1, (5, rows[1][1]): 1, (5, rows[2][1]): 5, (9, rows[3][1]): 5}
+
+
+def test_groups_of_one_prefix(spark, monkeypatch):
+    """Sets of equal size and prefix that differ behind it are one group; members link or not by their whole sets."""
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "SALT", 3)
+    monkeypatch.setattr(jaccard, "frequent", lambda documents, width: np.zeros(0, np.uint64))  # the order is that of hashes
+    largest = []
+    plain = jaccard._grouped
+    monkeypatch.setattr(jaccard, "_grouped", lambda classes: (g := plain(classes), largest.append(g.agg(F.max("size")).first()[0]))[0])
+    rng = random.Random(3)
+    words = sorted((f"w{i}" for i in range(200)), key=lambda w: int(jaccard.shingle_sets(pa.array([w]), 1)[0][0]))
+    texts = []
+    for first in (0, 5):  # two groups whose prefixes overlap
+        for _ in range(5):
+            rest = rng.sample(words[20:], 20)
+            for _ in range(6):
+                some = list(rest)
+                for _ in range(rng.choice([0, 1, 3])):
+                    some[rng.randrange(20)] = rng.choice(words[20:])
+                texts.append(" ".join(words[first : first + 10] + some))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(documents(spark, texts), 1, 70).collect()}
+    assert got == plain_components(list(range(len(texts))), texts, 1, 70) and largest[0] > 10
+    assert 2 < len({c for _, c in got.values()}) < len(texts)
+
+
 def test_jaccard_edges(spark):
     assert jaccard.components(documents(spark, [])).count() == 0
     rows = jaccard.components(documents(spark, ["a b c d e f"] * 3 + [None], [None, 2, 2, 3])).collect()
@@ -145,14 +181,15 @@ def test_search_is_exact_at_factor_one(spark):
     found = vptree.nearest(df.filter("vec_id % 20 = 0"), df, k=20, shard_rows=60, block_rows=5)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
     assert got == plain_nearest([r for r in rows if r[0] % 20 == 0], rows, 20)
+    # However rows are dealt to tasks and whatever the shards, the same rows are found.
+    again = vptree.nearest(df.filter("vec_id % 20 = 0").repartition(7), df.repartition(5), k=20, shard_rows=17, block_rows=3)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in again.collect()) == got
     short = vptree.nearest(df.filter("vec_id = 0"), df.filter("vec_id < 5"), k=20).collect()
     assert [r["rank"] for r in sorted(short, key=lambda r: r["rank"])] == [1, 2, 3, 4]
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_larger_factors_look_at_less_and_find_most(monkeypatch):
-    import pyarrow as pa
-
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 8)) * 4
     x = centres[rng.integers(20, size=4000)] + rng.normal(size=(4000, 8)) * 0.3
@@ -199,7 +236,15 @@ def test_foreign_archives(spark, tmp_path):
     got = [(r.record_type, r.record_id, None if r.payload is None else bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()]
     assert got == [("warcinfo", None, None), ("response", None, b"z")]
     with pytest.raises(ValueError):
-        list(warc.parsed(b"nothing\r\n\r\n"))
+        list(warc.parsed([b"nothing\r\n\r\n"]))
+    for cut in (one[:-1], one[:20], one[:-4] + b"abcd"):
+        with pytest.raises(ValueError):
+            list(warc.parsed([cut]))
+    whole = list(warc.parsed([one + two]))
+    for n in range(1, 40, 3):
+        assert list(warc.parsed((one + two)[i : i + n] for i in range(0, len(one + two), n))) == whole
+    with pytest.raises(ValueError):
+        list(warc.inflated(gzip.compress(one)[:-9]))
 
 
 def test_no_pages(spark, tmp_path):
@@ -220,7 +265,8 @@ def test_exponents():
     assert mixing.bisected(tokens, target_entropy=9.0) == 0 and mixing.bisected(tokens, target_entropy=0.0) == 1
 
 
-def test_mixture_is_a_prefix_of_each_permutation(spark):
+@pytest.mark.parametrize("blocks", [16, None])
+def test_mixture_is_a_prefix_of_each_permutation(spark, blocks):
     rng = random.Random(8)
     texts = [text(rng, rng.randint(1, 30)) for _ in range(300)] + [None, ""]
     sources = [rng.choice(["a"] * 8 + ["b", None]) for _ in texts]
@@ -228,15 +274,15 @@ def test_mixture_is_a_prefix_of_each_permutation(spark):
     tokens = mixing.source_tokens(df, tokens="tokens")
     assert tokens == {s: sum(len((t or "").split()) for t, x in zip(texts, sources) if x == s) for s in {"a", "b", None}}
     mix = mixing.shares(tokens, budget=1.3 * sum(tokens.values()), limit=4.0)
-    out = mixing.realised(df, mix, tokens="tokens", blocks=16)
+    out = mixing.realised(df, mix, tokens="tokens", blocks=blocks)
     assert set(df.columns) < set(out.columns)
-    every = mixing.realised(df, [mixing.Share(s.source, s.tokens, s.weight, 6.0 * s.tokens) for s in mix], tokens="tokens", blocks=16)
+    every = mixing.realised(df, [mixing.Share(s.source, s.tokens, s.weight, 6.0 * s.tokens) for s in mix], tokens="tokens", blocks=blocks)
     order = {}
     for r in every.collect():
-        order.setdefault((r.source, r.epoch), []).append((r.block, r.place, r.doc_id, r.tokens))
+        order.setdefault((r.source, r.taken.epoch), []).append((r.taken.block, r.taken.place, r.doc_id, r.tokens))
     got = {}
     for r in out.collect():
-        got.setdefault((r.source, r.epoch), set()).add(r.doc_id)
+        got.setdefault((r.source, r.taken.epoch), set()).add(r.doc_id)
     for s in mix:
         whole = int(s.epochs + 1e-9)
         rest = s.budget - whole * s.tokens
@@ -262,12 +308,14 @@ def test_without_budget_every_document_is_there(spark):
 def test_slots_and_maps(spark, tmp_path):
     rng = random.Random(9)
     rows = [(None if i % 97 == 0 else i, rng.randint(1, 5000)) for i in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id long, size long").withColumn("virtual_slot", sharding.virtual_slot(F.col("doc_id"), 256))
+    df = spark.createDataFrame(rows, "doc_id long, size long").withColumn("virtual_slot", sharding.virtual_slot(F.col("doc_id"), n_slots=256))
     sizes = sharding.slot_sizes(df, 256)
     first = sharding.stored_map(sharding.first_map(spark, 8, 256), str(tmp_path / "m"), 0)
     edited = sharding.edited_map(sizes, first, 8)
     second = sharding.stored_map(edited, str(tmp_path / "m"), 1)
     out = sharding.sharded(df, ["doc_id", "size"], second.drop("moved"), sizes)
+    assert out.columns == [*df.columns, "placed"]
+    out = out.select("*", "placed.*")
     per = {r.shard: (r.b, r.n, r.lo, r.hi, r.d) for r in out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("d")).collect()}
     assert all(lo == 0 and hi == n - 1 and d == n for _, n, lo, hi, d in per.values())
     assert max(p[0] for p in per.values()) <= 1.03 * min(p[0] for p in per.values())
@@ -281,6 +329,101 @@ def test_slots_and_maps(spark, tmp_path):
     assert none.agg(F.sum("n_rows")).first()[0] == 0 and sharding.sharded(df.limit(0), ["doc_id"], second.drop("moved"), none).count() == 0
 
 
+def plain_shards(rows, n_shards=16, n_slots=sharding.N_SLOTS):
+    """Rows (doc_id, text) as (doc_id, size, checksum, shard, place), by a plain version of the whole query."""
+    import struct
+    import zlib
+
+    import xxhash
+
+    def spark_hash(values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    full = []
+    for i, t in rows:
+        data = (t or "").encode()
+        full.append((i, len(data) + 1, zlib.crc32(data), spark_hash([i, zlib.crc32(data)]) % n_slots))
+    size = Counter()
+    for _, n, _, s in full:
+        size[s] += n
+    shard = {s: s % n_shards for s in range(n_slots)}
+    load = [sum(size[s] for s in range(k, n_slots, n_shards)) for k in range(n_shards)]
+    for s in sorted(shard, key=lambda s: (-size[s], s)):
+        to = load.index(min(load))
+        if load[to] + size[s] < load[shard[s]]:
+            load[to] += size[s]
+            load[shard[s]] -= size[s]
+            shard[s] = to
+    nulls_first = lambda x: (x is not None, x or 0)
+    place, out = Counter(), []
+    for i, n, c, s in sorted(full, key=lambda r: (r[3], nulls_first(r[0]), r[1], r[2])):
+        out.append((i, n, c, shard[s], place[shard[s]]))
+        place[shard[s]] += 1
+    return sorted(out, key=str)
+
+
+def test_sharding_query_is_the_plain_one(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [*awkward(rng), *(text(rng, rng.randint(1, 200)) for _ in range(200))]
+    ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
+    documents(spark, [*texts, *texts[:20]], [*ids, *ids[:20]]).write.parquet(f"{tmp_path}/documents.parquet")
+    for place in (str(tmp_path), DATA):
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{place}/documents.parquet").collect()]
+        got = queries.QUERIES["op10_virtual_slots"](spark, place).collect()
+        assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=str) == plain_shards(rows)
+        assert {(r.law, r.grown_shard, r.map_version) for r in got} == {("bytes", None, 1)}
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) <= 1.03 * min(sizes.values())
+
+
+TAKEN = ["toxicity", "_Toxicity", "grade", "tails", "toxic_score", "coded", "pieces", "taken", "epoch", "block", "place", "n_tokens", "placed", "slot", "shard", "map_version", "row", "key", "id", "n", "component_id", "a.b"]
+
+
+def test_columns_of_any_name_come_out_as_they_went_in(spark):
+    import corpus_pipeline as cp
+
+    from momentquery.llm import quality, sentencepieces, toxicity
+
+    rng = random.Random(13)
+    rows = [(i, text(rng, 30), "s", *[f"{i}:{c}" for c in TAKEN]) for i in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in TAKEN]]))
+    want = sorted(tuple(r) for r in rows)
+    n = len(df.columns)
+    chain, model = toxicity.Chain(), quality.Grades(np.zeros(quality.N_WEIGHTS), (-1.0, 1.0))
+    share = [mixing.Share("s", 360, 1.0, 360.0)]
+    slots = df.withColumn("virtual_slot", F.lit(0))
+    sizes = sharding.slot_sizes(slots.select("virtual_slot", F.lit(1).alias("size")), 4)
+    first = sharding.first_map(spark, 2, 4).withColumn("map_version", F.lit(0))
+    for out in (
+        toxicity.score(df, chain),
+        quality.graded(df, model, 3),
+        sentencepieces.encoded(df, sentencepieces.load(queries.queries_sentencepieces.model_path())),
+        mixing.realised(df.withColumn("w", mixing.n_tokens(F.col("text"))), share, tokens="w").drop("w"),
+        sharding.sharded(slots, ["doc_id"], first, sizes).drop("virtual_slot"),
+    ):
+        assert out.columns[:n] == df.columns and len(out.columns) == n + 1
+        assert sorted(tuple(r)[:n] for r in out.collect()) == want
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, DATA)
+        assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(want)
+    assert sorted(tuple(r) for r in cp.mixed(spark, df, DATA).collect()) == want
+
+
+def test_one_of_each_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline as cp
+
+    one, two = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z a a b b c c"
+    rows = [(7, one), (3, one), (3, one), (5, two), (5, one), (9, two), (None, one), (None, one), (11, None), (12, ""), (13, None)]
+    got = cp.one_of_each(spark, documents(spark, [t for _, t in rows], [i for i, _ in rows]), DATA).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, one), (5, two), (None, one), (None, one), (11, None), (12, ""), (13, None)], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
@@ -293,7 +436,7 @@ def test_pipeline_stages(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     tagger = toxicity.Tagger(toxicity.fit(docs, labels))
     grader = quality.Grader(quality.fit(docs, labels, GRADE, N_GRADES))
-    left = {i for i, r in rows.items() if tagger.tagged(r.text)[0] < 0.5}
+    left = {i for i, r in rows.items() if next(tagger.tagged(pa.array([r.text])))[0][0] < 0.5}
     after = written(cp.drop_toxic(spark, docs, DATA), "t")
     assert {r.doc_id for r in after.collect()} == left and after.columns == docs.columns
     left = {i for i in left if grader.tails(rows[i].text)[0] >= 0.5}

@@ -1,12 +1,14 @@
 """Scores, grades, pieces and digests against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import awkward, documents, text
 
@@ -76,8 +78,9 @@ def test_context_tree_weighting(spark):
     rng = random.Random(3)
     texts = [text(rng, rng.randint(1, 40)) for _ in range(25)] + awkward(rng)[:5] + [awkward(rng)[8]]
     df = documents(spark, texts)
-    for depth in (4, 6):
-        got = {r.doc_id: r for r in ctw.scored(df, F.col("doc_id") % 4 == 1, depth=depth).collect()}
+    # Pieces of a few strings: every context is split to its last byte.
+    for depth, piece in ((4, ctw.PIECE), (6, ctw.PIECE), (6, 3)):
+        got = {r.doc_id: r for r in ctw.scored(df, F.col("doc_id") % 4 == 1, depth=depth, piece=piece).collect()}
         seen = [(t or "").encode().lower().split() for t in texts]
         as_bytes = [b" ".join(w) + b"\n" for w in seen]
         learn = [x for i, x in enumerate(as_bytes) if i % 4 != 1]
@@ -105,13 +108,14 @@ def test_scoring_of_nothing(spark):
     assert only.n_known == 0 and only.train_tokens == 0 and only.score == pytest.approx(-len(b"a b\n") * 8 * math.log10(2))
 
 
-INSULTS = ["fool", "dolt", "oaf"]
+INSULTS = ["fool", "nincompoop", "oaf"]
 
 
 def _toxic(rng, n):
     out = []
     for i in range(n):
-        words = text(rng, rng.randint(5, 60)).split()
+        # Half of the words without their digit, so that shape alone tells nothing.
+        words = [w[:-1] if rng.random() < 0.5 else w for w in text(rng, rng.randint(5, 60)).split()]
         bad = i % 3 == 0
         if bad:
             for _ in range(rng.randint(1, 3)):
@@ -120,76 +124,121 @@ def _toxic(rng, n):
     return out
 
 
+def _tagged(tagger, texts):
+    found = [(s, spans) for scores, own in tagger.tagged(pa.array(texts, pa.string())) for s, spans in zip(scores.tolist(), own)]
+    assert len(found) == len(texts)
+    return found
+
+
 def test_toxic_documents_and_spans(spark):
     rng = random.Random(1)
     docs = _toxic(rng, 600)
     chain = toxicity.fitted(docs[:400])
     tagger = toxicity.Tagger(chain)
-    for t, label in docs[400:]:
-        score, spans = tagger.tagged(t)
+    for (t, label), (score, spans) in zip(docs[400:], _tagged(tagger, [t for t, _ in docs[400:]])):
         assert (score >= 0.5) == bool(label)
         assert {t[a:b].strip(".!") for a, b, _ in spans if " " not in t[a:b]} <= set(INSULTS) and bool(spans) == bool(label)
-    df = documents(spark, [*awkward(rng), "such a FOOL!"])
+    df = documents(spark, [*awkward(rng), "such a FOOL!", "ü ▁ a FOOL!"])
     got = toxicity.score(df, chain)
     assert set(df.columns) < set(got.columns)
     rows = got.orderBy("doc_id").collect()
-    assert [r.toxic_score >= 0.5 for r in rows] == [False] * 13 + [True]
-    assert rows[0].toxic_score == rows[1].toxic_score == rows[2].toxic_score and rows[5].toxic_score == rows[6].toxic_score
-    assert [(s.start, s.end) for s in rows[13].toxic_spans] == [(7, 12)]
+    score = [r.toxicity.score for r in rows]
+    assert [s >= 0.5 for s in score] == [False] * 13 + [True] * 2
+    assert score[0] == score[1] == score[2] and score[5] == pytest.approx(score[6], rel=1e-9)
+    assert [(s.start, s.end) for s in rows[13].toxicity.spans] == [(7, 12)] and [(s.start, s.end) for s in rows[14].toxicity.spans] == [(6, 11)]
     assert toxicity.score(documents(spark, []), chain).count() == 0
 
 
-def test_marginals_match_all_paths():
-    import itertools
+def test_tags_reach_beyond_the_listed_words():
+    """A word that no text of the fit had, and no listed word covers, is tagged by its other features."""
+    docs = _toxic(random.Random(4), 500)
+    chain = toxicity.fitted(docs)
+    listed = toxicity.lexicon([([toxicity.word(w) for w in t.split()], label) for t, label in docs])
+    assert set(INSULTS) <= listed and not set(toxicity.beginnings("nincompoopery")) & listed
+    unseen = " ".join(["alpha", "gamma", "tau"] * 3 + ["nincompoopery"] + ["sigma", "beta"] * 3)
+    (score, spans), = _tagged(toxicity.Tagger(chain), [unseen])
+    assert score >= 0.5 and [unseen[a:b] for a, b, _ in spans] == ["nincompoopery"]
 
-    chain = toxicity.Chain({}, 0.0, ((0.2, -1.0), (-0.3, 0.7)), (0.0, -0.5))
-    w = [0.3, -1.2, 2.0, 0.1, -0.4]
-    weight = np.zeros((len(w), 2))
-    for path in itertools.product((0, 1), repeat=len(w)):
-        s = chain.starts[path[0]] + sum(chain.steps[a][b] for a, b in zip(path, path[1:])) + sum(x for x, y in zip(w, path) if y)
-        for i, y in enumerate(path):
-            weight[i, y] += math.exp(s)
-    assert chain.marginals(w) == pytest.approx(weight[:, 1] / weight.sum(1))
 
+def test_scores_do_not_depend_on_the_texts_beside(monkeypatch):
+    rng = random.Random(5)
+    docs = _toxic(rng, 300)
+    chain = toxicity.fitted(docs[:200])
+    texts = [*awkward(rng), *(t for t, _ in docs[200:]), " ".join(["plain"] * 5000 + ["oaf"]), "x" * 5000]
+    alone = [_tagged(toxicity.Tagger(chain), [t])[0] for t in texts]
+    for span, piece in ((1 << 19, 1 << 19), (700, 64)):
+        monkeypatch.setattr(toxicity, "SPAN", span)
+        monkeypatch.setattr(toxicity.words, "PIECE", piece)
+        for (s, spans), (want, places) in zip(_tagged(toxicity.Tagger(chain), texts), alone):
+            assert s == pytest.approx(want, rel=1e-9) and [x[:2] for x in spans] == [x[:2] for x in places]
 
-def test_gradient_matches_differences():
-    rng = np.random.default_rng(0)
-    x = rng.integers(-1, 3, (6, 5))
-    x[:, 1:4] = np.maximum(x[:, 1:4], 0)
-    y = (rng.random((6, 5)) < 0.4) & (x >= 0)
-    e, steps, start = rng.normal(size=3), rng.normal(size=(2, 2)), 0.3
-    import itertools
-
-    def loss(e, steps, start):
-        total = 0.0
-        for xs, ys in zip(x, y):
-            at = [i for i in range(5) if xs[i] >= 0]
 
-            def energy(path):
-                return (start if path[0] else 0) + sum(e[xs[i]] for i, p in zip(at, path) if p) + sum(steps[a, b] for a, b in zip(path, path[1:]))
+def _paths(emit, steps, start):
+    for path in itertools.product((0, 1), repeat=len(emit)):
+        s = (start if path and path[0] else 0.0) + sum(steps[a][b] for a, b in zip(path, path[1:])) + sum(x for x, y in zip(emit, path) if y)
+        yield path, math.exp(s)
 
-            z = np.logaddexp.reduce([energy(p) for p in itertools.product((0, 1), repeat=len(at))])
-            total += z - energy([int(ys[i]) for i in at])
-        return total / len(x)
 
-    ge, gt, gs = toxicity._gradient(x, y, e, steps, start)
+def test_marginals_match_all_paths():
+    rng = np.random.default_rng(1)
+    steps, start = ((0.2, -1.0), (-0.3, 0.7)), -0.5
+    lengths = [5, 1, 7, 2, 6]
+    emit = rng.normal(size=sum(lengths)) * 2
+    begins = np.zeros(len(emit), bool)
+    begins[np.cumsum([0, *lengths[:-1]])] = True
+    p, pair = toxicity.chances(emit, begins, steps, start)
+    at = 0
+    for n in lengths:
+        weight, step = np.zeros((n, 2)), np.zeros((n, 4))
+        for path, w in _paths(emit[at : at + n], steps, start):
+            for i, y in enumerate(path):
+                weight[i, y] += w
+                if i:
+                    step[i, 2 * path[i - 1] + y] += w
+        assert p[at : at + n] == pytest.approx(weight[:, 1] / weight.sum(1))
+        assert pair[:, at : at + n].T == pytest.approx(step / weight.sum(1)[:, None])
+        at += n
+    long = np.full(20001, -3.0)  # far beyond what a product of probabilities could hold
+    long[17] = 40.0
+    p, _ = toxicity.chances(long, np.arange(20001) == 0, steps, start)
+    assert p[17] > 0.999 and p[10000] == pytest.approx(p[15000]) and 0 < p[10000] < 0.1
+
+
+def test_gradient_matches_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 1)
+    rng = np.random.default_rng(0)
+    docs = [["ab", "Cd", "ab"], ["x"], [], ["cd", "12", "ab", "cd", "x!"]]
+    c = toxicity.corpus(docs)
+    y = rng.random(len(c.tokens)) < 0.4
+    theta = rng.normal(size=len(c.features) + 2 * len(c.neighbours) + 6)
+
+    def loss(theta):
+        own, before, after, other, steps, start = toxicity._split(theta, c)
+        w, b, a = (dict(zip(names, x)) for names, x in ((c.features, own), (c.neighbours, before), (c.neighbours, after)))
+        total, at = 0.0, 0
+        for doc in docs:
+            emit = [other + sum(w[f] for f in toxicity.features(t)) for t in doc]
+            for i in range(len(doc)):
+                emit[i] += (b[toxicity.word(doc[i - 1])] if i else 0.0) + (a[toxicity.word(doc[i + 1])] if i + 1 < len(doc) else 0.0)
+            assert toxicity.corpus_emissions(theta, c)[at : at + len(doc)] == pytest.approx(np.array(emit))
+            every = dict(_paths(emit, steps, start))
+            total += math.log(sum(every.values())) - math.log(every[tuple(y[at : at + len(doc)].astype(int).tolist())])
+            at += len(doc)
+        return total
+
+    g = toxicity.gradient(theta, c, y, toxicity._steps_of(y, c.begins))
     h = 1e-5
-    for i in range(3):
-        d = np.eye(3)[i] * h
-        assert ge[i] == pytest.approx((loss(e + d, steps, start) - loss(e - d, steps, start)) / (2 * h), abs=1e-6)
-    for i in range(4):
-        d = (np.eye(4)[i] * h).reshape(2, 2)
-        assert gt.ravel()[i] == pytest.approx((loss(e, steps + d, start) - loss(e, steps - d, start)) / (2 * h), abs=1e-6)
-    assert gs == pytest.approx((loss(e, steps, start + h) - loss(e, steps, start - h)) / (2 * h), abs=1e-6)
+    for i, d in enumerate(np.eye(len(theta)) * h):
+        assert g[i] == pytest.approx((loss(theta + d) - loss(theta - d)) / (2 * h), abs=1e-6)
 
 
 def test_labels_of_one_kind_teach_nothing(spark):
     labels = spark.createDataFrame([(1, 0, 1), (2, None, None)], "doc_id long, toxic int, quality int")
     docs = documents(spark, ["a b", "c d", None], ids=[1, 2, None])
     chain = toxicity.fit(docs, labels)
-    assert not chain.words and all(r.toxic_score < 0.5 for r in toxicity.score(docs, chain).collect())
+    assert not chain.words and all(r.toxicity.score < 0.5 for r in toxicity.score(docs, chain).collect())
     model = quality.fit(docs, labels, "quality", 3)
-    assert all(r.tails == [1.0, 1.0] for r in quality.graded(docs, model, 3).collect())
+    assert all(r.grade.tails == [1.0, 1.0] for r in quality.graded(docs, model, 3).collect())
 
 
 def test_grades(spark):
@@ -216,8 +265,8 @@ def test_grades(spark):
     df = documents(spark, awkward(rng))
     out = quality.graded(df, model, 3)
     rows = out.orderBy("doc_id").collect()
-    assert set(df.columns) < set(out.columns) and rows[0].tails == rows[1].tails and rows[5].tails == rows[6].tails
-    assert all(r.expected_grade == pytest.approx(sum(r.tails)) for r in rows)
+    assert set(df.columns) < set(out.columns) and rows[0].grade == rows[1].grade and rows[5].grade == rows[6].grade
+    assert all(r.grade.expected == pytest.approx(sum(r.grade.tails)) for r in rows)
     assert quality.graded(documents(spark, []), model, 3).count() == 0
 
 
@@ -256,11 +305,11 @@ def test_texts_decode_to_themselves(spark, vocabulary):
     out = sentencepieces.encoded(df, vocabulary)
     rows = out.orderBy("doc_id").collect()
     assert set(df.columns) < set(out.columns)
-    assert rows[0].pieces is None and rows[1].pieces == [] and all(r.exact for r in rows if r.text is not None)
-    assert rows[5].pieces == rows[6].pieces
+    assert rows[0].coded.pieces is None and rows[1].coded.pieces == [] and all(r.coded.exact for r in rows if r.text is not None)
+    assert rows[5].coded == rows[6].coded
     model = sentencepiece.SentencePieceProcessor(model_file=qs.model_path())
-    assert all(model.decode(r.pieces) == r.text for r in rows if r.text and "▁" not in r.text)
-    back = sentencepieces.decoded(out.select("doc_id", "pieces"), vocabulary).orderBy("doc_id").collect()
+    assert all(model.decode(r.coded.pieces) == r.text for r in rows if r.text and "▁" not in r.text)
+    back = sentencepieces.decoded(out.select("doc_id", "coded.pieces"), vocabulary).orderBy("doc_id").collect()
     assert [r.text for r in back] == [r.text for r in rows]
     assert sentencepieces.encoded(documents(spark, []), vocabulary).count() == 0
 
@@ -273,7 +322,7 @@ def test_digests_in_sequence(spark):
     rank = digest.ranks(digest.entropy_counts(df))
     plain = [t or "" for t in texts]
     assert np.array_equal(digest.entropy_counts(df), digest.histogram([t.encode() for t in plain]))
-    got = {r.doc_id: r for r in digest.compared(digest.in_sequence(df, 5), rank).collect()}
+    got = {r.doc_id: r for r in digest.compared(digest.in_sequence(df, 4000), rank).collect()}
     order = sorted(range(43), key=lambda i: -ids[i])
     assert len(got) == 43
     for i, j in zip(order, order[1:] + order[:1]):
@@ -286,6 +335,84 @@ def test_digests_in_sequence(spark):
         assert 0 <= r.near_edited <= 1 and np.array_equal(digest.unpacked(r.fingerprint), a)
 
 
+def plain_digest(t, rank):
+    """A text's chain of filters as sets of bits, by a plain version."""
+    x = t.encode()
+    mask = 2**64 - 1
+
+    def mixed(h):
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & mask
+        return h ^ h >> 31
+
+    if not x:
+        hashes = []
+    elif len(x) < digest.FEATURE:
+        hashes = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")]
+    else:
+        windows = [x[i : i + digest.FEATURE] for i in range(len(x) - digest.FEATURE + 1)]
+        entropy = [-sum(c / 16 * math.log2(c / 16) for c in Counter(w).values()) for w in windows]
+        key = [(int(rank[min(digest.N_LEVELS - 1, int(h * digest.LEVELS + 1e-7))]), i) for i, h in enumerate(entropy)]
+        run = digest.RUN if len(key) >= digest.SHORT * digest.RUN else max(1, len(key) // digest.SHORT)
+        points = Counter(min(key[i : i + run])[1] for i in range(len(key) - run + 1))
+        chosen = sorted(i for i, n in points.items() if n >= max(1, run * digest.POINTS // digest.RUN)) or [min(key[:run])[1]]
+        inverse = pow(0x9E3779B97F4A7C15, -1, 2**64)
+        hashes = [mixed(sum(int(digest._BYTE[c]) * pow(inverse, k, 2**64) for k, c in enumerate(windows[i])) & mask) for i in chosen]
+    hashes = list(dict.fromkeys(hashes))
+    return [{h >> 11 * k & digest.BITS - 1 for h in hashes[i : i + digest.PER_FILTER] for k in range(digest.HASHES)} for i in range(0, len(hashes), digest.PER_FILTER)]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    if a == b:
+        return 1.0
+
+    def like(x, y):
+        chance = len(x) * len(y) / digest.BITS
+        most = min(len(x), len(y))
+        least = chance + digest.CUT * (most - chance)
+        return min(1.0, max(0.0, (len(x & y) - least) / max(most - least, 1e-9)))
+
+    mean = lambda xs, ys: sum(max(like(x, y) for y in ys) for x in xs) / len(xs)
+    if len(a) == len(b):
+        return (mean(a, b) + mean(b, a)) / 2
+    return mean(a, b) if len(a) < len(b) else mean(b, a)
+
+
+def test_digests_are_the_plain_ones(monkeypatch):
+    rng = random.Random(16)
+    texts = ["", "short", "x" * 16, "ab" * 300, text(rng, 12), text(rng, 60), text(rng, 2500), "é\U0001f600" * 70]
+    texts.append(digest.edited(texts[5], texts[4]))
+    rank = digest.ranks(digest.histogram([t.encode() for t in texts]))
+    plain = [plain_digest(t, rank) for t in texts]
+    for piece in (digest.PIECE, 97):
+        monkeypatch.setattr(digest, "PIECE", piece)
+        assert np.array_equal(digest.ranks(digest.histogram([t.encode() for t in texts])), rank)
+        chains = [digest.filters(f) for f in digest.features([t.encode() for t in texts], rank)]
+        assert [[set(np.flatnonzero(row).tolist()) for row in c] for c in chains] == plain
+    assert len(chains[6]) > 1
+    for i, a in enumerate(chains):
+        for j, b in enumerate(chains):
+            assert digest.likeness(a, b) == pytest.approx(plain_likeness(plain[i], plain[j]), abs=1e-6)
+
+
+def test_sequences_of_odd_ids(spark):
+    """Outlying and shared ids make no large bucket, and every row is followed by the next one."""
+    rng = random.Random(17)
+    texts = [text(rng, 20) for _ in range(120)]
+    ids = [2**62, -(2**62), *range(28), *[5] * 50, *[None] * 40]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = digest.in_sequence(rows.repartition(3), 1000).withColumn("at", F.spark_partition_id()).collect()
+    held = Counter(r.bucket for r in got if not r.halo)
+    assert len(held) > 10 and max(held.values()) <= 25 and sum(held.values()) == 120
+    hashes = {r.text: r.h for r in rows.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(range(120), key=lambda i: (-(ids[i] if ids[i] is not None else -(2**63)), hashes[texts[i]]))
+    follows = {texts[i]: texts[j] for i, j in zip(order, order[1:] + order[:1])}
+    found = {a.text: b.text for a, b in zip(got, got[1:]) if not a.halo and a.bucket == b.bucket}
+    assert found == follows
+
+
 def test_entropy_levels_are_those_of_the_windows():
     x = np.frombuffer(text(random.Random(7), 200).encode(), np.uint8)
     levels = digest._levels(x)
