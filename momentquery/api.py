@@ -37,7 +37,9 @@ class Engine:
     def mine(self, segments: DataFrame, frames: DataFrame, words: DataFrame) -> DataFrame:
         """Briefs of the chosen clips: times, score, reasons, transcript, speakers and hash."""
         found = windows.enumerated(segments, self.config.durations)
-        scored = signals.scored(found, frames, words, self.lexicon, self.config)
+        told = windows.enumerated(signals.prepared(segments, words), self.config.durations)
+        bounds = windows.enumerated(segments.drop("text", "speaker"), self.config.durations)
+        scored = signals.scored(told, frames, self.lexicon, self.config, bounds)
         chosen = selection.selected(scored, windows.interview_blocks(segments, self.config), self.config)
         why = scored.select("job_id", "start_idx", "end_idx", "reasons", "spike_categories")
         return identity.briefs(chosen, found).join(why, ["job_id", "start_idx", "end_idx"])
@@ -53,7 +55,7 @@ class Engine:
         if resolved.filter("not complete").take(1):
             return None
         candidates = briefs.withColumns({"title": F.lit(""), "hook": F.lit("")}).drop("rank")
-        scores = response.withColumn("ord", F.monotonically_increasing_id())
+        scores = handoff.in_given_order(response)
         return handoff.review(candidates, scores)
 
     def approve(self, reviewed: DataFrame, k: int = 3, threshold: float = 0.0) -> DataFrame:

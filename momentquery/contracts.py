@@ -40,6 +40,38 @@ def enums(rows: DataFrame, field: str, values: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("errors", _errors({f"unknown {field}": F.size(F.array_except(field, known)) == 0}))
 
 
+PENALTIES = ("buried_lead", "dangling_question", "rambling_middle", "context_dependent", "low_delivery")
+PRESETS = ("hook-default", "bottom-creator", "bottom-compact", "lower-third-clean", "center-punch", "top-clean")
+MODES = ("TRACK", "GENERAL")
+
+
+def one_of(rows: DataFrame, field: str, values: tuple[str, ...]) -> DataFrame:
+    return rows.withColumn("errors", _errors({f"unknown {field}": F.col(field).isin(*values)}))
+
+
+def positive(rows: DataFrame, fields: list[str]) -> DataFrame:
+    return rows.withColumn("errors", _errors({f"{f} is not positive": F.col(f) > 0 for f in fields}))
+
+
+def render_manifests(rows: DataFrame) -> DataFrame:
+    """outputs and crop_plans, maps by ratio: the same ratios in both, and each plan's own is its key's."""
+    same = F.array_sort(F.map_keys("outputs")) == F.array_sort(F.map_keys("crop_plans"))
+    own = F.forall(F.map_entries("crop_plans"), lambda e: e["value"]["aspect_ratio"] == e["key"])
+    return rows.withColumn(
+        "errors",
+        _errors(
+            {
+                "negative start": F.col("start_seconds") >= 0,
+                "ends before it starts": F.col("end_seconds") > F.col("start_seconds"),
+                "outputs and crop plans cover other ratios": same,
+                "a crop plan has another ratio than its key": own,
+                "unknown mode": F.col("mode").isin(*MODES),
+                "unknown caption_preset": F.col("caption_preset").isin(*PRESETS),
+            }
+        ),
+    )
+
+
 def crop_plans(rows: DataFrame) -> DataFrame:
     return rows.withColumn(
         "errors",

@@ -81,9 +81,17 @@ def interview(text: Column, words: Column, lexicon: Lexicon) -> Column:
     )
 
 
+def numbers(text: Column) -> Column:
+    """How many numbers a text has."""
+    return F.size(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+
+
 def numeric(text: Column, words: Column) -> Column:
+    return number_share(numbers(text), words)
+
+
+def number_share(hits: Column, words: Column) -> Column:
     n = F.size(words)
-    hits = F.size(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
     return F.when(n == 0, F.lit(0.0)).otherwise(clamp01(hits / n * 5))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..config import RATIOS, Camera, OneEuro
 
+#: Seconds of the slices by which frames meet clips.
+SLICE = 15.0
+
 
 def target_size(width: Column, height: Column, ratio: tuple[int, int]) -> tuple[Column, Column]:
     """The largest even crop of that ratio; ratios are compared as whole numbers."""
@@ -31,9 +34,12 @@ def targets(sources: DataFrame, ratios: dict[str, tuple[int, int]] = RATIOS) ->
 
 def clip_frames(clips: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames of each clip, both ends included, counted from its start."""
-    seen = frames.select(F.col("job_id").alias("_job"), "frame_idx", "timestamp_seconds", "shot_change", "face_x", "face_y")
-    inside = (F.col("job_id") == F.col("_job")) & F.col("timestamp_seconds").between(F.col("start_seconds"), F.col("end_seconds"))
-    return clips.join(seen, inside).drop("_job").withColumn("t", F.col("timestamp_seconds") - F.col("start_seconds"))
+    # Each frame is in one slice of SLICE seconds, a clip in a few.
+    low, high = F.floor(F.col("start_seconds") / SLICE), F.floor(F.col("end_seconds") / SLICE)
+    cut = clips.withColumn("_cut", F.explode(F.sequence(low, F.greatest(low, high))))
+    seen = frames.select(F.col("job_id").alias("_job"), F.floor(F.col("timestamp_seconds") / SLICE).alias("_slice"), "frame_idx", "timestamp_seconds", "shot_change", "face_x", "face_y")
+    inside = (F.col("job_id") == F.col("_job")) & (F.col("_cut") == F.col("_slice")) & F.col("timestamp_seconds").between(F.col("start_seconds"), F.col("end_seconds"))
+    return cut.join(seen, inside).drop("_job", "_cut", "_slice").withColumn("t", F.col("timestamp_seconds") - F.col("start_seconds"))
 
 
 def modes(clips: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:

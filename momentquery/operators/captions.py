@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Captions
 from ..lexicon import CAPTION_STOPWORDS
 
+#: Seconds of the slices by which words meet clips.
+SLICE = 15.0
 EDGES = ".,!?;:\"'()[]{}"
 
 
@@ -22,39 +25,46 @@ def emphasised(text: Column, config: Captions = Captions()) -> Column:
 def clip_words(clips: DataFrame, segments: DataFrame, words: DataFrame, config: Captions = Captions()) -> DataFrame:
     """job_id, clip_id, word_ord, text, start_seconds, end_seconds, emphasis: the words that overlap a clip, cut to
     it and counted from its start."""
-    s = segments.select(F.col("job_id").alias("_job"), F.col("seg_idx").alias("_seg"), F.col("start_seconds").alias("_s"), F.col("end_seconds").alias("_e"))
-    near = (F.col("job_id") == F.col("_job")) & (F.col("_e") > F.col("start_seconds")) & (F.col("_s") < F.col("end_seconds"))
-    touched = clips.select("job_id", "clip_id", "start_seconds", "end_seconds").join(s, near).select("job_id", "clip_id", "_seg", F.col("start_seconds").alias("c0"), F.col("end_seconds").alias("c1"))
-    w = words.select(F.col("job_id").alias("_job"), F.col("seg_idx").alias("_wseg"), "word_idx", "text", F.col("start_seconds").alias("w0"), F.col("end_seconds").alias("w1"))
-    inside = (F.col("job_id") == F.col("_job")) & (F.col("_seg") == F.col("_wseg")) & (F.col("w1") > F.col("c0")) & (F.col("w0") < F.col("c1"))
-    cut = touched.join(w, inside).withColumns(
+    # Words bring the bounds of their segment, and meet clips by slices of SLICE seconds.
+    s = segments.select("job_id", "seg_idx", F.col("start_seconds").alias("_s"), F.col("end_seconds").alias("_e"))
+    w = words.select("job_id", "seg_idx", "word_idx", "text", F.col("start_seconds").alias("w0"), F.col("end_seconds").alias("w1")).join(s, ["job_id", "seg_idx"])
+    w = w.withColumnsRenamed({"job_id": "_job", "seg_idx": "_seg"}).withColumn("_slice", _slices("w0", "w1"))
+    c = clips.select("job_id", "clip_id", F.col("start_seconds").alias("c0"), F.col("end_seconds").alias("c1")).withColumn("slice", _slices("c0", "c1"))
+    # A pair that shares several slices counts in the first of them only.
+    first = F.greatest(F.floor(F.col("c0") / SLICE), F.floor(F.col("w0") / SLICE))
+    inside = (F.col("_e") > F.col("c0")) & (F.col("_s") < F.col("c1")) & (F.col("w1") > F.col("c0")) & (F.col("w0") < F.col("c1"))
+    cut = c.join(w, (F.col("job_id") == F.col("_job")) & (F.col("slice") == F.col("_slice")) & (F.col("slice") == first) & inside).withColumns(
         {"start_seconds": F.greatest("w0", "c0") - F.col("c0"), "end_seconds": F.least("w1", "c1") - F.col("c0"), "emphasis": emphasised(F.col("text"), config)}
     )
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("job_id", "clip_id").orderBy("start_seconds", "_seg", "word_idx")
     kept = cut.filter(F.col("end_seconds") > F.col("start_seconds"))
     return kept.select("job_id", "clip_id", (F.row_number().over(order) - 1).alias("word_ord"), "text", "start_seconds", "end_seconds", "emphasis")
 
 
-_WORD = "struct<word_ord:int,text:string,start_seconds:double,end_seconds:double,emphasis:boolean>"
+def _slices(start: str, end: str) -> Column:
+    low, high = F.floor(F.col(start) / SLICE), F.floor(F.col(end) / SLICE)
+    return F.explode(F.sequence(low, F.greatest(low, high)))
 
 
 def lines(clip_word_rows: DataFrame, config: Captions = Captions()) -> DataFrame:
     """job_id, clip_id, line_idx, start_seconds, end_seconds, text, words.
 
     A line ends before a word that would be one too many, would make it too long, or comes after too long a pause;
-    each line's start depends on where the one before ended, so this is a fold over a clip's words."""
+    each line's start depends on where the one before ended, so this is a fold over a clip's words. What is folded are
+    the places where lines begin; words are cut there afterwards."""
     fields = F.struct(F.col("word_ord").cast("int"), "text", F.col("start_seconds").cast("double").alias("start_seconds"), F.col("end_seconds").cast("double").alias("end_seconds"), "emphasis")
     packed = clip_word_rows.groupBy("job_id", "clip_id").agg(F.array_sort(F.collect_list(fields)).alias("w"))
-    breaks = f"size(acc.cur) >= {config.words} or x.end_seconds - acc.cur[0].start_seconds > {config.seconds} or x.start_seconds - element_at(acc.cur, -1).end_seconds > {config.gap}"
-    start = f"named_struct('done', cast(array() as array<array<{_WORD}>>), 'cur', cast(array() as array<{_WORD}>))"
-    fold = f"""aggregate(cast(w as array<{_WORD}>), {start},
-        (acc, x) -> if(size(acc.cur) > 0 and ({breaks}),
-            named_struct('done', concat(acc.done, array(acc.cur)), 'cur', array(x)),
-            named_struct('done', acc.done, 'cur', concat(acc.cur, array(x)))),
-        acc -> concat(acc.done, array(acc.cur)))"""
-    each = packed.select("job_id", "clip_id", F.posexplode(F.expr(fold)).alias("line_idx", "words"))
+    bounds = "transform(w, (x, i) -> struct(i as i, x.start_seconds as s, x.end_seconds as e))"
+    breaks = f"x.i - acc.at >= {config.words} or x.e - acc.s > {config.seconds} or x.s - acc.e > {config.gap}"
+    first = "named_struct('starts', array(0), 'at', 0, 's', w[0].start_seconds, 'e', w[0].end_seconds)"
+    fold = f"""aggregate(slice({bounds}, 2, size(w)), {first},
+        (acc, x) -> if({breaks},
+            named_struct('starts', concat(acc.starts, array(x.i)), 'at', x.i, 's', x.s, 'e', x.e),
+            named_struct('starts', acc.starts, 'at', acc.at, 's', acc.s, 'e', x.e)),
+        acc -> acc.starts)"""
+    starts = packed.withColumn("starts", F.expr(fold))
+    cut = "transform(starts, (s, i) -> slice(w, s + 1, coalesce(get(starts, i + 1), size(w)) - s))"
+    each = starts.select("job_id", "clip_id", F.posexplode(F.expr(cut)).alias("line_idx", "words"))
     return each.select(
         "job_id", "clip_id", "line_idx",
         F.element_at("words", 1)["start_seconds"].alias("start_seconds"), F.element_at("words", -1)["end_seconds"].alias("end_seconds"),

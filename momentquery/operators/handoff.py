@@ -19,6 +19,11 @@ class PackagingError(HandoffError):
     pass
 
 
+def in_given_order(response: DataFrame) -> DataFrame:
+    """Answers with ord, their place in the answer: as read_response() of documents gives it, else the order of rows."""
+    return response if "ord" in response.columns else response.withColumn("ord", F.monotonically_increasing_id())
+
+
 def review(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """Candidates (job_id, clip_id, score, title, hook) with a model's score, title and hook where it has them.
 

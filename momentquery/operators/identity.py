@@ -105,3 +105,21 @@ def settings(lines: DataFrame, line: str = "value") -> DataFrame:
     quoted = F.rlike(value, F.lit("^(\".*\"|'.*')$")) & (F.length(value) >= 2)
     bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
     return kept.select(F.trim(F.get(pair, F.lit(0))).alias("key"), bare.alias("value"))
+
+
+def quoted(value: Column) -> Column:
+    """A value as it is written after KEY=: in quotes where it is empty or has white space."""
+    return F.when((value == "") | F.rlike(value, F.lit(r"(?U)\s")), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(value)
+
+
+def settings_text(rows: DataFrame, by: str) -> DataFrame:
+    """rows(by, key, value) as one text a file: KEY=VALUE lines in order of key."""
+    line = F.concat(F.col("key"), F.lit("="), quoted(F.col("value")))
+    lines = F.array_sort(F.collect_list(F.struct("key", line.alias("line"))))
+    return rows.groupBy(by).agg(F.concat(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def updated_settings(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """key, value of both, those of new where both have a key."""
+    kept = old.join(new.select(by, "key"), [by, "key"], "left_anti")
+    return kept.select(by, "key", "value").unionByName(new.select(by, "key", "value"))

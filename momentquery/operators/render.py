@@ -140,3 +140,17 @@ def requests(briefs: DataFrame, version: str) -> DataFrame:
     """job_id and request, one JSON document with the job's briefs in order of rank; jobs without briefs have none."""
     rows = briefs.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "clip_id", "clip_hash", "score"))).alias("clips"))
     return rows.select("job_id", F.to_json(F.struct(F.lit(version).alias("rubric_version"), "job_id", "clips")).alias("request"))
+
+
+def manifests(clips: DataFrame, outputs: DataFrame, crops: DataFrame, lines: DataFrame) -> DataFrame:
+    """One render manifest a clip: clips(job_id, clip_id, approved, source_video, start_seconds, end_seconds, mode,
+    caption_preset) with outputs and crop_plans, maps by ratio, and caption_plan, the lines in order.
+
+    outputs: job_id, clip_id, aspect_ratio, output. crops: job_id, clip_id, aspect_ratio, plan. lines: job_id, clip_id,
+    line_idx, line. Keys of a map are in order, so equal manifests are equal documents."""
+    key = ["job_id", "clip_id"]
+    by_ratio = lambda rows, value, name: rows.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("aspect_ratio", value)))).alias(name))
+    said = lines.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda x: x["line"]).alias("caption_plan"))
+    out = clips.join(by_ratio(outputs, "output", "outputs"), key, "left").join(by_ratio(crops, "plan", "crop_plans"), key, "left").join(said, key, "left")
+    line = lines.schema["line"].dataType.simpleString()
+    return out.withColumn("caption_plan", F.coalesce("caption_plan", F.array().cast(f"array<{line}>")))

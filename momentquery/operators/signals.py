@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Mining
@@ -16,41 +17,65 @@ DESCRIPTION = "faces in %d%% of sampled frames; avg motion %.2f, peak motion %.2
 NO_FRAMES = "No sampled vision frames landed inside this clip window."
 
 
+def prepared(segments: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """segments with what windows add up: tokens and numbers of the text, and, from words, pauses. A window has a
+    segment's part from here, so no text is looked at once for each window that has it, and no window meets words.
+
+    A pause belongs to the later of two successive words; pauses: count, sum and squared deviations from their mean,
+    of all and of those whose earlier word is in the segment too."""
+    out = segments.withColumns({"tokens": fx.tokens(F.col("text")), "numbers": fx.numbers(F.col("text"))})
+    if words is None:
+        return out
+    order = W.partitionBy("job_id").orderBy("seg_idx", "word_idx")
+    pauses = words.withColumns({"gap": F.col("start_seconds") - F.lag("end_seconds").over(order), "_from": F.lag("seg_idx").over(order)})
+    part = lambda x: F.struct(F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("s"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("m2"))
+    inner = F.when(F.col("_from") == F.col("seg_idx"), F.col("gap"))
+    sums = pauses.filter("gap >= 0").groupBy("job_id", "seg_idx").agg(F.struct(part(F.col("gap")).alias("all"), part(inner).alias("inside")).alias("pauses"))
+    return out.join(sums, ["job_id", "seg_idx"], "left")
+
+
 def _joined_text(members: Column) -> Column:
     return F.array_join(F.transform(members, lambda m: m["text"]), " ")
 
 
+def _tokens(members: Column) -> Column:
+    """Of the members' joined text: no token has a blank, so they are the members' own."""
+    return F.flatten(F.transform(members, lambda m: m["tokens"]))
+
+
 def lexical(windows: DataFrame, lexicon: Lexicon = Lexicon(), config: Mining = Mining()) -> DataFrame:
-    """windows with the signals that their members' texts and speakers give."""
+    """windows of prepared() segments with the signals that their members' texts and speakers give."""
     n = F.size("members")
     half = F.greatest(F.floor(n / 2), F.lit(1)).cast("int")
-    named = windows.withColumns(
+    members = F.col("members")
+    head, tail = F.slice(members, F.lit(1), half), F.slice(members, half + 1, F.greatest(n - half, F.lit(0)))
+    rest = F.slice(members, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    spoken = windows.withColumns(
         {
-            "_text": _joined_text(F.col("members")),
-            "_first": F.element_at("members", 1)["text"],
-            "_last": fx.strip(F.element_at("members", -1)["text"]),
-            "_rest": _joined_text(F.slice("members", F.lit(1), F.greatest(n - 1, F.lit(0)))),
-            "_head": _joined_text(F.slice("members", F.lit(1), half)),
-            "_tail": _joined_text(F.slice("members", half + 1, F.greatest(n - half, F.lit(0)))),
-            "_middle": F.when(n > 2, _joined_text(F.slice("members", F.lit(2), F.greatest(n - 2, F.lit(0))))).otherwise(F.lit("")),
-            "_turns": F.size(
-                F.filter(
-                    F.zip_with(F.slice("members", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("members", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: b["speaker"] != a["speaker"]),
-                    lambda x: x,
-                )
-            ),
+            "_text": _joined_text(members),
+            "_words": _tokens(members),
+            "_numbers": F.aggregate(members, F.lit(0), lambda t, m: t + m["numbers"]),
+            "_first": F.element_at(members, 1)["text"],
+            "_first_words": F.element_at(members, 1)["tokens"],
+            "_last": fx.strip(F.element_at(members, -1)["text"]),
+            "_rest": _joined_text(rest),
+            "_rest_words": _tokens(rest),
+            "_head": _joined_text(head),
+            "_tail": _joined_text(tail),
+            "_tail_words": _tokens(tail),
+            "_middle_words": F.when(n > 2, _tokens(F.slice(members, F.lit(2), F.greatest(n - 2, F.lit(0))))),
+            "_turns": F.size(F.filter(F.zip_with(F.slice(members, F.lit(2), F.greatest(n - 1, F.lit(0))), rest, lambda b, a: b["speaker"] != a["speaker"]), lambda x: x)),
         }
     )
-    words = named.withColumns({f"{c}_words": fx.tokens(F.col(c)) for c in ("_text", "_first", "_rest", "_tail", "_middle")})
     seconds = F.greatest(F.col("end_seconds") - F.col("start_seconds"), F.lit(1e-6))
     answered = F.arrays_overlap("_tail_words", fx.literal_array(lexicon.answer_words)) | (fx.payoff(F.col("_tail"), F.col("_tail_words"), lexicon) > 0)
-    spoken = words.withColumn("speaker_interaction", F.when(n < 2, F.lit(0.0)).otherwise(fx.clamp01(F.col("_turns") / (seconds / 10))))
-    text, text_words = F.col("_text"), F.col("_text_words")
+    spoken = spoken.withColumn("speaker_interaction", F.when(n < 2, F.lit(0.0)).otherwise(fx.clamp01(F.col("_turns") / (seconds / 10))))
+    text, text_words = F.col("_text"), F.col("_words")
     out = spoken.withColumns(
         {
             "hook": fx.hook(F.col("_first"), F.col("_first_words"), lexicon),
             "keyword": fx.keyword(text_words, lexicon),
-            "numeric": fx.numeric(text, text_words),
+            "numeric": fx.number_share(F.col("_numbers"), text_words),
             "interjection": fx.interjection(text_words, lexicon),
             "payoff": fx.payoff(text, text_words, lexicon),
             "question_to_answer": F.when((n < 2) | ~F.contains("_head", F.lit("?")), F.lit(0.0)).when(answered, F.lit(1.0)).otherwise(F.lit(0.35)),
@@ -63,32 +88,20 @@ def lexical(windows: DataFrame, lexicon: Lexicon = Lexicon(), config: Mining = M
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def delivery(windows: DataFrame, words: DataFrame) -> DataFrame:
-    """windows with delivery_variance, from the pauses between successive words of their members.
-
-    A pause belongs to the later word; that between a window's first word and the one before it is not in the window.
-    The spread needs n, the sum and the sum of squares only, so pauses are summed per segment first."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("job_id").orderBy("seg_idx", "word_idx")
-    pauses = words.withColumns({"gap": F.col("start_seconds") - F.lag("end_seconds").over(order), "_from": F.lag("seg_idx").over(order)})
-    pauses = pauses.filter("gap >= 0")
-    inner = pauses.withColumn("_inner", F.col("_from") == F.col("seg_idx"))
-    sums = [F.struct(F.count_if(x).alias("n"), F.sum(F.when(x, F.col("gap"))).alias("s"), F.sum(F.when(x, F.col("gap") * F.col("gap"))).alias("q")) for x in (F.lit(True), F.col("_inner"))]
-    per_segment = inner.groupBy(F.col("job_id").alias("_job"), F.col("seg_idx").alias("_seg")).agg(sums[0].alias("all"), sums[1].alias("inside"))
-    inside = (F.col("job_id") == F.col("_job")) & F.col("_seg").between(F.col("start_idx"), F.col("end_idx"))
-    part = F.when(F.col("_seg") == F.col("start_idx"), F.col("inside")).otherwise(F.col("all"))
-    key = ["job_id", "start_idx", "end_idx"]
-    totals = (
-        windows.select(*key)
-        .join(per_segment, inside)
-        .withColumn("p", part)
-        .groupBy(*key)
-        .agg(F.sum("p.n").alias("n"), F.sum("p.s").alias("s"), F.sum("p.q").alias("q"))
+def delivery(windows: DataFrame) -> DataFrame:
+    """windows of prepared() segments with delivery_variance, from the pauses between successive words of their members;
+    that between a window's first word and the one before it is not in the window. Deviations are added about the
+    window's own mean, so long jobs lose no digits."""
+    parts = F.filter(
+        F.transform("members", lambda m, i: F.when(i == 0, m["pauses"]["inside"]).otherwise(m["pauses"]["all"])), lambda p: p["n"] > 0
     )
-    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0)))
-    scored = totals.select(*key, F.when(F.col("n") >= 3, fx.clamp01(spread / 0.35)).otherwise(F.lit(0.0)).alias("delivery_variance"))
-    return windows.join(scored, key, "left").fillna(0.0, ["delivery_variance"])
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    sums = F.aggregate("_parts", zero, lambda t, p: F.struct((t["n"] + p["n"]).alias("n"), (t["s"] + p["s"]).alias("s")))
+    mean = F.col("_sums.s") / F.col("_sums.n")
+    m2 = F.aggregate("_parts", F.lit(0.0), lambda t, p: t + p["m2"] + p["n"] * F.pow(p["s"] / p["n"] - F.col("_mean"), 2))
+    out = windows.withColumn("_parts", parts).withColumn("_sums", sums).withColumn("_mean", mean)
+    spread = F.sqrt(m2 / F.col("_sums.n"))
+    return out.withColumn("delivery_variance", F.when(F.col("_sums.n") >= 3, fx.clamp01(spread / 0.35)).otherwise(F.lit(0.0))).drop("_parts", "_sums", "_mean")
 
 
 def frame_sums(windows: DataFrame, frames: DataFrame) -> DataFrame:
@@ -189,11 +202,13 @@ def reasons() -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("clarity"))).otherwise(found)
 
 
-def scored(windows: DataFrame, frames: DataFrame, words: DataFrame, lexicon: Lexicon = Lexicon(), config: Mining = Mining()) -> DataFrame:
-    """windows with all signals, penalties, score, spike_categories and reasons."""
-    marked = delivery(lexical(windows, lexicon, config), words)
+def scored(windows: DataFrame, frames: DataFrame, lexicon: Lexicon = Lexicon(), config: Mining = Mining(), bounds: DataFrame | None = None) -> DataFrame:
+    """windows of prepared() segments with all signals, penalties, score, spike_categories and reasons. bounds: the same
+    windows with members of bounds only, if they are at hand."""
+    marked = delivery(lexical(windows, lexicon, config))
     # Frames are summed for the window and for the part between its first and last segment. Only bounds take part,
     # so neither texts nor what was computed from them is shuffled for it.
+    windows = windows if bounds is None else bounds
     key = ["job_id", "start_idx", "end_idx"]
     part = lambda name, start, end: F.struct(F.lit(name).alias("part"), start.alias("start_seconds"), end.alias("end_seconds"))
     whole = part("whole", F.col("start_seconds"), F.col("end_seconds"))

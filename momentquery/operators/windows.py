@@ -23,7 +23,7 @@ def enumerated(segments: DataFrame, durations: Durations = Durations()) -> DataF
     """
     # Members hold what segments have of these; leave out texts where only bounds are wanted. The frame is in SQL
     # because its bound is a double.
-    fields = ", ".join(c for c in ("seg_idx", "speaker", "start_seconds", "end_seconds", "text") if c in segments.columns)
+    fields = ", ".join(c for c in ("seg_idx", "speaker", "start_seconds", "end_seconds", "text", "tokens", "numbers", "pauses") if c in segments.columns)
     ahead = f"""collect_list(struct({fields})) over (
         partition by job_id order by _latest range between current row and {durations.most}D following)"""
     grown = segments.withColumn("_latest", F.max("start_seconds").over(by_job())).withColumn("_ahead", F.expr(ahead))

@@ -38,7 +38,7 @@ def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signals.delivery(signals.lexical(windows.enumerated(td.segments(spark, sf_dir))), td.words(spark, sf_dir))
+    found = signals.delivery(signals.lexical(windows.enumerated(signals.prepared(td.segments(spark, sf_dir), td.words(spark, sf_dir)))))
     return rounded(found.drop("members", "start_seconds", "end_seconds"))
 
 
@@ -48,7 +48,9 @@ def visual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.scored(windows.enumerated(td.segments(spark, sf_dir)), td.frames(spark, sf_dir), td.words(spark, sf_dir))
+    segments = td.segments(spark, sf_dir)
+    found = windows.enumerated(signals.prepared(segments, td.words(spark, sf_dir)))
+    return signals.scored(found, td.frames(spark, sf_dir), bounds=windows.enumerated(segments.drop("text", "speaker")))
 
 
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,3 +328,39 @@ select job_id, truncated, len(t)::int as n_chars, md5(t) as digest from e
 #: The small limits, and the operator's own: all, head, tail, and what is left for the middle.
 _LIMITS = {"1200": "30000", "500": "18000", "300": "10000", "400": "2000"}
 ORACLE["brief_excerpts"] = o.SEGMENTS.join(re.sub(rf"\b({'|'.join(_LIMITS)})\b", lambda m: _LIMITS[m[0]], part) for part in ORACLE["transcript_excerpts"].split(o.SEGMENTS))
+
+_TOUCH = "least({x}.e, b.be) - greatest({x}.s, b.bs) > 0"
+_CLASH = "len(list_filter(f.kept, lambda k: greatest(least(k.e, {x}.e) - greatest(k.s, {x}.s), 0) / least(k.e - k.s, {x}.e - {x}.s) > 0.5)) > 0"
+_FITS = f"list_filter(f.w, lambda x: {_TOUCH.format(x='x')} and not ({_CLASH.format(x='x')}))"
+_SAME = "len(list_filter(f.kept, lambda k: k.s = a.s and k.e = a.e)) > 0"
+_ADDED = "list_append(f.kept, {'n': a.n, 's': a.s, 'e': a.e})"
+ORACLE["selected_clips"] = (
+    ORACLE["deduplicated_windows"].rsplit("each as (", 1)[0]
+    + f"""
+allw as (select job_id, row_number() over (partition by job_id order by score desc, start_idx, end_idx) as n, start_idx, end_idx, start_seconds as s, end_seconds as e, score from scored),
+wl as (select job_id, list({{'n': n, 's': s, 'e': e, 'score': score}} order by n) as w from allw group by job_id),
+blk as ({ORACLE['interview_blocks']}),
+bl as (select job_id, row_number() over (partition by job_id order by block_idx) as i, start_seconds as bs, end_seconds as be from blk),
+f1 as (
+    select wl.job_id, 0::bigint as i, wl.w, coalesce(final.kept, list_filter([{{'n': 0::bigint, 's': 0.0::double, 'e': 0.0::double}}], lambda x: false)) as kept from wl left join final on final.job_id = wl.job_id
+    union all
+    select f.job_id, b.i, f.w, case when len(list_filter(f.kept, lambda x: {_TOUCH.format(x='x')})) > 0 or len({_FITS}) = 0 then f.kept
+        else list_append(f.kept, list_transform(list_concat(list_filter({_FITS}, lambda y: y.score >= 0.2), {_FITS})[1:1], lambda z: {{'n': z.n, 's': z.s, 'e': z.e}})[1]) end
+    from f1 f join bl b on b.job_id = f.job_id and b.i = f.i + 1
+),
+f2 as (
+    select job_id, 0::bigint as n, arg_max(kept, i) as kept from f1 group by job_id
+    union all
+    select f.job_id, a.n, case when {_SAME} or {_CLASH.format(x='a')} then f.kept else {_ADDED} end from f2 f join allw a on a.job_id = f.job_id and a.n = f.n + 1 where len(f.kept) < 5
+),
+f3 as (
+    select job_id, 0::bigint as n, arg_max(kept, n) as kept from f2 group by job_id
+    union all
+    select f.job_id, a.n, case when {_SAME} then f.kept else {_ADDED} end from f3 f join allw a on a.job_id = f.job_id and a.n = f.n + 1 where len(f.kept) < 5
+),
+f4 as (select job_id, arg_max(kept, n)[1:12] as kept from f3 group by job_id),
+each as (select job_id, unnest(kept) as k, generate_subscripts(kept, 1) - 1 as rank from f4)
+select e.job_id, e.rank::int as rank, printf('clip-%03d', e.rank) as clip_id, g.start_idx, g.end_idx, round(g.s, 6) as start_seconds, round(g.e, 6) as end_seconds, round(g.score, 6) as score
+from each e join allw g on g.job_id = e.job_id and g.n = e.k.n
+"""
+)

@@ -50,7 +50,7 @@ def assembled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     motion = vision.normalised_motion(td.frames(spark, sf_dir).select("job_id", "frame_idx", F.col("motion_score").alias("magnitude")))
     faces = vision.primary_faces(vision.faces(_raw_faces(spark, sf_dir)))
     out = vision.assembled(samples, motion, faces, _shots(spark, sf_dir))
-    return out.groupBy("job_id").agg(F.count("*").alias("n_frames"), F.count("face_center_x").alias("n_faces"), F.count_if("shot_change").alias("n_shots"), F.round(F.sum("motion_score"), 3).alias("motion"))
+    return out.groupBy("job_id").agg(F.count("*").alias("n_frames"), F.count("face_center_x").alias("n_faces"), F.count_if("shot_change").alias("n_shots"), F.round(F.sum(F.col("motion_score").cast("decimal(18,4)")), 3).cast("double").alias("motion"))
 
 
 SPANS = """
@@ -112,7 +112,7 @@ ORACLE = {
         select job_id, frame_idx, round(case when u > 0 and max(u) over (partition by job_id) > 0 then u / max(u) over (partition by job_id) else 0.0 end, 6) as motion_score from m""",
     "shot_frames": f"with {_SHOT_FRAMES} select job_id, frame_idx from hit",
     "assembled_frames": f"""with {_FACES}, {_SHOT_FRAMES}, f as (select *, case when max(motion_score) over (partition by job_id) > 0 then motion_score / max(motion_score) over (partition by job_id) else 0.0 end as m from {o.FRAMES} z)
-        select f.job_id as job_id, count(*) as n_frames, count(b.center_x) as n_faces, count(h.frame_idx) as n_shots, round(sum(round(m, 4)), 3) as motion
+        select f.job_id as job_id, count(*) as n_frames, count(b.center_x) as n_faces, count(h.frame_idx) as n_shots, round(sum(cast(round(m, 4) as decimal(18, 4))), 3)::double as motion
         from f left join best b on b.job_id = f.job_id and b.frame_idx = f.frame_idx left join hit h on h.job_id = f.job_id and h.frame_idx = f.frame_idx group by f.job_id""",
     "word_speakers": f"""with w as (select * from {o.WORDS} x), s as (select * from {td.duck(SPANS)} x),
         p as (select w.job_id, w.seg_idx, w.word_idx, s.speaker, round(sum(least(w.end_seconds, s."end") - greatest(w.start_seconds, s.start)), 6) as ov

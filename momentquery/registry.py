@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, mining, perception, rendering, streams
+from .plans import analytics, documents, mining, perception, rendering, streams
 
-_MODULES = (analytics, mining, perception, rendering, streams)
+_MODULES = (analytics, documents, mining, perception, rendering, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 
