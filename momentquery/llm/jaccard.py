@@ -282,7 +282,7 @@ def _may_meet(percent: int) -> Column:
     return ~same & _may_link(na, nb, percent) & _may_overlap(na, F.col("placea"), nb, F.col("placeb"), percent)
 
 
-_AT = ("id", "n", "place", "low", "high")
+_AT = ("id", "n", "place", "low", "high", "lead")
 
 
 def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
@@ -291,17 +291,18 @@ def _side(rows: DataFrame, x: str, *more: Column) -> DataFrame:
 
 
 def _star_pairs(at: DataFrame, step: int, percent: int) -> DataFrame:
-    """at(key, id, n, place, low, high) -> ida, idb: each key's first id (in the next step, its last one, most often of
-    another component) with the key's others. It is found by partial sums, so no key is ever in one task."""
-    pick = F.max if step % 2 else F.min
-    hub = at.groupBy(F.col("key").alias("keya")).agg(pick(F.struct("low", "id", "n", "place", "high")).alias("hub"))
+    """at(key, id, n, place, low, high, lead) -> ida, idb: one id of each key with the key's others. It is the one of
+    the earliest document, as copies come after what they are made from; in the next step, one of the last component,
+    which is another one than the first where there are two. It is found by partial sums, so no key is ever in one task."""
+    one = F.max(F.struct("low", "id", "n", "place", "high", "lead")) if step % 2 else F.min(F.struct("lead", "id", "n", "place", "low", "high"))
+    hub = at.groupBy(F.col("key").alias("keya")).agg(one.alias("hub"))
     hub = hub.select("keya", *[F.col(f"hub.{c}").alias(f"{c}a") for c in _AT])
     both = _side(at, "b").join(hub, (F.col("keya") == F.col("keyb")) & (F.col("ida") != F.col("idb")) & _may_meet(percent))
     return both.select("ida", "idb").distinct()
 
 
 def _all_pairs(at: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
-    """at(key, id, n, place, low, high, df), marked(id, radius, marks) -> ida, idb that meet at a key and may link. df:
+    """at(key, id, n, place, low, high, lead, df), marked(id, radius, marks) -> ida, idb that meet at a key and may link. df:
     rows at the key, or more.
 
     A key with more than HOT rows would make the square of them: there the marks, halves folded onto each other, are
@@ -330,11 +331,12 @@ def _all_pairs(at: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(classes: DataFrame) -> DataFrame:
-    """group, n, size, its first and last node, marks of the first, and the radius about them that holds all members'."""
+    """group, n, size, its first and last node (by their earliest documents), marks of the first, and the radius about
+    them that holds all members'."""
     groups = classes.groupBy("group").agg(
-        F.min(F.struct("node", "marks")).alias("lead"), F.max("node").alias("last"), F.first("n").alias("n"), F.count("*").alias("size")
+        F.min(F.struct("lead", "node", "marks")).alias("first"), F.max(F.struct("lead", "node")).alias("last"), F.first("n").alias("n"), F.count("*").alias("size")
     )
-    groups = groups.select("group", "n", "size", F.col("lead.node").alias("first"), "last", F.col("lead.marks").alias("marks"))
+    groups = groups.select("group", "n", "size", F.col("first.node").alias("first"), F.col("last.node").alias("last"), F.col("first.marks").alias("marks"))
     many = groups.filter("size > 1").select("group", F.col("marks").alias("_marks"))
     differ = F.aggregate(F.zip_with("marks", "_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     radius = classes.select("group", "marks").join(many, "group").groupBy("group").agg(F.max(differ).alias("radius"))
@@ -372,9 +374,9 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
     # Only groups have postings; one document of the group's first class gives them.
     leads = groups.select(F.col("first").alias("node")).join(classes.select("node", F.col("lead").alias("doc_id")), "node")
     prefixes = some.select("doc_id", "node", "n", "prefix", "group").join(leads, ["doc_id", "node"]).dropDuplicates(["group"])
-    postings = prefixes.select(F.col("group").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "key"))
+    postings = prefixes.select(F.col("group").alias("id"), F.col("doc_id").alias("lead"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "key"))
     postings = written(postings.withColumn("df", F.count("*").over(W.partitionBy("key"))).filter("df > 1"), "postings")
-    members = classes.select("node", "group", F.col("n").cast("int").alias("n"), *_spread())
+    members = classes.select("node", "group", "lead", F.col("n").cast("int").alias("n"), *_spread())
     marked = groups.select(F.col("group").alias("id"), "radius", *_spread())
 
     found: DataFrame | None = None
@@ -395,7 +397,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
             # Members of one group meet at the group, where all places are shared.
             inside = of.join(many.select("group", "size"), "group").select(
                 F.col("group").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"),
-                F.col("component").alias("low"), F.col("component").alias("high"), F.col("size").alias("df"),
+                F.col("component").alias("low"), F.col("component").alias("high"), "lead", F.col("size").alias("df"),
             )
             inner = _all_pairs(inside, of.select(F.col("node").alias("id"), F.lit(0).alias("radius"), *_MARKS), percent)
             size = classes.select("node", F.col("n").cast("int").alias("n"))
