@@ -41,7 +41,7 @@ from .common import written
 
 DEPTH, TOP = 6, 3
 #: Bytes of text that a bucket of strings or words stands for on average, and that are indexed at once.
-BUCKET_BYTES, SPAN = 8 << 20, 1 << 19
+BUCKET_BYTES, SPAN = 12 << 20, 1 << 19
 #: Numbers that a task gathers before it hands its lists on, and strings whose nodes are held at once.
 HELD, PIECE = 4_000_000, 250_000
 NEWLINE, BLANK = 10, 32
@@ -78,12 +78,35 @@ def strings(out: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
     return key[inside[depth:]]
 
 
-def indexed(texts: pa.Array, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By spans of texts: numbers of the words, how many each text has, strings, how many each text has."""
+def indexed(texts: pa.Array, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """By spans of texts: numbers of the words, how many each text has, strings, how many each text has, and whether the
+    first text is the last one of the span before, continued: texts longer than a span come in parts."""
     for _, x, at in words.spans(texts, SPAN):
+        if len(at) == 2 and len(x) > SPAN:
+            yield from _parts(x, depth)
+            continue
         start, stop, hashes, first = words.found(x, at)
         out, begin = text_bytes(x, start, stop, first, depth)
-        yield (hashes >> np.uint64(1)).astype(np.int64), np.diff(first), strings(out, begin, depth), np.diff(begin) - depth
+        yield (hashes >> np.uint64(1)).astype(np.int64), np.diff(first), strings(out, begin, depth), np.diff(begin) - depth, False
+
+
+def _parts(x: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """indexed() of one long text, piece by piece; each knows the last bytes of what came before."""
+    end = len(x)
+    while end and words.SPACE[x[end - 1]]:
+        end -= 1
+    before, lo, begun = np.full(depth, NEWLINE, np.uint8), 0, False
+    while lo < end or not begun:
+        hi = words.cut(x[:end], lo)
+        start, stop, hashes, first = words.found(x[lo:hi], np.array([0, hi - lo]))
+        if len(start) or hi == end:
+            out, begin = text_bytes(x[lo:hi], start, stop, first, depth)
+            out[:depth] = before
+            if hi < end:
+                out[-1] = BLANK  # more words follow
+            yield (hashes >> np.uint64(1)).astype(np.int64), np.diff(first), strings(out, begin, depth), np.diff(begin) - depth, begun
+            before, begun = out[len(out) - depth :].copy(), True
+        lo = hi
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -355,7 +378,7 @@ def _ask(depth: int, top: int, n_buckets: int):
                     if not mask.any():
                         continue
                     of_words.add(np.full(int(mask.sum()), END, np.int64), learn)
-                    for hashes, _, keys, _ in indexed(batch.column("text").filter(pa.array(mask)), depth):
+                    for hashes, _, keys, _, _ in indexed(batch.column("text").filter(pa.array(mask)), depth):
                         of_words.add(hashes, learn)
                         of_strings.add(keys, learn)
             if sum(c.size + c.folded for pair in seen.values() for c in pair) > HELD:
@@ -382,19 +405,23 @@ ANSWERS = "kind int, bucket int, chunk long, blob binary, n long, v long"
 
 
 def _answers(t: pa.Table, kind: int, keys: np.ndarray, values: np.ndarray, n: int = 0, v: int = 0) -> pa.Table:
-    """The values of each row's numbers; the sums n and v stand in the first row."""
-    rows = t.num_rows
-
-    def answer(blob) -> bytes:
-        asked = unpacked(blob.as_buffer(), np.int64, np.int64)[0]
+    """A row for each chunk with the values of all its numbers, whether it asked once or, read in parts, several
+    times; the sums n and v stand in the first row."""
+    asking: dict[int, list] = {}
+    for chunk, blob in zip(t["chunk"].to_pylist(), t["blob"]):
+        asking.setdefault(chunk, []).append(blob)
+
+    def answer(blobs: list) -> bytes:
+        asked = _totals(blobs)[0]
         return packed(asked, values[np.searchsorted(keys, asked)])
 
+    rows = len(asking)
     return pa.table(
         {
             "kind": np.full(rows, kind, np.int32),
-            "bucket": t["bucket"],
-            "chunk": t["chunk"],
-            "blob": pa.array([answer(b) for b in t["blob"]], pa.binary()),
+            "bucket": np.full(rows, t["bucket"][0].as_py(), np.int32),
+            "chunk": pa.array(list(asking), pa.int64()),
+            "blob": pa.array([answer(blobs) for blobs in asking.values()], pa.binary()),
             "n": np.array([n] + [0] * (rows - 1)),
             "v": np.array([v] + [0] * (rows - 1)),
         }
@@ -455,16 +482,8 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _lookup(answers: pa.Table, kind: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By bucket, the numbers that were asked for, sorted, and their values."""
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     some = answers.filter(pc.equal(answers["kind"], kind))
-    for b, blob in zip(some["bucket"].to_pylist(), some["blob"]):
-        keys, values = unpacked(blob.as_buffer(), np.int64, np.float64)
-        if b in found:  # a chunk that was read in parts has asked more than once
-            keys, values = np.concatenate([found[b][0], keys]), np.concatenate([found[b][1], values])
-            order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], values[order]
-        found[b] = keys, values
-    return found
+    return {b: tuple(unpacked(blob.as_buffer(), np.int64, np.float64)) for b, blob in zip(some["bucket"].to_pylist(), some["blob"])}
 
 
 def _values(asked: np.ndarray, table: dict[int, tuple[np.ndarray, np.ndarray]], bucket) -> np.ndarray:
@@ -499,12 +518,18 @@ def _score(depth: int, top: int, n_buckets: int, n: int, v: int):
             if not batch.num_rows:
                 continue
             rows: list[tuple[np.ndarray, ...]] = []
-            for hashes, n_words, keys, n_bytes in indexed(batch["text"].combine_chunks(), depth):
+            for hashes, n_words, keys, n_bytes, more in indexed(batch["text"].combine_chunks(), depth):
                 counts = _values(hashes, of_words, by_word)
-                known = _sums((counts > 0).astype(np.float64), n_words) + (end > 0)
-                base = _sums(np.log10(counts + 1), n_words) + math.log10(end + 1) - (n_words + 1) * norm
-                rows.append((n_words + 1, known.astype(np.int64), base, _sums(_values(keys, of_strings, by_string), n_bytes), n_bytes))
-            n_tokens, known, base, score, n_bytes = (np.concatenate(c) for c in zip(*rows))
+                known = _sums((counts > 0).astype(np.float64), n_words)
+                some = n_words.astype(np.int64), known, _sums(np.log10(counts + 1), n_words), _sums(_values(keys, of_strings, by_string), n_bytes), n_bytes
+                if more:
+                    for last, next_ in zip(rows[-1], some):
+                        last[-1] += next_[0]
+                else:
+                    rows.append(some)
+            n_words, known, base, score, n_bytes = (np.concatenate(c) for c in zip(*rows))
+            n_tokens, known = n_words + 1, known.astype(np.int64) + (end > 0)
+            base += math.log10(end + 1) - n_tokens * norm
             tables.append(
                 pa.table(
                     {

@@ -10,7 +10,7 @@ from .common import table
 from .labelled import held_out
 
 #: Rows of a file that are indexed and scored together.
-CHUNK_ROWS = 16384
+CHUNK_ROWS = 8192
 
 
 def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:

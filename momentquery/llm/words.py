@@ -13,7 +13,7 @@ _INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint64)[LOWER]
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Bytes that are looked at together.
 PIECE = 1 << 19
 #: Powers of the multiplier's inverse and of itself, as far as they were needed.
@@ -59,7 +59,7 @@ def found(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     at in pieces that end with white space."""
     parts, lo = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
     while lo < len(x):
-        hi = _cut(x, lo)
+        hi = cut(x, lo)
         edges = at[np.searchsorted(at, lo) : np.searchsorted(at, hi, side="right")] - lo
         start, stop, hashes = _found(x[lo:hi], edges)
         parts.append((start + lo, stop + lo, hashes))
@@ -68,16 +68,16 @@ def found(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return start, stop, hashes, np.searchsorted(start, at)
 
 
-def _cut(x: np.ndarray, lo: int) -> int:
+def cut(x: np.ndarray, lo: int) -> int:
     """Where a piece of about PIECE bytes from lo on ends, behind white space or with x."""
     hi = lo + PIECE
     if hi >= len(x):
         return len(x)
-    spaces = np.flatnonzero(_SPACE[x[lo:hi]])
+    spaces = np.flatnonzero(SPACE[x[lo:hi]])
     if len(spaces):
         return lo + int(spaces[-1]) + 1
     while hi < len(x):  # a very long word
-        spaces = np.flatnonzero(_SPACE[x[hi : hi + PIECE]])
+        spaces = np.flatnonzero(SPACE[x[hi : hi + PIECE]])
         if len(spaces):
             return hi + int(spaces[0]) + 1
         hi += PIECE
@@ -88,7 +88,7 @@ def _found(x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """found() in a piece, where words end; edges: where texts begin or end in it."""
     n = len(x)
     inverse, power = (p[:n] for p in _up_to(n))
-    word = ~_SPACE[x]
+    word = ~SPACE[x]
     edge = np.zeros(n + 1, bool)
     edge[edges] = edge[0] = edge[n] = True
     start = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
