@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text of a class that come to the driver, at most.
-BYTES = 32 << 20
+BYTES = 8 << 20
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

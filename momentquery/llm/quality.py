@@ -37,7 +37,7 @@ RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+")
 def shape(token: str) -> str:
     for runs, mark in RUNS:
         token = runs.sub(mark, token)
-    return token[:12]
+    return token
 
 
 def slot(kind: str, value: str) -> int:
@@ -106,41 +106,65 @@ def _rows(docs: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.array(rows, np.int64), np.array(slots, np.int64), np.array(values)
 
 
-def fitted(docs: list[tuple[str, int]], n_grades: int, rounds: int = 120, ridge: float = 3e-5) -> Grades:
-    """A model from (text, grade) with grades 0 to n_grades - 1, by gradient steps on all documents; grades weigh
-    the same, whatever their numbers."""
+@dataclass
+class Sample:
+    """Features of rated documents, as row, place among the used slots, and value; grades; each document's share."""
+
+    rows: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+    used: np.ndarray
+    grades: np.ndarray
+    share: np.ndarray
+    n_grades: int
+
+
+def rated(docs: list[tuple[str, int]], n_grades: int) -> Sample:
+    """Grades weigh the same, whatever their numbers."""
     grades = np.array([g for _, g in docs], int)
-    present = np.unique(grades)
-    if len(present) < 2:
-        return Grades(np.zeros(N_WEIGHTS), ())
     rows, slots, values = _rows(docs)
-    used, slots = np.unique(slots, return_inverse=True)
-    share = 1 / (len(present) * np.bincount(grades, minlength=n_grades).clip(1)[grades])
-    w, cut = np.zeros(len(used)), np.concatenate([[-1.0], np.zeros(n_grades - 2)])
-    theta = np.concatenate([w, cut])
+    used, places = np.unique(slots, return_inverse=True)
+    n = np.bincount(grades, minlength=n_grades)
+    return Sample(rows, places, values, used, grades, 1 / (np.count_nonzero(n) * n.clip(1)[grades]), n_grades)
+
+
+def _thresholds(cut: np.ndarray) -> np.ndarray:
+    """The first one, and the others as sums of positive steps."""
+    return np.cumsum(np.concatenate([cut[:1], np.exp(cut[1:])]))
+
+
+def gradient(theta: np.ndarray, s: Sample) -> np.ndarray:
+    """Of the shares' negative log likelihood, by weights and thresholds' parameters."""
+    w, cut = theta[: len(s.used)], theta[len(s.used) :]
+    n, at = len(s.grades), np.arange(len(s.grades))
+    t = _thresholds(cut)
+    latent = np.bincount(s.rows, w[s.places] * s.values, minlength=n)
+    tail = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(latent[:, None] - t, -40, 40))), np.zeros((n, 1))], axis=1)
+    upper, lower = tail[at, s.grades], tail[at, s.grades + 1]
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+    gs = -s.share * (du - dl)
+    gt = np.zeros(len(t))
+    np.add.at(gt, np.maximum(s.grades - 1, 0), np.where(s.grades > 0, s.share * du, 0))
+    np.add.at(gt, np.minimum(s.grades, len(t) - 1), np.where(s.grades < s.n_grades - 1, -s.share * dl, 0))
+    gc = [gt.sum(), *(math.exp(c) * gt[i + 1 :].sum() for i, c in enumerate(cut[1:]))]
+    return np.concatenate([np.bincount(s.places, gs[s.rows] * s.values, minlength=len(s.used)), gc])
+
+
+def fitted(docs: list[tuple[str, int]], n_grades: int, rounds: int = 120, ridge: float = 3e-5) -> Grades:
+    """A model from (text, grade) with grades 0 to n_grades - 1, by gradient steps on all documents."""
+    if len({g for _, g in docs}) < 2:
+        return Grades(np.zeros(N_WEIGHTS), ())
+    sample = rated(docs, n_grades)
+    theta = np.concatenate([np.zeros(len(sample.used)), [-1.0], np.zeros(n_grades - 2)])
     m = v = np.zeros_like(theta)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for k in range(1, rounds + 1):
-        w, cut = theta[: len(used)], theta[len(used) :]
-        t = np.cumsum(np.concatenate([cut[:1], np.exp(cut[1:])]))
-        s = np.bincount(rows, w[slots] * values, minlength=len(docs))
-        tail = np.concatenate([np.ones((len(docs), 1)), sigmoid(s[:, None] - t), np.zeros((len(docs), 1))], axis=1)
-        at = np.arange(len(docs))
-        upper, lower = tail[at, grades], tail[at, grades + 1]
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        gs = -share * (du - dl)
-        gt = np.zeros(len(t))
-        np.add.at(gt, np.maximum(grades - 1, 0), np.where(grades > 0, share * du, 0))
-        np.add.at(gt, np.minimum(grades, len(t) - 1), np.where(grades < n_grades - 1, -share * dl, 0))
-        gc = np.array([gt[0:].sum(), *(math.exp(c) * gt[i + 1 :].sum() for i, c in enumerate(cut[1:]))])
-        g = np.concatenate([np.bincount(slots, gs[rows] * values, minlength=len(used)), gc]) + ridge * theta
+        g = gradient(theta, sample) + ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     weights = np.zeros(N_WEIGHTS)
-    weights[used] = theta[: len(used)]
-    cut = theta[len(used) :]
-    return Grades(weights, tuple(float(x) for x in np.cumsum(np.concatenate([cut[:1], np.exp(cut[1:])]))))
+    weights[sample.used] = theta[: len(sample.used)]
+    return Grades(weights, tuple(float(x) for x in _thresholds(theta[len(sample.used) :])))
 
 
 def fit(documents: DataFrame, ratings: DataFrame, grade: str, n_grades: int, per_class: int = SAMPLE) -> Grades:

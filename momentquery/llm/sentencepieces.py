@@ -15,6 +15,7 @@ Nulls: a null text has null pieces, an empty one none. Repeated rows get equal r
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -47,7 +48,27 @@ class Pieces:
     special: set[int]
 
 
+#: At or below this a score only says that a piece comes after all others.
+LAST = -1e8
+
+
+def is_ranked(scores: list[float]) -> bool:
+    """Whether scores are ranks of merges (whole numbers that fall) and no log probabilities."""
+    some = [s for s in scores if s > LAST]
+    return len(some) > 1 and all(a > b and b == int(b) for a, b in zip(some, some[1:]))
+
+
+def zipf(scores: list[float]) -> list[float]:
+    """Log probabilities by Zipf's law of pieces with these ranks; those of one rank share its probability."""
+    order = sorted(set(scores), reverse=True)
+    place = {s: i + 1 for i, s in enumerate(order)}
+    norm = math.log(sum(1 / place[s] for s in scores))
+    return [-math.log(place[s]) - norm for s in scores]
+
+
 def load(path: str) -> Pieces:
+    """A model's pieces. Scores that are ranks of merges can't be added up along a segmentation; they are taken for ranks
+    of frequency. The segmentation is then the likeliest by these, not the one that merging would give."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,7 +78,12 @@ def load(path: str) -> Pieces:
         if model.is_byte(i):
             byte_ids[int(model.id_to_piece(i)[3:-1], 16)] = i
     special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-    return Pieces([model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)], byte_ids, special)
+    scores = [model.get_score(i) for i in range(n)]
+    usual = [i for i in range(n) if i not in special and not model.is_byte(i)]
+    if is_ranked([scores[i] for i in usual]):
+        for i, score in zip(usual, zipf([scores[i] for i in usual])):
+            scores[i] = score
+    return Pieces([model.id_to_piece(i) for i in range(n)], scores, byte_ids, special)
 
 
 class Coder:

@@ -25,7 +25,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,8 +55,8 @@ LEAST = 0.01
 PREFIXES, SUFFIX = (3, 4, 5, 6, 7), 3
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 CACHE = 300_000
-#: Bytes of text that are tagged together, and the bounds of a token's log weight.
-SPAN, MOST = 1 << 19, 30.0
+#: Bytes of text that are tagged together, tokens that the fit works on together, and the bounds of a token's log weight.
+SPAN, BLOCK, MOST = 1 << 19, 1 << 16, 30.0
 RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"))
 
 
@@ -232,13 +232,12 @@ def _spans(x: np.ndarray, start: np.ndarray, stop: np.ndarray, p: np.ndarray, to
     return out
 
 
-def distinct(docs: list[tuple[list[str], int]]) -> list[int]:
-    """Places of docs, without those that share one of three smallest hashes of their word triples with an earlier one of
-    their label: near copies, whose words would pass for words that many documents have."""
+def distinct(docs: list[list[str]], labels: list[int]) -> list[int]:
+    """Places of docs, without those that share one of three smallest hashes of their word triples with an earlier one
+    of their label: near copies, whose words would pass for words that many documents have."""
     kept, met = [], set()
-    for i, (ws, label) in enumerate(docs):
-        triples = [" ".join(ws[j : j + 3]).encode() for j in range(max(1, len(ws) - 2))]
-        hashes = np.array([zlib.crc32(t) for t in triples], dtype=np.uint64)
+    for i, (ws, label) in enumerate(zip(docs, labels)):
+        hashes = np.fromiter((zlib.crc32(" ".join(ws[j : j + 3]).encode()) for j in range(max(1, len(ws) - 2))), np.uint64)
         marks = {(label, k, int(((hashes * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 2654435761, 2246822519))}
         if not marks & met:
             kept.append(i)
@@ -246,8 +245,8 @@ def distinct(docs: list[tuple[list[str], int]]) -> list[int]:
     return kept
 
 
-def lexicon(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Words and beginnings of words that toxic documents hold LIFT times as often as others, and so often that none of
+def lexicon(docs: list[tuple[set[str], int]]) -> set[str]:
+    """Of (words, label): words and beginnings of words that toxic documents hold LIFT times as often as others, and so often that none of
     all candidates would by chance (the likelihood ratio's probability times their number is below one).
 
     Copies of one toxic document would make toxic words of all its words. So they are first chosen by how many toxic
@@ -288,7 +287,7 @@ def lexicon(docs: list[tuple[list[str], int]]) -> set[str]:
 @dataclass
 class Corpus:
     """Tokens of texts by number, with what they are made of: features (rows of a token's number and a feature's), and
-    the words that count as neighbours."""
+    the words that count as neighbours (-1: one that doesn't)."""
 
     tokens: np.ndarray
     first: np.ndarray
@@ -300,23 +299,29 @@ class Corpus:
     neighbours: list[str]
 
 
-def corpus(docs: list[list[str]]) -> Corpus:
+def numbered(texts: Iterable[str]) -> tuple[list[np.ndarray], list[str]]:
+    """Each text's tokens (A-Z in lower case) as numbers, and the tokens by number."""
+    number: dict[bytes, int] = {}
+    numbers = [np.array([number.setdefault(t, len(number)) for t in text.encode("utf-8", "replace").lower().split()], np.int32) for text in texts]
+    return numbers, [t.decode("utf-8", "replace") for t in number]
+
+
+def corpus(numbers: list[np.ndarray], types: list[str]) -> Corpus:
     """Of features and neighbours, those that HELD documents have."""
-    number: dict[str, int] = {}
-    numbers = [np.array([number.setdefault(t, len(number)) for t in tokens], np.int64) for tokens in docs]
     of, names = [], []
-    for t, i in number.items():
+    for i, t in enumerate(types):
         mine = features(t)
         of += [i] * len(mine)
         names += mine
     ids = {f: i for i, f in enumerate(dict.fromkeys(names))}
-    of, feature = np.array(of, np.int64), np.array([ids[f] for f in names], np.int64)
+    of, feature = np.array(of, np.int32), np.array([ids[f] for f in names], np.int32)
+    del names
     # How many documents have each feature, by their distinct tokens.
-    span = np.searchsorted(of, np.arange(len(number) + 1))
+    span = np.searchsorted(of, np.arange(len(types) + 1))
     seen = np.zeros(len(ids), np.int64)
-    words_of = [word(t) for t in number]
+    words_of = [word(t) for t in types]
     known = {w: i for i, w in enumerate(dict.fromkeys(words_of))}
-    word_of = np.array([known[w] for w in words_of], np.int64)
+    word_of = np.array([known[w] for w in words_of], np.int32)
     seen_word = np.zeros(len(known), np.int64)
     for own in numbers:
         own = np.unique(own)
@@ -324,50 +329,71 @@ def corpus(docs: list[list[str]]) -> Corpus:
         rows = np.repeat(span[own] - np.cumsum(width) + width, width) + np.arange(width.sum())
         seen[np.unique(feature[rows])] += 1
         seen_word[np.unique(word_of[own])] += 1
-    keep = seen >= HELD
-    place = np.cumsum(keep) - 1
-    rows = keep[feature]
-    keep_word = seen_word >= HELD
+    keep, keep_word = seen >= HELD, seen_word >= HELD
+    place, rows = np.cumsum(keep) - 1, keep[feature]
     place_word = np.where(keep_word, np.cumsum(keep_word) - 1, -1)
     first = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)
     begins = np.zeros(first[-1], bool)
     begins[first[:-1][np.diff(first) > 0]] = True
     return Corpus(
-        np.concatenate([np.zeros(0, np.int64), *numbers]), first, begins, of[rows], place[feature[rows]],
+        np.concatenate([np.zeros(0, np.int32), *numbers]), first, begins, of[rows], place[feature[rows]],
         [f for f, k in zip(ids, keep) if k], place_word[word_of], [w for w, k in zip(known, keep_word) if k],
     )
 
 
+def blocks(c: Corpus) -> Iterator[slice]:
+    """Tokens of successive whole texts, about BLOCK at once."""
+    lo = 0
+    while lo < len(c.tokens):
+        hi = int(c.first[max(np.searchsorted(c.first, lo + BLOCK, side="right") - 1, np.searchsorted(c.first, lo, side="right"))])
+        yield slice(lo, hi)
+        lo = hi
+
+
 def _split(theta: np.ndarray, c: Corpus) -> tuple[np.ndarray, ...]:
     """Weights of features, of the word before, of the word after, of every token, of steps, of the start."""
     f, w = len(c.features), len(c.neighbours)
     return theta[:f], theta[f : f + w], theta[f + w : f + 2 * w], theta[f + 2 * w], theta[f + 2 * w + 1 : f + 2 * w + 5].reshape(2, 2), theta[-1]
 
 
-def corpus_emissions(theta: np.ndarray, c: Corpus) -> np.ndarray:
+def _adds(theta: np.ndarray, c: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each kind of token adds to its own log weight, to the next token's, and to the one's before."""
     own, before, after, other, _, _ = _split(theta, c)
-    n = len(c.neighbour)
-    per = np.bincount(c.of, own[c.feature], minlength=n) + other
     there = c.neighbour >= 0
     b, a = (np.where(there, np.concatenate([x, [0.0]])[c.neighbour], 0.0) for x in (before, after))
-    return emissions(per[c.tokens], b[c.tokens], a[c.tokens], c.begins)
+    return np.bincount(c.of, own[c.feature], minlength=len(c.neighbour)) + other, b, a
+
+
+def corpus_emissions(theta: np.ndarray, c: Corpus, at: slice = slice(None)) -> np.ndarray:
+    return emissions(*(x[c.tokens[at]] for x in _adds(theta, c)), c.begins[at])
+
+
+def corpus_chances(theta: np.ndarray, c: Corpus) -> np.ndarray:
+    """The toxic state's probability of each token."""
+    _, _, _, _, steps, start = _split(theta, c)
+    return np.concatenate([np.zeros(0), *(chances(corpus_emissions(theta, c, at), c.begins[at], steps, start)[0] for at in blocks(c))])
 
 
 def gradient(theta: np.ndarray, c: Corpus, y: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Of the labels' negative log likelihood. seen: how often each of the four steps is in the labels."""
+    """Of the labels' negative log likelihood, added up over blocks of texts. seen: how often each of the four steps is
+    in the labels."""
     _, _, _, _, steps, start = _split(theta, c)
-    p, pair = chances(corpus_emissions(theta, c), c.begins, steps, start)
-    diff = p - y
-    n = len(c.neighbour)
-    per = np.bincount(c.tokens, diff, minlength=n)
-    inner = ~c.begins[1:]
-    # A token's word is the word before of the next token, and the word after of the one before.
-    to_next, to_last = np.zeros(len(diff)), np.zeros(len(diff))
-    to_next[:-1] = diff[1:] * inner
-    to_last[1:] = diff[:-1] * inner
+    adds, n = _adds(theta, c), len(c.neighbour)
+    own, to_next, to_last, pairs, starts = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(4), 0.0
+    for at in blocks(c):
+        tokens, begins = c.tokens[at], c.begins[at]
+        p, pair = chances(emissions(*(x[tokens] for x in adds), begins), begins, steps, start)
+        diff = p - y[at]
+        own += np.bincount(tokens, diff, minlength=n)
+        inner = ~begins[1:]
+        # A token's word is the word before of the next token, and the word after of the one before.
+        to_next += np.bincount(tokens[:-1], diff[1:] * inner, minlength=n)
+        to_last += np.bincount(tokens[1:], diff[:-1] * inner, minlength=n)
+        pairs += pair.sum(1)
+        starts += diff[begins].sum()
     there = c.neighbour >= 0
-    beside = [np.bincount(c.neighbour[there], np.bincount(c.tokens, d, minlength=n)[there], minlength=len(c.neighbours)) for d in (to_next, to_last)]
-    return np.concatenate([np.bincount(c.feature, per[c.of], minlength=len(c.features)), *beside, [diff.sum()], pair.sum(1) - seen, [diff[c.begins].sum()]])
+    beside = [np.bincount(c.neighbour[there], d[there], minlength=len(c.neighbours)) for d in (to_next, to_last)]
+    return np.concatenate([np.bincount(c.feature, own[c.of], minlength=len(c.features)), *beside, [own.sum()], pairs - seen, [starts]])
 
 
 def _steps_of(y: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -390,46 +416,33 @@ def _descended(theta: np.ndarray, c: Corpus, y: np.ndarray, rounds: int, n_docs:
 
 def fitted(texts: list[tuple[str, int]]) -> Chain:
     """A chain from (text, 0 or 1)."""
-    known: dict[str, str] = {}
-    docs, all_tokens = [], []
-    for text, label in texts:
-        tokens = [t.decode() for t in text.encode("utf-8", "replace").split()]
-        for t in tokens:
-            if t not in known:
-                known[t] = word(t)
-        docs.append(([known[t] for t in tokens], label))
-        all_tokens.append([t.translate(_LOWER) for t in tokens])
-    kept = distinct(docs)
-    docs, all_tokens = [docs[i] for i in kept], [all_tokens[i] for i in kept]
-    lex = lexicon(docs)
+    numbers, types = numbered(text for text, _ in texts)
+    words_of, labels = [word(t) for t in types], [label for _, label in texts]
+    kept = distinct([[words_of[i] for i in own.tolist()] for own in numbers], labels)
+    numbers, labels = [numbers[i] for i in kept], [labels[i] for i in kept]
+    lex = lexicon([({words_of[i] for i in own.tolist()}, label) for own, label in zip(numbers, labels)])
     if not lex:
         return Chain()
-    c = corpus(all_tokens)
-    label = np.repeat([label for _, label in docs], np.diff(c.first)).astype(bool)
-    listed = np.array([any(f in lex for f in beginnings(w)) for ws, _ in docs for w in ws], bool) & label
-    theta = np.zeros(len(c.features) + 2 * len(c.neighbours) + 6)
+    c = corpus(numbers, types)
+    label = np.repeat(labels, np.diff(c.first)).astype(bool)
+    listed = np.array([not lex.isdisjoint(beginnings(w)) for w in words_of], bool)[c.tokens] & label
     at = len(c.features) + 2 * len(c.neighbours)
+    theta = np.zeros(at + 6)
     theta[: len(c.features)] = [4.0 if f in lex else 0.0 for f in c.features]
-    theta[at : at + 6] = [-4.0, 0.0, -3.0, 0.0, 0.0, -3.0]
-    theta = _descended(theta, c, listed, ROUNDS[0], len(docs))
-    _, _, _, _, steps, start = _split(theta, c)
-    found = label & (chances(corpus_emissions(theta, c), c.begins, steps, start)[0] >= 0.5)
-    theta = _descended(theta, c, listed | found, ROUNDS[1], len(docs))
+    theta[at:] = [-4.0, 0.0, -3.0, 0.0, 0.0, -3.0]
+    theta = _descended(theta, c, listed, ROUNDS[0], len(labels))
+    found = label & (corpus_chances(theta, c) >= 0.5)
+    theta = _descended(theta, c, listed | found, ROUNDS[1], len(labels))
     own, before, after, other, steps, start = _split(theta, c)
     pick = lambda names, values: {f: float(x) for f, x in zip(names, values) if abs(x) >= LEAST}
     chain = Chain(
         pick(c.features, own), float(other), ((float(steps[0, 0]), float(steps[0, 1])), (float(steps[1, 0]), float(steps[1, 1]))),
         (0.0, float(start)), before=pick(c.neighbours, before), after=pick(c.neighbours, after),
     )
-    p = chances(corpus_emissions(theta, c), c.begins, steps, start)[0]
-    chain.mix = _calibrated(summaries(p, c.first), np.array([label for _, label in docs], float))
+    chain.mix = _calibrated(summaries(corpus_chances(theta, c), c.first), np.array(labels, float))
     return chain
 
 
-#: A-Z to a-z, as tokens are told apart when texts are scored.
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def _calibrated(summary: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
     """Weights of the summary and an offset, by Newton's method with halved steps; classes weigh the same."""
     x = np.concatenate([summary, np.ones((len(y), 1))], 1)

@@ -102,6 +102,30 @@ def test_decisions_of_a_byte_sum_to_one():
     assert sum(10 ** (s - first) for s in scores) == pytest.approx(1)
 
 
+def test_long_texts_come_in_parts(monkeypatch):
+    """Pieces of a long text give the strings and words of the whole."""
+    rng = random.Random(6)
+    texts = [text(rng, 400), "  \n " * 50 + text(rng, 90) + " " * 300 + "Zz" + " \t" * 200, "x" * 900, " " * 700, text(rng, 3), ""]
+    array = pa.array(texts)
+    whole = [tuple(np.concatenate(c) for c in zip(*(part[:4] for part in ctw.indexed(pa.array([t]), 6)))) for t in texts]
+    for span, piece in ((256, 64), (300, 17)):
+        monkeypatch.setattr(ctw, "SPAN", span)
+        monkeypatch.setattr(ctw.words, "PIECE", piece)
+        got, parts = [], 0
+        for hashes, n_words, keys, n_bytes, more in ctw.indexed(array, 6):
+            parts += more
+            w, k = np.cumsum([0, *n_words]), np.cumsum([0, *n_bytes])
+            for i in range(len(n_words)):
+                own = [hashes[w[i] : w[i + 1]], keys[k[i] : k[i + 1]]]
+                if more:
+                    got[-1] = [np.concatenate(c) for c in zip(got[-1], own)]
+                else:
+                    got.append(own)
+        assert parts > 3 and len(got) == len(texts)
+        for (hashes, _, keys, _), (h, k) in zip(whole, got):
+            assert np.array_equal(hashes, h) and np.array_equal(keys, k)
+
+
 def test_scoring_of_nothing(spark):
     assert ctw.scored(documents(spark, []), F.lit(False)).count() == 0
     only = ctw.scored(documents(spark, ["a b"]), F.lit(True)).first()  # nothing to learn from
@@ -153,7 +177,7 @@ def test_tags_reach_beyond_the_listed_words():
     """A word that no text of the fit had, and no listed word covers, is tagged by its other features."""
     docs = _toxic(random.Random(4), 500)
     chain = toxicity.fitted(docs)
-    listed = toxicity.lexicon([([toxicity.word(w) for w in t.split()], label) for t, label in docs])
+    listed = toxicity.lexicon([({toxicity.word(w) for w in t.split()}, label) for t, label in docs])
     assert set(INSULTS) <= listed and not set(toxicity.beginnings("nincompoopery")) & listed
     unseen = " ".join(["alpha", "gamma", "tau"] * 3 + ["nincompoopery"] + ["sigma", "beta"] * 3)
     (score, spans), = _tagged(toxicity.Tagger(chain), [unseen])
@@ -207,8 +231,10 @@ def test_marginals_match_all_paths():
 def test_gradient_matches_differences(monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 1)
     rng = np.random.default_rng(0)
-    docs = [["ab", "Cd", "ab"], ["x"], [], ["cd", "12", "ab", "cd", "x!"]]
-    c = toxicity.corpus(docs)
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    docs = [["ab", "cd", "ab"], ["x"], [], ["cd", "12", "ab", "cd", "x!"]]
+    c = toxicity.corpus(*toxicity.numbered(" ".join(d).upper() for d in docs))
+    assert [(x.start, x.stop) for x in toxicity.blocks(c)] == [(0, 4), (4, 9)]
     y = rng.random(len(c.tokens)) < 0.4
     theta = rng.normal(size=len(c.features) + 2 * len(c.neighbours) + 6)
 
@@ -270,6 +296,45 @@ def test_grades(spark):
     assert quality.graded(documents(spark, []), model, 3).count() == 0
 
 
+def test_grades_are_the_plain_ones():
+    """Tails, likelihood and gradient against a version that follows the definition."""
+    rng = random.Random(3)
+    docs = [(text(rng, rng.randint(0, 12)) + " !! Ab12", rng.randrange(4)) for _ in range(14)] + [("", 2)]
+    s = quality.rated(docs, 4)
+    theta = np.random.default_rng(1).normal(size=len(s.used) + 3) * 0.5
+
+    def plain(theta):
+        w = dict(zip(s.used.tolist(), theta))
+        cut = theta[len(s.used) :]
+        t = [cut[0], cut[0] + math.exp(cut[1]), cut[0] + math.exp(cut[1]) + math.exp(cut[2])]
+        out = []
+        for d, _ in docs:
+            tokens = d.split()
+            latent = sum(w[quality.slot("mark", m)] for m in quality.marks(tokens)) / 4
+            if tokens:
+                latent += sum(w[quality.slot("word", x.lower())] + w[quality.slot("shape", quality.shape(x))] for x in tokens) / len(tokens)
+            out.append([1 / (1 + math.exp(-(latent - x))) for x in t])
+        return t, out
+
+    def loss(theta):
+        n = Counter(g for _, g in docs)
+        total = 0.0
+        for (_, g), tails in zip(docs, plain(theta)[1]):
+            full = [1.0, *tails, 0.0]
+            total -= math.log(full[g] - full[g + 1]) / (len(n) * n[g])
+        return total
+
+    g, h = quality.gradient(theta, s), 1e-5
+    for i, d in enumerate(np.eye(len(theta)) * h):
+        assert g[i] == pytest.approx((loss(theta + d) - loss(theta - d)) / (2 * h), abs=1e-6)
+    weights = np.zeros(quality.N_WEIGHTS)
+    weights[s.used] = theta[: len(s.used)]
+    t, tails = plain(theta)
+    grader = quality.Grader(quality.Grades(weights, tuple(t)))
+    for (d, _), want in zip(docs, tails):
+        assert grader.tails(d) == pytest.approx(want)
+
+
 def test_held_out_fold(spark):
     rows = spark.range(200).select("id", held_out(F.col("id"), 7, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 7 == 2) for r in rows)
@@ -280,6 +345,13 @@ def vocabulary():
     return sentencepieces.load(qs.model_path())
 
 
+def test_ranks_become_log_probabilities(vocabulary):
+    usual = [s for i, s in enumerate(vocabulary.scores) if i not in vocabulary.special and i not in vocabulary.byte_ids]
+    assert min(usual) > -15 and max(usual) < -2 and sum(math.exp(s) for s in usual) == pytest.approx(1)
+    assert sentencepieces.zipf([-1.0, -1e9, -2.0, -1e9]) == pytest.approx([math.log(x / (1 + 1 / 2 + 2 / 3)) for x in (1, 1 / 3, 1 / 2, 1 / 3)])
+    assert sentencepieces.is_ranked([-1e9, -1.0, -2.0, -1e9]) and not sentencepieces.is_ranked([-2.5, -3.5, -4.25]) and not sentencepieces.is_ranked([])
+
+
 def test_pieces_are_the_best_segmentation(vocabulary):
     coder = sentencepieces.Coder(vocabulary)
     never = vocabulary.special | set(vocabulary.byte_ids)
