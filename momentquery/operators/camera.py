@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import RATIOS, Camera, OneEuro
+from ..session import ship
 
 #: Seconds of the slices by which frames meet clips.
 SLICE = 15.0
@@ -118,21 +124,52 @@ def piecewise(keyframes: DataFrame, keys: list[str], value: str) -> DataFrame:
     return packed.select(*keys, F.expr(f"if({same}, cast(_frames[0].v as string), {fold})").alias("expression"))
 
 
+#: Last time, value and speed of a filtered series; None before its first row.
+State = tuple[float, float, float | None] | None
+
+
+def euro_step(config: OneEuro) -> Callable[[State, float, float], State]:
+    """The filter's state after one more (t, value). A time that doesn't advance starts the value afresh, while the
+    speed's own filter goes on."""
+
+    def alpha(cutoff: float, dt: float) -> float:
+        return 1 / (1 + 1 / (2 * math.pi * cutoff) / dt)
+
+    def step(state: State, t: float, v: float) -> State:
+        if state is None:
+            return t, v, None
+        last, y, speed = state
+        dt = t - last
+        if dt <= 0:
+            return t, v, speed
+        raw = (v - y) / dt
+        a = alpha(config.derivative_cutoff, dt)
+        speed = raw if speed is None else a * raw + (1 - a) * speed
+        a = alpha(config.min_cutoff + config.beta * abs(speed), dt)
+        return t, a * v + (1 - a) * y, speed
+
+    return step
+
+
 def one_euro(series: DataFrame, config: OneEuro = OneEuro()) -> DataFrame:
-    """series(key, idx, t, value) with smoothed. Rows without a value are left out and change nothing; a time that
-    doesn't advance starts the value afresh, while the speed's own filter goes on."""
-    fields = F.struct(F.col("idx").cast("int").alias("idx"), F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("v"))
-    packed = series.filter("value is not null").groupBy("key").agg(F.array_sort(F.collect_list(fields)).alias("s"))
-    alpha = lambda cut, dt: f"(1 / (1 + (1 / (2 * pi() * {cut})) / {dt}))"
-    dt = "(x.t - acc.t)"
-    speed = f"((x.v - acc.y) / {dt})"
-    smooth_speed = f"if(acc.d is null, {speed}, {alpha(config.derivative_cutoff, dt)} * {speed} + (1 - {alpha(config.derivative_cutoff, dt)}) * acc.d)"
-    cut = f"({config.min_cutoff} + {config.beta} * abs({smooth_speed}))"
-    y = f"({alpha(cut, dt)} * x.v + (1 - {alpha(cut, dt)}) * acc.y)"
-    out = "struct<idx:int,t:double,value:double,smoothed:double>"
-    row = lambda v: f"array(named_struct('idx', x.idx, 't', x.t, 'value', x.v, 'smoothed', {v}))"
-    start = f"named_struct('t', cast(null as double), 'y', cast(null as double), 'd', cast(null as double), 'out', cast(array() as array<{out}>))"
-    fold = f"""aggregate(s, {start}, (acc, x) -> if(acc.t is null or x.t <= acc.t,
-        named_struct('t', x.t, 'y', x.v, 'd', acc.d, 'out', concat(acc.out, {row('x.v')})),
-        named_struct('t', x.t, 'y', {y}, 'd', {smooth_speed}, 'out', concat(acc.out, {row(y)}))), acc -> acc.out)"""
-    return packed.select("key", F.inline(F.expr(fold)))
+    """series(key, idx, t, value) with smoothed. Rows without a value are left out and change nothing.
+
+    Each value depends on the one before, so a task goes through its keys' rows in order; it holds one state and one
+    batch of rows, however long a series is."""
+    ship(series.sparkSession)
+    step = euro_step(config)
+    rows = series.filter("value is not null").select("key", F.col("idx").cast("int").alias("idx"), F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for key, t, v in zip(*(batch.column(c).to_pylist() for c in ("key", "t", "value"))):
+                if key != at or not begun:
+                    at, state, begun = key, None, True
+                state = step(state, t, v)
+                out.append(state[1])
+            yield batch.append_column("smoothed", pa.array(out, pa.float64()))
+
+    schema = T.StructType([*rows.schema, T.StructField("smoothed", T.DoubleType())])
+    return rows.repartition("key").sortWithinPartitions("key", "idx", "t", "value").mapInArrow(run, schema)

@@ -69,7 +69,8 @@ def patterns(entries: DataFrame) -> DataFrame:
     """Cohorts that are kept much more or less often than all clips.
 
     kind, key, direction, confidence, sample_size, keep_rate, overall_keep_rate, rule, suggested_memory and position: more confident
-    first, smaller samples first within a confidence, then by kind (length, spike, score, ratio) and key.
+    first, smaller samples first within a confidence, then by kind (length, spike, score, ratio) and key. Positions are
+    given in one task: its rows are cohorts, as many as there are kinds of lengths, spikes and ratios.
     """
     length = F.lit(None)
     order = F.lit(None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,27 @@ from ..streaming import streams
 
 
 def _place(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder that driver and executors share; one of our own only on a single machine where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    place = f"{(root or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(place)
+    return place
+
+
+#: Folders made so far; they go when the driver's process ends, as results may be read until then.
+_made: list[str] = []
+
+
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in _made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def merged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

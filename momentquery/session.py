@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -20,5 +21,7 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as at:
         copied = Path(at, "source")
         shutil.copytree(root, copied / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(), f"{root.name}_source")), "zip", copied))
+        served = tempfile.mkdtemp()  # the driver serves it until it ends
+        atexit.register(shutil.rmtree, served, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(str(Path(served, f"{root.name}_source")), "zip", copied))
     _shipped.add(context.applicationId)

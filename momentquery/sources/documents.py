@@ -105,7 +105,8 @@ def read_answer(spark: SparkSession, workspace: str, kind: Kind, required: bool
     if it is required). Anything but a sound document raises the kind's error."""
     path = f"{workspace}/{kind.file}"
     item = T.StructType.fromDDL(kind.item)
-    empty = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("version", T.StringType()), T.StructField("ord", T.IntegerType()), *item])
+    own = [f for f in item if f.name != "job_id"]
+    empty = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("version", T.StringType()), T.StructField("ord", T.IntegerType()), *own])
     if not _exists(spark, path):
         if required:
             raise kind.error(f"{kind.file} is not in the workspace")
@@ -122,12 +123,15 @@ def read_answer(spark: SparkSession, workspace: str, kind: Kind, required: bool
         F.col("r.job_id").alias("job_id"), F.col(f"r.{kind.version}").alias("version"), errors.alias("_errors"),
         F.posexplode_outer(F.arrays_zip(items.alias("item"), raws.alias("raw"))).alias("ord", "at"),
     )
-    wrong = F.array_compact(F.array(*_lacking(item, F.col("at.item"), F.col("at.raw"), f"{kind.field}: ")))
+    wrong = _lacking(item, F.col("at.item"), F.col("at.raw"), f"{kind.field}: ")
+    if len(own) < len(item):
+        wrong.append(F.when(F.col("at.item.job_id") != F.col("job_id"), F.lit(f"{kind.field} is of another job")))
+    wrong = F.array_compact(F.array(*wrong))
     told = each.withColumn("_errors", F.concat("_errors", F.when(F.col("ord").isNotNull(), wrong).otherwise(F.array().cast("array<string>"))))
     first = told.filter(F.size("_errors") > 0).select(F.element_at("_errors", 1)).first()
     if first is not None:
         raise kind.error(f"{kind.file} does not match its contract: {first[0]}")
-    rows = told.filter("ord is not null").select("job_id", "version", "ord", "at.item.*")
+    rows = told.filter("ord is not null").select("job_id", "version", "ord", *[F.col(f"at.item.{f.name}").alias(f.name) for f in own])
     for check in kind.checks:
         bad = check(rows).filter(F.size("errors") > 0).select(F.element_at("errors", 1)).first()
         if bad is not None:

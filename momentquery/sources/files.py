@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,8 +49,37 @@ def _ddl(spark: SparkSession, schema: str | StructType) -> str:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """One JSON document of a small result (a request, a report)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A result of one row (a request, a report) as one JSON document, over what was there."""
+    rows = df.toJSON().take(2)
+    if len(rows) != 1:
+        raise ContractReadError(f"{path} would hold {'no' if not rows else 'more than one'} document")
+    write_text(df.sparkSession, path, json.dumps(json.loads(rows[0]), indent=2, ensure_ascii=False))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: it is written beside its place and then takes it."""
+    at, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    system.delete(at, False)
+    if not system.rename(beside, at):
+        raise OSError(f"{path} could not be written")
+
+
+def listed(spark: SparkSession, root: str, patterns: Sequence[str]) -> DataFrame:
+    """root, path and mtime_ns of the folders below root that a pattern names; as many rows as folders."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for pattern in patterns:
+        for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")) or []:
+            if status.isDirectory():
+                rows.append((root, spark._jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(status.getPath()).toString(), status.getModificationTime() * 1_000_000))
+    return spark.createDataFrame(rows, "root string, path string, mtime_ns long")
 
 
 def segments(transcripts: DataFrame) -> DataFrame:
@@ -78,9 +109,10 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_history(entries: DataFrame, path: str) -> int:
-    """Appends rows as JSON lines, with the log's version, and returns how many they are."""
-    entries.drop("ord").withColumn("history_version", F.lit(HISTORY_VERSION)).write.mode("append").json(path)
-    return entries.count()
+    """Appends rows as JSON lines, with the log's version, and returns how many they are; counted as they are written."""
+    seen = Observation()
+    entries.drop("ord").withColumn("history_version", F.lit(HISTORY_VERSION)).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def cached(spark: SparkSession, path: str, keys: dict[str, str], schema: str) -> DataFrame:

@@ -142,7 +142,16 @@ def test_sessions_and_feedback_streams(spark, tmp_path):
     f.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(f.schema).parquet(str(tmp_path / "in"))
     streams.latest_feedback(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "version=0")).select("job_id", "clip_id", "ord", "posted").collect()] == [("j", "c", 2, False)]
+    read = lambda: {tuple(r) for r in streams.read_feedback(spark, str(tmp_path / "out"), f.schema).collect()}
+    assert read() == {("j", "c", 2, False)}
+    more = spark.createDataFrame([("j", "c", 1, True), *(("j", f"d{i}", 1, True) for i in range(300))], f.schema)
+    for rows in (more, spark.createDataFrame([("j", "d7", 2, False), ("j", "c", 3, True)], f.schema)):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        before = streams._versions(spark, str(tmp_path / "out"))
+        streams.latest_feedback(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    after = streams._versions(spark, str(tmp_path / "out"))
+    assert sum(after[b] != before[b] for b in before) <= 2 and len(after) > 50
+    assert read() == {("j", "c", 3, True), ("j", "d7", 2, False), *(("j", f"d{i}", 1, True) for i in range(300) if i != 7)}
 
 
 def test_smoothing_stream_equals_batch(spark, tmp_path):
