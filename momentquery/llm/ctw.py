@@ -42,6 +42,8 @@ from .common import written
 DEPTH, TOP = 6, 3
 #: Bytes of text that a bucket of strings or words stands for on average, and that are indexed at once.
 BUCKET_BYTES, SPAN = 12 << 20, 1 << 19
+#: Small inputs have this many buckets, so that their work is dealt out too.
+LEAST_BUCKETS = 24
 #: Numbers that a task gathers before it hands its lists on, and strings whose nodes are held at once.
 HELD, PIECE = 4_000_000, 250_000
 NEWLINE, BLANK = 10, 32
@@ -558,7 +560,7 @@ def scored(documents: DataFrame, held_out: Column, chunk: Column | None = None,
     chunk: a number, the same whenever a row is read, of which one has a moderate amount of text; best one that
     rows that are read together share. Without it, rows are dealt by the hash of their id."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(4, math.ceil(size / bucket_bytes))
+    n_buckets = max(LEAST_BUCKETS, math.ceil(size / bucket_bytes))
     if chunk is None:
         chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets))
     docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), chunk.cast("long").alias("chunk"))

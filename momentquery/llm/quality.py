@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, named
-from .labelled import sample
+from .labelled import learned, sample
 
 #: Rated documents of each grade that the fit looks at, at most.
 SAMPLE = 800
@@ -169,7 +169,7 @@ def fitted(docs: list[tuple[str, int]], n_grades: int, rounds: int = 120, ridge:
 
 def fit(documents: DataFrame, ratings: DataFrame, grade: str, n_grades: int, per_class: int = SAMPLE) -> Grades:
     """ratings(doc_id, and the SQL expression grade: 0 to n_grades - 1, or null)."""
-    return fitted(sample(documents, ratings, F.expr(grade), per_class, list(range(n_grades))), n_grades)
+    return learned(sample(documents, ratings, F.expr(grade), per_class, list(range(n_grades))), lambda docs: fitted(docs, n_grades))
 
 
 def graded(documents: DataFrame, model: Grades, n_grades: int, text: str = "text", into: str = "grade") -> DataFrame:

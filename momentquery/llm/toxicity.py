@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import words
 from .common import fresh, named
-from .labelled import sample
+from .labelled import learned, sample
 
 #: Documents of each class that the fit looks at, at most.
 SAMPLE = 1000
@@ -54,7 +54,7 @@ LEAST = 0.01
 #: Lengths of the beginnings of words that are features beside the words themselves, and of their ends.
 PREFIXES, SUFFIX = (3, 4, 5, 6, 7), 3
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-CACHE = 300_000
+CACHE = 100_000
 #: Bytes of text that are tagged together, tokens that the fit works on together, and the bounds of a token's log weight.
 SPAN, BLOCK, MOST = 1 << 19, 1 << 16, 30.0
 RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"))
@@ -465,7 +465,7 @@ def _calibrated(summary: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Chain:
-    return fitted(sample(documents, labels, F.col("toxic"), per_class, [0, 1]))
+    return learned(sample(documents, labels, F.col("toxic"), per_class, [0, 1]), fitted)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("marginal", T.DoubleType())]))
