@@ -6,6 +6,10 @@
     python -m momentquery feedback --review P --kept a,b --skipped c --history P --job J
     python -m momentquery history --history P [--summary] [--patterns] [--limit N]
     python -m momentquery run --job P --stage mine|brief|review|approve|render|auto [--package] [--top N] [--min-score X]
+    python -m momentquery prepare --source P --output-dir P [--ratios R] [--max-candidates N]
+    python -m momentquery package-prompt --job P
+    python -m momentquery finalize --workspace P --job J --version V
+    python -m momentquery preflight
     python -m momentquery config-write --config P KEY=VALUE ...
     python -m momentquery config-check --config P
     python -m momentquery latest-workspace --root P
@@ -25,6 +29,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "0.1.0"
+#: Settings with what counts where neither a file nor the environment says anything.
+DEFAULTS = {"ratios": "all", "max_candidates": "12", "approve_top": "5", "min_score": "0.0"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
         feedback.add_argument(f"--{name}", required=True)
     feedback.add_argument("--kept", default="")
     feedback.add_argument("--skipped", default="")
+    feedback.add_argument("--log")
     history = sub.add_parser("history")
     history.add_argument("--history", required=True)
     history.add_argument("--summary", action="store_true")
@@ -60,10 +67,17 @@ def parser() -> argparse.ArgumentParser:
     write.add_argument("settings", nargs="+")
     sub.add_parser("config-check").add_argument("--config", required=True)
     sub.add_parser("latest-workspace").add_argument("--root", required=True)
-    for name in ("outputs", "state", "package-save"):
+    sub.add_parser("preflight")
+    prepare = sub.add_parser("prepare")
+    prepare.add_argument("--source", required=True)
+    prepare.add_argument("--output-dir", required=True)
+    prepare.add_argument("--ratios", default=DEFAULTS["ratios"])
+    prepare.add_argument("--max-candidates", default=DEFAULTS["max_candidates"])
+    sub.add_parser("package-prompt").add_argument("--job", required=True)
+    for name in ("outputs", "state", "package-save", "finalize"):
         command = sub.add_parser(name)
         command.add_argument("--workspace", required=True)
-        if name == "package-save":
+        if name in ("package-save", "finalize"):
             command.add_argument("--job", required=True)
             command.add_argument("--version", required=True)
     query = sub.add_parser("query")
@@ -73,15 +87,42 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-#: Settings with what counts where neither a file nor the environment says anything.
-DEFAULTS = {"ratios": "all", "max_candidates": "12", "approve_top": "5", "min_score": "0.0"}
-
-
 def _rows(df) -> list[dict]:
     """Small results: reports, patterns, and as many rows as were asked for."""
     return [json.loads(x) for x in df.toJSON().collect()]
 
 
+def _now(spark: SparkSession) -> str:
+    """UTC, to the second."""
+    return spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).first()[0]
+
+
+def _preflight(spark: SparkSession) -> dict:
+    """Whether what queries need is there: modules, and on a cluster a folder that all executors share."""
+    import importlib.util
+
+    missing = [m for m in ("numpy", "pandas", "pyarrow") if importlib.util.find_spec(m) is None]
+    if not spark.sparkContext.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
+        missing.append("spark.checkpoint.dir")
+    return {"ready": not missing, "missing": missing, "defaults": _checked(DEFAULTS, spark)}
+
+
+def _prepared(args: argparse.Namespace, spark: SparkSession) -> dict:
+    """Writes a job document for a source; a link is told how to get it."""
+    import hashlib
+
+    from .operators import render
+    from .sources import files
+
+    got = _checked(DEFAULTS | {"ratios": args.ratios, "max_candidates": args.max_candidates}, spark)
+    route = spark.createDataFrame([(args.source,)], "source string").select(render.route(F.col("source"))).first()[0]
+    root = args.output_dir.rstrip("/")
+    path = f"{root}/skill-jobs/{hashlib.sha1(args.source.encode()).hexdigest()[:12]}/job.json"
+    job = {"video_path": args.source, "output_dir": root, "output_profile": {"ratios": got["ratios"]}, "max_candidates": got["max_candidates"]}
+    files.write_text(spark, path, json.dumps(job, indent=2, ensure_ascii=False))
+    return {"job_path": path, "route": route, **got}
+
+
 def _settings(spark: SparkSession, path: str):
     from .operators import identity
     from .sources import files
@@ -187,7 +228,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
             F.lit(args.job).alias("job_id"), "clip_id", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("recorded_at"), "duration_seconds", "score",
             F.array().cast("array<string>").alias("spike_categories"), F.array().cast("array<string>").alias("ratios"), "title", "posted", "notes",
         )
-        return {"recorded": files.append_history(entries, args.history)}
+        recorded = files.append_history(entries, args.history)
+        if args.log:  # what was said of this job's clips last
+            said = rows.select("clip_id", "posted", "notes").orderBy("clip_id")
+            document = {"job_id": args.job, "recorded_at": _now(spark), "entries": _rows(said)}
+            files.write_text(spark, args.log, json.dumps(document, indent=2, ensure_ascii=False))
+        return {"recorded": recorded}
     if args.command == "history":
         log = files.read_history(spark, args.history)
         last = profile.latest(log)
@@ -213,6 +259,21 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
         if found is None:
             raise ValueError(f"no workspace below {args.root}")
         return {"workspace": found.workspace}
+    if args.command == "preflight":
+        return _preflight(spark)
+    if args.command == "prepare":
+        return _prepared(args, spark)
+    if args.command == "package-prompt":
+        from .jobs import Job
+
+        job = Job(spark, args.job)
+        job.package_prompt()
+        return {"workspace": job.workspace.path, "state": job.workspace.state()}
+    if args.command == "finalize":
+        from .operators import workspaces
+
+        save = lambda w: _workspace_command(argparse.Namespace(**vars(args) | {"command": "package-save"}), spark)
+        return workspaces.finalized(workspaces.Workspace(spark, args.workspace.rstrip("/")), {"package-save": save})
     if args.command in ("outputs", "state", "package-save"):
         return _workspace_command(args, spark)
     if args.name not in QUERIES:

@@ -364,3 +364,17 @@ select e.job_id, e.rank::int as rank, printf('clip-%03d', e.rank) as clip_id, g.
 from each e join allw g on g.job_id = e.job_id and g.n = e.k.n
 """
 )
+_TRIMMED = "regexp_replace(printf('%.6f', {x}), '[.]?0+$', '')"
+ORACLE["crop_expressions"] = (
+    f"with recursive {_ANCHORS}, s as (select 1920 as sw, 1080 as sh), sizes as ("
+    + " union all ".join(f"select '{r}' as aspect_ratio, sw, sh, {_TARGETS.format(w=w, h=h)} from s" for r, (w, h) in camera.RATIOS.items())
+    + f"""),
+o as (select job_id, clip_id, aspect_ratio, anchor_idx as i, t, least(greatest(round(x * sw - target_width / 2)::int, 0), greatest(sw - target_width, 0)) as v from anchors cross join sizes),
+k as (select *, lead(t) over w as t1, lead(v) over w as v1 from o window w as (partition by job_id, clip_id, aspect_ratio order by i))
+select job_id, clip_id, aspect_ratio, case when min(v) = max(v) then min(v)::varchar else concat(
+    string_agg(concat('if(lt(t\\,', {_TRIMMED.format(x='t1')}, ')\\,',
+        case when t1 - t <= 0 or v = v1 then v::varchar else concat('(', v, '+(', v1 - v, ')*(t-', {_TRIMMED.format(x='t')}, ')/', {_TRIMMED.format(x='t1 - t')}, ')') end, '\\,'), '' order by i) filter (where t1 is not null),
+    arg_max(v, i)::varchar, repeat(')', count(*)::int - 1)) end as expression
+from k group by job_id, clip_id, aspect_ratio
+"""
+)

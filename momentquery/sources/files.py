@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -171,6 +171,22 @@ def normalised_segments(raw: DataFrame) -> DataFrame:
     return rows.select("job_id", "seg_idx", voice.alias("speaker"), start.alias("start_seconds"), F.greatest(start, end).alias("end_seconds"), F.trim("text").alias("text"), "words")
 
 
+def public(rows: DataFrame) -> DataFrame:
+    """rows without the columns whose names begin with an underscore, and without such fields of their words."""
+    kept = rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    if "words" not in kept.columns:
+        return kept
+    names = [f.name for f in kept.schema["words"].dataType.elementType if f.name.startswith("_")]
+    return kept.withColumn("words", F.transform("words", lambda w: w.dropFields(*names))) if names else kept
+
+
+def read_through(wanted: DataFrame, cache: DataFrame, keys: Sequence[str], produce: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows for all that is wanted, those that are new): what the cache has by its keys, and what is made of the rest."""
+    made = produce(wanted.join(cache.select(*keys).distinct(), list(keys), "left_anti"))
+    known = cache.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    return known.unionByName(made.select(*known.columns)), made
+
+
 def write_packs(packs: DataFrame, path: str) -> None:
     """One folder of JSON a clip."""
     packs.write.mode("overwrite").partitionBy("clip_id").json(path)

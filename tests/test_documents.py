@@ -230,6 +230,16 @@ def test_workspace_commands(spark, tmp_path, capsys):
     assert json.loads((work / "renders/c/package.json").read_text()) == pack
     assert json.loads((work / requests.ARTIFACTS["package_report"]).read_text()) == {"job_id": "j", "video_path": "/v", "packs": [{"clip_id": "c", "pack_path": "renders/c/package.json"}]}
     assert run(spark, capsys, "state", "--workspace", work)[1]["state"] == "done"
+    assert run(spark, capsys, "finalize", *save[1:])[1]["next_action"] == "done"
+
+
+def test_jobs_are_prepared(spark, tmp_path, capsys):
+    assert run(spark, capsys, "preflight")[1]["ready"]
+    code, got = run(spark, capsys, "prepare", "--source", "https://cdn.discordapp.com/a.mp4", "--output-dir", tmp_path, "--ratios", "1:1, 9:16", "--max-candidates", "4")
+    assert code == 0 and got["route"] == "direct" and got["ratios"] == ["1:1", "9:16"]
+    row = docs.read_job(spark, got["job_path"]).first()
+    assert (row.video_path, row.output_dir, row.ratios, row.max_candidates) == ("https://cdn.discordapp.com/a.mp4", str(tmp_path), ["1:1", "9:16"], 4)
+    assert run(spark, capsys, "prepare", "--source", "a", "--output-dir", tmp_path, "--max-candidates", "0")[0] == 1
 
 
 def test_a_job_from_transcript_to_packs(spark, tmp_path, capsys):

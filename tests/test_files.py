@@ -168,3 +168,41 @@ def test_smoothing_stream_equals_batch(spark, tmp_path):
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = {r.idx: r.smoothed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == pytest.approx(want) and set(got) == {0, 1, 3, 4}
+
+
+def test_clusters_of_vectors(spark):
+    """Labels count from 0 by first appearance, are no more than eight, and don't depend on how rows are dealt."""
+    import numpy as np
+
+    from momentquery.operators import vision
+
+    rng = np.random.default_rng(4)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    rows, true = [], {}
+    for job, k, n in (("a", 3, 24), ("b", 1, 10), ("c", 10, 40), ("d", 2, 7)):
+        for i in range(n):
+            c = i % k if i < k else int(rng.integers(k))
+            rows.append((job, i, (centres[c] + rng.normal(size=12) * 0.02).tolist()))
+            true[job, i] = c
+    df = spark.createDataFrame(rows, "job_id string, span_idx int, vec array<double>")
+    got = {(r.job_id, r.span_idx): r.label for r in vision.clustered(df).collect()}
+    again = {(r.job_id, r.span_idx): r.label for r in vision.clustered(df.repartition(5).orderBy(F.rand(3))).collect()}
+    assert got == again and got.keys() == true.keys()
+    for job in "abcd":
+        labels = [got[key] for key in sorted(got) if key[0] == job]
+        assert list(dict.fromkeys(labels)) == list(range(max(labels) + 1)) and max(labels) < 8
+    for job in "ad":
+        pairs = {(true[key], got[key]) for key in got if key[0] == job}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_caches_are_read_through(spark):
+    wanted = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "m")], "source string, model string")
+    cache = spark.createDataFrame([("a", "m", 1), ("b", "other", 2), ("z", "m", 3)], "source string, model string, n int")
+    every, made = files.read_through(wanted, cache, ["source", "model"], lambda missing: missing.withColumn("n", F.lit(9)))
+    assert {tuple(r) for r in every.collect()} == {("a", "m", 1), ("b", "m", 9), ("c", "m", 9)} and {r.source for r in made.collect()} == {"b", "c"}
+
+
+def test_internal_fields_go(spark):
+    rows = spark.createDataFrame([(1, 2, [("w", 3)])], "a int, _b int, words array<struct<text:string,_id:int>>")
+    assert files.public(rows).columns == ["a", "words"] and [tuple(w) for w in files.public(rows).first().words] == [("w",)]
