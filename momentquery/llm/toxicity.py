@@ -54,7 +54,7 @@ LEAST = 0.01
 #: Lengths of the beginnings of words that are features beside the words themselves, and of their ends.
 PREFIXES, SUFFIX = (3, 4, 5, 6, 7), 3
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-CACHE = 100_000
+CACHE = 400_000
 #: Bytes of text that are tagged together, tokens that the fit works on together, and the bounds of a token's log weight.
 SPAN, BLOCK, MOST = 1 << 19, 1 << 16, 30.0
 RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"))
@@ -71,9 +71,14 @@ def beginnings(w: str) -> list[str]:
 
 def features(token: str) -> list[str]:
     """What a token's own weights are of."""
-    w, shape = word(token), token
-    for run, mark in RUNS:
-        shape = run.sub(mark, shape)
+    return _features(token, word(token))
+
+
+def _features(token: str, w: str) -> list[str]:
+    shape = "a" if token.isalpha() else token
+    if shape is token:
+        for run, mark in RUNS:
+            shape = run.sub(mark, shape)
     return [*beginnings(w), *([f"*{w[-SUFFIX:]}"] if len(w) > SUFFIX else []), f"#{shape}"]
 
 
@@ -153,8 +158,11 @@ class Chain:
 
     def weights(self, token: str) -> tuple[float, float, float]:
         """What a token adds to its own log weight, to the next token's and to the one's before."""
-        own, w = self.words, word(token)
-        return self.other + sum(own.get(f, 0.0) for f in features(token)), self.before.get(w, 0.0), self.after.get(w, 0.0)
+        own, w, total = self.words, word(token), self.other
+        for f in _features(token, w):
+            if f in own:
+                total += own[f]
+        return total, self.before.get(w, 0.0), self.after.get(w, 0.0)
 
     def marginals(self, emit: np.ndarray, begins: np.ndarray) -> np.ndarray:
         return chances(emit, begins, self.steps, self.starts[1] - self.starts[0])[0]
@@ -192,19 +200,28 @@ class Tagger:
 
     def __init__(self, chain: Chain):
         self.chain = chain
-        self.seen: dict[int, tuple[float, float, float]] = {}
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, 3))
+
+    def _weights(self, some: np.ndarray, token) -> np.ndarray:
+        """Chain.weights() of sorted distinct hashes; token(i) is the token of the i-th."""
+        at = np.minimum(np.searchsorted(self.keys, some), max(0, len(self.keys) - 1))
+        known = self.keys[at] == some if len(self.keys) else np.zeros(len(some), bool)
+        out = np.empty((len(some), 3))
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = [self.chain.weights(token(i)) for i in new.tolist()]
+            if len(self.keys) + len(new) > CACHE:
+                self.keys, self.values = some, out
+            else:
+                keys = np.concatenate([self.keys, some[new]])
+                order = np.argsort(keys)
+                self.keys, self.values = keys[order], np.concatenate([self.values, out[new]])[order]
+        return out
 
     def _emissions(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         some, at, of = np.unique(hashes, return_index=True, return_inverse=True)
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        known = [seen.get(h) for h in some.tolist()]
-        for i, k in enumerate(known):
-            if k is None:
-                j = at[i]
-                known[i] = seen[int(some[i])] = self.chain.weights(x[start[j] : stop[j]].tobytes().decode("utf-8", "replace"))
-        table = np.array(known).reshape(-1, 3)[of]
+        table = self._weights(some, lambda i: x[start[at[i]] : stop[at[i]]].tobytes().decode("utf-8", "replace"))[of]
         return emissions(table[:, 0], table[:, 1], table[:, 2], begins)
 
     def tagged(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[list[tuple[int, int, float]]]]]:
