@@ -123,11 +123,6 @@ def _digests(e: DataFrame) -> DataFrame:
     return e.select("job_id", "truncated", F.length("excerpt").alias("n_chars"), F.md5("excerpt").alias("digest"))
 
 
-def transcript_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With limits so small that transcripts of the tables are truncated."""
-    return _digests(identity.excerpts(td.segments(spark, sf_dir), most=1200, head=500, tail=300))
-
-
 def brief_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the operator's own limits."""
     return _digests(identity.excerpts(td.segments(spark, sf_dir)))
@@ -137,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         windows_enumerated, text_signals, window_signals, visual_summary, scored_windows, interview_blocks, deduplicated_windows, selected_clips, clip_briefs,
-        caption_words, caption_lines, clip_modes, crop_targets, camera_anchors, crop_origins, crop_expressions, smoothed_faces, transcript_excerpts, brief_excerpts,
+        caption_words, caption_lines, clip_modes, crop_targets, camera_anchors, crop_origins, crop_expressions, smoothed_faces, brief_excerpts,
     )
 }
 
@@ -313,7 +308,9 @@ fold as (
     from fold p join s a on a.key = p.key and a.n = p.n + 1
 )
 select key, idx, round(t, 6) as t, round(v, 6) as value, round(y, 6) as smoothed from fold""",
-    "transcript_excerpts": f"""
+}
+#: Excerpts with limits of 1200 characters in all, 500 at the beginning and 300 at the end.
+_EXCERPTS = f"""
 with p as (select job_id, list({_LINE} order by seg_idx) as p from {o.SEGMENTS} s group by job_id),
 f as (select *, array_to_string(p, chr(10)) as whole, len(p) - 1 as last from p),
 q as (select *, list_filter(list_transform([1, 2, 3, 4, 5], lambda i: round(last * i / 6)::int), lambda i: i > 0 and i < last) as raw from f),
@@ -323,11 +320,10 @@ x as (select *, case when len(places) > 0 then rtrim(substr(array_to_string(list
 e as (select job_id, len(whole) > 1200 as truncated, case when len(whole) <= 1200 then whole else concat(rtrim(substr(whole, 1, 500)), chr(10), chr(10), '[transcript truncated for brief — kept first 500 chars, 5 representative middle sample(s), and last 300 chars]', chr(10), chr(10),
     case when middle <> '' then concat('[representative middle excerpts]', chr(10), middle, chr(10)) else '' end, chr(10), chr(10), '[ending excerpt]', chr(10), chr(10), ltrim(right(whole, 300))) end as t from x)
 select job_id, truncated, len(t)::int as n_chars, md5(t) as digest from e
-""",
-}
+"""
 #: The small limits, and the operator's own: all, head, tail, and what is left for the middle.
 _LIMITS = {"1200": "30000", "500": "18000", "300": "10000", "400": "2000"}
-ORACLE["brief_excerpts"] = o.SEGMENTS.join(re.sub(rf"\b({'|'.join(_LIMITS)})\b", lambda m: _LIMITS[m[0]], part) for part in ORACLE["transcript_excerpts"].split(o.SEGMENTS))
+ORACLE["brief_excerpts"] = o.SEGMENTS.join(re.sub(rf"\b({'|'.join(_LIMITS)})\b", lambda m: _LIMITS[m[0]], part) for part in _EXCERPTS.split(o.SEGMENTS))
 
 _TOUCH = "least({x}.e, b.be) - greatest({x}.s, b.bs) > 0"
 _CLASH = "len(list_filter(f.kept, lambda k: greatest(least(k.e, {x}.e) - greatest(k.s, {x}.s), 0) / least(k.e - k.s, {x}.e - {x}.s) > 0.5)) > 0"

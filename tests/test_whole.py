@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 
 from momentquery import registry
+from momentquery.operators import identity
 from momentquery.sources import testdata as td
 
 
@@ -55,4 +56,5 @@ def test_transcripts_are_cut_beyond_the_operators_limit_only(spark, tmp_path):
     want = {(job, sizes[job] > 30000, len(e := excerpt(x)), hashlib.md5(e.encode()).hexdigest()) for job, x in lines.items()}
     assert {tuple(r) for r in registry.QUERIES["brief_excerpts"](spark, str(tmp_path)).collect()} == want
     small = {(job, sizes[job] > 1200, len(e := excerpt(x, 1200, 500, 300)), hashlib.md5(e.encode()).hexdigest()) for job, x in lines.items()}
-    assert {tuple(r) for r in registry.QUERIES["transcript_excerpts"](spark, str(tmp_path)).collect()} == small
+    cut = identity.excerpts(td.segments(spark, str(tmp_path)), most=1200, head=500, tail=300)
+    assert {(r.job_id, r.truncated, len(r.excerpt), hashlib.md5(r.excerpt.encode()).hexdigest()) for r in cut.collect()} == small
