@@ -84,6 +84,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets the driver drop what finished steps leave behind. Spark cleans up shuffles and broadcasts when their handles
+    are collected, and a driver with much room would collect seldom."""
+    spark._jvm.java.lang.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of fresh_path()."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import written
+from .common import settled, written
 from .components import connected
 
 #: The frequent shingles whose order is by count, at most; all others come before them, by hash.
@@ -378,6 +378,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
     postings = written(postings.withColumn("df", F.count("*").over(W.partitionBy("key"))).filter("df > 1"), "postings")
     members = classes.select("node", "group", "lead", F.col("n").cast("int").alias("n"), *_spread())
     marked = groups.select(F.col("group").alias("id"), "radius", *_spread())
+    settled(documents.sparkSession)
 
     found: DataFrame | None = None
     component: DataFrame | None = None
@@ -411,7 +412,9 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
         sets = _needed_sets(documents, written(nodes.join(classes.select("node", "lead"), "node"), "needed"), width)
         new = written(_verified(pairs, written(sets, "sets"), percent), "links")
         found = new if found is None else found.unionByName(new)
+        settled(documents.sparkSession)
         component = connected(found)
+        settled(documents.sparkSession)
     return rows.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), classes, component
 
 
