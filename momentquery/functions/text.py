@@ -27,6 +27,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """To so many decimal digits as SQL has it: the scaled binary number, half away from zero. Spark's own round works on
+    the shortest decimal form, which differs where that looks like a half and the scaled number falls short of it."""
+    scale = F.lit(10.0**digits)
+    return F.round(x * scale) / scale
+
+
 def clamp01(x: Column) -> Column:
     """NaN becomes 0; infinities clamp."""
     return F.when(F.isnan(x), F.lit(0.0)).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))

@@ -108,22 +108,29 @@ def frame_sums(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """For rows with row_id, job_id, start_seconds and end_seconds, the sums of their frames, those from the start up
     to, not including, the end; rows without frames are left out.
 
-    Windows are cut into slices of SLICE seconds and frames meet them by slice, each frame in one; the sums of a
-    window's slices are then added."""
+    Windows are cut into slices of SLICE seconds and frames meet them by slice, each frame in one. Averages add up a
+    window's frames in order of time: sums in the order of their arrival differ in the last place from run to run, and
+    a window whose average is a half or a threshold with them."""
     low, high = F.floor(F.col("start_seconds") / SLICE), F.floor(F.col("end_seconds") / SLICE)
     cut = windows.select("row_id", "job_id", "start_seconds", "end_seconds", F.explode(F.sequence(low, F.greatest(low, high))).alias("slice"))
     seen = frames.select(F.col("job_id").alias("_job"), F.floor(F.col("timestamp_seconds") / SLICE).alias("_slice"), "timestamp_seconds", "motion_score", "shot_change", "face_x", "face_y")
     t = F.col("timestamp_seconds")
     inside = (F.col("job_id") == F.col("_job")) & (F.col("slice") == F.col("_slice")) & (t >= F.col("start_seconds")) & (t < F.col("end_seconds"))
-    return cut.join(seen, inside).groupBy("row_id").agg(
+    sums = cut.join(seen, inside).groupBy("row_id").agg(
         F.count("*").alias("frame_count"),
         F.count("face_x").alias("face_count"),
         F.count_if("shot_change").alias("shot_change_count"),
-        F.avg("motion_score").alias("avg_motion"),
         F.max("motion_score").alias("peak_motion"),
-        F.avg("face_x").alias("avg_face_center_x"),
-        F.avg("face_y").alias("avg_face_center_y"),
+        F.array_sort(F.collect_list(F.struct("timestamp_seconds", "motion_score", "face_x", "face_y"))).alias("_frames"),
     )
+    means = {"avg_motion": _mean("motion_score"), "avg_face_center_x": _mean("face_x"), "avg_face_center_y": _mean("face_y")}
+    return sums.withColumns(means).drop("_frames")
+
+
+def _mean(name: str) -> Column:
+    """Of a field of _frames, from the first one on; null without values."""
+    values = F.filter(F.transform("_frames", lambda f: f[name]), lambda v: v.isNotNull())
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / F.size(values))
 
 
 COUNTS = ("frame_count", "face_count", "shot_change_count", "avg_motion", "peak_motion")
@@ -148,15 +155,15 @@ def visual_summary(seen: DataFrame) -> DataFrame:
     seconds = F.greatest(F.col("end_seconds") - F.col("start_seconds"), F.lit(1e-6))
     n = F.col("frame_count")
     ratio = F.when(n > 0, F.col("face_count") / n).otherwise(F.lit(0.0))
-    described = F.format_string(DESCRIPTION, F.round(ratio * 100).cast("int"), F.round("avg_motion", 2), F.round("peak_motion", 2), F.col("shot_change_count"))
+    described = F.format_string(DESCRIPTION, F.round(ratio * 100).cast("int"), fx.rounded(F.col("avg_motion"), 2), fx.rounded(F.col("peak_motion"), 2), F.col("shot_change_count"))
     return seen.withColumns(
         {
-            "face_presence_ratio": F.round(ratio, 4),
-            "avg_motion": F.round("avg_motion", 4),
-            "peak_motion": F.round("peak_motion", 4),
-            "shot_change_rate_per_minute": F.when(n > 0, F.round(F.col("shot_change_count") / (seconds / 60), 4)).otherwise(F.lit(0.0)),
-            "avg_face_center_x": F.round("avg_face_center_x", 4),
-            "avg_face_center_y": F.round("avg_face_center_y", 4),
+            "face_presence_ratio": fx.rounded(ratio, 4),
+            "avg_motion": fx.rounded(F.col("avg_motion"), 4),
+            "peak_motion": fx.rounded(F.col("peak_motion"), 4),
+            "shot_change_rate_per_minute": F.when(n > 0, fx.rounded(F.col("shot_change_count") / (seconds / 60), 4)).otherwise(F.lit(0.0)),
+            "avg_face_center_x": fx.rounded(F.col("avg_face_center_x"), 4),
+            "avg_face_center_y": fx.rounded(F.col("avg_face_center_y"), 4),
             "description": F.when(n > 0, described).otherwise(F.lit(NO_FRAMES)),
         }
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from momentquery.config import Durations, Mining
 from momentquery.functions import text as fx
 from momentquery.lexicon import Lexicon
-from momentquery.operators import camera, captions, selection, windows
+from momentquery.operators import camera, captions, selection, signals, windows
 
 LEX = Lexicon()
 SEGMENT = "job_id string, seg_idx int, speaker string, start_seconds double, end_seconds double, text string"
@@ -169,3 +169,19 @@ def test_settings_and_numbers(spark):
     assert {(r.key, r.value) for r in identity.settings(df).collect()} == {("A", "x y"), ("B", "1=2")}
     n = spark.createDataFrame([("3",), ("0",), ("x",), (None,)], "s string").select(identity.positive_int(F.col("s")).alias("n"))
     assert [r.n for r in n.collect()] == [3, None, None, None]
+
+
+FRAME = "job_id string, timestamp_seconds double, motion_score double, shot_change boolean, face_x double, face_y double"
+
+
+def frames(spark, motion, start, turn):
+    rows = [("j", start + 1.5 * i, m / 101, False, None, None) for i, m in enumerate(motion)]
+    return spark.createDataFrame(rows[::turn], FRAME).coalesce(1)
+
+
+@pytest.mark.parametrize("turn", (1, -1))
+def test_averages_add_frames_in_order_of_time(spark, turn):
+    """505 / 101 / 8 is 0.625; added backwards it falls short of that."""
+    w = spark.createDataFrame([(1, "j", 3.0, 16.5)], "row_id int, job_id string, start_seconds double, end_seconds double")
+    seen = signals.visual_summary(signals.visual(w, frames(spark, [78, 100, 94, 29, 27, 91, 16, 70], 3.0, turn))).first()
+    assert seen.frame_count == 8 and "avg motion 0.63," in seen.description and seen.avg_face_center_x is None
