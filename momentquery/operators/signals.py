@@ -176,7 +176,7 @@ def total(config: Mining = Mining()) -> Column:
     """The weighted sum of the signals less penalties, 0 to 1; rounded, so that sums in another order compare alike."""
     plus = sum((F.lit(w) * F.col(name) for name, w in config.weights.items()), F.lit(config.base))
     minus = sum((F.when(F.col(name), F.lit(p)).otherwise(F.lit(0.0)) for name, p in config.penalties.items()), F.lit(0.0))
-    return F.round(fx.clamp01(plus - minus), 9)
+    return fx.rounded(fx.clamp01(plus - minus), 9)
 
 
 def spike_categories() -> Column:

@@ -185,3 +185,12 @@ def test_averages_add_frames_in_order_of_time(spark, turn):
     w = spark.createDataFrame([(1, "j", 3.0, 16.5)], "row_id int, job_id string, start_seconds double, end_seconds double")
     seen = signals.visual_summary(signals.visual(w, frames(spark, [78, 100, 94, 29, 27, 91, 16, 70], 3.0, turn))).first()
     assert seen.frame_count == 8 and "avg motion 0.63," in seen.description and seen.avg_face_center_x is None
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    values = [0.0001245, 0.5193625, 0.2615625, 0.5108845, 1.0000005, -0.0001245, 2.5e-7, 0.0]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(fx.rounded(F.col("x"), 6).alias("r")).collect()
+    assert [r.r for r in got] == [duckdb.connect().execute(f"select round({x!r}::double, 6)").fetchone()[0] for x in values]
+    assert spark.range(1).select(fx.rounded(F.lit(float("nan")), 6).alias("r")).filter("isnan(r)").count() == 1
