@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from momentquery.config import Durations, Mining
 from momentquery.functions import text as fx
 from momentquery.lexicon import Lexicon
-from momentquery.operators import camera, captions, selection, signals, windows
+from momentquery.operators import camera, captions, requests, selection, signals, windows
 
 LEX = Lexicon()
 SEGMENT = "job_id string, seg_idx int, speaker string, start_seconds double, end_seconds double, text string"
@@ -194,3 +194,17 @@ def test_rounding_is_that_of_sql(spark):
     got = spark.createDataFrame([(x,) for x in values], "x double").select(fx.rounded(F.col("x"), 6).alias("r")).collect()
     assert [r.r for r in got] == [duckdb.connect().execute(f"select round({x!r}::double, 6)").fetchone()[0] for x in values]
     assert spark.range(1).select(fx.rounded(F.lit(float("nan")), 6).alias("r")).filter("isnan(r)").count() == 1
+
+
+@pytest.mark.parametrize("turn", (1, -1))
+def test_still_middle_whatever_the_order_of_frames(spark, turn):
+    """The middle's average is the threshold itself; added backwards it exceeds it."""
+    raw = segments(spark, [("a", 0, 6, "x"), ("a", 6, 18, "x"), ("a", 18, 24, "x")])
+    said = [("j", i, k, "x", 6.0 * i + 2 * k, 6.0 * i + 2 * k + 1) for i in range(3) for k in range(2)]
+    words = spark.createDataFrame(said, "job_id string, seg_idx int, word_idx int, text string, start_seconds double, end_seconds double")
+    whole = windows.enumerated(signals.prepared(raw, words)).filter("start_idx = 0 and end_idx = 2")
+    f = frames(spark, [16, 13, 8, 31, 56, 27, 49, 2], 6.0, turn)
+    scored = signals.scored(whole, f)
+    plain = windows.enumerated(raw).filter("start_idx = 0 and end_idx = 2")
+    seen = signals.visual_summary(signals.visual(plain.drop("members").withColumn("row_id", F.struct("job_id", "start_idx", "end_idx")), f))
+    assert [r.mining_signals.rambling_middle for r in requests.full_briefs(plain.drop("members"), scored, plain, seen).collect()] == [True]
