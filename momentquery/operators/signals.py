@@ -104,9 +104,9 @@ def delivery(windows: DataFrame) -> DataFrame:
     return out.withColumn("delivery_variance", F.when(F.col("_sums.n") >= 3, fx.clamp01(spread / 0.35)).otherwise(F.lit(0.0))).drop("_parts", "_sums", "_mean")
 
 
-def frame_sums(windows: DataFrame, frames: DataFrame) -> DataFrame:
+def frame_sums(windows: DataFrame, frames: DataFrame, **more: Column) -> DataFrame:
     """For rows with row_id, job_id, start_seconds and end_seconds, the sums of their frames, those from the start up
-    to, not including, the end; rows without frames are left out.
+    to, not including, the end; rows without frames are left out. more: columns from _frames, a row's frames in order.
 
     Windows are cut into slices of SLICE seconds and frames meet them by slice, each frame in one. Averages add up a
     window's frames in order of time: sums in the order of their arrival differ in the last place from run to run, and
@@ -124,15 +124,33 @@ def frame_sums(windows: DataFrame, frames: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("timestamp_seconds", "motion_score", "face_x", "face_y"))).alias("_frames"),
     )
     means = {"avg_motion": _mean("motion_score"), "avg_face_center_x": _mean("face_x"), "avg_face_center_y": _mean("face_y")}
-    return sums.withColumns(means).drop("_frames")
+    return sums.withColumns(means | more).drop("_frames")
 
 
 def _mean(name: str) -> Column:
     """Of a field of _frames, from the first one on; null without values."""
-    values = F.filter(F.transform("_frames", lambda f: f[name]), lambda v: v.isNotNull())
+    values = _values(name)
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / F.size(values))
 
 
+def _exact_mean(name: str) -> Column:
+    """As _mean(), but what each addition loses is added at the end: no order of frames moves it off a threshold that it
+    meets."""
+    values = _values(name)
+
+    def plus(t: Column, v: Column) -> Column:
+        s, both = t["s"], t["s"] + v
+        lost = F.when(F.abs(s) >= F.abs(v), (s - both) + v).otherwise((v - both) + s)
+        return F.struct(both.alias("s"), (t["lost"] + lost).alias("lost"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("lost"))
+    return F.when(F.size(values) > 0, F.aggregate(values, zero, plus, lambda t: t["s"] + t["lost"]) / F.size(values))
+
+
+def _values(name: str) -> Column:
+    return F.filter(F.transform("_frames", lambda f: f[name]), lambda v: v.isNotNull())
+
+
 COUNTS = ("frame_count", "face_count", "shot_change_count", "avg_motion", "peak_motion")
 
 
@@ -222,10 +240,11 @@ def scored(windows: DataFrame, frames: DataFrame, lexicon: Lexicon = Lexicon(),
     middle = part("middle", F.try_element_at("members", F.lit(2))["start_seconds"], F.try_element_at("members", F.lit(-2))["end_seconds"])
     parts = windows.select(*key, F.explode(F.when(F.size("members") > 2, F.array(whole, middle)).otherwise(F.array(whole))).alias("p"))
     bounds = parts.select(F.struct(*key, F.col("p.part").alias("part")).alias("row_id"), "job_id", "p.start_seconds", "p.end_seconds")
-    sums = frame_sums(bounds, frames).select("row_id.*", *COUNTS)
+    # SQL adds the middle's frames in another order than the window's, so the middle's average must not depend on it.
+    sums = frame_sums(bounds, frames, exact_motion=_exact_mean("motion_score")).select("row_id.*", *COUNTS, "exact_motion")
     of_window = F.col("part") == "whole"
     by_window = sums.groupBy(*key).agg(
-        *[F.max(F.when(of_window, F.col(c))).alias(c) for c in COUNTS], F.max(F.when(~of_window, F.col("avg_motion"))).alias("middle_motion")
+        *[F.max(F.when(of_window, F.col(c))).alias(c) for c in COUNTS], F.max(F.when(~of_window, F.col("exact_motion"))).alias("middle_motion")
     )
     seen = visual_signals(marked.join(by_window, key, "left").fillna(0, [*COUNTS, "middle_motion"])).drop(*COUNTS)
     rambling = (F.size("members") > 2) & (F.col("middle_motion") <= config.still_motion) & (F.col("middle_keyword") <= config.still_keyword)
