@@ -218,3 +218,16 @@ def test_still_middle_at_the_threshold(spark, motion):
     words = spark.createDataFrame(said, "job_id string, seg_idx int, word_idx int, text string, start_seconds double, end_seconds double")
     whole = windows.enumerated(signals.prepared(raw, words)).filter("start_idx = 0 and end_idx = 2")
     assert [r.rambling_middle for r in signals.scored(whole, frames(spark, motion, 6.0, 1)).collect()] == [True]
+
+
+def test_full_briefs_at_the_threshold(spark):
+    raw = segments(spark, [("a", 0, 6, "x"), ("a", 6, 18, "x"), ("a", 18, 24, "x")])
+    said = [("j", i, k, "x", 6.0 * i + 2 * k, 6.0 * i + 2 * k + 1) for i in range(3) for k in range(2)]
+    words = spark.createDataFrame(said, "job_id string, seg_idx int, word_idx int, text string, start_seconds double, end_seconds double")
+    whole = windows.enumerated(signals.prepared(raw, words)).filter("start_idx = 0 and end_idx = 2")
+    f = frames(spark, [55, 6, 31, 9], 6.0, 1)
+    scored = signals.scored(whole, f)
+    plain = windows.enumerated(raw).filter("start_idx = 0 and end_idx = 2")
+    seen = signals.visual_summary(signals.visual(plain.drop("members").withColumn("row_id", F.struct("job_id", "start_idx", "end_idx")), f))
+    brief = requests.full_briefs(plain.drop("members"), scored, plain, seen).first()
+    assert brief.mining_signals.rambling_middle and brief.mining_score == scored.first().score
