@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -17,15 +17,16 @@ def connected(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
+        # Every node has edges, so one grouping brings its own label and its neighbours' together.
+        own = labels.select(F.col("node").alias("a"), "component", F.col("component").alias("_was"))
+        told = both.join(labels, F.col("b") == F.col("node")).select("a", "component", F.lit(None).cast("long").alias("_was"))
+        near = own.unionByName(told).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"), F.min("_was").alias("_was"))
         jump = labels.select(F.col("node").alias("_node"), F.col("component").alias("_jump"))
-        step = (
-            labels.join(near, F.col("node") == F.col("a"), "left")
-            .join(jump, F.col("component") == F.col("_node"), "left")
-            .select("node", F.least("component", "_near", "_jump").alias("component"), F.col("component").alias("_was"))
-        )
+        step = near.join(jump, F.col("_was") == F.col("_node"), "left").select("node", F.least("_near", "_jump").alias("component"), "_was")
         step = written(step, "labels")
         changed = step.filter("component <> _was").limit(1).count()
         labels = step.drop("_was")
+        # Rounds are small queries, whose plans would pile up in a driver that finds no reason to collect them.
+        settled(edges.sparkSession)
         if not changed:
             return labels
