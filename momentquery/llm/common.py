@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +88,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def settled(spark: SparkSession) -> None:
     """Lets the driver drop what finished steps leave behind. Spark cleans up shuffles and broadcasts when their handles
-    are collected, and a driver with much room would collect seldom."""
+    are collected, and a driver with much room would collect seldom. What the virtual machine itself has freed, most of it
+    the compiler's, stays with the process until it is asked for, too."""
     spark._jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):  # not every virtual machine can
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """The command System.trim_native_heap. Reflection by the interface, as the server's own class is not open."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    given = gateway.new_array(jvm.java.lang.Object, 4)  # the last two, arguments and their types, stay null
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def removed(spark: SparkSession, path: str) -> None:

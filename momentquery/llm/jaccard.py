@@ -365,6 +365,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
     not in it.
     """
     documents = documents.select("doc_id", "text")
+    settled(documents.sparkSession)  # what ran before
     rows = written(shingled(documents, frequent(documents, width), width, percent), "shingled")
     some = rows.filter("n > 0 and doc_id is not null")
     per_class = [F.first(c).alias(c) for c in ("n", "group", "marks", "fine")]
@@ -408,6 +409,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
         pairs = written(_within_fine_marks(written(pairs, "met"), classes, percent), "pairs")
         if found is not None and pairs.isEmpty():
             continue
+        settled(documents.sparkSession)
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = _needed_sets(documents, written(nodes.join(classes.select("node", "lead"), "node"), "needed"), width)
         new = written(_verified(pairs, written(sets, "sets"), percent), "links")

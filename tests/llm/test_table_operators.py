@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 import sys
 from collections import Counter
 from pathlib import Path
@@ -16,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import DATA, check, views
 from pyspark.sql import functions as F
 
-from momentquery.llm import components, jaccard, mixing, queries, sharding, vptree, warc
+from momentquery.llm import common, components, jaccard, mixing, queries, sharding, vptree, warc
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -151,6 +152,24 @@ def test_components_of_paths(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settled_gives_freed_memory_back(spark):
+    """The driver's process loses what its virtual machine has freed outside of the heap, between pieces still in use."""
+    jvm = spark._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) // 1024
+    jvm.java.lang.System.gc()
+    before = resident()
+    held = [jvm.java.util.zip.Deflater() for _ in range(2000)]  # some 90 kB each are touched
+    full = resident()
+    for i, one in enumerate(held):
+        if i % 16:
+            one.end()
+    common.settled(spark)
+    assert full > before + 100 and resident() < full - (full - before) // 2
+    for one in held[::16]:
+        one.end()
+
+
 def plain_nearest(q, rows, k):
     out = []
     for i, x in q:
