@@ -29,9 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """What Python on the executors needs: the package, and bounded batches. Operators that run Python see to it
+    themselves, as their input may come from anywhere, in a session that has read no table by table()."""
     ship(spark)
     bounded_batches(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import settled, written
+from .common import prepared, settled, written
 from .components import connected
 
 #: The frequent shingles whose order is by count, at most; all others come before them, by hash.
@@ -365,6 +365,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Data
     not in it.
     """
     documents = documents.select("doc_id", "text")
+    prepared(documents.sparkSession)
     settled(documents.sparkSession)  # what ran before
     rows = written(shingled(documents, frequent(documents, width), width, percent), "shingled")
     some = rows.filter("n > 0 and doc_id is not null")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import prepared
+
 #: Bytes of text of a class that are learned from, at most.
 BYTES = 8 << 20
 
@@ -55,5 +57,6 @@ def learned(rows: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) ->
         model = fit([(text, target) for _, text, target in sorted(docs, key=lambda row: row[0])])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
+    prepared(rows.sparkSession)
     found = rows.repartition(1).mapInArrow(run, "model binary").first()
     return fit([]) if found is None else pickle.loads(found.model)

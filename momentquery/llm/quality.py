@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, named
+from .common import fresh, named, prepared
 from .labelled import learned, sample
 
 #: Rated documents of each grade that the fit looks at, at most.
@@ -176,6 +176,7 @@ def graded(documents: DataFrame, model: Grades, n_grades: int, text: str = "text
     """documents with one more column, fresh(into): a struct of expected, the expected grade, and tails, the array of
     P(grade >= k) for k from 1."""
     spark = documents.sparkSession
+    prepared(spark)
     shared = spark.sparkContext.broadcast(model)  # N_WEIGHTS doubles
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, named
+from .common import fresh, named, prepared
 
 MARK = "▁"
 #: Stands for U+2581 in a text; no valid text has it.
@@ -197,6 +197,7 @@ ENCODED = T.StructType([T.StructField("pieces", T.ArrayType(T.IntegerType())), T
 def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text", into: str = "coded") -> DataFrame:
     """documents with one more column, fresh(into): a struct of pieces (ids), score, and exact: whether decoding them
     gives the text again."""
+    prepared(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     @F.arrow_udf(ENCODED)
@@ -217,6 +218,7 @@ def encoded(documents: DataFrame, vocabulary: Pieces, text: str = "text", into:
 
 def decoded(rows: DataFrame, vocabulary: Pieces, pieces: Column | str = "pieces", into: str = "text") -> DataFrame:
     """rows with one more column, fresh(into): the text, decoded from their piece ids; null where those are null."""
+    prepared(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf(T.StringType())

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import fresh, named
+from .common import fresh, named, prepared
 from .labelled import learned, sample
 
 #: Documents of each class that the fit looks at, at most.
@@ -494,6 +494,7 @@ def score(documents: DataFrame, chain: Chain, text: str = "text", into: str = "t
     result = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])))])
 
+    prepared(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(chain)  # features that HELD of the sample's documents have
 
     @F.arrow_udf(result)

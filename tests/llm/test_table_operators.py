@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import os
 import random
 import re
+import subprocess
 import sys
 from collections import Counter
 from pathlib import Path
@@ -471,3 +473,27 @@ def test_pipeline_stages(spark):
     coded = cp.encoded(spark, after, DATA)
     assert coded.count() == sum(n.values()) and coded.filter("not exact").count() == 0
     assert {r.doc_id for r in cp.run(spark, DATA).collect()} == left
+
+
+ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import corpus_pipeline as cp
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+text = "one of many words that are the same in both"
+docs = spark.createDataFrame([(1, text, "web"), (2, text, "web"), (3, "another text", "web")], "doc_id long, text string, source string")
+stage = dict(cp.STAGES)[sys.argv[3]]
+print("ROWS", sorted(r.doc_id for r in stage(spark, docs, "").collect()))
+print("BATCH", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+"""
+
+
+@pytest.mark.parametrize("stage, ids", [("near duplicates", [1, 3]), ("sentencepieces", [1, 2, 3])])
+def test_stage_runs_by_itself(tmp_path, stage, ids):
+    """In an application that has read no table of ours, whose workers don't find the package by their path."""
+    repo = Path(__file__).resolve().parents[2]
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    run = subprocess.run([sys.executable, "-B", "-c", ALONE, str(repo), str(tmp_path / "shared"), stage], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert f"ROWS {ids}" in run.stdout, run.stderr[-3000:]
+    assert "BATCH 4m" in run.stdout
